@@ -420,17 +420,17 @@ MAP = encode.Rope(k=200, s=4, m=1, c=4)
 @query()
 def c1_map_sampled_reads(spark, d):
     """Reads sampled from the records, mapped back onto all of their windows."""
-    hits, _ = mapping.sample_map_score(records(spark, d).filter(F.length("seq") >= MAP.k), MAP, 100, 500, err=0.05, k=5)
+    hits, _ = mapping.sample_map_score(clean(spark, d), MAP, 100, 500, err=0.05, k=5)
     return hits
 
 
 # --- interval joins, scoring -----------------------------------------------
 
-_EV = "WITH ev AS (SELECT user_id AS read_id, event_type AS src, (epoch(ts) // 60)::BIGINT AS start, event_id FROM events), h AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY event_id DESC)::INT AS rank FROM ev), tr AS (SELECT read_id, src, start FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY event_id) AS i FROM ev) WHERE i = 1)"
+_EV = "WITH ev AS (SELECT user_id AS read_id, event_type AS src, floor(epoch(ts) / 60)::BIGINT AS start, event_id FROM events), h AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY event_id DESC)::INT AS rank FROM ev), tr AS (SELECT read_id, src, start FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY event_id) AS i FROM ev) WHERE i = 1)"
 
 
 def _events(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("read_id"), F.col("event_type").alias("src"), F.floor(F.unix_micros("ts") / 60000000).cast("long").alias("start"), "event_id")
+    e = table(spark, d, "events").select(F.col("user_id").alias("read_id"), F.col("event_type").alias("src"), F.expr("timestampdiff(MINUTE, timestamp_ntz'1970-01-01', ts)").alias("start"), "event_id")
     hits = e.withColumn("rank", F.row_number().over(W.partitionBy("read_id").orderBy(F.desc("event_id"))))
     truth = e.groupBy("read_id").agg(F.min_by("src", "event_id").alias("src"), F.min_by("start", "event_id").alias("start")).withColumn("len", F.lit(None).cast("long"))
     return hits, truth
@@ -486,7 +486,7 @@ def j11_least_or_default(spark, d):
     return scoring.least_or(table(spark, d, "orders"), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "o_totalprice", 20000.0)
 
 
-_PAF = "WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_returnflag || ':' || (l_partkey * 7) || ':' || (l_orderkey % 2 = 0) AS qname, l_returnflag AS seq, l_partkey * 7 AS pos, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, l_linestatus AS tname, l_suppkey * 5 AS tstart, l_orderkey % 2 = 0 AS rc FROM lineitem), o AS (SELECT qname, line, (CASE WHEN seq = 'R' THEN 'F' ELSE seq END = tname OR seq = 'N') AND rc = (strand = '-') AND abs(pos - tstart) < 3000 AS ok FROM p), r AS (SELECT qname, arg_min(ok, (line, ok)) AS first, bool_or(ok) AS any FROM o GROUP BY qname) SELECT count(*)::BIGINT AS \"unique\", count_if(first)::BIGINT AS top1, count_if(any)::BIGINT AS \"any\" FROM r"
+_PAF = "WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_returnflag || ':' || (l_partkey * 7) || ':' || (l_orderkey % 2 = 0) AS qname, l_returnflag AS seq, l_partkey * 7 AS pos, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, l_linestatus AS tname, l_suppkey * 5 AS tstart, l_orderkey % 2 = 0 AS rc FROM lineitem), o AS (SELECT qname, line, (CASE WHEN seq = 'R' THEN 'F' ELSE seq END = tname OR seq = 'N') AND rc = (strand = '-') AND abs(pos - tstart) < 3000 AS ok FROM p), r AS (SELECT qname, arg_min(ok, (line, ok)) AS first, bool_or(ok) AS hit FROM o GROUP BY qname) SELECT count(*)::BIGINT AS \"unique\", count_if(first)::BIGINT AS top1, count_if(hit)::BIGINT AS \"any\" FROM r"
 
 
 @query(_PAF.replace("(CASE WHEN seq = 'R' THEN 'F' ELSE seq END = tname OR seq = 'N')", "seq = tname").replace("l_linestatus AS tname", "CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END AS tname"))
