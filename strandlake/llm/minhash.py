@@ -9,8 +9,8 @@ linear where groups are large:
   of them, so only that prefix is posted;
 * a list is first merged with its smallest member alone (skip merging): each
   document meets that leader, the best leader is confirmed, and lists whose
-  members then are in one component are skipped. Only members of different
-  components in one list are paired after that.
+  members then are in one component are skipped. Members of different
+  components in one list go on to an exact prefix join (``crossing``).
 
 Confirmation is exact, on the 64-bit hashes of the full shingle sets.
 """
@@ -28,6 +28,8 @@ from .components import components
 COORDINATES, ROWS, LEAST = 24, 4, 2
 #: Rows of pairs up to which they are broadcast to the texts (16 bytes a row); beyond it the texts are shuffled.
 BROADCAST_PAIRS = 200_000
+#: Texts of a family whose shingles say what is common in it; any choice gives the same links.
+REFERENCES = 8
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2**63, COORDINATES * ROWS, np.uint64) * U64(2) + U64(1)
 _ADD = _RNG.integers(0, 2**63, COORDINATES * ROWS, np.uint64)
@@ -108,6 +110,73 @@ def confirmed(pairs: DataFrame, n: int, docs: DataFrame, percent: int, width: in
     return left.join(right, ["a", "b"]).mapInArrow(_confirm(percent, width), "a long, b long, linked boolean")
 
 
+def _common():
+    """The shingles that two or more of a family's reference texts have, sorted, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for texts in batch.column("texts").to_pylist():
+                held, n = np.unique(np.concatenate(shingles([t.encode() for t in texts])), return_counts=True)
+                out.append(held[n >= min(2, len(texts))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("family"), pa.array(out, pa.binary())], ["family", "common"])
+
+    return run
+
+
+def _facets(percent: int, width: int):
+    """size, shared (shingles that are common in the family), rare: the others that the prefix holds, in order."""
+
+    def run(batches):
+        for batch in batches:
+            size, shared, rare = [], [], []
+            for s, common in zip(shingles(texts_of(batch.column("text")), width), batch.column("common").to_pylist()):
+                known = np.isin(s, np.frombuffer(common, U64), assume_unique=True)
+                least = -(-percent * len(s) // 100)
+                size.append(len(s))
+                shared.append(int(known.sum()))
+                rare.append(as_long(s[~known][: len(s) - least + 1]).tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "component", "family")), pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["node", "component", "family", "size", "shared", "rare"])
+
+    return run
+
+
+def crossing(nodes: DataFrame, docs: DataFrame, space: Workspace, percent: int, width: int) -> DataFrame:
+    """(a, b), a < b: all pairs of different components in one family that can be linked.
+
+    ``nodes`` has (node, component, family). Sets are ordered with the shingles
+    first that are rare in the family. Two sets that share the overlap o that a
+    link needs either share a rare shingle among the first size - o + 1 of both,
+    or share common ones only, and then both have at least o of those. Copies
+    of one text with edits of their own meet in neither way, however many they
+    are; no pair that is linked is missed.
+    """
+    n = row_count(nodes)
+    refs = nodes.groupBy("family", F.pmod(F.xxhash64("node"), F.lit(REFERENCES)).alias("_r")).agg(F.min("node").alias("node")).select("family", "node")
+    texts = docs.join(_small(space.save(refs, "refs")), F.col("doc_id") == F.col("node")).groupBy("family").agg(F.collect_list("text").alias("texts"))
+    common = space.save(texts.mapInArrow(_common(), "family long, common binary"), "common")
+    held = docs.join(F.broadcast(nodes) if n <= BROADCAST_PAIRS else nodes, F.col("doc_id") == F.col("node")).select("node", "component", "family", "text")
+    facets = held.join(common, "family").select("node", "component", "family", "text", "common").mapInArrow(_facets(percent, width), "node long, component long, family long, size long, shared long, rare array<long>")
+    facets = space.save(facets, "facets")
+    need = F.ceil(F.lit(percent) * (F.col("x.size") + F.col("y.size")) / F.lit(100.0 + percent) - 1e-9)
+    apart = (F.col("x.node") != F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
+    close = 100 * F.col("x.size") >= percent * F.col("y.size")
+    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    post = facets.select("family", "node", "component", "size", F.posexplode("rare").alias("at", "shingle"))
+    within = (F.col("x.at") <= F.col("x.size") - need) & (F.col("y.at") <= F.col("y.size") - need)
+    rare = post.alias("x").join(post.alias("y"), ["family", "shingle"]).filter(apart & ordered & close & within).select(*pair)
+    step = lambda size: F.floor(F.log(size) / F.log(F.lit(1.05)))
+    small = facets.select("family", "node", "component", "size", "shared", step(F.col("size")).alias("step"))
+    # The smaller set has at most what the larger one's common shingles allow.
+    top = F.least(F.col("size"), F.floor(F.col("shared") * (100 + percent) / F.lit(float(percent)) + 1e-9) - F.col("size"))
+    low = F.ceil(F.col("size") * percent / 100)
+    large = facets.withColumn("top", top).filter(top >= low).withColumn("step", F.explode(F.sequence(step(low), step(F.col("top")))))
+    enough = (F.col("x.size") <= F.col("y.top")) & (F.col("x.shared") >= need)
+    shared = small.alias("x").join(large.alias("y"), ["family", "step"]).filter(apart & ordered & close & enough).select(*pair)
+    return rare.unionByName(shared).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
@@ -145,12 +214,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     label = components(links, space, "first-cc")
 
     placed = posts.join(label, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
-    open_ = space.save(placed.join(mixed, "value", "left_semi"), "open")
-    x = open_.select("value", F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = open_.select("value", F.col("node").alias("b"), F.col("component").alias("cb"))
-    left = x.join(y, "value").filter("a < b and ca != cb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    left = left.filter(F.col("n") >= LEAST - (COORDINATES - prefix)).select("a", "b")
+    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader")).filter("low != high").select("value", "leader")
+    open_ = space.save(placed.join(mixed, "value").select("node", "component", "leader").distinct(), "open")
+    families = components(open_.select(F.col("leader").alias("a"), F.col("node").alias("b")), space, "family")
+    nodes = open_.select("node", "component").distinct().join(families.withColumnRenamed("component", "family"), "node", "left")
+    nodes = space.save(nodes.select("node", "component", F.coalesce("family", "node").alias("family")), "nodes")
+    left = crossing(nodes, docs, space, percent, width)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = space.save(left.join(tried, ["a", "b"], "left_anti"), "left")
     if n := row_count(left):
