@@ -181,7 +181,7 @@ def comma(x: Column | str) -> Column:
 def similarity_bin(score: Column | str) -> Column:
     """1 .. 34: sixteenths from -1 to 1, with one bin below and one above; NaN has none."""
     s = col(score)
-    return F.when(~F.isnan(s), F.least(F.greatest(F.try_add(((s + 1) * 16).cast("int"), F.lit(2)), F.lit(1)), F.lit(34)))
+    return F.when(~F.isnan(s), F.least(F.greatest(F.greatest(F.least((s + 1) * 16, F.lit(99.0)), F.lit(-99.0)).cast("int") + 2, F.lit(1)), F.lit(34)))
 
 
 def hits_bucket(n: Column | str) -> Column:
