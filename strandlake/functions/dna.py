@@ -143,10 +143,25 @@ def sample_parameters(path: Column | str) -> Column:
     return F.struct(part(r"_n(\d+)_").cast("long").alias("n"), part(r"_k(\d+)_").cast("long").alias("k"), part(r"_e([0-9.]+?)(?:_|\.fasta)").cast("double").alias("err"), part(r"_s(\d+)(?:_|\.)").cast("long").alias("seed"), p.contains("_drandom").alias("random"), p.contains("_withn").alias("withn"))
 
 
+def cut(seq: Column | str, starts: Column, n: Column | int) -> Column:
+    """Substrings of ``n`` characters at many places (from 1) of one sequence.
+
+    Text of one byte a character is cut as bytes, where a place is found at
+    once; other text as an array of its characters. Only text with characters
+    that Java holds as two is walked to each place.
+    """
+    s = col(seq)
+    n = n if isinstance(n, Column) else F.lit(n)
+    plain = F.transform(F.array(s.cast("binary")), lambda b: F.transform(starts, lambda p: F.substring(b, p, n).cast("string")))[0]
+    listed = F.transform(F.array(F.split(s, "")), lambda a: F.transform(starts, lambda p: F.array_join(F.slice(a, p, n), "")))[0]
+    walked = F.transform(starts, lambda p: F.substring(s, p, n))
+    return F.when(F.octet_length(s) == F.length(s), plain).when(~s.rlike("[\\x{10000}-\\x{10FFFF}]"), listed).otherwise(walked)
+
+
 def grams(seq: Column | str, n: int) -> Column:
     """All substrings of length ``n``, in order."""
     s = col(seq)
-    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda p: F.substring(s, p, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(s) >= n, cut(s, F.sequence(F.lit(1), F.length(s) - n + 1), n)).otherwise(F.array().cast("array<string>"))
 
 
 def shared_grams(a: Column | str, b: Column | str, n: int = 16) -> Column:

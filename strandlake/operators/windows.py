@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 
+#: Windows that are cut together.
+BLOCK = 64
+
 
 def n_windows(nchar: Column | str, k: int, kstep: int = 1) -> Column:
     """How many windows of ``k`` a record of ``nchar`` holds on a grid of ``kstep``."""
@@ -19,14 +22,18 @@ def windows(records: DataFrame, k: int, kstep: int, seq: str = "seq", max_record
     """One row for each window: the record's columns, ``start`` (1-based) and ``frag``.
 
     Windows begin at 1, 1 + kstep, ... and lie fully inside their record;
-    shorter records give none. The record's text is dropped before rows are
-    made, so only the window itself travels.
+    shorter records give none. Only the window itself travels.
     """
     if max_records is not None:
         records = records.filter(F.col("rec_id") < max_records)
     rest = [c for c in records.columns if c != seq]
-    grid = records.filter(F.length(seq) >= k).select(*rest, seq, F.posexplode(F.sequence(F.lit(1), F.length(seq) - k + 1, F.lit(kstep))).alias("_i", "start"))
-    return grid.select(*rest, F.col("start").cast("long").alias("start"), F.substring(seq, F.col("start"), F.lit(k)).alias("frag"))
+    # Blocks of windows first, then the windows of each block: no row holds all windows of a long record.
+    span = BLOCK * kstep
+    blocks = dna.cut(seq, F.sequence(F.lit(1), F.length(seq) - k + 1, F.lit(span)), span - kstep + k)
+    cut = records.filter(F.length(seq) >= k).select(*rest, F.posexplode(blocks).alias("_b", "_t"))
+    each = dna.cut("_t", F.sequence(F.lit(1), F.length("_t") - k + 1, F.lit(kstep)), k)
+    rows = cut.select(*rest, "_b", F.posexplode(each).alias("_i", "frag"))
+    return rows.select(*rest, (F.col("_b").cast("long") * span + F.col("_i") * kstep + 1).alias("start"), "frag")
 
 
 def fragments(records: DataFrame, k: int, seq: str = "seq") -> DataFrame:

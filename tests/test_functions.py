@@ -94,3 +94,8 @@ def test_shared_grams_and_commas(spark):
     assert one(spark, dna.shared_grams("a", "b", 3), a="ACGTACG", b="TTACGACGT") == 4
     assert one(spark, dna.comma("n"), n=1234567) == "1,234,567"
     assert spark.range(1).select(dna.hits_bucket(F.lit(11))).first()[0] == 4
+
+
+def test_grams_of_any_text(spark):
+    for text in ("abcdef", "aéîxyß", "a😀b😀cd", "ab", ""):
+        assert one(spark, dna.grams("s", 3), s=text) == [text[i : i + 3] for i in range(len(text) - 2)]
