@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import POWERS, U64, Workspace, as_long, bounded_batches, mix, row_count, texts_of
 
 LENGTH, ANCHOR, HOT = 200, 64, 20_000
-#: Rows of 16-byte keys, and runs of 16 bytes, up to which a counted table is broadcast; beyond it the join shuffles.
-BROADCAST_KEYS, BROADCAST_RUNS = 300_000, 1_000_000
+#: Rows of 16-byte keys up to which a counted table is broadcast; beyond it the join shuffles.
+BROADCAST_KEYS = 300_000
 #: Bytes of text hashed at once; a longer text is taken in overlapping parts.
 PART = 1 << 20
 
@@ -348,9 +348,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     starts = F.transform("runs", lambda r: F.struct((F.col("place") - r["e"]).alias("s"), (F.col("place") - r["s"]).alias("e")))
     placed = pieces.select("key", "place", "anchor", "kind").join(found, ["anchor", "kind"]).select("key", starts.alias("runs"))
     runs = space.save(placed.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
-    n_runs, size = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
-    out = keyed.join(_held(copies.select("key", "copies"), n_copies, "key"), "key", "left")
-    out = out.join(F.broadcast(runs) if size <= BROADCAST_RUNS and n_runs <= BROADCAST_KEYS else runs, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+    n_runs = row_count(runs)
+    out = keyed.join(_held(copies.select("key", "copies"), n_copies, "key"), "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+    if n_runs <= BROADCAST_KEYS:
+        # Only texts that lose something meet their runs; the others stay where they are.
+        keys = F.broadcast(runs.select("key"))
+        whole = out.join(keys, "key", "left_anti").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+        out = out.join(keys, "key", "left_semi").join(runs, "key").unionByName(whole)
+    else:
+        out = out.join(runs, "key", "left")
     return out.select("doc_id", "text", "copies", "runs").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
