@@ -7,6 +7,7 @@ vectors; ``events`` are positions on a line.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import dna, quant
-from .operators import encode, sampling, scoring, search, windows
+from .operators import encode, probes, sampling, scoring, search, windows
 from .plans import mapping
+from .shared import fresh_path
+from .sources import fasta, tables
 from .streaming import reads as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,22 +80,16 @@ def s5_record_table(spark, d):
 
 @query(REC + " SELECT rec_id, substr(seq, 1, 200) AS frag FROM g WHERE length(seq) >= 200")
 def s2_trimmed_reads(spark, d):
-    from .sources import fasta
-
     return fasta.reads(records(spark, d), 200).select("rec_id", "frag")
 
 
 @query(REC + ", z AS (SELECT rec_id, replace(upper(regexp_replace(seq, '[^ACGTNacgtn]', '', 'g')), 'N', 'G') AS frag FROM r) SELECT rec_id, substr(frag, 1, 100) AS frag FROM z WHERE length(frag) >= 100")
 def s3_reads_without_junk(spark, d):
-    from .sources import fasta
-
     return fasta.reads(records(spark, d), 100, junk="drop").select("rec_id", "frag")
 
 
 @query(REC + " SELECT rec_id, seq FROM r WHERE regexp_matches(head, '^>src0_') OR regexp_matches(head, ' fr$')")
 def p19_header_filter(spark, d):
-    from .sources import fasta
-
     return fasta.keep_heads(records(spark, d), ["^>src0_", " fr$"]).select("rec_id", "seq")
 
 
@@ -206,6 +203,52 @@ def p24_dna_hash(spark, d):
     return clean(spark, d).filter(F.length("seq") >= 8).select("rec_id", dna.dna_hash(dna.codes("seq")).alias("hash"))
 
 
+# --- files: written, read back ---------------------------------------------
+
+
+@query(REC + " SELECT name, length(seq)::BIGINT AS nchar, md5(seq) AS digest FROM g")
+def s1_fasta_round_trip(spark, d):
+    path = fresh_path(spark, "fasta")
+    fasta.write_fasta(clean(spark, d), path)
+    return fasta.read_fasta(spark, path).select("name", "nchar", F.md5("seq").alias("digest"))
+
+
+@query("SELECT 'u' || user_id AS read, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS rank, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand, round(value, 3) AS score, event_id AS pos0, event_type AS record FROM events")
+def s18_match_table_round_trip(spark, d):
+    path, e = fresh_path(spark, "maps"), table(spark, d, "events")
+    hits = e.select(
+        F.col("user_id").alias("read_id"),
+        F.concat(F.lit(">u"), F.col("user_id").cast("string"), F.lit(" more")).alias("head"),
+        F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("rank"),
+        (F.col("event_id") % 2).alias("strand"),
+        F.col("value").alias("score"),
+        (F.col("event_id") + 1).alias("start"),
+        F.concat(F.lit(">"), "event_type", F.lit(" x")).alias("record"),
+    )
+    tables.write_maps(hits, path)
+    return tables.read_maps(spark, path).select("read", "rank", "strand", F.round("score", 3).alias("score"), "pos0", "record")
+
+
+@query("SELECT 'read_' || doc_id AS id, source AS src, n_chars::BIGINT AS start, 100::BIGINT AS len FROM documents")
+def s19_provenance_round_trip(spark, d):
+    path = fresh_path(spark, "provenance")
+    head = F.format_string(">read_%d start=%d len=100 src=%s", "doc_id", F.col("n_chars"), "source")
+    _, rows = tables.split_provenance(table(spark, d, "documents").select(head.alias("head"), F.lit("ACGT").alias("frag")))
+    tables.write_provenance(rows, path)
+    return tables.read_provenance(spark, path)
+
+
+@query("SELECT l_orderkey AS line, l_returnflag || ':' || l_partkey || ':true' AS qname, l_linestatus AS tname, l_suppkey AS tstart, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
+def s17_paf_round_trip(spark, d):
+    path, li = fresh_path(spark, "paf"), table(spark, d, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat_ws("\t", F.concat("l_returnflag", F.lit(":"), text("l_partkey"), F.lit(":true")), text("l_orderkey"), F.lit("0"), F.lit("9"), F.lit("-"), "l_linestatus", F.lit("1000"), text("l_suppkey"), text("l_orderkey"))
+    li.select(line).write.text(path)
+    paf = tables.read_paf(spark, path)
+    keyed = paf.join(spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.element_at(F.split("value", "\t"), 9).cast("long").alias("order")), "line")
+    return keyed.select(F.col("order").alias("line"), "qname", "tname", "tstart").groupBy("line", "qname", "tname", "tstart").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- windows, gaps, pools, sampling ----------------------------------------
 
 
@@ -424,6 +467,26 @@ def c1_map_sampled_reads(spark, d):
     return hits
 
 
+@query()
+def r1_refined_places(spark, d):
+    """The best offset around each sampled read's best coarse window."""
+    recs = clean(spark, d)
+    reads = sampling.sample_reads(recs, 500, MAP.k, 0.05, 1)
+    best = mapping.map_reads(reads, mapping.build_index(recs, MAP, 100), MAP, 1).filter("strand = 0")
+    hits = best.select("read_id", (F.split_part("src", F.lit("_"), F.lit(2))).cast("long").alias("rec_id"), "start")
+    return search.refine(hits, reads, recs, MAP, 60).withColumn("score", F.round("score", 6))
+
+
+@query()
+def g7_mutation_sweep(spark, d):
+    return probes.sweep(spark, encode.Rope(2000, 5, 1, 4), 1000, 0.3, 11)
+
+
+@query()
+def a21_cutting_threshold(spark, d):
+    return probes.cutting_threshold(probes.sweep(spark, encode.Rope(2000, 5, 1, 4), 300, 0.3, 11, shift=0.05))
+
+
 # --- interval joins, scoring -----------------------------------------------
 
 _EV = "WITH ev AS (SELECT user_id AS read_id, event_type AS src, floor(epoch(ts) / 60)::BIGINT AS start, event_id FROM events), h AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY event_id DESC)::INT AS rank FROM ev), tr AS (SELECT read_id, src, start FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY event_id) AS i FROM ev) WHERE i = 1)"
@@ -561,8 +624,6 @@ def x1_both_strands(spark, d):
 @query("SELECT least(greatest(trunc((value / 100 + 1) * 16)::INT + 2, 1), 34) AS bin, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def z4_running_histogram(spark, d):
     """The events as a stream, to its end; the totals are a table in the shared folder."""
-    import uuid
-
     name = f"histogram_{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     rows = streams.read_stream(spark, f"{d}/events*", schema)
