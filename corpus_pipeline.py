@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandlake.llm import decontam, minhash, mixing, quality, sharding
 from strandlake.llm.common import Workspace, table
+from strandlake.llm.queries import labelled_domains
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the languages' tokens meet the target weights; targets leave no language below what it has."""
-    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    labelled = docs.select("doc_id", "text", F.col("lang").alias("domain")).join(labels, "doc_id", "left_semi")
-    return mixing.mix(docs, labelled)
+    return mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Soft-membership mixing of domains to target weights, in DataFrame functions.
 
-A naive Bayes classifier, fitted on the labelled table, gives each document a
+A naive Bayes classifier, fitted on labelled documents, gives each document a
 posterior over domains from hashed words. Nonnegative rates of documents are
 then fitted so that the expected tokens of each domain, sum over documents of
 rate * tokens * posterior, meet the targets: least squares by projected
 gradient, one aggregation over all documents for each step.
+
+Words are rows of a generator that compiled code folds back into one row for
+each text before the one small shuffle. Evidence is summed in whole numbers, so
+the order of rows changes nothing.
 """
 
 from __future__ import annotations
@@ -17,62 +21,65 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, row_count
 
-#: Labelled rows that the classifier is fitted on, hash slots of words, words of a document that vote, gradient steps.
+#: Labelled documents that the classifier is fitted on, hash slots of words, gradient steps.
 LABELLED, SLOTS, STEPS = 4000, 2048, 40
 #: Share exponent of the default targets: below 1, small domains gain.
 TEMPERATURE = 0.7
 #: Largest miss of a domain, as a share of its present tokens, at which the steps end.
 TOLERANCE = 1e-4
+#: Whole-number units of a log-likelihood.
+UNIT = 1_000_000
+#: Rates of distinct texts, about 24 bytes each, up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_RATES = 300_000
 
 
-def words(text: Column) -> Column:
-    """Distinct lower-case words; null has none."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+"), lambda w: w != ""))
+def words(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row for each whitespace-separated word, with ``keep``; ``at`` is its place. Empty text has one empty word."""
+    return docs.select(*keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("at", "word"))
 
 
 def slot(word: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
 
 
-def fit(labelled: DataFrame, most: int = LABELLED, slots: int = SLOTS) -> tuple[list[str], list[list[float]], list[float]]:
-    """(domains, log-likelihoods by domain and slot, log-priors) from rows of (doc_id, text, domain).
+def fit(docs: DataFrame, labelled: DataFrame, most: int = LABELLED, slots: int = SLOTS) -> tuple[list[str], list[list[int]], list[float]]:
+    """(domains, log-likelihoods by domain and slot in units, log-priors) from documents and (doc_id, domain).
 
-    Fitted on the ``most`` labelled rows with the least hash of their id. What
-    reaches the driver is domains x slots numbers; the domain names are those
-    of the sample.
+    Fitted on the ``most`` labelled documents with the least hash of their id.
+    What reaches the driver is domains x slots numbers.
     """
-    chosen = labelled.filter("domain is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "domain").limit(most)
-    rows = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", words(F.col("text")).alias("w"))
+    known = labelled.filter("doc_id is not null and domain is not null").select("doc_id", "domain").distinct()
+    chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     priors = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = rows.select("domain", F.explode("w").alias("word")).groupBy("domain", slot(F.col("word"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    counts = words(rows, "domain").filter("word != ''").groupBy("domain", slot(F.col("word"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     domains = sorted(priors)
     held = {d: [1.0] * slots for d in domains}
     for r in counts.collect():
         held[r["domain"]][r["slot"]] += r["n"]
+    likelihood = [[round(UNIT * math.log(v / sum(held[d]))) for v in held[d]] for d in domains]
     total = sum(priors.values()) or 1
-    likelihood = [[math.log(v / sum(held[d])) for v in held[d]] for d in domains]
     return domains, likelihood, [math.log(priors[d] / total) for d in domains]
 
 
-def posteriors(text: Column, likelihood: list[list[float]], prior: list[float], slots: int = SLOTS) -> Column:
-    """array<double>: the classifier's probabilities of each domain."""
-    tables = [F.from_json(F.lit(json.dumps([round(v, 6) for v in row])), "array<double>") for row in likelihood]
-    at = F.transform(words(text), lambda w: slot(w, slots) + 1)
-    adder = lambda t: lambda acc, s: acc + F.element_at(t, s)
-    sums = [F.aggregate(at, F.lit(p), adder(t)) for t, p in zip(tables, prior)]
-    return _softmax(F.array(*sums))
-
-
-def _softmax(logs: Column) -> Column:
-    shifted = F.transform(F.array(logs), lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))[0]
-    return F.transform(F.array(shifted), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, b: a + b)))[0]
-
-
-def tokens(text: Column) -> Column:
-    """Whitespace-separated words of a text; null has none."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
+def posteriors(docs: DataFrame, likelihood: list[list[int]], prior: list[float], slots: int = SLOTS) -> DataFrame:
+    """key (digest of the text), copies, n_tokens, posterior: one row for each distinct text of ``docs``."""
+    keyed = docs.select("text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    some = F.col("word") != ""
+    place = slot(F.col("word"), slots) + 1
+    sums = []
+    for i, row in enumerate(likelihood):
+        weights = F.from_json(F.lit(json.dumps(row)), "array<bigint>")
+        sums.append(F.sum(F.when(some, F.element_at(weights, place)).otherwise(F.lit(0))).alias(f"s{i}"))
+    first = F.sum((F.col("at") == 0).cast("long")).alias("copies")
+    folded = words(keyed, "key").groupBy("key").agg(first, F.sum(some.cast("long")).alias("n"), *sums)
+    # Equal texts were added up: the sums are whole multiples.
+    logs = F.array(*(F.lit(p) + F.col(f"s{i}") / F.col("copies") / UNIT for i, p in enumerate(prior)))
+    shifted = folded.withColumn("_l", logs).withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
+    whole = F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)
+    return shifted.select("key", "copies", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), F.transform("_e", lambda x: F.round(x / whole, 9)).alias("posterior"))
 
 
 def rate(p: Column, path: list[list[float]]) -> Column:
@@ -95,58 +102,31 @@ def targets(totals: list[float], weights: list[float] | None) -> list[float]:
     return [whole * s for s in share]
 
 
-def mix_rates(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, n_tokens, domain, posterior, rate for every row of ``docs`` (doc_id, text).
-
-    ``labelled`` has (doc_id, text, domain). ``weights`` gives each domain's
-    target share (0 if absent); by default shares are the present ones to the
-    power TEMPERATURE. Null and empty texts have no tokens and the prior as
-    posterior. Null ids and repeated rows are rows like others. Without
-    labelled rows every rate is 1 and domain null; an empty table gives an
-    empty result.
-
-    With T the domains' present tokens, the objective is the sum of squared
-    misses, each divided by T, and steps are scaled by 1 / tokens; in these
-    units the Hessian's rows sum to 1, so a step of 1 never overshoots.
-    """
-    mixture = Mixture.fit(docs, labelled, weights, steps, tolerance)
-    n = tokens(F.col("text")).alias("n_tokens")
-    if not mixture.domains:
-        return docs.select("doc_id", n, F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
-    names = F.from_json(F.lit(json.dumps(mixture.domains)), "array<string>")
-    top = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    held = mixture.table if mixture.table is not None else docs.select("doc_id", n, mixture.posterior(F.col("text")).alias("posterior"))
-    return held.select("doc_id", "n_tokens", top.alias("domain"), "posterior", F.round(rate(F.col("posterior"), mixture.path), 6).alias("rate"))
-
-
 @dataclass
 class Mixture:
-    """A fitted mixture: the classifier and the gradient steps, from which any text's rate follows."""
+    """A fitted mixture: the classifier, the gradient steps, and the posteriors of the texts it was fitted on."""
 
     domains: list[str]
-    likelihood: list[list[float]]
+    likelihood: list[list[int]]
     prior: list[float]
     path: list[list[float]] = field(default_factory=list)
     goal: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
-    #: doc_id, n_tokens, posterior of the rows that it was fitted on.
+    #: key, copies, n_tokens, posterior of each distinct text.
     table: DataFrame | None = None
 
-    def posterior(self, text: Column) -> Column:
-        return F.transform(posteriors(text, self.likelihood, self.prior), lambda x: F.round(x, 9))
-
     @staticmethod
     def fit(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mixture:
-        domains, likelihood, prior = fit(labelled)
+        domains, likelihood, prior = fit(docs, labelled)
         self = Mixture(domains, likelihood, prior)
+        space = Workspace(docs.sparkSession, "mixing")
+        self.table = held = space.save(posteriors(docs, likelihood, prior), "posteriors")
         if not domains:
             return self
-        space = Workspace(docs.sparkSession, "mixing")
-        self.table = held = space.save(docs.select("doc_id", tokens(F.col("text")).alias("n_tokens"), self.posterior(F.col("text")).alias("posterior")), "posteriors")
 
         def expected(r: Column) -> list[float]:
             # Thousandths in whole numbers: the sum is the same in any order.
-            mass = [F.coalesce(F.sum(F.round(F.col("n_tokens") * r * F.col("posterior")[i] * 1000).cast("long")), F.lit(0)).alias(f"t{i}") for i in range(len(domains))]
+            mass = [F.coalesce(F.sum(F.col("copies") * F.round(F.col("n_tokens") * r * F.col("posterior")[i] * 1000).cast("long")), F.lit(0)).alias(f"t{i}") for i in range(len(domains))]
             return [x / 1000 for x in held.agg(*mass).first()]
 
         have = expected(F.lit(1.0))
@@ -161,8 +141,31 @@ class Mixture:
         return self
 
 
+def mix_rates(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, n_tokens, domain, posterior, rate for every row of ``docs`` (doc_id, text).
+
+    ``labelled`` has (doc_id, domain); texts come from ``docs``. ``weights``
+    gives each domain's target share (0 if absent); by default shares are the
+    present ones to the power TEMPERATURE. Null and empty texts have no tokens
+    and the prior as posterior. Null ids and repeated rows are rows like
+    others; equal texts have equal rates. Without labelled documents every rate
+    is 1, domain null and posterior empty; an empty table gives an empty
+    result. Extra columns are ignored.
+
+    With T the domains' present tokens, the objective is the sum of squared
+    misses, each divided by T, and steps are scaled by 1 / tokens; in these
+    units the Hessian's rows sum to 1, so a step of 1 never overshoots.
+    """
+    mixture = Mixture.fit(docs, labelled, weights, steps, tolerance)
+    names = F.from_json(F.lit(json.dumps(mixture.domains)), "array<string>")
+    top = F.when(F.size("posterior") > 0, F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
+    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key")).join(mixture.table, "key")
+    return rows.select("doc_id", "n_tokens", top.alias("domain"), "posterior", F.round(rate(F.col("posterior"), mixture.path), 6).alias("rate"))
+
+
 def copies(rate_: Column, *key: Column) -> Column:
-    """A whole number with the rate as its mean, the same on every run: the hash of the key decides the fraction."""
+    """A whole number with the rate (to hundredths) as its mean, the same on every run: the hash of the key decides the fraction."""
+    rate_ = F.round(rate_, 2)
     unit = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate_) + (unit < rate_ - F.floor(rate_)).cast("int")).cast("int")
 
@@ -170,11 +173,15 @@ def copies(rate_: Column, *key: Column) -> Column:
 def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, steps: int = STEPS) -> DataFrame:
     """``docs`` with every row repeated by its rate, rounded to a whole number so that the mean holds.
 
-    The rate is an expression of the row's own text, so nothing is joined.
+    Rates are joined by the digest of the text; rows that repeat an id each
+    take the rate of their own text.
     """
     mixture = Mixture.fit(docs, labelled, weights, steps)
     if not mixture.domains:
         return docs
-    n = copies(F.round(rate(mixture.posterior(F.col("text")), mixture.path), 6), F.col("doc_id"), F.col("text"))
-    counted = docs.withColumn("_copies", n)
+    rates = mixture.table.select(F.col("key").alias("_key"), F.round(rate(F.col("posterior"), mixture.path), 6).alias("_rate"))
+    if row_count(mixture.table) <= BROADCAST_RATES:
+        rates = F.broadcast(rates)
+    joined = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).join(rates, "_key")
+    counted = joined.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"), F.col("_key")))
     return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_copies") > 0, F.col("_copies"))))).select(*docs.columns)

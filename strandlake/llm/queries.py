@@ -19,14 +19,14 @@ def op2_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, d, "documents")).drop("kept")
 
 
-def labelled_domains(spark: SparkSession, d: str) -> DataFrame:
-    """The labelled table of the mixture: labelled documents, their language as the domain."""
-    labels = table(spark, d, "labels").select("doc_id").distinct()
-    return table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("domain")).join(labels, "doc_id", "left_semi")
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixture: (doc_id, domain) of labelled documents, their language as the domain."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
-    found = mixing.mix_rates(table(spark, d, "documents"), labelled_domains(spark, d))
+    docs = table(spark, d, "documents")
+    found = mixing.mix_rates(docs, labelled_domains(docs, table(spark, d, "labels")))
     return found.withColumn("posterior", F.array_join(F.transform("posterior", lambda x: F.format_number(x, 6)), ","))
 
 
