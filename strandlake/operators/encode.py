@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,14 +189,19 @@ def encode(frags: DataFrame, rope: Rope, precision: str = "f32", column: str = "
     kind = {"f64": "double"}.get(precision, "float")
     round_ = {"f16": lambda v: v.astype(np.float16).astype(np.float32), "e4m3": e4m3_numpy}.get(precision, lambda v: v)
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    item = pa.float64() if kind == "double" else pa.float32()
+
+    def lists(values: np.ndarray, of: pa.DataType) -> pa.Array:
+        offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), of))
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(rope)
         for part in parts:
-            vectors, norms = encoder(list(part.where(part.notna(), None)))
-            dtype = np.float64 if kind == "double" else np.float32
-            yield pd.DataFrame({"vec": list(round_(vectors).astype(dtype)), "norms": list(norms)})
+            vectors, norms = encoder(part.to_pylist())
+            yield pa.StructArray.from_arrays([lists(round_(vectors), item), lists(norms, pa.float64())], ["vec", "norms"])
 
-    udf = F.pandas_udf(run, f"vec array<{kind}>, norms array<double>")
+    udf = F.arrow_udf(run, f"vec array<{kind}>, norms array<double>")
     return frags.withColumn("_e", udf(column)).select(*[c for c in frags.columns if c != column], F.col("_e.vec").alias("vec"), F.col("_e.norms").alias("norms"))
 
 
