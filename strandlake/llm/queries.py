@@ -45,7 +45,7 @@ def op6_sharding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_decontam(spark: SparkSession, d: str) -> DataFrame:
-    return decontam.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return decontam.report(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("longest_match")
 
 
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +64,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_mixing, op4_topk, op5_minhash, op6_sharding, op7_decontam, op8_toxicity, op9_quality, op10_pii)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_dedup": """
+            WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            b AS (SELECT rid, h, unnest(generate_series(0, length(h) // 2 - 1, 1000)) AS base FROM d WHERE length(h) >= 400),
+            k AS (SELECT rid, base, substr(h, (2 * base + 1)::BIGINT, 2400) AS part FROM b),
+            p AS (SELECT rid, base + i AS pos, md5(substr(part, (2 * i + 1)::BIGINT, 400)) AS g FROM (SELECT rid, base, part, unnest(generate_series(0, least(1000, length(part) // 2 - 199) - 1)) AS i FROM k WHERE length(part) >= 400)),
+            r AS (SELECT g FROM p GROUP BY g HAVING count(*) > 1),
+            q AS (SELECT rid, pos FROM p SEMI JOIN r ON p.g = r.g),
+            o AS (SELECT rid, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY rid ORDER BY pos) <= 200 THEN 0 ELSE 1 END AS new FROM q),
+            z AS (SELECT rid, pos, sum(new) OVER (PARTITION BY rid ORDER BY pos) AS run FROM o),
+            s AS (SELECT rid, run, min(pos) AS a, max(pos) + 200 AS e FROM z GROUP BY rid, run),
+            g AS (SELECT rid, a, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM s),
+            t AS (SELECT g.rid, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS head FROM g JOIN d ON g.rid = d.rid GROUP BY g.rid)
+            SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+             sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256 FROM d LEFT JOIN t ON d.rid = t.rid""",
+        "op5_minhash": rf"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+                  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+            c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+            l AS (SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * x.n >= 85 * (ca.n + cb.n - x.n)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a),
+            k AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+            SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
+            FROM documents d JOIN k ON d.doc_id = k.doc_id LEFT JOIN c ON d.doc_id = c.doc_id""",
+        "op7_decontam": rf"""
+            WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+            b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+            bi AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0),
+            bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM bi),
+            di AS (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d JOIN (SELECT DISTINCT n FROM bw) ON len(w) >= n),
+            m AS (SELECT rid, bw.n, i, item_id FROM di JOIN bw ON di.n = bw.n AND array_to_string(w[i:i + di.n - 1], ' ') = bw.win),
+            h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS p FROM m) GROUP BY rid),
+            t AS (SELECT rid, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+                   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN t ON d.rid = t.rid""",
         "op1_warc": """
             WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
             s AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
