@@ -12,10 +12,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the node's smallest neighbour (or the node)."""
+def _large_star(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """Every larger neighbour of a node is tied to the node's smallest neighbour (or the node).
+
+    The minima are written first: the join then shuffles them by themselves,
+    and adaptive execution may split a hub's rows.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = space.save(least, name)
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
@@ -39,8 +44,9 @@ def components(edges: DataFrame, space: Workspace, name: str = "cc") -> DataFram
     before = _state(e)
     while before[0]:
         n += 1
-        e = space.save(_small_star(_large_star(e)), f"{name}-{n}")
+        e = space.save(_small_star(_large_star(e, space, f"{name}-least-{n}")), f"{name}-{n}")
         space.drop(f"{name}-{n - 1}")
+        space.drop(f"{name}-least-{n}")
         if (now := _state(e)) == before:
             break
         before = now
