@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path
+
 U64 = np.uint64
 #: Fixed odd multipliers and shifts of the 64-bit finaliser (splitmix64).
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -20,27 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir`` of the session. Only a local session that
-    has none gets a temporary one; a cluster without the setting is an error.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="strandlake-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 class Workspace:
     """A folder of its own below the shared folder, for tables that cut lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, fresh_path(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -127,7 +110,7 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in a.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], most: int = 1 << 21):
+def chunks(texts: list[bytes], most: int = 1 << 20):
     """Index ranges of neighbouring texts of about ``most`` bytes together."""
     first, held = 0, 0
     for i, t in enumerate(texts):
