@@ -9,19 +9,23 @@ for each query and one exchange by query merges them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.quant import e4m3_numpy
+from ..shared import fresh_path
 
 #: Bytes of one block of queries, and rows of one product's tile.
 BLOCK_BYTES, TILE = 32 << 20, 2048
+#: Blocks whose scans one plan holds.
+PENDING = 16
 SCHEMA = "query_id long, col_id long, score double"
 
 
@@ -63,13 +67,20 @@ def _similarity(queries: np.ndarray, rows: np.ndarray, kind: str) -> np.ndarray:
 
 
 def _each_block(queries: DataFrame, index: DataFrame, work, block_bytes: int) -> DataFrame:
-    spark = index.sparkSession
-    rows = index.filter("vec is not null").select("col_id", "vec")
-    out = None
+    return _scanned(index.filter("vec is not null").select("col_id", "vec"), queries, work, block_bytes)
+
+
+def _scanned(rows: DataFrame, queries: DataFrame, work, block_bytes: int) -> DataFrame:
+    """The union of all blocks' scans of ``rows``. Of many blocks, the results so far are written, so the plan stays short."""
+    spark = rows.sparkSession
+    parts: list[DataFrame] = []
     for block in blocks(queries, block_bytes):
-        part = rows.mapInArrow(work(spark.sparkContext.broadcast(block)), SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+        if len(parts) == PENDING:
+            path = fresh_path(spark, "search")
+            reduce(DataFrame.unionByName, parts).write.parquet(path)
+            parts = [spark.read.schema(SCHEMA).parquet(path)]
+        parts.append(rows.mapInArrow(work(spark.sparkContext.broadcast(block)), SCHEMA))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int = 20, kind: str = "real", precision: str = "f64", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -139,12 +150,7 @@ def above_cuts(queries: DataFrame, index: DataFrame, cuts: DataFrame | float, ki
 
         return run
 
-    spark = index.sparkSession
-    out = None
-    for block in blocks(queries, block_bytes):
-        part = rows.mapInArrow(work(spark.sparkContext.broadcast(block)), SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+    return _scanned(rows, queries, work, block_bytes)
 
 
 def similarity_histogram(queries: DataFrame, index: DataFrame, kind: str = "real", block_bytes: int = BLOCK_BYTES) -> DataFrame:
