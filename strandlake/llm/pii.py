@@ -30,13 +30,13 @@ PLAIN = {
 }
 #: The looser formats.
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?: ?[(\[{]at[)\]}] ?| at )[a-z0-9-]++(?:(?:\.| ?[(\[{]dot[)\]}] ?| dot )[a-z0-9-]++)++",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?: ?[(\[{]at[)\]}] ?[a-z0-9-]++(?:(?:\.| ?[(\[{]dot[)\]}] ?| dot )[a-z0-9-]++)++| at [a-z0-9-]++(?: dot [a-z0-9-]++)++)",
     "ip": r"(?i)(?<![0-9.])[0-9]{1,3}(?: ?(?:[(\[{]\.[)\]}]|[(\[{]dot[)\]}]) ?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?: ?[./_] ?[0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 #: What a text must hold before a format is tried: cheap, and implied by the format.
-HINT = {("email", False): "@", ("phone", False): r"\+[0-9]", ("ip", False): r"[0-9]\.[0-9]", ("card", False): r"[0-9](?:[ -]?[0-9]){7}", ("email", True): r"(?i)[(\[{]at[)\]}]| at [a-z0-9-]+(?:\.| dot | ?[(\[{]dot)", ("ip", True): r"(?i)[0-9] ?[(\[{](?:\.|dot)[)\]}]", ("card", True): r"[0-9]{4} ?[./_] ?[0-9]{4}", ("phone", True): r"[0-9]{3}[ .-][0-9]{4}"}
+HINT = {("email", False): "@", ("phone", False): r"\+[0-9]", ("ip", False): r"[0-9]\.[0-9]", ("card", False): r"[0-9](?:[ -]?[0-9]){7}", ("email", True): r"(?i)[(\[{]at[)\]}]| at [a-z0-9-]+ dot ", ("ip", True): r"(?i)[0-9] ?[(\[{](?:\.|dot)[)\]}]", ("card", True): r"[0-9]{4} ?[./_] ?[0-9]{4}", ("phone", True): r"[0-9]{3}[ .-][0-9]{4}"}
 #: Words that speak of personal data (fixed values).
 CUES = r"(?i)(mail|contact|phone|call|tel|fax|mobile|card|visa|pay|address|host|server|\bip\b)"
 #: Distinct feature rows that training may bring to the driver at most by construction; rounds, shrinkage, precision of the threshold.
