@@ -16,39 +16,41 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 
-_NUMBERED = "file string, at long, head string, seq string"
-
-
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """head (verbatim, with ``>``) and seq (line ends out), and the file and place in it."""
+    """head (verbatim, with ``>``) and seq (line ends out), the file and place, and whether the row opens a record."""
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     # Records that a bare return ends share a row with the next one.
     marked = F.regexp_replace("value", "\r>", "\u0001>")
     parts = F.split(marked, "\u0001")
     each = rows.select("file", "block", "at", F.posexplode(parts).alias("part", "text"))
-    head_open = F.col("text").startswith(">") | (F.col("part") > 0)
-    first = (F.col("block") == 0) & (F.col("at").bitwiseAND((1 << 33) - 1) == 0) & (F.col("part") == 0)
-    kept = each.filter(~first | head_open)
+    opens = F.col("text").startswith(">") | (F.col("part") > 0)
     text = F.regexp_replace("text", "^>", "")
     head = F.regexp_extract(text, "^([^\n\r]*)", 1)
     seq = F.regexp_replace(F.substring(text, F.length(head) + 1, F.length(text)), "[\n\r]", "")
-    return kept.select("file", (F.col("at") * 4096 + F.col("part")).alias("at"), F.concat(F.lit(">"), head).alias("head"), seq.alias("seq"))
+    return each.select("file", "block", (F.col("at") * 4096 + F.col("part")).alias("at"), opens.alias("opens"), F.concat(F.lit(">"), head).alias("head"), seq.alias("seq"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """rec_id, head, name, seq, nchar of every record, in file order; rec_id from 0 without gaps in a file.
+    """rec_id, head, name, seq, nchar of every record, in file order; rec_id from 0 without gaps.
 
-    Numbers come from the order of rows in partitions: the count of records of
-    each partition is added up, one number for each.
+    Numbers come from the order of rows in partitions: one row of counts for
+    each partition and file reaches the driver. The first row of a file that
+    does not open a record is what stands before the first one, and goes.
     """
     rows = _records(spark, path).withColumn("pid", F.shiftright("at", 45))
-    counts = sorted((r["pid"], r["n"]) for r in rows.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = rows.groupBy("pid", "file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "opens", "block")).alias("first")).orderBy("pid").collect()
+    junk = [r["first"]["at"] for r in counts if r["first"]["block"] == 0 and not r["first"]["opens"]]
+    sizes: dict[int, int] = {}
+    for r in counts:
+        sizes[r["pid"]] = sizes.get(r["pid"], 0) + r["n"] - (r["first"]["at"] in junk)
     before, total = {}, 0
-    for pid, n in counts:
+    for pid, n in sorted(sizes.items()):
         before[pid] = total
         total += n
     from pyspark.sql import Window as W
 
+    if junk:
+        rows = rows.filter(~F.col("at").isin(junk))
     base = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else None
     number = F.row_number().over(W.partitionBy("pid").orderBy("at")) - 1
     rec = (number + base[F.col("pid")] if base is not None else number).cast("long")

@@ -25,6 +25,13 @@ def test_fasta_records(spark, tmp_path, split):
     assert [(r.rec_id, r.head, r.name, r.seq, r.nchar) for r in rows] == [(0, ">chrA first", "chrA", "ACGTac>gt", 9), (1, ">chrB", "chrB", "NNNNACG", 7), (2, ">empty", "empty", "", 0), (3, ">chrC x y", "chrC", "RYK", 3)]
 
 
+def test_fasta_of_several_files(spark, tmp_path):
+    for i, text in enumerate((">a\nAC\n", "junk\n>b\nGG\n>c\nT", "only junk", "")):
+        (tmp_path / f"{i}.fasta").write_text(text)
+    rows = fasta.read_fasta(spark, str(tmp_path / "*.fasta")).orderBy("rec_id").collect()
+    assert sorted((r.name, r.seq) for r in rows) == [("a", "AC"), ("b", "GG"), ("c", "T")] and [r.rec_id for r in rows] == [0, 1, 2]
+
+
 def test_reads_options(spark):
     recs = spark.createDataFrame([(0, ">a", "ACNTxA"), (1, ">b", "AC")], "rec_id long, head string, seq string")
     get = lambda **o: [r.frag for r in fasta.reads(recs, 4, **o).collect()]
