@@ -104,14 +104,14 @@ class Store:
         return max(0, math.ceil(math.log(max(1, shard.size) / self.smallest, self.fan_in)))
 
     def due(self, shards: list[Shard]) -> list[Shard] | None:
-        """The runs that the next merge takes: the lowest tier with enough of them."""
+        """The runs that the next merge takes: ``fan_in`` of the lowest tier with enough of them, smallest first."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
             tiers.setdefault(self.tier(s), []).append(s)
         tiers.pop(-1, None)
         for _, runs in sorted(tiers.items()):
             if len(runs) >= self.fan_in:
-                return sorted(runs, key=lambda s: (s.size, s.name))
+                return sorted(runs, key=lambda s: (s.size, s.name))[: self.fan_in]
         return None
 
     def compact(self, schema) -> int:
