@@ -323,7 +323,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     heads = _held(copies.select("key", "head"), n_copies, "key")
     one = long_.join(heads, "key", "left_anti").unionByName(long_.join(heads, "key").filter(F.col("doc_id").eqNullSafe(F.col("head"))).drop("head")) if n_copies else long_
     marks = space.save(one.mapInArrow(_anchors(length), "key binary, place long, anchor long"), "marks")
-    several = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
+    # Written, so that the join below shuffles it by itself and may split the marks of a crowded anchor.
+    several = space.save(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot")), "several")
     marks = marks.join(several, "anchor")
     wanted = space.save(marks.groupBy("key").agg(F.collect_list(F.struct("place", "anchor")).alias("marks"), F.max("hot").alias("hot")), "wanted")
     n_wanted = row_count(wanted)
