@@ -1,13 +1,14 @@
 """Personal data spans by candidate gradient boosting, in DataFrame functions.
 
 Generators with high recall propose spans of four kinds: the plain formats and
-looser ones (spelt-out addresses, numbers with other separators). Boosted
-trees score each candidate from its format and context. They learn from the
-plain candidates, where the format's own check (parts of an address, check
-digits, number of digits) gives the label; a loose candidate is scored in its
-normalised form. The score is calibrated on a fold kept aside, and a threshold
-of calibrated precision selects what is redacted. Plain matches that pass their
-check are always selected.
+looser ones (spelt-out addresses, numbers with other separators). The format's
+own check (parts of an address, check digits, number of digits) rules out what
+can't be personal data; boosted trees decide on the rest from the kind and the
+context. They learn from plain candidates that pass their check, against those
+that fail it and near misses (versions, dates, part numbers, handles). The check
+is the label, so neither it nor what it reads is a feature. The score is
+calibrated on a fold kept aside, and a threshold of calibrated precision selects
+what is redacted. Plain matches that pass their check are always selected.
 """
 
 from __future__ import annotations
@@ -35,22 +36,34 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}(?: ?[./_] ?[0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
+#: Near misses of the formats, which are negatives of the training: handles and hosts without a dot, three dotted
+#: numbers, two or three groups of four digits, other groups of digits.
+NEAR = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?!\.[A-Za-z0-9-])",
+    "ip": r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2}+(?!\.?[0-9])",
+    "card": r"(?<![0-9])(?<![0-9][ ./_-])[0-9]{4}(?:[ ./_-][0-9]{4}){1,2}+(?![ ./_-]?[0-9])",
+    "phone": r"(?<![0-9+().-])(?<![0-9)][ .-])(?![0-9]{3}[ -][0-9]{3}[ -][0-9]{4}(?![0-9]))(?![0-9]{4}(?:[ -][0-9]{4})++(?![0-9]))[0-9]{1,5}(?:[ -][0-9]{1,6}){1,4}+(?![ .-]?[0-9])",
+}
 #: What a text must hold before a format is tried: cheap, and implied by the format.
-HINT = {("email", False): "@", ("phone", False): r"\+[0-9]", ("ip", False): r"[0-9]\.[0-9]", ("card", False): r"[0-9](?:[ -]?[0-9]){7}", ("email", True): r"(?i)[(\[{]at[)\]}]| at [a-z0-9-]+ dot ", ("ip", True): r"(?i)[0-9] ?[(\[{](?:\.|dot)[)\]}]", ("card", True): r"[0-9]{4} ?[./_] ?[0-9]{4}", ("phone", True): r"[0-9]{3}[ .-][0-9]{4}"}
+HINT = {("email", None): "@", ("ip", None): r"[0-9]\.[0-9]++\.[0-9]", ("card", None): r"[0-9]{4}[ ./_-][0-9]{4}", ("phone", None): "[0-9][ -][0-9]", ("email", False): "@", ("phone", False): r"\+[0-9]", ("ip", False): r"[0-9]\.[0-9]", ("card", False): r"[0-9](?:[ -]?[0-9]){7}", ("email", True): r"(?i)[(\[{]at[)\]}]| at [a-z0-9-]+ dot ", ("ip", True): r"(?i)[0-9] ?[(\[{](?:\.|dot)[)\]}]", ("card", True): r"[0-9]{4} ?[./_] ?[0-9]{4}", ("phone", True): r"[0-9]{3}[ .-][0-9]{4}"}
 #: Words that speak of personal data (fixed values).
 CUES = r"(?i)(mail|contact|phone|call|tel|fax|mobile|card|visa|pay|address|host|server|\bip\b)"
+#: Words that speak of other numbers (fixed values).
+OTHER = r"(?i)(order|invoice|version|release|isbn|issn|part|serial|ticket|\bcase|item|page|\bref|sku|model|section|figure|table|\bno\b|\bid\b)"
+#: Numbers that are no card and fail the check digit, for each one that passes it by chance.
+CHANCE = 9
 #: Distinct feature rows that training may bring to the driver at most by construction; rounds, shrinkage, precision of the threshold.
-FEATURES, LEVELS = ("kind", "digits", "groups", "size", "before", "after", "cue", "valid"), (4, 8, 8, 6, 4, 4, 2, 2)
+FEATURES, LEVELS = ("kind", "before", "after", "lead", "words", "figures", "cue", "other"), (4, 4, 4, 4, 4, 4, 2, 2)
 ROUNDS, RATE, PRECISION = 24, 0.4, 0.9
 
 
-def _found(text: Column, kind: str, loose: bool) -> Column:
-    """Candidates of one format: array of structs with start and end in code points.
+def _found(text: Column, kind: str, loose: bool | None) -> Column:
+    """Candidates of one format (None: its near misses): array of structs with start and end in code points.
 
     The text is split at the matches; the lengths of the parts and of the
     matches between them give the places.
     """
-    pattern = (LOOSE if loose else PLAIN)[kind]
+    pattern = (NEAR if loose is None else LOOSE if loose else PLAIN)[kind]
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     empty = "cast(array() as array<struct<start:int,end:int>>)"
@@ -66,7 +79,7 @@ def _found(text: Column, kind: str, loose: bool) -> Column:
             x["start"].alias("start"),
             F.lit(KINDS.index(kind)).alias("kind"),
             x["end"].alias("end"),
-            F.lit(loose).alias("loose"),
+            F.lit(bool(loose)).alias("loose"),
             F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("hit"),
             F.when(x["start"] > 0, F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))).otherwise("").alias("left"),
             F.substring(text, x["end"] + 1, F.lit(1)).alias("right"),
@@ -81,6 +94,12 @@ def candidates(text: Column) -> Column:
     return F.concat(*(_found(text, k, loose) for loose in (False, True) for k in KINDS))
 
 
+def near_misses(text: Column) -> Column:
+    """What has the look of a kind but can't be of it, as candidates."""
+    text = F.coalesce(text, F.lit(""))
+    return F.concat(*(_found(text, k, None) for k in KINDS))
+
+
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
@@ -119,18 +138,16 @@ def _side(ch: Column) -> Column:
 
 
 def features(c: Column) -> Column:
-    """Format and context of a candidate as small whole numbers, in the order of FEATURES."""
-    plain, digits = normal(c), _digits(c["hit"])
-    parts = F.size(F.split(plain, r"[^0-9A-Za-z]+"))
+    """Kind and context of a candidate as small whole numbers, in the order of FEATURES."""
     values = [
         c["kind"],
-        F.least(F.floor(F.length(digits) / 3), F.lit(7)),
-        F.least(parts, F.lit(7)),
-        F.least(F.floor(F.length(plain) / 6), F.lit(5)),
         _side(F.right(c["left"], F.lit(1))),
         _side(c["right"]),
+        _side(F.right(F.rtrim(c["left"]), F.lit(1))),
+        F.least(F.regexp_count(c["left"], F.lit(r"\p{L}+")), F.lit(3)),
+        F.least(F.floor((F.length(_digits(c["left"])) + 1) / 2), F.lit(3)),
         c["left"].rlike(CUES).cast("int"),
-        valid(c).cast("int"),
+        c["left"].rlike(OTHER).cast("int"),
     ]
     return F.array(*(v.cast("int") for v in values))
 
@@ -179,12 +196,19 @@ class Boosted:
             self.slope, self.shift = self.slope - da / most, self.shift - db / most
             if max(abs(da), abs(db)) < 1e-9:
                 break
-        kept = [0.0, 0.0]
-        self.threshold = 0.5
-        for s, p, n in sorted(points, reverse=True):
+        # The least score down to which the precision holds; 0.5 if no row lies between, and none at all if it never holds.
+        by: dict[float, list[float]] = {}
+        for s, p, n in points:
+            held = by.setdefault(_sigmoid(self.slope * s + self.shift), [0.0, 0.0])
+            held[0], held[1] = held[0] + p, held[1] + n
+        kept, least, next_ = [0.0, 0.0], math.inf, -math.inf
+        for q, (p, n) in sorted(by.items(), reverse=True):
             kept = [kept[0] + p, kept[1] + n]
             if kept[0] >= precision * (kept[0] + kept[1]):
-                self.threshold = min(self.threshold, max(0.05, _sigmoid(self.slope * s + self.shift)))
+                least, next_ = q, -math.inf
+            else:
+                next_ = max(next_, q)
+        self.threshold = max(0.05, min(least, 0.5) if next_ < 0.5 and (least < math.inf or not by) else least)
         return self
 
     def raw(self, x: list[int]) -> float:
@@ -239,17 +263,27 @@ def _grow(xs: list[list[int]], slopes: list[tuple[float, float]], rate: float) -
 
 
 def train(docs: DataFrame) -> Boosted:
-    """Fits on the plain candidates of all documents.
+    """Fits on the plain candidates and the near misses of all documents.
+
+    Positive are plain candidates that pass their check. Of the numbers that
+    fail the check digit one in CHANCE is a negative: so many pass it by
+    chance. Near misses that a cue word introduces are left out, as they may be
+    personal data in a notation that no format knows.
 
     They are counted by feature row first, so what reaches the driver is bounded
     by the product of LEVELS and in practice is some hundred rows.
     """
-    found = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"), F.explode(candidates(F.col("text"))).alias("c")).filter(~F.col("c.loose"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")
+    tagged = lambda found, near: F.transform(found, lambda c: F.struct(c.alias("c"), F.lit(near).alias("near")))
+    plain = F.concat(*(_found(F.coalesce("text", F.lit("")), k, False) for k in KINDS))
+    found = docs.select(fold, F.explode(F.concat(tagged(plain, False), tagged(near_misses(F.col("text")), True))).alias("f")).select("fold", "f.c", "f.near")
     c = F.col("c")
-    rows = found.select((F.col("fold") == 0).alias("aside"), features(c).alias("x"), valid(c).alias("y"))
-    rows = rows.groupBy("x", "aside").agg(F.sum(F.col("y").cast("int")).alias("p"), F.sum((~F.col("y")).cast("int")).alias("n")).orderBy("x", "aside").collect()
-    # Overlapping formats of one kind may confirm each other; the label itself is one feature among eight.
-    return Boosted.fit([(list(r["x"]), bool(r["aside"]), float(r["p"]), float(r["n"])) for r in rows])
+    rows = found.select((F.col("fold") == 0).alias("aside"), features(c).alias("x"), (~F.col("near") & valid(c)).alias("y"), (~F.col("near") & (c["kind"] == 2)).alias("drawn"), "near")
+    rows = rows.filter(~F.col("near") | (F.col("x")[FEATURES.index("cue")] == 0))
+    count = lambda of: F.sum(of.cast("int"))
+    y, drawn = F.col("y"), F.col("drawn")
+    rows = rows.groupBy("x", "aside").agg(count(y).alias("p"), count(~y & ~drawn).alias("n"), count(~y & drawn).alias("chance")).orderBy("x", "aside").collect()
+    return Boosted.fit([(list(r["x"]), bool(r["aside"]), float(r["p"]), r["n"] + r["chance"] / CHANCE) for r in rows])
 
 
 def spans(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
@@ -269,9 +303,9 @@ def spans(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
 
 
 def _scored(model: Boosted, c: Column) -> Column:
-    """Whether a candidate's calibrated score reaches the threshold; features are computed once."""
+    """Whether a candidate passes its check and its calibrated score reaches the threshold; features are computed once."""
     picked = F.transform(F.array(features(c)), lambda x: model.column(x) >= F.lit(model.threshold))
-    return picked[0]
+    return valid(c) & picked[0]
 
 
 def listed(found: Column) -> Column:

@@ -253,6 +253,20 @@ def test_personal_data_loose_forms(spark):
     assert clean[1] == "text 1 mail [EMAIL] and [PHONE] or [IP] here" and clean[901] == rows[-1][1]
 
 
+def test_personal_data_context_decides(spark):
+    rows = [(i, f"please call +1 ({200 + i}) 555-0{100 + i} today") for i in range(80)] + [(100 + i, f"your order 48-{2000 + i}-{30 + i} shipped") for i in range(80)]
+    rows += [(900, "please call 212-555-0100 today"), (901, "your order 212-555-0100 shipped"), (902, "please call 4539/1488/0343/6468 today")]
+    got = {x.doc_id: x for x in pii.find(frame(spark, rows)).collect()}
+    assert got[900].spans == "phone:12:24" and got[901].spans == "" and got[902].spans == ""
+    assert all(got[i].n_phone == 1 and got[i].n_added == 0 for i in range(80))
+
+
+def test_threshold_keeps_its_precision():
+    x = [0] * len(pii.LEVELS)
+    even, pure = pii.Boosted.fit([(x, aside, 6.0, 4.0) for aside in (True, False)]), pii.Boosted.fit([(x, aside, 6.0, 0.0) for aside in (True, False)])
+    assert even.probability(x) < even.threshold and pure.probability(x) >= pure.threshold
+
+
 def test_luhn(spark):
     rows = spark.createDataFrame([("4539148803436467",), ("4539148803436468",), ("0",)], "d string")
     assert [x[0] for x in rows.select(pii.luhn(F.col("d"))).collect()] == [True, False, True]
