@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from strandlake.llm import mixing, pii, quality, queries, sharding, topk, toxicity, warc
 from strandlake.llm.common import Workspace
-from strandlake.llm.logistic import auc
+from strandlake.llm.logistic import Logistic, auc
 
 # --- WARC ------------------------------------------------------------------
 
@@ -272,6 +272,30 @@ def test_quality_co_training(spark):
     assert {x.score for x in quality.classify(docs, labels.limit(0)).collect()} == {1.0}
 
 
+def test_quality_pseudo_labels_come_from_all_documents(spark, tmp_path):
+    """The surest of 6,000 unlabelled documents, each features once: no document is beyond a pool."""
+    n = 6000
+    models = [Logistic().fit(np.array([[-1.0], [1.0]] * 20), np.array([0.0, 1.0] * 20)) for _ in range(2)]
+    models[1].mean, models[1].scale, models[1].w = np.zeros(67), np.ones(67), np.zeros(68)
+    rows = [(i, "s", "en", 10.0, f"k{i % (n - 50):05d}", [float(i % (n - 50)) / n]) for i in range(n)]
+    free = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars double, key string, t array<double>").repartition(7).drop("doc_id")
+    choose = quality.surest(free, Workspace(spark, "test"), 0.5)
+    first = choose(models, [5, 40], set())
+    wanted = lambda ks: {f"k{k:05d}" for k in ks}
+    assert {p[2] for p in first if p[:2] == (0, 1)} == wanted(range(n - 90, n - 50)) and len([p for p in first if p[:2] == (0, 1)]) == 40
+    second = choose(models, [5, 40], {p[2] for p in first})
+    assert {p[2] for p in second if p[:2] == (0, 1)} == wanted(range(n - 130, n - 90))
+
+
+def test_quality_scores_every_unlabelled_document(spark, monkeypatch):
+    rows = quality_corpus(300)
+    docs = spark.createDataFrame([(i, f"{r[1]} {i}", *r[2:5]) for i, r in enumerate(rows * 16)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, r[5], 0) for i, r in enumerate(rows[:200])], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "surest", lambda free, space: seen.append(free.count()) or (lambda models, most, taken: []))
+    assert quality.fit(docs, labels) is not None and seen == [300 * 16 - 200]
+
+
 def test_boosted_trees_learn_and_calibrate():
     r = random.Random(1)
     rows = []
