@@ -331,5 +331,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    words = [f"v{i}" for i in range(104)]  # 100 shingles of five words
+    # One changed word changes five shingles: two of them leave 90 of 110 (0.818), three 85 of 115 (0.739).
+    changed = lambda *at: " ".join("new" + w if i in at else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, changed(20, 60)), (3, changed(10, 40, 70))], "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.distinct(spark, docs, "").collect()} == {1, 3}
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
