@@ -4,7 +4,9 @@ Each block of documents gets a word-level suffix array. It holds the suffixes
 that can match at all: those that begin with the first two words of some
 benchmark suffix. Suffixes are ordered by their first ``window`` words through
 prefix doubling; then every benchmark suffix is binary-searched in it, which
-gives its longest verbatim match and all places of the matching windows.
+gives all places of the matching windows. A document's longest verbatim match
+is found from its own side: places are followed through the benchmark's grams
+of 1, 2, ... words, and windows that match one after the other are one match.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ class Probes:
         hashes, offsets = words_of([t for _, t in items], NONALNUM)
         self.vocabulary = np.unique(hashes)
         numbers = np.searchsorted(self.vocabulary, hashes).astype(np.int64) + 1
-        self.items, rows, self.length = [], [], []
+        self.items, rows, self.length, follows = [], [], [], []
         for i, (name, _) in enumerate(items):
             words = numbers[offsets[i] : offsets[i + 1]]
             n = min(window, len(words))
@@ -45,11 +47,26 @@ class Probes:
                 rows.append(row)
                 self.length.append(n)
                 self.items.append(name)
+                follows.append(start > 0)
         self.rows = np.array(rows, np.int64).reshape(-1, window)
         self.length = np.array(self.length, np.int64)
         full = self.rows[self.length > 1]
         self.pairs = np.unique(full[:, 0] * (len(self.vocabulary) + 1) + full[:, 1])
         self.single = np.unique(self.rows[self.length == 1, 0])
+        #: Whether a probe begins one word after the probe before it, in the same item.
+        self.follows = np.array(follows, bool)
+        # Sorted keys of the items' grams of 2, 3, ... words, from (the number of the gram without its last word, that word).
+        base = len(self.vocabulary) + 1
+        padded = np.zeros(len(numbers) + len(items) * window, np.int64)
+        padded[np.arange(len(numbers)) + np.repeat(np.arange(len(items)), np.diff(offsets)) * window] = numbers
+        at, gram = np.flatnonzero(padded), padded[padded > 0]
+        self.grams = []
+        for k in range(1, window):
+            next_ = padded[np.minimum(at + k, len(padded) - 1)]
+            next_[at + k >= len(padded)] = 0
+            at, key = at[next_ > 0], (gram * base + next_)[next_ > 0]
+            grams, gram = np.unique(key, return_inverse=True)
+            self.grams.append(grams)
 
 
 def suffix_array(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -87,18 +104,30 @@ def _bound(words: np.ndarray, order: np.ndarray, probes: np.ndarray, length: np.
     return low
 
 
-def longest(words: np.ndarray, order: np.ndarray, probes: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of the longest match of every probe, and one place of it (-1: none)."""
-    if not len(order):
-        return np.zeros(len(probes), np.int64), np.full(len(probes), -1)
-    at = _bound(words, order, probes, length, False)
-    best, where, column = np.zeros(len(probes), np.int64), np.full(len(probes), -1), np.arange(probes.shape[1])
-    for near in (at - 1, at):
-        place = order[np.clip(near, 0, len(order) - 1)]
-        same = (words[place[:, None] + column] == probes) & (column < length[:, None])
-        n = np.cumprod(same, axis=1).sum(1)
-        where, best = np.where(n > best, place, where), np.maximum(n, best)
-    return best, where
+def longest(words: np.ndarray, begin: np.ndarray, probes: Probes) -> np.ndarray:
+    """Words of the longest match of every document, up to the window. ``words`` ends with a window of zeros."""
+    base, most = len(probes.vocabulary) + 1, np.zeros(len(begin), np.int64)
+    at = np.flatnonzero(words)
+    gram = words[at]
+    for k in range(1, probes.window + 1):
+        most[np.searchsorted(begin, at, "right") - 1] = k
+        if k == probes.window or not len(at) or not len(probes.grams[k - 1]):
+            break
+        key, grams = gram * base + words[at + k], probes.grams[k - 1]
+        gram = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
+        same = (grams[gram] == key) & (words[at + k] > 0)
+        at, gram = at[same], gram[same]
+    return most
+
+
+def runs(found: list[tuple[int, int]], probes: Probes) -> Iterator[tuple[int, int]]:
+    """(first place, words) of the matches that (probe, place) pairs make up: whole windows one word apart are one match."""
+    held: dict[tuple[int, int], int] = {}
+    for p, s in sorted(found):
+        before = held.pop((p - 1, s - 1), None) if probes.follows[p] else None
+        held[p, s] = s if before is None else before
+    for (p, s), first in held.items():
+        yield first, s - first + int(probes.length[p])
 
 
 def scan(texts: list[bytes], probes: Probes) -> Iterator[tuple[int, list[tuple[int, int]], list[str], int]]:
@@ -123,19 +152,20 @@ def scan(texts: list[bytes], probes: Probes) -> Iterator[tuple[int, list[tuple[i
         begin = offsets[:-1] + np.arange(b - a) * w
         spans: list[list] = [[] for _ in range(b - a)]
         items: list[set] = [set() for _ in range(b - a)]
-        most = np.zeros(b - a, np.int64)
+        most = longest(words, begin, probes)
         if len(order) and len(probes.rows):
             low = _bound(words, order, probes.rows, probes.length, False)
             high = _bound(words, order, probes.rows, probes.length, True)
+            found = [(int(p), int(s)) for p in np.flatnonzero(high > low) for s in order[low[p] : high[p]]]
+            for first, n in runs(found, probes):
+                d = int(np.searchsorted(begin, first, "right")) - 1
+                most[d] = max(most[d], n)
             for p in np.flatnonzero(high > low):
                 for s in order[low[p] : high[p]]:
                     d = int(np.searchsorted(begin, s, "right")) - 1
                     n = int(probes.length[p])
                     spans[d].append((int(s - begin[d]), int(s - begin[d]) + n))
                     items[d].add(probes.items[p])
-            best, where = longest(words, order, probes.rows, probes.length)
-            owner = np.searchsorted(begin, where[best > 0], "right") - 1
-            np.maximum.at(most, owner, best[best > 0])
         for d in range(b - a):
             yield int(offsets[d + 1] - offsets[d]), merged(spans[d]), sorted(items[d]), int(most[d])
 

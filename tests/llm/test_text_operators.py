@@ -196,6 +196,29 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.report(frame(spark, []), bench).count() == 0
 
 
+def longest_match(text, items):
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    doc, best = words(text), 0
+    for item in map(words, items):
+        row = [0] * (len(item) + 1)
+        for w in doc:
+            row = [0] + [row[j] + 1 if w == x else 0 for j, x in enumerate(item)]
+            best = max(best, *row)
+    return best
+
+
+@pytest.mark.parametrize("block_bytes", [100, 8 << 20])
+def test_longest_match_against_brute_force(spark, block_bytes):
+    leak, other = prose(31, 40), prose(32, 25)
+    words = leak.split()
+    items = [leak, other, "lone", "three words here", leak + " " + prose(33, 5), ""]
+    texts = [f"{prose(k, 30)} {' '.join(words[a:e])} {prose(k + 50, 30)}" for k, (a, e) in enumerate([(0, 40), (0, 40), (3, 33), (5, 15), (33, 40), (35, 38), (0, 9)], 60)]
+    texts += [texts[0], leak, leak + " zz " + leak, "a lone word", "three words here", "no match", "", None, " ".join(words[-4:])] + [prose(k, 60) for k in range(80, 95)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {x.doc_id: x.longest_match for x in decontam.report(frame(spark, list(enumerate(texts))).coalesce(1), bench, block_bytes=block_bytes).collect()}
+    assert got == {i: longest_match(t, items) for i, t in enumerate(texts)} and max(got.values()) >= 40
+
+
 # --- personal data ---------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
