@@ -82,12 +82,12 @@ def posteriors(docs: DataFrame, likelihood: list[list[int]], prior: list[float],
     return shifted.select("key", "copies", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), F.transform("_e", lambda x: F.round(x / whole, 9)).alias("posterior"))
 
 
-def rate(p: Column, path: list[list[float]]) -> Column:
-    """The rate after the gradient steps of ``path``: from 1, minus each step's inner product, never below 0."""
+def rate(p: Column, path: list[list[float]], least: float = 0.0) -> Column:
+    """The rate after the gradient steps of ``path``: from 1, minus each step's inner product, never below ``least``."""
     if not path:
         return F.lit(1.0)
     steps = F.from_json(F.lit(json.dumps(path)), "array<array<double>>")
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(least), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
 
 
 def targets(totals: list[float], weights: list[float] | None) -> list[float]:
@@ -110,6 +110,8 @@ class Mixture:
     likelihood: list[list[int]]
     prior: list[float]
     path: list[list[float]] = field(default_factory=list)
+    #: Rates are this at least: 1 with the default targets, which leave no domain below what it has, else 0.
+    least: float = 0.0
     goal: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
     #: key, copies, n_tokens, posterior of each distinct text.
@@ -118,7 +120,7 @@ class Mixture:
     @staticmethod
     def fit(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mixture:
         domains, likelihood, prior = fit(docs, labelled)
-        self = Mixture(domains, likelihood, prior)
+        self = Mixture(domains, likelihood, prior, least=1.0 if weights is None else 0.0)
         space = Workspace(docs.sparkSession, "mixing")
         self.table = held = space.save(posteriors(docs, likelihood, prior), "posteriors")
         if not domains:
@@ -137,16 +139,23 @@ class Mixture:
             if max(map(abs, step), default=0.0) <= tolerance:
                 break
             self.path.append([round(x, 12) for x in step])
-            self.reached = expected(rate(F.col("posterior"), self.path))
+            before, self.reached = self.reached, expected(self.rates())
+            # Documents at the least rate may hold a domain above its target: the steps end when nothing moves.
+            if self.least and max(abs(n - b) / max(t, 1.0) for n, b, t in zip(self.reached, before, have)) <= tolerance / 10:
+                break
         return self
 
+    def rates(self) -> Column:
+        """The rate of each row of ``table``."""
+        return rate(F.col("posterior"), self.path, self.least)
+
 
 def mix_rates(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, n_tokens, domain, posterior, rate for every row of ``docs`` (doc_id, text).
 
     ``labelled`` has (doc_id, domain); texts come from ``docs``. ``weights``
     gives each domain's target share (0 if absent); by default shares are the
-    present ones to the power TEMPERATURE. Null and empty texts have no tokens
+    present ones to the power TEMPERATURE, and no rate is below 1. Null and empty texts have no tokens
     and the prior as posterior. Null ids and repeated rows are rows like
     others; equal texts have equal rates. Without labelled documents every rate
     is 1, domain null and posterior empty; an empty table gives an empty
@@ -160,7 +169,7 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float]
     names = F.from_json(F.lit(json.dumps(mixture.domains)), "array<string>")
     top = F.when(F.size("posterior") > 0, F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
     rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key")).join(mixture.table, "key")
-    return rows.select("doc_id", "n_tokens", top.alias("domain"), "posterior", F.round(rate(F.col("posterior"), mixture.path), 6).alias("rate"))
+    return rows.select("doc_id", "n_tokens", top.alias("domain"), "posterior", F.round(mixture.rates(), 6).alias("rate"))
 
 
 def copies(rate_: Column, *key: Column) -> Column:
@@ -179,7 +188,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | Non
     mixture = Mixture.fit(docs, labelled, weights, steps)
     if not mixture.domains:
         return docs
-    rates = mixture.table.select(F.col("key").alias("_key"), F.round(rate(F.col("posterior"), mixture.path), 6).alias("_rate"))
+    rates = mixture.table.select(F.col("key").alias("_key"), F.round(mixture.rates(), 6).alias("_rate"))
     if row_count(mixture.table) <= BROADCAST_RATES:
         rates = F.broadcast(rates)
     joined = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).join(rates, "_key")

@@ -169,6 +169,18 @@ def test_mixing_meets_targets(spark):
     assert all(abs(counts[d] / whole - w) < 0.05 for d, w in weights.items())
 
 
+def test_mixing_drops_nothing_by_default(spark, monkeypatch):
+    """Ambiguous documents that gain must not push the pure ones of the largest domain below 1."""
+    given = [("a", 900, 100, [1.0, 0.0]), ("b", 50, 100, [0.5, 0.5]), ("c", 50, 100, [0.0, 1.0])]
+    monkeypatch.setattr(mixing, "posteriors", lambda docs, *rest: spark.createDataFrame(given, "key string, copies long, n_tokens long, posterior array<double>"))
+    docs = spark.createDataFrame([(1, "x y"), (2, "z w")], "doc_id long, text string")
+    labelled = spark.createDataFrame([(1, "A"), (2, "B")], "doc_id long, domain string")
+    mixture = mixing.Mixture.fit(docs, labelled)
+    rates = {x.key: x.r for x in mixture.table.select("key", mixture.rates().alias("r")).collect()}
+    assert rates["a"] == 1.0 and min(rates.values()) >= 1.0 and rates["c"] > 2
+    assert mixture.reached[1] == pytest.approx(mixture.goal[1], rel=0.05)
+
+
 def test_mixing_edges(spark):
     rows = mixed_corpus(spark, 60) + [(100, None, None), (101, "", "a"), (None, "a1 a2", "a"), (0, "a1", "b"), (102, "b1 " * 50_000, "b")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, domain string, rate string")
