@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import fresh_path
@@ -30,8 +32,22 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        delete(self.spark, f"{self.path}/{name}")
+    def counted(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+        """The saved table and ``measures`` of its rows, taken while it is written."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        return self.save(df.observe(seen, *measures), name), seen.get
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, f"{self.path}/{name}")
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like ``name`` that no table has (names count alike in any case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -46,14 +62,15 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Keeps Arrow batches small, since a row may hold a very long text."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lowers the bytes of an Arrow batch to ``size`` where the session allows more: a row may hold a very long text.
 
+    The setting counts when a plan runs, so it stays; it changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if not 0 < now <= size:
+        spark.conf.set(name, str(size))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

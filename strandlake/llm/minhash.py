@@ -1,35 +1,39 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-Every document is posted under its coordinate values; lists of one value are
-merged by counting how often two documents meet. Three things keep this
-linear where groups are large:
-
-* documents with the same shingle set are one class and are posted once;
-* a pair that shares ``least`` of H coordinates shares one of any H - least + 1
-  of them, so only that prefix is posted;
-* a list is first merged with its smallest member alone (skip merging): each
-  document meets that leader, the best leader is confirmed, and lists whose
-  members then are in one component are skipped. Members of different
-  components in one list go on to an exact prefix join (``crossing``).
-
+Every document is posted under its coordinate values; a pair of documents is
+a candidate if it collides on ``matches`` of the COORDINATES, which a pair at
+the threshold of similarity does but for a probability of MISSED.
+
+* Documents with the same shingle set are one class and are posted once.
+* Documents that share fewer values than that with anybody are done: their
+  posts go no further (prefix).
+* A list is first merged with one member alone, its leader: the member whose
+  values the most others have, which is what a group's members were copied from.
+  Collisions with leaders are counted, the best leader above the match threshold
+  is confirmed on the full sets.
+* Lists whose members then are in one component are skipped. Documents that
+  still collide on enough lists with another component go on to an exact join
+  of their full sets (``crossing``).
+
+Every step is one plan at all sizes: joins carry no hints, so a side is
+broadcast only where its written size is below Spark's own threshold.
 Confirmation is exact, on the 64-bit hashes of the full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Workspace, as_long, bounded_batches, chunks, mix, row_count, texts_of, words_of
-from .components import components
+from .common import SPACE, U64, Workspace, as_long, bounded_batches, chunks, mix, texts_of, unused, words_of
+from .components import components, roots
 
-COORDINATES, ROWS, LEAST = 24, 4, 2
-#: Rows of pairs up to which they are broadcast to the texts (16 bytes a row); beyond it the texts are shuffled.
-BROADCAST_PAIRS = 200_000
-#: Texts of a family whose shingles say what is common in it; any choice gives the same links.
-REFERENCES = 8
+#: Coordinates of a signature, minima mixed in each, probability that a pair at the threshold collides too seldom.
+COORDINATES, ROWS, MISSED = 32, 3, 1e-6
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2**63, COORDINATES * ROWS, np.uint64) * U64(2) + U64(1)
 _ADD = _RNG.integers(0, 2**63, COORDINATES * ROWS, np.uint64)
@@ -72,6 +76,17 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def matches(percent: int, coordinates: int = COORDINATES, rows: int = ROWS, missed: float = MISSED) -> int:
+    """The match threshold: a pair at ``percent`` shares fewer coordinates with a probability of ``missed`` at most."""
+    q, below, least = (percent / 100) ** rows, 0.0, 0
+    while least < coordinates:
+        below += math.comb(coordinates, least) * q**least * (1 - q) ** (coordinates - least)
+        if below > missed:
+            break
+        least += 1
+    return max(1, least)
+
+
 def _sign(width: int):
     def run(batches):
         for batch in batches:
@@ -97,153 +112,173 @@ def _confirm(percent: int, width: int):
             shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
             total = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64)
             keep = (100 * shared >= percent * (total - shared)) & (shared > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("parent"), pa.array(keep)], ["node", "parent", "linked"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, n: int, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b, linked) of pairs of ids, from the full sets of both texts."""
-    held = F.broadcast(pairs) if n <= BROADCAST_PAIRS else pairs
-    left = docs.join(held, F.col("doc_id") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
-    right = docs.join(held, F.col("doc_id") == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
-    return left.join(right, ["a", "b"]).mapInArrow(_confirm(percent, width), "a long, b long, linked boolean")
-
-
-def _common():
-    """The shingles that two or more of a family's reference texts have, sorted, as bytes."""
-
+def _sets(width: int):
     def run(batches):
         for batch in batches:
-            out = []
-            for texts in batch.column("texts").to_pylist():
-                held, n = np.unique(np.concatenate(shingles([t.encode() for t in texts])), return_counts=True)
-                out.append(held[n >= min(2, len(texts))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("family"), pa.array(out, pa.binary())], ["family", "common"])
+            texts = texts_of(batch.column("text"))
+            for a, b in chunks(texts):
+                held = shingles(texts[a:b], width)
+                offsets = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), batch.column("component").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(as_long(np.concatenate(held))))], ["node", "component", "held"])
 
     return run
 
 
-def _facets(percent: int, width: int):
-    """size, shared (shingles that are common in the family), rare: the others that the prefix holds, in order."""
+def met(nodes: DataFrame, least: int, space: Workspace) -> DataFrame:
+    """(node, weight, values): the coordinate values that a node shares with others, of nodes that share ``least`` or more.
 
-    def run(batches):
-        for batch in batches:
-            size, shared, rare = [], [], []
-            for s, common in zip(shingles(texts_of(batch.column("text")), width), batch.column("common").to_pylist()):
-                known = np.isin(s, np.frombuffer(common, U64), assume_unique=True)
-                least = -(-percent * len(s) // 100)
-                size.append(len(s))
-                shared.append(int(known.sum()))
-                rare.append(as_long(s[~known][: len(s) - least + 1]).tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "component", "family")), pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["node", "component", "family", "size", "shared", "rare"])
+    ``weight`` adds up the lengths of the values' lists; the text that a group's
+    members were copied from has the most of all.
+    """
+    posts = nodes.select("node", F.explode("coords").alias("value"))
+    lists = space.save(posts.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
+    shared = posts.join(lists, "value").groupBy("node").agg(F.sum("n").alias("weight"), F.collect_set("value").alias("values"))
+    return space.save(shared.filter(F.size("values") >= least), "met")
 
-    return run
+
+def leaders(shared: DataFrame, least: int, space: Workspace) -> DataFrame:
+    """(node, parent): of the nodes that lead the node's lists, the one it meets most, if it meets it ``least`` times.
+
+    A list is led by its member of the largest weight (the smaller id of
+    equals), so ways up never turn back.
+    """
+    posts = shared.select("node", "weight", F.explode("values").alias("value"))
+    first = space.save(posts.groupBy("value").agg((-F.max(F.struct("weight", -F.col("node")))["col2"]).alias("leader")), "first")
+    led = posts.join(first, "value").filter("node != leader").groupBy("node").agg(F.collect_list("leader").alias("all"))
+    times = F.transform(F.array_distinct("all"), lambda x: F.struct(F.size(F.filter("all", lambda y: y == x)).alias("n"), (-x).alias("parent")))
+    best = led.select("node", F.array_max(times).alias("best")).filter(F.col("best.n") >= least)
+    return space.save(best.select("node", (-F.col("best.parent")).alias("parent")), "best")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(node, parent, linked) of pairs, from the full sets of both texts; a parent's text is shuffled once."""
+    child = docs.join(pairs, docs.doc_id == pairs.node).select("node", "parent", F.col("text").alias("text_a"))
+    heads = pairs.select(F.col("parent").alias("head")).distinct()
+    head = docs.join(heads, docs.doc_id == heads["head"]).select(F.col("head").alias("parent"), F.col("text").alias("text_b"))
+    return child.join(head, "parent").select("node", "parent", "text_a", "text_b").mapInArrow(_confirm(percent, width), "node long, parent long, linked boolean")
+
+
+def unsettled(shared: DataFrame, label: DataFrame, least: int, space: Workspace) -> tuple[DataFrame, int]:
+    """(node, component) of the nodes that may have links out of their component, and how many there are.
+
+    A list whose members are all in one component is skipped. A link that is
+    missing has ``least`` of the others in common, at both of its ends.
+    """
+    placed = space.save(shared.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "values"), "placed")
+    posts = placed.select("node", "component", F.explode("values").alias("value"))
+    mixed = posts.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
+    mixed = space.save(mixed, "mixed")
+    open_ = posts.join(mixed, "value").groupBy("node").agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("n"))
+    open_, seen = space.counted(open_.filter(F.col("n") >= least).select("node", "component"), "open", F.count(F.lit(1)).alias("n"))
+    return open_, seen["n"]
 
 
 def crossing(nodes: DataFrame, docs: DataFrame, space: Workspace, percent: int, width: int) -> DataFrame:
-    """(a, b), a < b: all pairs of different components in one family that can be linked.
-
-    ``nodes`` has (node, component, family). Sets are ordered with the shingles
-    first that are rare in the family. Two sets that share the overlap o that a
-    link needs either share a rare shingle among the first size - o + 1 of both,
-    or share common ones only, and then both have at least o of those. Copies
-    of one text with edits of their own meet in neither way, however many they
-    are; no pair that is linked is missed.
+    """(a, b): the components of all linked pairs of ``nodes`` (node, component) in different components.
+
+    An exact prefix join on the full sets. Shingles that no other component has
+    come first in the order of a set, then the others by how many sets hold
+    them. Two linked sets share one that stands among the first of both, and
+    one that another component has: lists within one component are skipped.
+    So copies with edits of their own that are linked to what they were copied
+    from, or too far from it, meet nobody here, however many they are.
     """
-    n = row_count(nodes)
-    refs = nodes.groupBy("family", F.pmod(F.xxhash64("node"), F.lit(REFERENCES)).alias("_r")).agg(F.min("node").alias("node")).select("family", "node")
-    texts = docs.join(_small(space.save(refs, "refs")), F.col("doc_id") == F.col("node")).groupBy("family").agg(F.collect_list("text").alias("texts"))
-    common = space.save(texts.mapInArrow(_common(), "family long, common binary"), "common")
-    held = docs.join(F.broadcast(nodes) if n <= BROADCAST_PAIRS else nodes, F.col("doc_id") == F.col("node")).select("node", "component", "family", "text")
-    facets = held.join(common, "family").select("node", "component", "family", "text", "common").mapInArrow(_facets(percent, width), "node long, component long, family long, size long, shared long, rare array<long>")
-    facets = space.save(facets, "facets")
-    need = F.ceil(F.lit(percent) * (F.col("x.size") + F.col("y.size")) / F.lit(100.0 + percent) - 1e-9)
-    apart = (F.col("x.node") != F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
-    close = 100 * F.col("x.size") >= percent * F.col("y.size")
-    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    post = facets.select("family", "node", "component", "size", F.posexplode("rare").alias("at", "shingle"))
+    sets = docs.join(nodes, docs.doc_id == nodes.node).select("node", "component", "text").mapInArrow(_sets(width), "node long, component long, held array<long>")
+    sets = space.save(sets, "sets")
+    share = percent / 100.0
+    posts = sets.select("node", "component", F.size("held").alias("size"), F.explode("held").alias("shingle"))
+    live = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("shingle", "n")
+    live = space.save(live, "live")
+    held = posts.join(live, "shingle").groupBy("node", "component", "size").agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("live"))
+    # Places in the order count from 0; ``reach`` of them can be the first that a linked set shares.
+    dead, reach = F.col("size") - F.size("live"), F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1
+    front = F.transform(F.slice("live", 1, F.greatest(reach - dead, F.lit(0)).cast("int")), lambda x, i: F.struct(x["shingle"].alias("shingle"), (i + dead).alias("at")))
+    ready = held.filter(F.size("live") >= F.ceil(share * F.col("size") - 1e-9)).select("node", "component", "size", F.explode(front).alias("f"))
+    ready = space.save(ready.select("node", "component", "size", "f.shingle", "f.at"), "ready")
+    x, y = ready.alias("x"), ready.alias("y")
+    need = F.ceil(share * (F.col("x.size") + F.col("y.size")) / (1 + share) - 1e-9)
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") != F.col("y.node"))
+    ordered = (F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
     within = (F.col("x.at") <= F.col("x.size") - need) & (F.col("y.at") <= F.col("y.size") - need)
-    rare = post.alias("x").join(post.alias("y"), ["family", "shingle"]).filter(apart & ordered & close & within).select(*pair)
-    step = lambda size: F.floor(F.log(size) / F.log(F.lit(1.05)))
-    small = facets.select("family", "node", "component", "size", "shared", step(F.col("size")).alias("step"))
-    # The smaller set has at most what the larger one's common shingles allow.
-    top = F.least(F.col("size"), F.floor(F.col("shared") * (100 + percent) / F.lit(float(percent)) + 1e-9) - F.col("size"))
-    low = F.ceil(F.col("size") * percent / 100)
-    large = facets.withColumn("top", top).filter(top >= low).withColumn("step", F.explode(F.sequence(step(low), step(F.col("top")))))
-    enough = (F.col("x.size") <= F.col("y.top")) & (F.col("x.shared") >= need)
-    shared = small.alias("x").join(large.alias("y"), ["family", "step"]).filter(apart & ordered & close & enough).select(*pair)
-    return rare.unionByName(shared).distinct()
+    pairs = x.join(y, "shingle").filter(apart & ordered & within).select(F.col("x.node").alias("p"), F.col("y.node").alias("q")).distinct()
+    pairs = space.save(pairs, "pairs")
+    left = sets.select(F.col("node").alias("p"), F.col("component").alias("a"), F.col("held").alias("left"))
+    right = sets.select(F.col("node").alias("q"), F.col("component").alias("b"), F.col("held").alias("right"))
+    both = pairs.join(left, "p").join(right, "q").withColumn("n", F.size(F.array_intersect("left", "right")))
+    return both.filter(100 * F.col("n") >= percent * (F.size("left") + F.size("right") - F.col("n"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of
-    their distinct ``width``-word shingles. A pair at exactly 85 % shares fewer
-    than LEAST of the coordinates with a probability below 1e-6, one at 80 %
-    with 6e-5, and none of the posted ones with 5.5e-6.
+    their distinct ``width``-word shingles. A linked pair shares fewer
+    coordinates than ``matches`` asks for with a probability of MISSED at most.
 
     Null or empty texts: no shingles, linked with nothing, kept. A null doc_id
     has nothing to be named by: component_id null, kept, linked with nothing.
-    Rows of one doc_id are one node: a repeated row changes nothing, and texts
-    that share an id share its component. Extra columns are ignored; an empty
-    table gives an empty result.
+    Rows of one doc_id are one document: a repeated row changes nothing, and
+    texts that share an id share its component. Extra columns are ignored; an
+    empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    space = Workspace(spark, "minhash")
+    space, least = Workspace(spark, "minhash"), matches(percent)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = space.save(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, k1 long, k2 long, coords array<long>"), "signed")
     usable = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    member = space.save(usable.select("doc_id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).select("doc_id", "node"), "member")
-
-    heads = member.filter("doc_id = node").select("node").distinct()
-    prefix = COORDINATES - LEAST + 1
-    posts = usable.join(heads, usable.doc_id == heads.node, "left_semi").select(F.col("doc_id").alias("node"), F.explode(F.slice("coords", 1, prefix)).alias("value")).distinct()
-    posts = space.save(posts, "posts")
-    lists = posts.groupBy("value").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = posts.join(lists, "value").filter("node != leader").groupBy("leader", "node").agg(F.count(F.lit(1)).alias("n"))
-    # The best leader of each node first: one confirmation for each node at most.
-    best = met.groupBy("node").agg(F.max(F.struct("n", -F.col("leader"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("node").alias("b"))
-    best = space.save(best, "best")
-    first = space.save(confirmed(best, row_count(best), docs, percent, width), "first")
-    same = member.filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = first.filter("linked").select("a", "b").distinct()
-    label = components(links, space, "first-cc")
-
-    placed = posts.join(label, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader")).filter("low != high").select("value", "leader")
-    open_ = space.save(placed.join(mixed, "value").select("node", "component", "leader").distinct(), "open")
-    families = components(open_.select(F.col("leader").alias("a"), F.col("node").alias("b")), space, "family")
-    nodes = open_.select("node", "component").distinct().join(families.withColumnRenamed("component", "family"), "node", "left")
-    nodes = space.save(nodes.select("node", "component", F.coalesce("family", "node").alias("family")), "nodes")
-    left = crossing(nodes, docs, space, percent, width)
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = space.save(left.join(tried, ["a", "b"], "left_anti"), "left")
-    if n := row_count(left):
-        links = links.unionByName(space.save(confirmed(left, n, docs, percent, width), "second").filter("linked").select("a", "b"))
-    label = components(links.unionByName(same), space, "last-cc")
-    out = signed.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
+    # Equal sets are one class, named by its smallest id.
+    classes = space.save(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("coords").alias("coords")), "classes")
+    shared = met(classes, least, space)
+    linked = confirmed(leaders(shared, least, space), docs, percent, width).filter("linked")
+    label = roots(linked.groupBy("node").agg(F.min("parent").alias("parent")), space)
+    open_, n = unsettled(shared, label, least, space)
+    links = [crossing(open_, docs, space, percent, width)] if n else []
+    # Ids whose rows have different sets tie the classes of these.
+    several = usable.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low != high").select("doc_id")
+    several, seen = space.counted(several, "several", F.count(F.lit(1)).alias("n"))
+    if seen["n"]:
+        held = usable.join(several, "doc_id").join(classes.drop("coords"), ["k1", "k2"]).select("doc_id", "node").distinct()
+        links.append(_named(_named(held, "node", label), "doc_id", label).select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    if links:
+        joined = components(links[0].unionByName(links[1]) if len(links) > 1 else links[0], space)
+        label = space.save(_named(label, "component", joined).unionByName(joined), "tied")
+    # Some member names a component until here: the smallest one is found now.
+    names = label.groupBy(F.col("component").alias("name")).agg(F.least(F.min("node"), F.first("component")).alias("component_id"))
+    names = space.save(names, "names")
+    placed = classes.select("k1", "k2", "node").join(label, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("name"))
+    of = space.save(placed.join(names, "name", "left").select("k1", "k2", F.coalesce("component_id", "name").alias("component_id")), "of")
+    space.drop("classes", "lists", "met", "first", "best", "placed", "mixed", "open", "sets", "live", "ready", "pairs", "several", "tied", "names")
+    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(of, ["k1", "k2"], "left")
+    own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(own, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _named(rows: DataFrame, column: str, label: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by its component, if it has one."""
+    name = label.select(F.col("node").alias(column), F.col("component").alias("name_"))
+    return rows.join(name, column, "left").withColumn(column, F.coalesce("name_", column)).drop("name_").select(*rows.columns)
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` without those that link to a smaller doc_id; one row stays of repeated ids."""
+    """The rows of ``docs`` without those that link to a smaller doc_id; one row stays of repeated ids.
+
+    Rows with a null id and texts without words stay. Columns are kept whatever
+    their names; an empty table gives an empty result.
+    """
     space = Workspace(docs.sparkSession, "neardrop")
-    gone = space.save(near_duplicates(docs, percent, width).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    twice = space.save(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").select("_twice"), "twice")
-    left = docs.join(_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    if not row_count(twice):
+    found = space.save(near_duplicates(docs, percent, width).filter("doc_id is not null"), "found")
+    id_ = unused("id", docs)
+    gone = found.filter("not kept").select(F.col("doc_id").alias(id_)).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col(id_), "left_anti")
+    twice, seen = space.counted(found.filter("kept").groupBy(F.col("doc_id").alias(id_)).count().filter("count > 1").select(id_), "twice", F.count(F.lit(1)).alias("n"))
+    if not seen["n"]:
         return left
-    once = left.join(_small(twice), F.col("doc_id") == F.col("_twice"), "left_anti")
-    more = left.join(_small(twice), F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more)
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    """Broadcast only below a counted bound; above it the join shuffles."""
-    return F.broadcast(ids) if row_count(ids) <= BROADCAST_PAIRS else ids
+    once = left.join(twice, F.col("doc_id") == F.col(id_), "left_anti")
+    return once.unionByName(left.join(twice, F.col("doc_id") == F.col(id_), "left_semi").dropDuplicates(["doc_id"]))
