@@ -116,13 +116,13 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
             FROM m""",
         "op4_topk": """
-            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
                        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
                          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-            s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+            s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id AS vec_id,
                          list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
-                  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-            r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+                  FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0 AND len(q.v) = len(c.v)),
+            r AS (SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
         "op6_sharding": """
             SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256, lang, source FROM documents""",

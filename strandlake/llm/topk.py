@@ -26,6 +26,8 @@ from .common import Workspace, bounded_batches
 
 #: Segments a level, coarse to fine; queries that one broadcast holds.
 LEVELS, BLOCK = (4, 16), 4096
+#: The score of a place that no row has.
+NONE = np.iinfo(np.int64).min
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -40,49 +42,66 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate((total / np.sqrt(width), np.sqrt(square)), axis=1)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    return np.lexsort((ids, -scores))[:k]
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact: in floating point only where that is exact too."""
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1]
+    if most < 2**53:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    if most < 2**63:
+        return q @ x.T
+    out = q.astype(object) @ x.astype(object).T
+    if out.size and max(abs(out.min()), abs(out.max())) >= 2**63:
+        raise OverflowError("a score does not fit into 64 bits")
+    return out.astype(np.int64)
 
 
 class Search:
     """The queries of one block and, for each, its best rows so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors.astype(np.float64), k
-        self.levels = [statistics(self.vectors, s) for s in LEVELS]
-        self.score = np.full((len(ids), k), -np.inf)
-        self.row = np.full((len(ids), k), np.iinfo(np.int64).max)
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.rows, self.ids, self.vectors, self.k = rows, ids, vectors, k
+        x = vectors.astype(np.float64)
+        self.levels, self.norm = [statistics(x, s) for s in LEVELS], np.sqrt((x**2).sum(1))
+        self.score = np.full((len(ids), k), NONE)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.pairs = self.exact = 0
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def floors(self) -> np.ndarray:
+        """The score of each query's k-th best row, minus infinity before there are k."""
+        last = self.score[:, -1]
+        return np.where(last == NONE, -np.inf, last.astype(np.float64))
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if not len(rows):
+            return
         x = vectors.astype(np.float64)
-        floor = self.score[:, -1]
-        # A little more than the bound: it is computed in floating point.
-        slack = 1e-6 + 1e-9 * np.abs(floor)
-        live = self.ids[:, None] != ids[None, :]
+        # A little less than the floor: bounds and scores are compared in floating point.
+        floor = self.floors() - 1e-6 - 1e-9 * self.norm * np.sqrt((x**2).sum(1).max())
+        live = self.rows[:, None] != rows[None, :]
         self.pairs += live.size
         for level, s in zip(self.levels, LEVELS):
-            rows = live.any(1)
-            if not rows.any():
+            some = live.any(1)
+            if not some.any():
                 return
-            bound = level[rows] @ statistics(x, s).T
-            live[rows] &= bound >= np.where(np.isfinite(floor), floor - slack, -np.inf)[rows, None]
+            live[some] &= level[some] @ statistics(x, s).T >= floor[some, None]
         use = np.flatnonzero(live.any(1))
         for first in range(0, len(use), 256):
             some = use[first : first + 256]
             column = np.flatnonzero(live[some].any(0))
-            score = np.where(live[np.ix_(some, column)], self.vectors[some] @ x[column].T, -np.inf)
-            self.exact += int(live[np.ix_(some, column)].sum())
+            open_ = live[np.ix_(some, column)]
+            score = np.where(open_, products(self.vectors[some], vectors[column]), NONE)
+            self.exact += int(open_.sum())
             all_score = np.concatenate((self.score[some], score), axis=1)
-            all_row = np.concatenate((self.row[some], np.broadcast_to(ids[column], score.shape)), axis=1)
-            order = np.lexsort((all_row, -all_score), axis=1)[:, : self.k]
+            all_found = np.concatenate((self.found[some], np.where(open_, ids[column], np.iinfo(np.int64).max)), axis=1)
+            # Scores above the least number can be turned around without overflow.
+            order = np.lexsort((all_found, -np.maximum(all_score, NONE + 1), all_score == NONE), axis=1)[:, : self.k]
             self.score[some] = np.take_along_axis(all_score, order, 1)
-            self.row[some] = np.take_along_axis(all_row, order, 1)
+            self.found[some] = np.take_along_axis(all_found, order, 1)
 
     def table(self) -> pa.RecordBatch:
-        found = np.isfinite(self.score)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, found.sum(1))), pa.array(self.row[found]), pa.array(self.score[found].astype(np.int64))], ["query_id", "vec_id", "score"])
+        held = self.score != NONE
+        n = held.sum(1)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.rows, n)), pa.array(np.repeat(self.ids, n)), pa.array(self.found[held]), pa.array(self.score[held])], ["query_row", "query_id", "vec_id", "score"])
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -90,62 +109,66 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(table: DataFrame, scale: int) -> DataFrame:
-    """vec_id, v (array<long>, floor(scale * x)) of rows whose vectors are whole and finite."""
+    """row, vec_id, v (array<long>, floor(scale * x)) of rows whose vectors are whole and finite; ``row`` numbers them."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad)
-    return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"))
+    whole = lambda x: F.when(F.abs(x) < 2.0**63, F.floor(x)).otherwise(F.raise_error(F.lit("a component does not fit into 64 bits")).cast("long"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("embedding", lambda x: whole(F.lit(scale) * x.cast("double"))).alias("v"))
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimension, ids, vectors) of blocks of queries of one dimension; the driver holds one block a dimension."""
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, rows, ids, vectors) of blocks of queries of one dimension; the driver holds one block a dimension."""
     held: dict[int, list] = {}
+
+    def packed(rows: list) -> tuple:
+        return len(rows[0][2]), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+
     for row in queries.toLocalIterator():
         rows = held.setdefault(len(row["v"]), [])
-        rows.append((row["vec_id"], row["v"]))
+        rows.append((row["row"], row["vec_id"], row["v"]))
         if len(rows) == block:
-            yield len(row["v"]), np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+            yield packed(rows)
             rows.clear()
-    for d, rows in held.items():
-        if rows:
-            yield d, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+    yield from (packed(rows) for rows in held.values() if rows)
 
 
 def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of every query row.
 
     Queries are rows whose vec_id is divisible by ``every``; candidates are all
-    rows with another vec_id and as many components. Ties go to smaller ids.
+    rows but the query's own, with as many components. Ties go to smaller ids.
     Null vectors, vectors that hold null or a non-finite component, empty ones
-    and null ids take no part. Rows that repeat a vec_id count once, with their
-    least vector. An empty table gives an empty result.
+    and null ids take no part. Rows that repeat a vec_id are rows like others:
+    each is a candidate, also of the rows it repeats, and each is a query if its
+    id says so. Scores are exact; a component or score of more than 64 bits is
+    an error. Extra columns are ignored; an empty table gives an empty result.
 
     Queries go in blocks of ``block``; every block meets all rows where they
     lie. A first pass over a few rows only sets each query's floor, from true
     scores, so that later partitions return little.
     """
     spark = table.sparkSession
-    bounded_batches(spark, 4096)
+    bounded_batches(spark)
     space = Workspace(spark, "topk")
-    rows = space.save(usable(table, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "rows")
-    schema = "query_id long, vec_id long, score long"
+    rows = space.save(usable(table, scale), "rows")
+    schema = "query_row long, query_id long, vec_id long, score long"
     parts: list[DataFrame] = []
-    for n, (d, ids, vectors) in enumerate(_blocks(rows.filter(F.col("vec_id") % every == 0), block)):
+    for n, (d, places, ids, vectors) in enumerate(_blocks(rows.filter(F.col("vec_id") % every == 0), block)):
         same = rows.filter(F.size("v") == d)
-        start = Search(ids, vectors, k)
+        start = Search(places, ids, vectors, k)
         some = same.limit(8 * k + 512).collect()
-        start.add(np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some], np.int64))
-        floor = np.where(np.isfinite(start.score[:, -1]), start.score[:, -1], -np.inf)
-        held = spark.sparkContext.broadcast((ids, vectors, floor))
+        start.add(np.array([r["row"] for r in some]), np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some], np.int64))
+        held = spark.sparkContext.broadcast((places, ids, vectors, start.score[:, -1]))
 
         def run(batches, held=held):
-            ids, vectors, floor = held.value
-            search = Search(ids, vectors, k)
+            places, ids, vectors, last = held.value
+            search = Search(places, ids, vectors, k)
             # Scores at the floor may still win a tie, so the floor itself stays in.
-            search.score[:] = np.nextafter(floor, -np.inf)[:, None]
-            search.row[:] = -1
+            search.score[:] = np.where(last == NONE, NONE, np.maximum(last - 1, NONE + 1))[:, None]
+            search.found[:] = -1
             for batch in batches:
-                search.add(batch.column("vec_id").to_numpy(), matrix(batch.column("v")))
-            search.score[search.row < 0] = -np.inf
+                search.add(batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), matrix(batch.column("v")))
+            search.score[search.found < 0] = NONE
             yield search.table()
 
         part = same.mapInArrow(run, schema)
@@ -155,5 +178,5 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
