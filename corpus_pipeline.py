@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the compacted store's committed version returns them."""
-    return sharding.shard(docs)[1].drop("_shard")
+    return sharding.shard(docs)[1]
 
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]

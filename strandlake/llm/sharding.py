@@ -6,6 +6,10 @@ small shards. When a tier (shards of similar size) has ``fan_in`` of them, they
 are merged into files of about the target size. A commit writes the next
 manifest under another name and renames it into place; the rename fails if that
 version exists, so of two writers one wins and readers see whole versions only.
+That needs a file system whose rename is atomic and never replaces (HDFS, a
+POSIX folder); on an object store without one, writers must be kept to one.
+Shards that a merge replaces stay until no retained version lists them, so a
+reader of such a version never loses its files.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, delete, hadoop_path
+from .common import Workspace, delete, hadoop_path, unused
 
-#: Bytes of a finished file, of the smallest tier, runs that are merged at once, and appends of one table.
-TARGET, SMALLEST, FAN_IN, ARRIVALS = 64 << 20, 1 << 20, 4, 8
+#: Bytes of a finished file, of the smallest tier, runs that are merged at once, appends of one table, versions that stay readable.
+TARGET, SMALLEST, FAN_IN, ARRIVALS, RETAIN = 64 << 20, 1 << 20, 4, 8, 4
 
 
 @dataclass(frozen=True)
@@ -39,10 +43,10 @@ class Conflict(RuntimeError):
 class Store:
     """One sharded table. Any number of readers; writers retry on Conflict."""
 
-    def __init__(self, spark: SparkSession, path: str, target: int = TARGET, smallest: int = SMALLEST, fan_in: int = FAN_IN):
-        if fan_in < 2 or target < 1 or smallest < 1:
-            raise ValueError("fan_in must be at least 2, sizes at least 1")
-        self.spark, self.path, self.target, self.smallest, self.fan_in = spark, path.rstrip("/"), target, smallest, fan_in
+    def __init__(self, spark: SparkSession, path: str, target: int = TARGET, smallest: int = SMALLEST, fan_in: int = FAN_IN, retain: int = RETAIN):
+        if fan_in < 2 or target < 1 or smallest < 1 or retain < 1:
+            raise ValueError("fan_in must be at least 2, sizes and retained versions at least 1")
+        self.spark, self.path, self.target, self.smallest, self.fan_in, self.retain = spark, path.rstrip("/"), target, smallest, fan_in, retain
 
     def versions(self) -> list[int]:
         fs, p = hadoop_path(self.spark, self.path)
@@ -78,24 +82,34 @@ class Store:
             raise Conflict(f"version {version} exists")
         return version
 
-    def _write(self, df: DataFrame) -> Shard:
-        name = f"shard-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
+    def _shard(self, name: str, rows: int) -> Shard:
         fs, p = hadoop_path(self.spark, f"{self.path}/{name}")
-        sizes = [s.getLen() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
-        rows = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}").agg(F.count(F.lit(1))).first()[0]
+        sizes = [s.getLen() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")] if fs.exists(p) else []
         return Shard(name, len(sizes), sum(sizes), rows)
 
-    def append(self, df: DataFrame) -> Shard:
-        """Adds the rows of ``df`` as one immutable shard; an empty one leaves no shard behind but its version."""
-        shard = self._write(df)
-        while True:
-            base, shards = self.manifest()
-            try:
-                self.commit(base, [*shards, shard])
-                return shard
-            except Conflict:
-                continue
+    def _write(self, df: DataFrame, part: Column | None = None, parts: int = 1) -> list[Shard]:
+        """One shard, or one for each value of ``part`` (0 to ``parts`` - 1), in one pass; rows are counted as they are written."""
+        name, seen = f"shard-{uuid.uuid4().hex}", Observation(uuid.uuid4().hex)
+        if part is None:
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{name}")
+            return [self._shard(name, seen.get["n"])]
+        key = unused("arrival", df)
+        counts = [F.count_if(F.col(key) == k).alias(f"n{k}") for k in range(parts)]
+        df.withColumn(key, part).observe(seen, *counts).write.partitionBy(key).parquet(f"{self.path}/{name}")
+        return [self._shard(f"{name}/{key}={k}", seen.get[f"n{k}"]) for k in range(parts)]
+
+    def append(self, df: DataFrame, part: Column | None = None, parts: int = 1) -> list[Shard]:
+        """Adds the rows of ``df`` as immutable shards, one version for each; a shard without rows leaves nothing but its version."""
+        added = self._write(df, part, parts)
+        for shard in added:
+            while True:
+                base, shards = self.manifest()
+                try:
+                    self.commit(base, [*shards, shard] if shard.rows else shards)
+                    break
+                except Conflict:
+                    continue
+        return added
 
     def tier(self, shard: Shard) -> int:
         """0 for shards up to the smallest size, then one more for each factor of ``fan_in``; finished files have none (-1)."""
@@ -115,13 +129,15 @@ class Store:
         return None
 
     def compact(self, schema) -> int:
-        """Merges until no tier is due; returns how many merges ran. Old shards go once their successor is committed."""
+        """Merges until no tier is due; returns how many merges ran."""
         merges = 0
         while runs := self.due(self.manifest()[1]):
             total = sum(s.size for s in runs)
             files = max(1, round(total / self.target))
             # Whole input files are put together: nothing is shuffled.
-            merged = self._write(self._open([s.name for s in runs], schema).coalesce(files))
+            (merged,) = self._write(self._open([s.name for s in runs], schema).coalesce(files))
+            if merged.rows != sum(s.rows for s in runs):
+                raise RuntimeError(f"a merge wrote {merged.rows} rows of {sum(s.rows for s in runs)}")
             while True:
                 base, now = self.manifest()
                 if not {s.name for s in runs} <= {s.name for s in now}:
@@ -132,38 +148,49 @@ class Store:
                 except Conflict:
                     continue
                 merges += 1
-                for s in runs:
-                    delete(self.spark, f"{self.path}/{s.name}")
                 break
+        self.expire()
         return merges
 
+    def expire(self) -> list[int]:
+        """Drops all versions but the last ``retain``, and the shards that only they list; returns the dropped ones."""
+        known = self.versions()
+        old, kept = known[: -self.retain], known[-self.retain :]
+        live = {s.name for v in kept for s in self.manifest(v)[1]}
+        gone = {s.name for v in old for s in self.manifest(v)[1]} - live
+        for v in old:
+            delete(self.spark, f"{self.path}/manifest-{v:08d}.json")
+        for name in gone:
+            delete(self.spark, f"{self.path}/{name}")
+        return old
+
     def _open(self, names: list[str], schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{n}" for n in names))
 
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the shard of each (``_shard``)."""
+    def read(self, schema, version: int | None = None, tag: str | None = None) -> DataFrame:
+        """The rows of a version; ``tag`` names a column with each row's shard."""
+        if version is not None and version not in self.versions():
+            raise KeyError(f"version {version} is not there or has expired")
         _, shards = self.manifest(version)
         if not shards:
-            return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(None).cast("string"))
+            rows = self.spark.createDataFrame([], schema)
+            return rows.withColumn(tag, F.lit(None).cast("string")) if tag else rows
         rows = self._open([s.name for s in shards], schema)
-        return rows.withColumn("_shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+        name = F.regexp_extract(F.col("_metadata.file_path"), r"(shard-[0-9a-f]{32}(?:/arrival_*=[0-9]+)?)/[^/]*$", 1)
+        return rows.withColumn(tag, name) if tag else rows
 
 
 def shard(docs: DataFrame, arrivals: int = ARRIVALS, target: int = TARGET, smallest: int = SMALLEST, fan_in: int = FAN_IN, path: str | None = None) -> tuple[Store, DataFrame]:
     """Appends ``docs`` in ``arrivals`` parts to a new store, compacts it, and reads its last version.
 
     An arrival is a range of the hash of the row's id and text; it holds about
-    the same share of every source, so a large source makes no large shard.
-    Nulls and repeated rows are rows like others, long texts stay whole, an
-    empty table gives an empty version, and extra columns are kept. A column
-    named ``_shard`` of the input would clash and is refused.
+    the same share of every source, so a large source makes no large shard. All
+    arrivals are written in one pass over ``docs``. Nulls and repeated rows are
+    rows like others, long texts stay whole, an empty table gives an empty
+    version, and extra columns are kept whatever their names.
     """
-    if "_shard" in docs.columns:
-        raise ValueError("the column name _shard is taken")
     spark = docs.sparkSession
     store = Store(spark, path or Workspace(spark, "store").path, target, smallest, fan_in)
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.filter(key == k))
+    store.append(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals)).cast("int"), arrivals)
     store.compact(docs.schema)
     return store, store.read(docs.schema)
