@@ -13,32 +13,36 @@ length instead, and no match is lost by that:
   unique. For the others, the bytes around the anchor that its windows can
   reach are cut out as a piece of at most 2 * length - ANCHOR bytes.
 * Pieces of one anchor meet in one task. There the collection's transform is
-  built column by column: each round inserts one symbol of every piece before
-  the suffixes of the round before, and updates their order, the preceding
-  symbols (the transform's column) and the common prefixes between neighbours.
-  Columns go to files that are written once and read once, in order. Windows
-  of equal bytes stand in the same column next to each other with a common
-  prefix of at least ``length``.
-
-Anchors that occur more than HOT times are not brought to one task: their
-windows are counted by digest with map-side combining instead.
+  built column by column: each round takes the transform of the round before,
+  which is the symbol that precedes every suffix, inserts it, and updates the
+  order, the common prefixes between neighbours and the transform's next column.
+  They go to files in the shared folder that are written once and read once, in
+  sequence. Windows of equal bytes stand in the same column next to each other
+  with a common prefix of at least ``length``.
+* Anchors with more than CROWD different pieces are split by further columns:
+  the windows that begin between two of CUTS before the anchor all hold the
+  same bytes around it, so pieces that differ there need not meet. Within a
+  range only the bytes that its windows reach are kept, which makes many pieces
+  one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import POWERS, U64, Workspace, as_long, bounded_batches, mix, row_count, texts_of
 
-LENGTH, ANCHOR, HOT = 200, 64, 20_000
+LENGTH, ANCHOR = 200, 64
+#: Different pieces of an anchor above which it is split, and the ranges of window starts (bytes before the anchor, mirrored) it is split into.
+CROWD, CUTS = 256, (0, 2, 8, 32)
 #: Rows of 16-byte keys up to which a counted table is broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 300_000
 #: Bytes of text hashed at once; a longer text is taken in overlapping parts.
@@ -93,25 +97,32 @@ class Columns:
     """The collection transform of pieces around one or more anchors, built column by column.
 
     Pieces are right-aligned so that the last symbol of each goes in first.
-    ``rounds`` yields (column, order, common prefix with the one before, order's
-    preceding symbols) after every inserted symbol; the state between rounds is
-    the order and the prefixes, which are read from and written to files in
-    sequence.
+    ``rounds`` yields (column, order, common prefix with the one before,
+    transform) after every inserted symbol: the transform has the symbol that
+    precedes each suffix plus one, 0 where there is none. The state between
+    rounds is these three, which are read from and written to files in sequence.
     """
 
     def __init__(self, symbols: np.ndarray, valid: np.ndarray, groups: np.ndarray, folder: str):
-        self.symbols, self.valid, self.groups, self.folder = symbols, valid, groups, folder
+        self.symbols, self.valid, self.groups = symbols, valid, groups
+        self.store, self.folder = fs.FileSystem.from_uri(folder)
 
-    def _write(self, k: int, order: np.ndarray, lcp: np.ndarray) -> None:
-        with open(os.path.join(self.folder, f"column-{k & 1}"), "wb") as f:
-            order.astype(np.int32).tofile(f)
-            lcp.astype(np.int16).tofile(f)
+    def _write(self, k: int, order: np.ndarray, lcp: np.ndarray, transform: np.ndarray) -> None:
+        with self.store.open_output_stream(f"{self.folder}/column-{k & 1}") as f:
+            f.write(order.astype(np.int32).tobytes() + lcp.astype(np.int16).tobytes() + transform.astype(np.int16).tobytes())
 
-    def _read(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        with open(os.path.join(self.folder, f"column-{k & 1}"), "rb") as f:
-            return np.fromfile(f, np.int32, n), np.fromfile(f, np.int16, n)
+    def _read(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        with self.store.open_input_stream(f"{self.folder}/column-{k & 1}") as f:
+            held = f.read()
+        return np.frombuffer(held, np.int32, n), np.frombuffer(held, np.int16, n, 4 * n), np.frombuffer(held, np.int16, n, 6 * n)
 
-    def rounds(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def _before(self, order: np.ndarray, column: int) -> np.ndarray:
+        """The symbols in front of ``column`` in this order."""
+        if not column:
+            return np.zeros(len(order), np.int16)
+        return np.where(self.valid[order, column - 1], self.symbols[order, column - 1].astype(np.int16) + 1, 0)
+
+    def rounds(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         n, width = self.symbols.shape
         # Before the first round the suffixes are empty: equal within an anchor's group.
         order = np.argsort(self.groups, kind="stable")
@@ -119,23 +130,28 @@ class Columns:
         lcp = np.zeros(n, np.int16)
         start = np.r_[True, held[1:] != held[:-1]]
         lcp[start] = -1  # another group: nothing in common, not even the empty string
-        self._write(0, order, lcp)
-        for k, column in enumerate(range(width - 1, -1, -1), 1):
-            order, lcp = self._read(k - 1, n)
-            order, lcp = insert(self.symbols[order, column], self.valid[order, column], order, lcp)
-            self._write(k, order, lcp)
-            yield column, order, lcp
-
-
-def insert(symbol: np.ndarray, valid: np.ndarray, order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One round: the order and common prefixes of suffixes that ``symbol`` now begins.
+        self.store.create_dir(self.folder, recursive=True)
+        try:
+            self._write(0, order, lcp, self._before(order, width))
+            for k, column in enumerate(range(width - 1, -1, -1), 1):
+                order, lcp, transform = self._read(k - 1, n)
+                order, lcp = insert(transform, order, lcp)
+                transform = self._before(order, column)
+                self._write(k, order, lcp, transform)
+                yield column, order, lcp, transform
+        finally:
+            self.store.delete_dir(self.folder)
+
+
+def insert(transform: np.ndarray, order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One round: the order and common prefixes of suffixes that the transform's symbols now begin.
 
     Groups (runs that an lcp of -1 begins) stay together. A piece without a
     symbol in this column has nothing in common with any other.
     """
     n = len(order)
     group = np.cumsum(lcp < 0) - 1
-    key = group * 257 + np.where(valid, symbol.astype(np.int64) + 1, 0)
+    key = group * 257 + transform
     move = np.argsort(key, kind="stable")
     # The least prefix on the way from one entry to the next of the same symbol.
     out = np.zeros(n, np.int16)
@@ -164,7 +180,7 @@ def range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return out
 
 
-def repeated(pieces: list[bytes], centre: np.ndarray, groups: np.ndarray, length: int, anchor: int) -> np.ndarray:
+def repeated(pieces: list[bytes], centre: np.ndarray, groups: np.ndarray, length: int, anchor: int, folder: str) -> np.ndarray:
     """(pieces, length - anchor + 1) booleans: the window that begins so many bytes before the anchor stands in another piece too."""
     reach = length - anchor
     width = 2 * reach + anchor
@@ -173,12 +189,11 @@ def repeated(pieces: list[bytes], centre: np.ndarray, groups: np.ndarray, length
         symbols[i, reach - c : reach - c + len(p)] = np.frombuffer(p, np.uint8)
         valid[i, reach - c : reach - c + len(p)] = True
     out = np.zeros((len(pieces), reach + 1), bool)
-    with tempfile.TemporaryDirectory() as folder:
-        for column, order, lcp in Columns(symbols, valid, groups, folder).rounds():
-            if column <= reach:
-                near = lcp >= length
-                both = near | np.r_[near[1:], False]
-                out[order[both], reach - column] = True
+    for column, order, lcp, _ in Columns(symbols, valid, groups, f"{folder}/{uuid.uuid4().hex}").rounds():
+        if column <= reach:
+            near = lcp >= length
+            both = near | np.r_[near[1:], False]
+            out[order[both], reach - column] = True
     return out
 
 
@@ -220,12 +235,12 @@ def whole(centre: int, size: int, length: int, anchor: int) -> tuple[int, int]:
     return max(0, centre + length - size), min(centre, length - anchor)
 
 
-def _build(length: int, anchor: int, most: int = 20_000):
-    """Takes whole anchors together, about ``most`` pieces at a time; rows come sorted by anchor."""
+def _build(length: int, anchor: int, folder: str, most: int = 20_000):
+    """Takes whole groups together, about ``most`` pieces at a time; rows come sorted by group."""
 
     def flush(rows: list[tuple]):
         groups = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
-        flags = repeated([r[3] for r in rows], np.array([r[2] for r in rows]), groups, length, anchor)
+        flags = repeated([r[3] for r in rows], np.array([r[2] for r in rows]), groups, length, anchor, folder)
         for i, r in enumerate(rows):
             if r[4] > 1:
                 least, last = whole(r[2], len(r[3]), length, anchor)
@@ -248,21 +263,38 @@ def _build(length: int, anchor: int, most: int = 20_000):
     return run
 
 
-def _windows(length: int, anchor: int):
-    """The digest of every window of a hot anchor's piece, with its bytes before the anchor."""
+def ranges(reach: int) -> list[tuple[int, int]]:
+    """The ranges of window starts that a crowded anchor is split into: bytes before it, least and most."""
+    left = [c for c in CUTS if 2 * c <= reach]
+    edges = sorted({*left, *(reach + 1 - c for c in left), reach // 2})
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
+
+
+def _split(length: int, anchor: int):
+    """The parts of a crowded anchor's pieces, one for each range: the group they meet in, and the bytes that count there."""
+    reach = length - anchor
 
     def run(batches):
         for batch in batches:
-            owner, before, digest = [], [], []
-            for i, (c, piece) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("centre", "piece")))):
-                least, last = whole(c, len(piece), length, anchor)
-                for b in range(least, last + 1):
+            owner, group, centre, piece, kind = [], [], [], [], []
+            for i, (mark, c, held) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("anchor", "centre", "piece")))):
+                least, last = whole(c, len(held), length, anchor)
+                for a, b in ranges(reach):
+                    if max(a, least) > min(b, last):
+                        continue
+                    b_, a_ = min(b, last), max(a, least)
+                    # All windows of the range hold the ``a`` bytes before the anchor and ``reach - b`` behind it.
+                    same = held[c - a : c + anchor + reach - b]
+                    part = held[c - b_ : c - a_ + length]
+                    name = hashlib.blake2b(same, digest_size=8, salt=a.to_bytes(2, "big"), key=mark.to_bytes(8, "big", signed=True)).digest()
                     owner.append(i)
-                    before.append(b)
-                    digest.append(hashlib.blake2b(piece[c - b : c - b + length], digest_size=16).digest())
+                    group.append(int.from_bytes(name, "big", signed=True))
+                    centre.append(b_)
+                    piece.append(part)
+                    kind.append(hashlib.blake2b(part, digest_size=16, salt=b_.to_bytes(2, "big")).digest())
             if owner:
                 take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in ("anchor", "kind", "copies")), pa.array(before, pa.int64()), pa.array(digest, pa.binary())], ["anchor", "kind", "copies", "before", "digest"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in ("anchor", "kind", "copies")), pa.array(group, pa.int64()), pa.array(kind, pa.binary()), pa.array(centre, pa.int32()), pa.array(piece, pa.binary())], ["anchor", "kind", "copies", "group", "part", "centre", "piece"])
 
     return run
 
@@ -301,7 +333,7 @@ def covered(runs: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row of ``docs`` (doc_id, text).
 
     A byte goes if a ``length``-byte string that covers it also starts anywhere
@@ -324,32 +356,38 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     one = long_.join(heads, "key", "left_anti").unionByName(long_.join(heads, "key").filter(F.col("doc_id").eqNullSafe(F.col("head"))).drop("head")) if n_copies else long_
     marks = space.save(one.mapInArrow(_anchors(length), "key binary, place long, anchor long"), "marks")
     # Written, so that the join below shuffles it by itself and may split the marks of a crowded anchor.
-    several = space.save(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot")), "several")
+    several = space.save(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "several")
     marks = marks.join(several, "anchor")
-    wanted = space.save(marks.groupBy("key").agg(F.collect_list(F.struct("place", "anchor")).alias("marks"), F.max("hot").alias("hot")), "wanted")
+    wanted = space.save(marks.groupBy("key").agg(F.collect_list(F.struct("place", "anchor")).alias("marks")), "wanted")
+    space.drop("marks", "several")
     n_wanted = row_count(wanted)
     if n_wanted and n_wanted <= BROADCAST_KEYS:
         one = one.join(F.broadcast(wanted.select("key")), "key", "left_semi")
     cut = one.join(wanted, "key").mapInArrow(_pieces(length, ANCHOR), "key binary, place long, anchor long, kind binary, centre int, piece binary")
     pieces = space.save(cut, "pieces")
     kinds = pieces.groupBy("anchor", "kind").agg(F.first("centre").alias("centre"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("copies"))
+    kinds = space.save(kinds, "kinds")
+    many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("anchor")
+    many, seen = space.counted(many, "many", F.count(F.lit(1)).alias("n"))
+    build = _build(length, ANCHOR, f"{space.path}/columns")
     schema = "anchor long, kind binary, runs array<struct<s:long,e:long>>"
-    many = None
-    if wanted.filter("hot").limit(1).count():
-        kinds = space.save(kinds, "kinds")
-        many = space.save(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor"), "hot")
-        kinds, crowd = kinds.join(many, "anchor", "left_anti"), kinds.join(many, "anchor", "left_semi")
-    found = kinds.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_build(length, ANCHOR), schema)
-    if many is not None:
-        windows = space.save(crowd.mapInArrow(_windows(length, ANCHOR), "anchor long, kind binary, copies long, before long, digest binary"), "windows")
-        twice = windows.groupBy("anchor", "before", "digest").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor", "before", "digest")
-        at = windows.join(twice, ["anchor", "before", "digest"]).groupBy("anchor", "kind").agg(F.collect_set("before").alias("at"))
-        found = found.unionByName(at.select("anchor", "kind", F.transform("at", lambda x: F.struct(x.alias("s"), x.alias("e"))).alias("runs")))
+    together = lambda of: of.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(build, schema)
+    if seen["n"]:
+        crowded = kinds.join(many, "anchor", "left_semi").mapInArrow(_split(length, ANCHOR), "anchor long, kind binary, copies long, group long, part binary, centre int, piece binary")
+        crowded = space.save(crowded, "crowded")
+        parts = crowded.groupBy("group", "part").agg(F.first("centre").alias("centre"), F.first("piece").alias("piece"), F.sum("copies").alias("copies"))
+        parts = parts.select(F.col("group").alias("anchor"), F.col("part").alias("kind"), "centre", "piece", "copies")
+        parts = space.save(together(parts).select(F.col("anchor").alias("group"), F.col("kind").alias("part"), "runs"), "parts")
+        split = crowded.select("anchor", "kind", "group", "part").join(parts, ["group", "part"]).groupBy("anchor", "kind").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        found = together(kinds.join(many, "anchor", "left_anti")).unionByName(split)
+    else:
+        found = together(kinds)
     found = space.save(found, "found")
     starts = F.transform("runs", lambda r: F.struct((F.col("place") - r["e"]).alias("s"), (F.col("place") - r["s"]).alias("e")))
     placed = pieces.select("key", "place", "anchor", "kind").join(found, ["anchor", "kind"]).select("key", starts.alias("runs"))
     runs = space.save(placed.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
     n_runs = row_count(runs)
+    space.drop("wanted", "pieces", "kinds", "many", "crowded", "parts", "found", "columns")
     out = keyed.join(_held(copies.select("key", "copies"), n_copies, "key"), "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
     if n_runs <= BROADCAST_KEYS:
         # Only texts that lose something meet their runs; the others stay where they are.
