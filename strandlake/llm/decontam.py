@@ -11,6 +11,7 @@ of 1, 2, ... words, and windows that match one after the other are one match.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONALNUM, bounded_batches, chunks, words_of
+from .common import NONALNUM, bounded_batches, chunks, unused, words_of
 
 WINDOW = 10
 #: Bytes of benchmark text that one block of items may have when it is broadcast.
@@ -182,7 +183,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Benchmark items with words, in blocks of bounded size: one block is held at a time."""
+    """Benchmark items with words, in blocks of bounded size."""
     block, held = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).filter("item is not null and text is not null").toLocalIterator():
         text = row["text"].encode()
@@ -194,12 +195,18 @@ def item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, byt
     yield block
 
 
+#: The probes of the blocks that this worker process has met; they are built once, not in every task.
+_BUILT: dict[str, Probes] = {}
 _SCHEMA = "n_words long, spans array<struct<s:long,e:long>>, items array<string>, longest long"
 
 
 def _scanner(held, window: int):
+    name = uuid.uuid4().hex
+
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        probes = Probes(held.value, window)
+        if name not in _BUILT:
+            _BUILT[name] = Probes(held.value, window)
+        probes = _BUILT[name]
         for texts in frames:
             found = list(scan([t.encode() if isinstance(t, str) else b"" for t in texts], probes))
             yield pd.DataFrame({"n_words": [x[0] for x in found], "spans": [[{"s": s, "e": e} for s, e in x[1]] for x in found], "items": [x[2] for x in found], "longest": [x[3] for x in found]})
@@ -207,22 +214,27 @@ def _scanner(held, window: int):
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every row of ``docs`` with a struct ``hit``: n_words, spans (runs of hit words), items, longest.
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, into: str = "hit") -> DataFrame:
+    """Every row of ``docs`` with a struct ``into``: n_words, spans (runs of hit words), items, longest.
 
     A document without words, or null, has no spans. Items without words or
-    id match nothing; an empty benchmark hits nothing. Each block of items is
-    one more scan expression on the same row, so nothing is shuffled.
+    id match nothing; an empty benchmark hits nothing. Each block of items is a
+    broadcast of ``block_bytes`` at most and one more scan expression on the same
+    row, so nothing is shuffled; a benchmark that is itself larger than a
+    worker's memory must be given in parts. ``into`` must not be a column of
+    ``docs``.
     """
+    if unused(into, docs) != into:
+        raise ValueError(f"the column name {into} is taken")
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = []
     for k, block in enumerate(item_blocks(benchmark, block_bytes)):
-        name = f"_hit{k}"
+        name = unused(f"{into}_{k}", docs)
         docs = docs.withColumn(name, F.pandas_udf(_scanner(spark.sparkContext.broadcast(block), window), _SCHEMA)("text"))
         parts.append(name)
     if len(parts) == 1:
-        return docs.withColumnRenamed(parts[0], "hit")
+        return docs.withColumnRenamed(parts[0], into)
     spans = F.array_sort(F.flatten(F.array(*(F.col(f"{p}.spans") for p in parts))))
     joined = F.aggregate(
         spans,
@@ -235,7 +247,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
         F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"{p}.items") for p in parts))))).alias("items"),
         F.greatest(*(F.col(f"{p}.longest") for p in parts)).alias("longest"),
     )
-    return docs.withColumn("hit", hit).drop(*parts)
+    return docs.withColumn(into, hit).drop(*parts)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -257,5 +269,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with their columns."""
-    return overlaps(docs, benchmark, window).filter(F.size("hit.spans") == 0).drop("hit")
+    """The rows of ``docs`` that hold no window of the benchmark, with their columns, whatever the names of these.
+
+    Null and empty texts stay, and so do null ids; rows that repeat stay or go
+    alike. An empty benchmark takes nothing away, an empty table stays empty.
+    """
+    hit = unused("hit", docs)
+    return overlaps(docs, benchmark, window, into=hit).filter(F.size(F.col(f"{hit}.spans")) == 0).drop(hit)
