@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches
+from .common import Workspace, bounded_batches, unused
 from .logistic import Logistic
 
 #: Labelled rows fitted on, rounds, pseudo-labels a view gives a round, surety they need.
@@ -197,7 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrain
     slim = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
     held = space.save(slim.mapInPandas(_measured, _FEATURES.format(docs.schema["doc_id"].dataType.simpleString())), "features")
     some = known.join(held.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    given = held.join(F.broadcast(some.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id").collect()
+    given = held.join(F.broadcast(some.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id")
+    # Of rows that repeat an id one is fitted on: what is collected has ``labelled`` rows at most.
+    fields = ["key", "t", "source", "lang", "n_chars", "y"]
+    given = given.groupBy("doc_id").agg(F.min(F.struct(*fields)).alias("row")).select("doc_id", "row.*").collect()
     given.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["t"]))
     y = np.array([r["y"] for r in given])
     if min((y == 0).sum(), (y == 1).sum()) < 8:
@@ -209,10 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrain
     return CoTrained.fit(xt, xp, y, surest(free, space))
 
 
-def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """``docs`` with a column ``_quality``: the probability of label 1; 1.0 everywhere without a model."""
+def score(docs: DataFrame, model: CoTrained | None, into: str) -> DataFrame:
+    """``docs`` with a column ``into``: the probability of label 1; 1.0 everywhere without a model."""
     if model is None:
-        return docs.withColumn("_quality", F.lit(1.0))
+        return docs.withColumn(into, F.lit(1.0))
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -221,7 +224,7 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
             xt = _texts(text)
             yield pd.Series(np.round(held.value.probability(xt, page_features(list(source), list(lang), list(n_chars))), 6))
 
-    return docs.withColumn("_quality", F.pandas_udf(run, "double")("text", "source", "lang", F.col("n_chars").cast("double")))
+    return docs.withColumn(into, F.pandas_udf(run, "double")("text", "source", "lang", F.col("n_chars").cast("double")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -232,10 +235,15 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
     enough labels every row has score 1 and is kept; an empty table gives an
     empty result. Extra columns are ignored.
     """
-    scored = score(docs.select("doc_id", "text", "lang", "source", "n_chars"), fit(docs, labels))
-    return scored.select("doc_id", F.col("_quality").alias("score"), (F.col("_quality") >= keep).alias("kept"))
+    scored = score(docs.select("doc_id", "text", "lang", "source", "n_chars"), fit(docs, labels), "score")
+    return scored.select("doc_id", "score", (F.col("score") >= keep).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns."""
-    return score(docs, fit(docs, labels)).filter(F.col("_quality") >= keep).drop("_quality")
+    """The rows of ``docs`` that are not rejected, with their columns, whatever the names of others than the five used.
+
+    Nulls, ties, repeated rows and missing labels are as in ``classify``; an
+    empty table stays empty.
+    """
+    name = unused("score", docs)
+    return score(docs, fit(docs, labels), name).filter(F.col(name) >= keep).drop(name)
