@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
 #: The plain formats. Possessive runs and the looks behind keep each scan linear and change no match:
@@ -286,20 +288,24 @@ def train(docs: DataFrame) -> Boosted:
     return Boosted.fit([(list(r["x"]), bool(r["aside"]), float(r["p"]), r["n"] + r["chance"] / CHANCE) for r in rows])
 
 
-def spans(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
-    """``docs`` with ``_base`` and ``_more``: arrays of (start, kind, end, name), sorted, in code points, end exclusive.
+def spans(docs: DataFrame, model: Boosted | None = None, base: str = "base", more: str = "more") -> DataFrame:
+    """``docs`` with ``base`` and ``more``: arrays of (start, kind, end, name), sorted, in code points, end exclusive.
 
-    ``_base`` has the plain matches that pass their check; ``_more`` the other
-    candidates that the model selects and that no base span overlaps.
+    ``base`` has the plain matches that pass their check; ``more`` the other
+    candidates that the model selects and that no base span overlaps. Neither
+    may be a column of ``docs``.
     """
+    if unused(base, docs) != base or unused(more, docs) != more:
+        raise ValueError(f"the column name {base} or {more} is taken")
+    held = unused("found", docs)
     model = train(docs) if model is None else model
     names = F.array(*(F.lit(k) for k in KINDS))
     slim = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), F.element_at(names, c["kind"] + 1).alias("name"))
-    found = docs.withColumn("_found", candidates(F.col("text")))
-    found = found.withColumn("_base", F.array_sort(F.transform(F.filter("_found", lambda c: ~c["loose"] & valid(c)), slim)))
-    clear = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    chosen = F.filter("_found", lambda c: c["loose"] & clear(c) & _scored(model, c))
-    return found.withColumn("_more", F.array_sort(F.transform(chosen, slim))).drop("_found")
+    found = docs.withColumn(held, candidates(F.col("text")))
+    found = found.withColumn(base, F.array_sort(F.transform(F.filter(held, lambda c: ~c["loose"] & valid(c)), slim)))
+    clear = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    chosen = F.filter(held, lambda c: c["loose"] & clear(c) & _scored(model, c))
+    return found.withColumn(more, F.array_sort(F.transform(chosen, slim))).drop(held)
 
 
 def _scored(model: Boosted, c: Column) -> Column:
@@ -319,17 +325,23 @@ def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     others; extra columns are ignored; an empty table gives an empty result.
     """
     found = spans(docs.select("doc_id", "text"), model)
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    both = F.array_sort(F.concat("_base", "_more"))
-    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(both).alias("spans"), F.size("_more").cast("long").alias("n_added"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    both = F.array_sort(F.concat("base", "more"))
+    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(both).alias("spans"), F.size("more").cast("long").alias("n_added"))
 
 
 def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
-    """``docs`` with every selected span of ``text`` replaced by its kind in brackets."""
-    found = spans(docs, model)
+    """``docs`` with every selected span of ``text`` replaced by its kind in brackets.
+
+    Other columns stay whatever their names; a null text stays null. Repeated
+    rows and null ids are rows like others; an empty table stays empty.
+    """
+    base = unused("base", docs)
+    more = unused("more", docs)
+    found = spans(docs, model, base, more)
     step = lambda acc, s: F.when(
         s["start"] >= acc["at"],
         F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["name"]), F.lit("]")).alias("out"), s["end"].alias("at")),
     ).otherwise(acc)
-    walk = F.aggregate(F.array_sort(F.concat("_base", "_more")), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.col("text").isNotNull(), walk)).drop("_base", "_more")
+    walk = F.aggregate(F.array_sort(F.concat(base, more)), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), walk)).drop(base, more)
