@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, row_count
+from .common import Workspace, unused
 
 #: Labelled documents that the classifier is fitted on, hash slots of words, gradient steps.
 LABELLED, SLOTS, STEPS = 4000, 2048, 40
@@ -31,8 +31,6 @@ TEMPERATURE = 0.7
 TOLERANCE = 1e-4
 #: Whole-number units of a log-likelihood.
 UNIT = 1_000_000
-#: Rates of distinct texts, about 24 bytes each, up to which they are broadcast; beyond it the join shuffles.
-BROADCAST_RATES = 300_000
 
 
 def words(docs: DataFrame, *keep: str) -> DataFrame:
@@ -183,14 +181,17 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | Non
     """``docs`` with every row repeated by its rate, rounded to a whole number so that the mean holds.
 
     Rates are joined by the digest of the text; rows that repeat an id each
-    take the rate of their own text.
+    take the rate of their own text. Null and empty texts have the rate of the
+    prior; a null id is a value of the hash that decides the fraction. Columns
+    are kept whatever their names. Without labelled documents every row stays
+    once; an empty table stays empty.
     """
     mixture = Mixture.fit(docs, labelled, weights, steps)
     if not mixture.domains:
         return docs
-    rates = mixture.table.select(F.col("key").alias("_key"), F.round(mixture.rates(), 6).alias("_rate"))
-    if row_count(mixture.table) <= BROADCAST_RATES:
-        rates = F.broadcast(rates)
-    joined = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).join(rates, "_key")
-    counted = joined.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"), F.col("_key")))
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_copies") > 0, F.col("_copies"))))).select(*docs.columns)
+    key = unused("key", docs)
+    rates = mixture.table.select(F.col("key").alias(key), F.round(mixture.rates(), 6).alias(rate := unused("rate", docs)))
+    joined = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))).join(rates, key)
+    times = copies(F.col(rate), F.col("doc_id"), F.col(key))
+    every = F.array_repeat(F.lit(1), times)
+    return joined.withColumn(unused("copy", joined), F.explode(every)).select(*docs.columns)
