@@ -20,18 +20,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import Workspace, bounded_batches
 from .logistic import Logistic
 
 #: Labelled rows that are fitted on, terms and stems of the lexicon, words on either side of a hit, threshold of ``predicted``.
 LABELLED, TERMS, STEMS, WINDOW, THRESHOLD = 6000, 600, 200, 6, 0.3
 #: Letters from which a term may be missed by one and by two edits; letters that a stem may have.
 ONE_EDIT, TWO_EDITS, STEM = 5, 9, (4, 8)
-#: Words that a worker remembers before it starts again.
-REMEMBERED = 300_000
+#: Words and states of the automaton that a worker remembers before it starts again.
+REMEMBERED, STATES = 300_000, 100_000
+#: Bytes of labelled texts that are fitted on at most; a text is taken whole or not at all.
+SAMPLE = 64 << 20
 WORD = re.compile(r"[^\W_]+(?:[0@$!*1345]+[^\W_]+)*")
 QUOTES = re.compile("[\"“”«»„]")
 #: Words that introduce what others said.
@@ -132,7 +134,7 @@ class Lexicon:
         found = self._seen.get(word, 0)
         if found != 0:
             return found
-        if self._auto is None:
+        if self._auto is None or len(self._auto.states) >= STATES:
             self._auto = Automaton(list(self.terms))
         near = self._auto.find(word)
         found = None if near is None else (int(near[1] > 0), self.terms[near[0]], near[0])
@@ -270,15 +272,23 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Lexicon:
-    """Learns from the ``most`` labelled rows that are not held out, those with the least hash of their id; ids with both labels are left out."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, sample: int = SAMPLE) -> Lexicon:
+    """Learns from labelled rows that are not held out, those with the least hash of their id: ``most`` rows and ``sample`` bytes at most.
+
+    Ids with both labels are left out; of rows that repeat an id one is taken.
+    """
     bounded_batches(docs.sparkSession)
+    space = Workspace(docs.sparkSession, "toxicity")
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("_high")).filter("y = _high").select("doc_id", "y")
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("high")).filter("y = high").select("doc_id", "y")
     some = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # Long texts are a bounded part of the sample: about `most` texts reach the driver, each whole, one partition at a time.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").repartition(16, "doc_id").sortWithinPartitions("doc_id", "text")
-    return learn([(r["text"] or "", r["y"]) for r in rows.toLocalIterator()])
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    rows = space.save(rows, "rows")
+    # At most ``most`` rows without their texts are numbered here.
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = rows.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= sample).select("doc_id")
+    taken = rows.join(within, "doc_id").orderBy("doc_id").toLocalIterator()
+    return learn([(r["text"] or "", r["y"]) for r in taken])
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
