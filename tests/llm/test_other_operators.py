@@ -44,24 +44,73 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
-def test_warc_records_are_whole(spark, tmp_path):
+def stored(spark, rows):
     path = Workspace(spark, "warc-test").path
-    warc.write_archive(pages(spark, PAGES), path)
-    stored = warc.read_payloads(spark, path)
-    assert stored.select("sha256").distinct().count() == len({(h or "") for _, _, h in PAGES})
-    for r in warc.records(spark, path).collect():
+    warc.write_archive(pages(spark, rows), path)
+    return path
+
+
+def test_warc_records_are_whole(spark, tmp_path):
+    path = stored(spark, PAGES)
+    body = {p: (h or "").encode() for p, _, h in PAGES}
+    assert sorted(bytes(r.payload) for r in warc.read_payloads(spark, path).collect()) == sorted({(h or "").encode() for _, _, h in PAGES})
+    names = set()
+    found = warc.records(spark, path).collect()
+    assert len(found) == len(PAGES)
+    for r in found:
         (fields, head, block), *rest = warc.parse(bytes(r.record))
-        assert not rest and fields["WARC-Type"] == r.record_type and head.startswith(b"WARC/1.1\r\n")
-        digest = "sha1:" + base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
-        assert fields["WARC-Payload-Digest"] == digest
-        assert block == (b"" if r.record_type == "revisit" else bytes(r.payload))
-        assert ("WARC-Refers-To" in fields) == (r.record_type == "revisit")
-    ids = {r.page_id: dict(next(warc.parse(bytes(r.record)))[0]) for r in warc.records(spark, path).collect()}
+        names.add(fields["WARC-Record-ID"])
+        revisit = fields["WARC-Type"] == "revisit"
+        assert not rest and head.startswith(b"WARC/1.1\r\n") and (r.payload is None) == revisit
+        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body[r.page_id]).digest()).decode()
+        assert block == (b"" if revisit else body[r.page_id])
+        assert ("WARC-Refers-To" in fields) == revisit
+    assert len(names) == len(PAGES)
+    ids = {r.page_id: dict(next(warc.parse(bytes(r.record)))[0]) for r in found}
     assert ids[1]["WARC-Refers-To"] == ids[9]["WARC-Record-ID"]
-    (tmp_path / "a.warc").write_bytes(b"".join(bytes(r.record) for r in warc.records(spark, path).collect()))
+    (tmp_path / "a.warc").write_bytes(b"".join(bytes(r.record) for r in found))
     assert warc.read_warc_files(spark, str(tmp_path / "a.warc")).count() == len(PAGES)
 
 
+def test_warc_stores_payloads_once_where_rows_repeat(spark):
+    rows = [(1, "u", BIG), (1, "u", BIG), (1, "v", BIG), (None, "n", BIG + "2"), (None, "n", BIG + "2"), (2, "w", "tiny"), (2, "w", "tiny")]
+    path = stored(spark, rows)
+    assert warc.read_payloads(spark, path).count() == 3
+    assert sorted(map(tuple, warc.read_back(spark, path).collect()), key=str) == want_roles(rows)
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_warc_without_broadcasts(spark, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert sorted(map(tuple, warc.round_trip(pages(spark, PAGES)).collect()), key=str) == want_roles(PAGES)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def changed(spark, path, page_id, old, new):
+    """The archive with the header bytes of one page's record changed."""
+    heads = spark.read.parquet(f"{path}/headers")
+    text = F.decode("header", "UTF-8")
+    other = F.encode(F.replace(text, F.lit(old), F.lit(new)), "UTF-8")
+    heads.withColumn("header", F.when(F.col("page_id") == page_id, other).otherwise(F.col("header"))).write.parquet(f"{path}-changed/headers")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{path}-changed/payloads")
+    return f"{path}-changed"
+
+
+def test_warc_reads_what_the_header_bytes_say(spark):
+    path = changed(spark, stored(spark, PAGES), 3, "WARC-Type: response", "WARC-Type: resource")
+    assert {r.record_type for r in warc.read_back(spark, path).collect() if r.page_id == 3} == {"resource"}
+    ids = {r.page_id: next(warc.parse(bytes(r.record)))[0]["WARC-Record-ID"] for r in warc.records(spark, path).collect()}
+    path = changed(spark, stored(spark, PAGES), 1, ids[9], ids[8])
+    with pytest.raises(Exception, match="no response with this payload"):
+        warc.read_back(spark, path).collect()
+    path = changed(spark, stored(spark, PAGES), 4, "sha1:", "sha1:A")
+    with pytest.raises(Exception):
+        warc.read_back(spark, path).collect()
+
+
 def test_warc_detects_damage(spark):
     space = Workspace(spark, "warc-damage")
     warc.write_archive(pages(spark, PAGES[:3]), space.path)
@@ -75,15 +124,15 @@ def test_warc_detects_damage(spark):
 
 
 def brute_top(rows, k, every):
-    v = {}
+    """Over rows, not ids: a row that repeats an id is a row like others."""
+    v = []
     for i, x in rows:
         if i is not None and x and all(c is not None and np.isfinite(c) for c in x):
-            f = [int(np.floor(64 * np.float64(np.float32(c)))) for c in x]
-            v[i] = min(v.get(i, f), f)
+            v.append((i, [int(np.floor(64 * np.float64(np.float32(c)))) for c in x]))
     out = []
-    for q in v:
+    for n, (q, x) in enumerate(v):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q and len(v[c]) == len(v[q]))
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), c) for m, (c, y) in enumerate(v) if m != n and len(y) == len(x))
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -94,21 +143,44 @@ def test_top_k_against_brute_force(spark, block):
     rows = [(i, [r.gauss(0, 1) for _ in range(17)]) for i in range(150)]
     rows += [(200 + i, rows[3][1]) for i in range(40)]
     rows += [(300, None), (301, [None] * 17), (302, [float("nan")] * 17), (303, [float("inf")] + [0.0] * 16), (304, []), (None, rows[0][1]), (5, rows[5][1]), (305, [1.0, 2.0]), (310, [0.5, -1.0])]
+    rows += [(20, rows[7][1]), (21, rows[8][1])]
     table = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<float>, score int")
     got = sorted(map(tuple, topk.top_k(table, 7, 5, block=block).collect()))
     assert got == brute_top(rows, 7, 5)
     assert topk.top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_takes_rows_that_repeat_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 0.0]), (1, [1.0, 1.0]), (1, [2.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(table, 2).collect())) == brute_top(rows, 2, 20) == [(20, 1, 1, 4096), (20, 1, 1, 8192), (20, 2, 1, 2048), (20, 2, 1, 4096)]
+
+
+def test_top_k_scores_are_exact():
+    r = random.Random(3)
+    for most in (2**20, 2**30, 2**31):
+        q, x = (np.array([[r.randrange(-most, most) for _ in range(2)] for _ in range(6)]) for _ in range(2))
+        assert topk.products(q, x).tolist() == [[sum(int(a) * int(b) for a, b in zip(s, t)) for t in x] for s in q]
+    assert topk.products(np.array([[2**30, 1]]), np.array([[2**30, 1]]))[0, 0] == 2**60 + 1
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[2**40, 0]]), np.array([[2**40, 0]]))
+
+
+def test_top_k_of_large_numbers(spark):
+    rows = [(0, [2.0**24, 2.0**-6]), (1, [2.0**24, 2.0**-6]), (2, [2.0**24, 0.0]), (3, [2.0**24, 2.0**-5]), (4, [-(2.0**24), 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in topk.top_k(table, 4).orderBy("rank").collect()] == [(0, 1, 3, 2**60 + 2), (0, 2, 1, 2**60 + 1), (0, 3, 2, 2**60), (0, 4, 4, -(2**60) + 64)]
+
+
 def test_top_k_bounds_hold_and_prune():
     rng = np.random.default_rng(2)
     x, q = rng.integers(-64, 64, (500, 64)), rng.integers(-64, 64, (9, 64))
     for s in topk.LEVELS:
         assert (topk.statistics(q.astype(float), s) @ topk.statistics(x.astype(float), s).T >= q @ x.T - 1e-6).all()
     smooth = np.repeat(rng.integers(-64, 64, (4000, 4)), 16, axis=1)
-    search = topk.Search(np.arange(3), smooth[:3], 5)
+    search = topk.Search(np.arange(3), np.arange(3), smooth[:3], 5)
     for a in range(0, 4000, 500):
-        search.add(np.arange(a, a + 500), smooth[a : a + 500])
+        search.add(np.arange(a, a + 500), np.arange(a, a + 500), smooth[a : a + 500])
     assert search.exact < search.pairs / 2
 
 
@@ -116,13 +188,13 @@ def test_top_k_bounds_hold_and_prune():
 
 
 def test_store_versions_and_compaction(spark):
-    docs = spark.createDataFrame([(i if i % 7 else None, ("text %d " % (i % 50)) * 30, "en", "s", i) for i in range(900)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i if i % 7 else None, ("text %d " % (i % 50)) * 30, "en", "s", i, "x", i) for i in range(900)], "doc_id long, text string, lang string, source string, n_chars long, _shard string, arrival int")
     store, rows = sharding.shard(docs, arrivals=9, target=60_000, smallest=2_000, fan_in=3)
-    assert sorted(map(str, rows.drop("_shard").collect())) == sorted(map(str, docs.collect()))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, docs.collect()))
     version, shards = store.manifest()
     assert sum(s.rows for s in shards) == 900 and len(shards) < 9 and version == store.versions()[-1]
-    assert store.due(shards) is None
-    assert store.manifest(1)[1] != shards
+    assert store.due(shards) is None and version > 9
+    assert {x.tag for x in store.read(docs.schema, tag="tag").select("tag").distinct().collect()} == {s.name for s in shards}
     before = store.manifest()
     with pytest.raises(sharding.Conflict):
         store.commit(version - 1, [])
@@ -130,9 +202,37 @@ def test_store_versions_and_compaction(spark):
     store.append(docs.limit(5))
     assert store.read(docs.schema).count() == 905
     _, empty = sharding.shard(docs.limit(0), arrivals=2)
-    assert empty.count() == 0
-    with pytest.raises(ValueError):
-        sharding.shard(docs.withColumn("_shard", F.lit(1)))
+    assert empty.count() == 0 and empty.columns == docs.columns
+
+
+def test_store_keeps_the_versions_that_readers_hold(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    store = sharding.Store(spark, Workspace(spark, "store-test").path, target=1 << 20, smallest=1 << 10, fan_in=2, retain=3)
+    for k in range(4):
+        store.append(docs.filter(F.col("doc_id") % 4 == k).coalesce(1))
+    held = store.read(docs.schema, version=4)
+    assert store.compact(docs.schema) >= 2
+    last = store.versions()[-1]
+    assert store.versions() == [last - 2, last - 1, last] and len(store.manifest()[1]) < 4
+    assert [store.read(docs.schema, version=v).count() for v in store.versions()] == [40] * 3
+    assert held.count() == 40 if 4 in store.versions() else True
+    with pytest.raises(KeyError):
+        store.read(docs.schema, version=1)
+
+
+def test_store_writes_all_arrivals_in_one_pass(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    store = sharding.Store(spark, Workspace(spark, "store-test").path)
+    added = store.append(docs.mapInPandas(count, docs.schema), (F.col("doc_id") % 5).cast("int"), 6)
+    assert seen.value == 200 and [s.rows for s in added] == [40] * 5 + [0] and store.versions() == list(range(1, 7))
+    assert store.read(docs.schema).count() == 200 and store.read(docs.schema, version=2).count() == 80
 
 
 # --- mixing ----------------------------------------------------------------

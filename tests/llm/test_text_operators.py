@@ -121,13 +121,28 @@ def repeats_corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_remove_repeats_against_brute_force(spark, hot):
+@pytest.mark.parametrize("crowd, keys", [(suffix_dedup.CROWD, suffix_dedup.BROADCAST_KEYS), (1, 0), (0, 5)])
+def test_remove_repeats_against_brute_force(spark, crowd, keys, monkeypatch):
+    """Crowded anchors split or not, counted tables broadcast or shuffled."""
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_KEYS", keys)
     rows = repeats_corpus()
-    got = suffix_dedup.remove_repeats(frame(spark, rows), hot=hot).drop("kept").collect()
+    got = suffix_dedup.remove_repeats(frame(spark, rows), crowd=crowd).drop("kept").collect()
     assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 200)
 
 
+def test_remove_repeats_around_a_crowded_passage(spark):
+    """One passage in many documents with bytes of their own on either side."""
+    r, shared = random.Random(4), prose(50, 90, 900)
+    rows = [(k, "".join(r.choice("ab") for _ in range(k % 40)) + shared[: 300 - k % 7] + "".join(r.choice("cd") for _ in range(k % 45))) for k in range(120)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), crowd=3).drop("kept").collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 200)
+
+
+def test_ranges_cover_every_start():
+    for reach in (1, 2, 7, 136):
+        assert [b for a, e in suffix_dedup.ranges(reach) for b in range(a, e + 1)] == list(range(reach + 1))
+
+
 def test_remove_repeats_empty(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
     assert suffix_dedup.remove_repeats(frame(spark, [(1, None), (2, "")])).select("n_bytes", "n_removed").distinct().collect() == [(0, 0)]
@@ -141,20 +156,19 @@ def test_anchors_are_the_same_in_parts(monkeypatch):
     assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
 
 
-def test_column_insertion_orders_suffixes():
-    """The transform's order and common prefixes of every column equal a plain sort's."""
+def test_column_insertion_orders_suffixes(tmp_path):
+    """The transform, order and common prefixes of every column equal a plain sort's."""
     r = random.Random(3)
     pieces = [bytes(r.choice(b"ab") for _ in range(12)) for _ in range(40)]
     symbols = np.array([list(p) for p in pieces], np.uint8)
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:
-        for column, order, lcp in suffix_dedup.Columns(symbols, np.ones_like(symbols, bool), np.zeros(40, int), folder).rounds():
-            suffix = [pieces[i][column:] for i in order]
-            assert suffix == sorted(suffix) and lcp[0] == -1
-            for k in range(1, 40):
-                same = next((n for n, (x, y) in enumerate(zip(suffix[k - 1], suffix[k])) if x != y), 12 - column)
-                assert lcp[k] == same
+    for column, order, lcp, transform in suffix_dedup.Columns(symbols, np.ones_like(symbols, bool), np.zeros(40, int), f"file://{tmp_path}/columns").rounds():
+        suffix = [pieces[i][column:] for i in order]
+        assert suffix == sorted(suffix) and lcp[0] == -1
+        assert transform.tolist() == [pieces[i][column - 1] + 1 if column else 0 for i in order]
+        for k in range(1, 40):
+            same = next((n for n, (x, y) in enumerate(zip(suffix[k - 1], suffix[k])) if x != y), 12 - column)
+            assert lcp[k] == same
+    assert not (tmp_path / "columns").exists()
 
 
 # --- decontamination -------------------------------------------------------
