@@ -23,7 +23,9 @@ length instead, and no match is lost by that:
   the windows that begin between two of CUTS before the anchor all hold the
   same bytes around it, so pieces that differ there need not meet. Within a
   range only the bytes that its windows reach are kept, which makes many pieces
-  one.
+  one. A range that is still crowded is split down to single starts, where a part
+  is a window and equal ones are one part: they are counted and nothing is left
+  to sort.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from .common import POWERS, U64, Workspace, as_long, bounded_batches, mix, row_c
 
 LENGTH, ANCHOR = 200, 64
 #: Different pieces of an anchor above which it is split, and the ranges of window starts (bytes before the anchor, mirrored) it is split into.
-CROWD, CUTS = 256, (0, 2, 8, 32)
+CROWD, CUTS = 1024, (0, 2, 8, 32)
 #: Rows of 16-byte keys up to which a counted table is broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 300_000
 #: Bytes of text hashed at once; a longer text is taken in overlapping parts.
@@ -104,7 +106,9 @@ class Columns:
     """
 
     def __init__(self, symbols: np.ndarray, valid: np.ndarray, groups: np.ndarray, folder: str):
-        self.symbols, self.valid, self.groups = symbols, valid, groups
+        # One row for each column: what precedes the suffixes that begin one column later.
+        self.columns = np.ascontiguousarray(np.where(valid, symbols.astype(np.int16) + 1, 0).T)
+        self.groups = groups
         self.store, self.folder = fs.FileSystem.from_uri(folder)
 
     def _write(self, k: int, order: np.ndarray, lcp: np.ndarray, transform: np.ndarray) -> None:
@@ -118,12 +122,10 @@ class Columns:
 
     def _before(self, order: np.ndarray, column: int) -> np.ndarray:
         """The symbols in front of ``column`` in this order."""
-        if not column:
-            return np.zeros(len(order), np.int16)
-        return np.where(self.valid[order, column - 1], self.symbols[order, column - 1].astype(np.int16) + 1, 0)
+        return self.columns[column - 1][order] if column else np.zeros(len(order), np.int16)
 
     def rounds(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        n, width = self.symbols.shape
+        width, n = self.columns.shape
         # Before the first round the suffixes are empty: equal within an anchor's group.
         order = np.argsort(self.groups, kind="stable")
         held = self.groups[order]
@@ -150,9 +152,12 @@ def insert(transform: np.ndarray, order: np.ndarray, lcp: np.ndarray) -> tuple[n
     symbol in this column has nothing in common with any other.
     """
     n = len(order)
-    group = np.cumsum(lcp < 0) - 1
+    start = lcp < 0
+    group = np.cumsum(start, dtype=np.int32) - 1
+    # Stable sorts by symbol and then by group; of 16-bit numbers they take linear time.
+    move = np.argsort(transform, kind="stable")
+    move = move[np.argsort(group[move].astype(np.uint16) if group[-1] < 1 << 16 else group[move], kind="stable")]
     key = group * 257 + transform
-    move = np.argsort(key, kind="stable")
     # The least prefix on the way from one entry to the next of the same symbol.
     out = np.zeros(n, np.int16)
     sorted_key = key[move]
@@ -162,8 +167,7 @@ def insert(transform: np.ndarray, order: np.ndarray, lcp: np.ndarray) -> tuple[n
         low, high = move[at - 1] + 1, move[at]
         out[at] = range_minimum(lcp, low, high) + 1
     out[sorted_key % 257 == 0] = 0
-    group_sorted = group[move]
-    out[np.r_[True, group_sorted[1:] != group_sorted[:-1]]] = -1
+    out[start] = -1  # groups stay where they are
     return order[move], out
 
 
@@ -299,6 +303,25 @@ def _split(length: int, anchor: int):
     return run
 
 
+def _starts(length: int, anchor: int):
+    """Every window of a part, with its bytes before the anchor and its digest."""
+
+    def run(batches):
+        for batch in batches:
+            owner, before, digest = [], [], []
+            for i, (c, piece) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("centre", "piece")))):
+                least, last = whole(c, len(piece), length, anchor)
+                for b in range(least, last + 1):
+                    owner.append(i)
+                    before.append(b)
+                    digest.append(hashlib.blake2b(piece[c - b : c - b + length], digest_size=16, salt=b.to_bytes(2, "big")).digest())
+            if owner:
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in ("anchor", "kind", "copies")), pa.array(before, pa.int64()), pa.array(digest, pa.binary())], ["anchor", "kind", "copies", "before", "digest"])
+
+    return run
+
+
 def _cut(length: int):
     def run(batches):
         for batch in batches:
@@ -376,9 +399,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         crowded = kinds.join(many, "anchor", "left_semi").mapInArrow(_split(length, ANCHOR), "anchor long, kind binary, copies long, group long, part binary, centre int, piece binary")
         crowded = space.save(crowded, "crowded")
         parts = crowded.groupBy("group", "part").agg(F.first("centre").alias("centre"), F.first("piece").alias("piece"), F.sum("copies").alias("copies"))
-        parts = parts.select(F.col("group").alias("anchor"), F.col("part").alias("kind"), "centre", "piece", "copies")
-        parts = space.save(together(parts).select(F.col("anchor").alias("group"), F.col("kind").alias("part"), "runs"), "parts")
-        split = crowded.select("anchor", "kind", "group", "part").join(parts, ["group", "part"]).groupBy("anchor", "kind").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        parts = space.save(parts.select(F.col("group").alias("anchor"), F.col("part").alias("kind"), "centre", "piece", "copies"), "parts")
+        dense = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("anchor")
+        dense, thick = space.counted(dense, "dense", F.count(F.lit(1)).alias("n"))
+        if thick["n"]:
+            starts = parts.join(dense, "anchor", "left_semi").mapInArrow(_starts(length, ANCHOR), "anchor long, kind binary, copies long, before long, digest binary")
+            starts = space.save(starts, "starts")
+            twice = space.save(starts.groupBy("digest").agg(F.sum("copies").alias("n")).filter("n > 1").select("digest"), "twice")
+            at = starts.join(twice, "digest").select("anchor", "kind", F.array(F.struct(F.col("before").alias("s"), F.col("before").alias("e"))).alias("runs"))
+            parts = together(parts.join(dense, "anchor", "left_anti")).unionByName(at)
+        else:
+            parts = together(parts)
+        ends = parts.select(F.col("anchor").alias("group"), F.col("kind").alias("part"), "runs")
+        split = crowded.select("anchor", "kind", "group", "part").join(space.save(ends, "ends"), ["group", "part"]).select("anchor", "kind", "runs")
+        # A piece has several rows, one for each range or start that it shares.
         found = together(kinds.join(many, "anchor", "left_anti")).unionByName(split)
     else:
         found = together(kinds)
@@ -387,7 +421,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     placed = pieces.select("key", "place", "anchor", "kind").join(found, ["anchor", "kind"]).select("key", starts.alias("runs"))
     runs = space.save(placed.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
     n_runs = row_count(runs)
-    space.drop("wanted", "pieces", "kinds", "many", "crowded", "parts", "found", "columns")
+    space.drop("wanted", "pieces", "kinds", "many", "crowded", "parts", "dense", "starts", "twice", "ends", "found", "columns")
     out = keyed.join(_held(copies.select("key", "copies"), n_copies, "key"), "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
     if n_runs <= BROADCAST_KEYS:
         # Only texts that lose something meet their runs; the others stay where they are.

@@ -139,7 +139,7 @@ def test_remove_repeats_around_a_crowded_passage(spark):
 
 
 def test_ranges_cover_every_start():
-    for reach in (1, 2, 7, 136):
+    for reach in (1, 2, 7, 136, 436):
         assert [b for a, e in suffix_dedup.ranges(reach) for b in range(a, e + 1)] == list(range(reach + 1))
 
 
