@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from .functions import dna
 from .operators import encode, sampling, scoring, windows
 from .plans import mapping
+from .server import Server
 from .sources import fasta, tables
 
+#: Indexes that this session has opened, by path.
+OPENED: dict[str, tuple] = {}
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandlake")
@@ -31,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     rope = {"k": 20_000, "s": 5, "m": 1, "c": 5, "normalize": 0}
     add("index", "fasta", "out", kstep=2000, precision="e4m3", **rope)
     add("map", "index", "reads", "out", topk=20, precision="f32", kind="real")
-    add("sample", "fasta", "out", n=1000, k=20_000, err=0.05, seed=42, draw="even", withn=False)
+    add("sample", "fasta", "out", n=1000, k=20_000, err=0.05, seed=42, draw="even", withn=False, again=False)
     add("check-sample", "fasta", "reads", k=20_000, err=0.05)
     add("verify", "provenance", "maps", k=20_000)
     add("paf", "paf", threshold=20_000)
@@ -40,10 +44,27 @@ def parser() -> argparse.ArgumentParser:
     add("pool", "fasta", k=20_000)
     add("separate", "reads", "out")
     add("random", "out", n=1, length=1_000_000, seed=42)
+    add("reads", "fasta", "out", n=1000, k=20_000, err=0.0, seed=42)
+    add("mutate", "fasta", "out", err=0.05, seed=42, shift=False)
+    add("evaluate", "fasta", kstep=2000, n=1000, err=0.05, seed=1, topk=20, **rope)
     add("convert", "source", "out")
+    add("server", "commands", every=1.0)
     return p
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def opened(spark: SparkSession, path: str) -> tuple:
+    """An index that stays in memory for the commands after this one."""
+    if path not in OPENED:
+        index, meta = tables.read_index(spark, path)
+        OPENED[path] = index.cache(), meta
+    return OPENED[path]
+
+
 def reads_of(spark: SparkSession, path: str):
     return fasta.load(spark, path).select(F.monotonically_increasing_id().alias("read_id"), "head", dna.acgt("seq").alias("frag"))
 
@@ -53,11 +74,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         r = encode.Rope(a.k, a.s, a.m, a.c, a.normalize)
         tables.write_index(mapping.build_index(fasta.read_fasta(spark, a.fasta), r, a.kstep, a.precision), a.out, k=a.k, kstep=a.kstep, s=a.s, m=a.m, c=a.c, normalize=a.normalize)
     elif a.command == "map":
-        index, meta = tables.read_index(spark, a.index)
+        index, meta = opened(spark, a.index)
         r = encode.Rope(*(int(meta[x]) for x in ("k", "s", "m", "c", "normalize")))
         reads = reads_of(spark, a.reads)
         hits = mapping.map_reads(reads, index, r, a.topk, a.kind, a.precision)
         tables.write_maps(hits.join(reads.select("read_id", "head"), "read_id"), a.out)
+    elif a.command == "sample" and there(spark, a.out) and not a.again:
+        print(f"{a.out} is there already")
     elif a.command == "sample":
         fasta.write_fasta(sampling.sample_reads(fasta.read_fasta(spark, a.fasta), a.n, a.k, a.err, a.seed, a.draw, not a.withn), a.out, seq="frag")
     elif a.command == "check-sample":
@@ -85,6 +108,17 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         tables.write_provenance(prov, f"{a.out}/provenance")
     elif a.command == "random":
         fasta.write_fasta(sampling.random_sequences(spark, a.n, a.length, a.seed).select(F.concat(F.lit(">random_"), F.col("id").cast("string")).alias("head"), "seq"), a.out)
+    elif a.command == "reads":
+        fasta.write_fasta(sampling.generated_reads(fasta.read_fasta(spark, a.fasta), a.n, a.k, a.err, a.seed), a.out, seq="frag")
+    elif a.command == "mutate":
+        rows = fasta.read_fasta(spark, a.fasta).withColumn("seq", sampling.mutated(dna.acgt("seq"), "rec_id", a.err, a.seed, "shift" if a.shift else "edits"))
+        fasta.write_fasta(rows, a.out)
+    elif a.command == "evaluate":
+        r = encode.Rope(a.k, a.s, a.m, a.c, a.normalize)
+        _, score = mapping.sample_map_score(fasta.read_fasta(spark, a.fasta), r, a.kstep, a.n, a.err, a.seed, a.topk)
+        print(scoring.result_line(score, ref=a.fasta, k=a.k, kstep=a.kstep).first()["line"])
+    elif a.command == "server":
+        Server(spark, a.commands, lambda words: run(spark, parser().parse_args(words))).serve(a.every)
     elif a.command == "convert":
         rows = fasta.load(spark, a.source)
         rows.write.parquet(a.out) if a.out.endswith(".parquet") else fasta.write_fasta(rows, a.out)

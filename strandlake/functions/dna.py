@@ -37,7 +37,8 @@ def acgt_only(seq: Column | str) -> Column:
 
 def iupac_to_g(seq: Column | str) -> Column:
     """The ambiguity letters B K M R S W Y as G; the rest stays."""
-    return F.translate(F.upper(col(seq)), "BKMRSWY", "GGGGGGG")
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(F.translate(col(seq), lower, lower.upper()), "BKMRSWY", "GGGGGGG")
 
 
 def codes(seq: Column | str) -> Column:
@@ -92,11 +93,9 @@ def scramble(smer: Column | str, c: int) -> Column:
 
 def pack_words(code: Column | str) -> Column:
     """array<long> of 32-bit words, 16 bases each, base j in bits 2 * (j % 16); zeros at the end."""
-    c = col(code)
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.floor((F.size(c) - 1) / 16).cast("int"), F.lit(0))),
-        lambda w: F.aggregate(F.reverse(F.slice(c, w * 16 + 1, F.lit(16))), F.lit(0).cast("long"), lambda acc, x: acc * 4 + x),
-    )
+    word = lambda c, w: F.aggregate(F.reverse(F.slice(c, w * 16 + 1, F.lit(16))), F.lit(0).cast("long"), lambda acc, x: acc * 4 + x)
+    # The codes are bound once: an expression inside a lambda would be computed again for every word.
+    return F.transform(F.array(col(code)), lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(c) - 1) / 16).cast("int"), F.lit(0))), lambda w: word(c, w)))[0]
 
 
 def unpack_words(words: Column | str, n: Column | int) -> Column:
@@ -131,6 +130,23 @@ def provenance(head: Column | str) -> Column:
     return F.when(is_sample & good_sample, sample).when(~is_sample & h.rlike("^>[^:]*:[0-9]+:(true|false)(#[^:]*)?$"), colon)
 
 
+def loose_provenance(head: Column | str) -> Column:
+    """struct<id, src, start, len> of a header's name=value fields in any order, ``id=`` among them; null if it has neither a source nor a start.
+
+    The id is the first token unless a field gives one. A header without fields
+    whose id is ``record:<0-based>:<strand>`` has its place from that.
+    """
+    tokens = F.filter(F.split(F.regexp_replace(col(head), "^>", ""), " +"), lambda t: t != "")
+    last = lambda name: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda t: t.startswith(f"{name}=")), lambda t: F.substring(t, len(name) + 2, 1 << 30))), -1)
+    whole = lambda c: F.when(c.rlike("^[+-]?[0-9]{1,18}$"), c).cast("long")
+    id_ = F.coalesce(last("id"), F.get(tokens, F.lit(0)))
+    src, start, len_ = F.coalesce(last("src"), F.lit("")), F.coalesce(whole(last("start")), F.lit(0)), F.coalesce(whole(last("len")), F.lit(0))
+    parts = F.split(id_, ":")
+    colon = (start == 0) & (src == "") & id_.contains(":")
+    place = F.when((F.size(parts) == 3) & parts[1].rlike("^[+-]?[0-9]{1,18}$"), F.struct(id_.alias("id"), parts[0].alias("src"), (parts[1].cast("long") + 1).alias("start"), len_.alias("len")))
+    return F.when(colon, place).when((start > 0) | (src != ""), F.struct(id_.alias("id"), src.alias("src"), start.alias("start"), len_.alias("len")))
+
+
 def read_head(i: Column, start: Column, k: int, head: Column) -> Column:
     """Provenance header of a sampled read."""
     return F.format_string(f">read_%d start=%d len={k} src=%s", i, start, record_name(head))
@@ -175,6 +191,19 @@ def edit_rate(a: Column | str, b: Column | str) -> Column:
     return F.when(F.greatest(F.length(a), F.length(b)) > 0, F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))).otherwise(0.0)
 
 
+def capped_edits(a: Column | str, b: Column | str, most: int) -> Column:
+    """Levenshtein distance up to ``most``; -1 beyond it."""
+    return F.levenshtein(col(a), col(b), most)
+
+
+def block_edit_rates(a: Column | str, b: Column | str, size: int = 1000) -> Column:
+    """The edit rate of each pair of blocks of ``size`` characters at the same place; as many as the shorter text has whole or begun."""
+    a, b = col(a), col(b)
+    n = F.ceil(F.least(F.length(a), F.length(b)) / size).cast("int")
+    rate = lambda i: edit_rate(F.substring(a, i * size + 1, F.lit(size)), F.substring(b, i * size + 1, F.lit(size)))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), rate)).otherwise(F.array().cast("array<double>"))
+
+
 def edit_rate_plausible(distance: Column, k: Column | int, err: Column | float) -> Column:
     """Whether a read of ``k`` bases mutated at ``err`` may have this distance: half the rate to the rate and one base."""
     return (distance / k >= 0.5 * err) & (distance / k <= err + 1 / k)

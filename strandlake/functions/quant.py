@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the format: largest finite number, least exponent, fraction bits.
@@ -34,3 +34,16 @@ def split_complex(re: Column | str, im: Column | str) -> tuple[Column, Column]:
     """The two real vectors whose products with [re, im] are a complex inner product's parts."""
     re, im = (F.col(c) if isinstance(c, str) else c for c in (re, im))
     return F.concat(re, im), F.concat(im, F.transform(re, lambda x: -x))
+
+
+def stacked(a: Column | str, b: Column | str) -> Column:
+    """Two split vectors one after the other, as one split vector: both real parts, then both imaginary ones."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    half = lambda v: F.floor(F.size(v) / 2).cast("int")
+    return F.concat(F.slice(a, F.lit(1), half(a)), F.slice(b, F.lit(1), half(b)), F.slice(a, half(a) + 1, half(a)), F.slice(b, half(b) + 1, half(b)))
+
+
+def side_by_side(a: DataFrame, b: DataFrame, key: str = "col_id") -> DataFrame:
+    """The columns (key, vec) of two split matrices as one matrix; the second's keys go on after the first's largest."""
+    last = a.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("last"))
+    return a.select(F.col(key).cast("long").alias(key), "vec").unionByName(b.join(F.broadcast(last)).select((F.col(key) + F.col("last")).alias(key), "vec"))

@@ -95,3 +95,20 @@ def nearest_rank(rows: DataFrame, column: str, n: int) -> DataFrame:
     """The ``n`` largest rows by a column, ranked; ties by all columns."""
     top = rows.orderBy(F.desc(column), *rows.columns).limit(n)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(column), *rows.columns)))
+
+
+def true_locus(reads: DataFrame, records: DataFrame, rope: encode.Rope) -> DataFrame:
+    """read_id, distance, percent, ip_re, ip_abs: each read against the window its header names, by edits and by product.
+
+    ``reads`` has (read_id, head, frag), ``records`` (head, seq). Reads whose
+    window does not lie inside its record, or that are shorter than the
+    encoder's window, are left out; only the read's first k bases count.
+    """
+    p = reads.select("read_id", dna.provenance("head").alias("p"), F.substring("frag", 1, rope.k).alias("frag")).filter((F.length("frag") == rope.k) & F.col("p").isNotNull())
+    truth = records.select(dna.record_name("head").alias("src"), "seq")
+    both = p.withColumn("src", F.col("p.src")).join(truth, "src").filter((F.col("p.start") >= 1) & (F.col("p.start") + rope.k - 1 <= F.length("seq")))
+    pair = both.select("read_id", "frag", dna.acgt(F.substring("seq", F.col("p.start").cast("int"), F.lit(rope.k))).alias("window"))
+    pair = pair.withColumn("distance", F.levenshtein("frag", "window"))
+    one = encode.encode(encode.encode(pair, rope, "f64").drop("norms").withColumnRenamed("vec", "a"), rope, "f64", "window").drop("norms")
+    product = one.select("read_id", "distance", dna.rope_inner("a", "vec").alias("p"))
+    return product.select("read_id", "distance", (100 * F.col("distance") / rope.k).alias("percent"), F.col("p.re").alias("ip_re"), F.col("p.modulus").alias("ip_abs"))

@@ -26,10 +26,14 @@ def even_allocation(sizes: DataFrame, n: int) -> DataFrame:
         return sizes.select("rec_id", "w", F.lit(0).cast("long").alias("alloc")).limit(0)
     parts = sizes.select("rec_id", "w", F.expr(f"cast((cast(w as decimal(28,0)) * {n}) div {total} as bigint)").alias("q"), F.expr(f"cast((cast(w as decimal(28,0)) * {n}) % {total} as bigint)").alias("r"))
     left = n - (parts.agg(F.sum("q")).first()[0] or 0)
-    more = parts.orderBy(F.desc("r"), "rec_id").limit(int(left)).select("rec_id", F.lit(1).alias("more")) if left else None
-    if more is None:
+    if not left:
         return parts.select("rec_id", "w", F.col("q").alias("alloc"))
-    return parts.join(more, "rec_id", "left").select("rec_id", "w", (F.col("q") + F.coalesce("more", F.lit(0))).cast("long").alias("alloc"))
+    # Remainders are counted first; ``cut`` is the one at which the last extra read is given, ``over`` how many get it there.
+    upto = parts.groupBy("r").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(W.orderBy(F.desc("r"))))
+    cut, over = upto.filter(F.col("upto") >= left).orderBy("upto").select("r", F.lit(left) - (F.col("upto") - F.col("m"))).first()
+    tied = running_total(parts.filter(F.col("r") == cut).select("rec_id", F.lit(1).alias("one")), "one", "place").select("rec_id", "place")
+    more = (F.col("r") > cut) | ((F.col("r") == cut) & (F.col("place") <= over))
+    return parts.join(tied, "rec_id", "left").select("rec_id", "w", (F.col("q") + F.coalesce(more, F.lit(False)).cast("long")).cast("long").alias("alloc"))
 
 
 def even_ranks(allocated: DataFrame) -> DataFrame:
@@ -168,3 +172,14 @@ def verify_sample(reads: DataFrame, records: DataFrame, k: int, err: float) -> D
         F.count_if(F.col("p").isNotNull() & ~F.coalesce(inside, F.lit(False))).alias("outside"),
         F.count_if(inside & ~dna.edit_rate_plausible(F.levenshtein("frag", "window"), F.lit(k), err)).alias("implausible"),
     )
+
+
+def generated_reads(records: DataFrame, n: int, k: int, err: float = 0.0, seed: int = 0) -> DataFrame:
+    """read_id, head, frag: ``n`` random reads of ``k`` bases anywhere in the records, mutated at ``err``; the same for the same seed."""
+    return sample_reads(records, n, k, err, seed, "random", nfree=False).select("read_id", "head", "frag")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: rows of ``a`` that ``b`` lacks, and the other way round; repeated rows count each time."""
+    left, right = a.exceptAll(b).agg(F.count(F.lit(1)).alias("lacking")), b.exceptAll(a).agg(F.count(F.lit(1)).alias("added"))
+    return left.join(F.broadcast(right))

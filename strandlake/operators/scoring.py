@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,13 +133,58 @@ def score_profile(hits: DataFrame) -> DataFrame:
 
 def summary(rows: DataFrame, column: str) -> DataFrame:
     """One row: mean, median, least, largest, sample deviation."""
-    return rows.agg(F.avg(column).alias("mean"), F.median(column).alias("median"), F.min(column).alias("least"), F.max(column).alias("largest"), F.stddev(column).alias("deviation"))
+    (median,) = _quantiles(rows, column, (0.5,))
+    return rows.agg(F.avg(column).alias("mean"), F.lit(median).cast("double").alias("median"), F.min(column).alias("least"), F.max(column).alias("largest"), F.stddev(column).alias("deviation"))
 
 
 def quantiles(rows: DataFrame, column: str, shares: tuple[float, ...] = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)) -> DataFrame:
-    """share, value: exact quantiles, linear between neighbours."""
-    found = rows.agg(F.percentile(column, F.array(*(F.lit(s) for s in shares))).alias("v"))
-    return found.select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*(F.lit(s) for s in shares)), F.col("i") + 1).alias("share"), "value")
+    """share, value: exact quantiles, linear between neighbours; null without values."""
+    return rows.sparkSession.createDataFrame(list(zip(map(float, shares), _quantiles(rows, column, shares))), "share double, value double")
+
+
+def _quantiles(rows: DataFrame, column: str, shares: tuple[float, ...], buckets: int = 4096) -> list[float | None]:
+    """Exact quantiles by rank.
+
+    Equal values are counted first; then ranks are found in the totals of
+    equally wide buckets, and only the buckets that hold a wanted rank are put
+    in order. The driver has one number for each bucket.
+    """
+    counts = rows.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    low, high, total = counts.agg(F.min("v"), F.max("v"), F.sum("n")).first()
+    if not total:
+        return [None] * len(shares)
+    width = (high - low) / buckets
+    place = F.least(F.floor((F.col("v") - low) / width), F.lit(buckets - 1)).cast("int") if 0 < width < float("inf") else F.lit(0)
+    counts = counts.withColumn("b", place)
+    sizes = sorted((r["b"], r["n"]) for r in counts.groupBy("b").agg(F.sum("n").alias("n")).collect())
+    wanted = sorted({int(r) for s in shares for r in (math.floor(s * (total - 1)), math.ceil(s * (total - 1)))})
+    inside, before, at = [], 0, 0
+    for b, n in sizes:
+        while at < len(wanted) and wanted[at] < before + n:
+            inside.append((b, wanted[at] - before, wanted[at]))
+            at += 1
+        before += n
+    ranks = F.broadcast(rows.sparkSession.createDataFrame(inside, "b int, r long, rank long"))
+    upto = F.sum("n").over(W.partitionBy("b").orderBy("v"))
+    some = counts.filter(F.col("b").isin(sorted({b for b, _, _ in inside}))).withColumn("upto", upto)
+    found = some.join(ranks, "b").filter((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n")))
+    value = {r["rank"]: r["v"] for r in found.select("rank", "v").collect()}
+    out = []
+    for s in shares:
+        p = s * (total - 1)
+        a, z = value[math.floor(p)], value[math.ceil(p)]
+        out.append(a + (z - a) * (p - math.floor(p)))
+    return out
+
+
+def group_quantile(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """group, n, mean, quantile (linear between neighbours) of each group; equal values are counted before they are put in order."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("m"))
+    by = W.partitionBy(group)
+    ranked = counts.withColumn("upto", F.sum("m").over(by.orderBy(value))).withColumn("all", F.sum("m").over(by)).withColumn("p", share * (F.col("all") - 1))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
+    found = ranked.groupBy(group).agg(F.max("all").alias("n"), (F.sum(F.col(value) * F.col("m")) / F.max("all")).alias("mean"), at(F.floor("p")).alias("a"), at(F.ceil("p")).alias("z"), F.max("p").alias("p"))
+    return found.select(group, "n", "mean", (F.col("a") + (F.col("z") - F.col("a")) * (F.col("p") - F.floor("p"))).alias("quantile"))
 
 
 def decay_curve(rows: DataFrame, edit: str, score: str, width: float = 2.0, most: int = 20) -> DataFrame:
@@ -144,15 +193,106 @@ def decay_curve(rows: DataFrame, edit: str, score: str, width: float = 2.0, most
     return rows.withColumn("bin", bin_).filter(F.col("bin") < most).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
 
 
+#: Columns of a consensus that one row of counts holds; bytes of counts that a task gathers before it passes them on.
+COLUMNS, GATHERED = 1024, 64 << 20
+_LETTERS = 27
+
+
 def consensus(members: DataFrame, group: str, seq: str = "seq", default: str = "G") -> DataFrame:
-    """group, n, consensus: the most frequent base of each column, gaps and N aside; ties to the first letter; none gives ``default``."""
-    sized = members.select(group, F.upper(seq).alias("_s"))
-    each = sized.select(group, F.posexplode(F.split("_s", "")).alias("pos", "base")).filter(F.col("base") != "")
-    votes = each.groupBy(group, "pos", "base").agg(F.count(F.lit(1)).alias("n"))
-    real = F.when(~F.col("base").isin("-", "N"), F.struct("n", (-F.ascii("base")).alias("a"), "base"))
-    columns = votes.groupBy(group, "pos").agg(F.max(real).alias("m")).select(group, "pos", F.coalesce(F.col("m.base"), F.lit(default)).alias("base"))
-    text = columns.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("consensus"))
-    return sized.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(text, group, "left")
+    """group, n, consensus: the most frequent letter of each column, gaps and N aside; ties to the first letter; none gives ``default``.
+
+    Letters are counted in arrays inside each partition. A row of counts for
+    each partition, group and block of columns is what is shuffled.
+    """
+    kind = members.schema[group].dataType.simpleString()
+    member = np.full(256, 26, np.int64)
+    for i in range(26):
+        member[[65 + i, 97 + i]] = i
+
+    def tally(batches):
+        held: dict = {}
+        size = 0
+
+        def passed_on():
+            for key, counts in held.items():
+                for b in range(-(-len(counts) // (COLUMNS * _LETTERS))):
+                    part = counts[b * COLUMNS * _LETTERS : (b + 1) * COLUMNS * _LETTERS]
+                    yield key, b, part.astype(np.int64).tobytes()
+
+        def packed():
+            rows = list(passed_on())
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], keys), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["key", "block", "counts"])
+
+        keys = None
+        for batch in batches:
+            keys = batch.column("key").type
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("seq").to_pylist()):
+                data = np.frombuffer((text or "").encode("ascii", "replace"), np.uint8)
+                counts = held.get(key, np.zeros(0, np.int64))
+                n = len(data) * _LETTERS
+                if len(counts) < n:
+                    size += 8 * (n - len(counts))
+                    counts = np.concatenate((counts, np.zeros(n - len(counts), np.int64)))
+                counts[np.arange(len(data)) * _LETTERS + member[data]] += 1
+                held[key] = counts
+                if size > GATHERED:
+                    yield packed()
+                    held, size = {}, 0
+        if held:
+            yield packed()
+
+    def chosen(batches):
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                total = np.zeros(max(map(len, parts)) // 8, np.int64)
+                for p in parts:
+                    total[: len(p) // 8] += np.frombuffer(p, np.int64)
+                votes = total.reshape(-1, _LETTERS)[:, :26].copy()
+                votes[:, 13] = 0  # N
+                best = votes.argmax(1)
+                letters = np.where(votes[np.arange(len(best)), best] > 0, best + 65, ord(default)).astype(np.uint8)
+                out.append(letters.tobytes().decode())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("block"), pa.array(out, pa.string())], ["key", "block", "text"])
+
+    counts = members.select(F.col(group).alias("key"), F.col(seq).alias("seq")).mapInArrow(tally, f"key {kind}, block int, counts binary")
+    blocks = counts.groupBy("key", "block").agg(F.collect_list("counts").alias("parts")).mapInArrow(chosen, f"key {kind}, block int, text string")
+    text = blocks.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "").alias("consensus"))
+    sizes = members.groupBy(F.col(group).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(text, "key", "left").select(F.col("key").alias(group), "n", "consensus")
+
+
+def groups(members: DataFrame, group: str, seq: str = "seq") -> DataFrame:
+    """group, n, members: the distinct sequences of each group, in order."""
+    return members.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(seq)).alias("members"))
+
+
+def numbered_groups(members: DataFrame, group: str) -> DataFrame:
+    """``members`` with ``bin``: the number of their group, from 1 in the groups' order."""
+    bins = members.select(group).distinct().filter(F.col(group).isNotNull())
+    # One row for each group is numbered, and rows look their group up.
+    return members.join(bins.withColumn("bin", F.row_number().over(W.orderBy(group))), group)
+
+
+def by_accession(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """``hits`` (src, ...) with ``rec_id`` of the record that bears the name whole or as its accession (up to the first dot); null if none does."""
+    names = records.select("rec_id", dna.record_name("head").alias("name"))
+    keys = names.select("name", "rec_id").unionByName(names.select(F.substring_index("name", ".", 1).alias("name"), "rec_id")).groupBy("name").agg(F.min("rec_id").alias("rec_id"))
+    return hits.join(keys.withColumnRenamed("name", "src"), "src", "left")
+
+
+def without_lengths(truth: DataFrame, k: int) -> DataFrame:
+    """``truth`` for a scorer that knows whole windows only: a read whose header has no length of ``k`` is an error."""
+    wrong = F.raise_error(F.concat(F.lit("no length of the window's: read "), F.col("read_id").cast("string")))
+    return truth.withColumn("len", F.when(F.col("len") == k, F.col("len")).otherwise(wrong.cast("long")))
+
+
+def result_line(score: DataFrame, **settings) -> DataFrame:
+    """line: a mapping score as one line of name=value fields, settings first."""
+    fields = [F.lit(f"{n}={v}") for n, v in settings.items()]
+    percent = lambda c: F.format_string("%.3f", 100 * F.col(c) / F.col("total"))
+    fields += [F.concat(F.lit("reads="), F.col("total").cast("string")), F.concat(F.lit("top_pct="), percent("correct")), F.concat(F.lit("top1_pct="), percent("top1")), F.concat(F.lit("avg_bases="), F.format_string("%.1f", F.coalesce("shared_mean", F.lit(0.0))))]
+    return score.select(F.concat_ws(" ", F.lit("RESULT"), *fields).alias("line"))
 
 
 def retrieval_accuracy(hits: DataFrame, queries: DataFrame, ktop: int = 10) -> DataFrame:

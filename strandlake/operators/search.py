@@ -58,12 +58,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _similarity(queries: np.ndarray, rows: np.ndarray, kind: str) -> np.ndarray:
-    """(queries, rows): the real inner product, or the squared modulus of the complex one."""
-    if kind == "real":
+    """(queries, rows): 'real' ('euc') is the real inner product, 'complex' ('abs2') the squared modulus of the complex one, 'abs' its modulus."""
+    if kind in ("real", "euc"):
         return queries @ rows.T
     half = rows.shape[1] // 2
     turned = np.concatenate((rows[:, half:], -rows[:, :half]), axis=1)
-    return (queries @ rows.T) ** 2 + (queries @ turned.T) ** 2
+    power = (queries @ rows.T) ** 2 + (queries @ turned.T) ** 2
+    return np.sqrt(power) if kind == "abs" else power
 
 
 def _each_block(queries: DataFrame, index: DataFrame, work, block_bytes: int) -> DataFrame:
@@ -94,30 +95,141 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 20, kind: str = "real",
     def work(held):
         def run(batches):
             ids, matrix = held.value
-            matrix = quantize(matrix, precision)
-            score = np.full((len(ids), k), -np.inf)
-            where = np.full((len(ids), k), np.iinfo(np.int64).max)
+            best = Best(ids, quantize(matrix, precision), k, kind)
             for batch in batches:
-                col, rows = batch.column("col_id").to_numpy(), quantize(_matrix(batch.column("vec")), precision)
-                for at in range(0, len(col), TILE):
-                    part = np.round(_similarity(matrix, rows[at : at + TILE], kind), 12)
-                    places = np.broadcast_to(col[at : at + TILE], part.shape)
-                    if part.shape[1] > 4 * k:
-                        # The k-th best of the tile bounds what can enter; its ties stay in by taking all that reach it.
-                        bound = np.maximum(np.partition(part, -k, axis=1)[:, -k], score[:, -1])
-                        live = (part >= bound[:, None]).any(0)
-                        part, places = part[:, live], places[:, live]
-                    all_score, all_where = np.concatenate((score, part), 1), np.concatenate((where, places), 1)
-                    order = np.lexsort((all_where, -all_score), axis=1)[:, :k]
-                    score, where = np.take_along_axis(all_score, order, 1), np.take_along_axis(all_where, order, 1)
-            found = np.isfinite(score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(1))), pa.array(where[found]), pa.array(score[found])], ["query_id", "col_id", "score"])
+                best.add(batch.column("col_id").to_numpy(), quantize(_matrix(batch.column("vec")), precision))
+            yield best.table()
 
         return run
 
     return ranked(_each_block(queries, index, work, block_bytes), k)
 
 
+def top_k_of_windows(queries: DataFrame, frags: DataFrame, rope, k: int = 20, kind: str = "real", precision: str = "f32", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As ``top_k`` over windows (col_id, frag) that are encoded where they are multiplied: no vector leaves its task.
+
+    A further block of queries encodes the windows again, which costs less than
+    one percent of a full block's products.
+    """
+    from .encode import Encoder
+
+    def work(held):
+        def run(batches):
+            ids, matrix = held.value
+            best, encoder = Best(ids, matrix, k, kind), Encoder(rope)
+            for batch in batches:
+                col, texts = batch.column("col_id").to_numpy(), batch.column("frag").to_pylist()
+                for at in range(0, len(texts), TILE):
+                    best.add(col[at : at + TILE], quantize(encoder(texts[at : at + TILE])[0], precision))
+            yield best.table()
+
+        return run
+
+    return ranked(_scanned(frags.select("col_id", "frag"), queries, work, block_bytes), k)
+
+
+class Best:
+    """The k best rows so far of every query of one block."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, kind: str):
+        self.ids, self.matrix, self.k, self.kind = ids, matrix, k, kind
+        self.score = np.full((len(ids), k), -np.inf)
+        self.where = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, col: np.ndarray, rows: np.ndarray) -> None:
+        k = self.k
+        for at in range(0, len(col), TILE):
+            part = np.round(_similarity(self.matrix, rows[at : at + TILE], self.kind), 12)
+            places = np.broadcast_to(col[at : at + TILE], part.shape)
+            if part.shape[1] > 4 * k:
+                # The k-th best of the tile bounds what can enter; its ties stay in by taking all that reach it.
+                bound = np.maximum(np.partition(part, -k, axis=1)[:, -k], self.score[:, -1])
+                live = (part >= bound[:, None]).any(0)
+                part, places = part[:, live], places[:, live]
+            all_score, all_where = np.concatenate((self.score, part), 1), np.concatenate((self.where, places), 1)
+            order = np.lexsort((all_where, -all_score), axis=1)[:, :k]
+            self.score, self.where = np.take_along_axis(all_score, order, 1), np.take_along_axis(all_where, order, 1)
+
+    def table(self) -> pa.RecordBatch:
+        found = np.isfinite(self.score)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, found.sum(1))), pa.array(self.where[found]), pa.array(self.score[found])], ["query_id", "col_id", "score"])
+
+
+def least_by_column(queries: DataFrame, index: DataFrame, kind: str = "real", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """col_id, cut: each window's least score over all queries; one row for each window and block of queries."""
+
+    def work(held):
+        def run(batches):
+            ids, matrix = held.value
+            for batch in batches:
+                rows = _matrix(batch.column("vec"))
+                if len(rows):
+                    least = np.concatenate([np.round(_similarity(matrix, rows[at : at + TILE], kind), 12).min(0) for at in range(0, len(rows), TILE)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(least), np.int64)), batch.column("col_id").cast(pa.int64()), pa.array(least)], ["query_id", "col_id", "score"])
+
+        return run
+
+    return minimum_by_column(_each_block(queries, index, work, block_bytes))
+
+
+def calibrated_cuts(frags: DataFrame, rope, rounds: int = 8, err: float = 0.15, seed: int = 0, shift: float = 0.0) -> DataFrame:
+    """col_id, cut: the least squared modulus of the product of each window (col_id, frag) with itself mutated, over ``rounds``.
+
+    ``shift`` moves the window before it is mutated. A window's draws follow from
+    the seed, its number and the round; windows are encoded and compared in one
+    Arrow step and nothing is shuffled.
+    """
+    from .encode import _CODE, Encoder
+    from .sampling import mutate, mutate_shift
+
+    def run(batches):
+        encoder, letters = Encoder(rope), np.frombuffer(b"ACGT", np.uint8)
+        for batch in batches:
+            ids, texts = batch.column("col_id").to_pylist(), batch.column("frag").to_pylist()
+            for at in range(0, len(texts), 64):
+                some = texts[at : at + 64]
+                held = encoder(some)[0]
+                cut = np.full(len(some), np.inf)
+                for n in range(rounds):
+                    other = []
+                    for i, text in zip(ids[at : at + 64], some):
+                        rng = np.random.default_rng([seed & 0xFFFFFFFF, int(i) & 0xFFFFFFFFFFFFFFFF, n])
+                        code = _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)].astype(np.uint8)
+                        code = mutate_shift(code, shift, rng) if shift else code
+                        other.append(letters[mutate(code, err, rng) if err else code].tobytes().decode())
+                    changed = encoder(other)[0]
+                    half = held.shape[1] // 2
+                    turned = np.concatenate((changed[:, half:], -changed[:, :half]), axis=1)
+                    cut = np.minimum(cut, (held * changed).sum(1) ** 2 + (held * turned).sum(1) ** 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 64], pa.int64()), pa.array(cut)], ["col_id", "cut"])
+
+    return frags.select("col_id", "frag").mapInArrow(run, "col_id long, cut double")
+
+
+def two_phase(reads: DataFrame, records: DataFrame, frags: DataFrame, rope, cuts: DataFrame | float, merge: int, margin: int) -> DataFrame:
+    """read_id, rec_id, strand, start, score: the best offset of every read that reaches some window's cut, on either strand.
+
+    ``frags`` has the index's windows (col_id, rec_id, start, strand, frag).
+    First all windows above their cuts, by squared modulus; neighbouring ones of
+    one record and strand less than ``merge`` apart become one range. Then the
+    product at every offset of each range, ``margin`` beyond both its ends.
+    """
+    from .encode import encode
+    from .scoring import merge_ranges
+
+    frag = F.substring("frag", 1, rope.k)
+    coded = encode(reads.select(F.col("read_id").alias("query_id"), frag.alias("frag")).filter(F.length("frag") == rope.k), rope, "f64")
+    index = encode(frags.select("col_id", "frag"), rope, "f64")
+    hits = above_cuts(coded, index, cuts, "complex").join(frags.select("col_id", "rec_id", "start", "strand"), "col_id")
+    # One range search for each read, record and strand: the order of starts is the order of hits.
+    of = F.struct(F.col("query_id").alias("read_id"), "rec_id", "strand")
+    ordered = hits.select(of.alias("read_id"), F.col("start").alias("j"), F.lit(1).alias("piece"), F.col("start").alias("loc"))
+    found = merge_ranges(ordered, merge).select("read_id.read_id", "read_id.rec_id", "read_id.strand", "first", "last")
+    best = refine_ranges(found, reads.withColumn("frag", frag), records, rope, margin)
+    w = W.partitionBy("read_id").orderBy(F.desc("score"), "rec_id", "strand", "start")
+    return best.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The k best of (query_id, col_id, score), ranked from 1. Catalyst limits each partition's groups before the exchange."""
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "col_id")
@@ -188,7 +300,7 @@ def pairs(queries: DataFrame, index: DataFrame, kind: str = "real") -> DataFrame
 def stronger_strand(best: DataFrame) -> DataFrame:
     """Of reads searched forward and reversed (read_id, strand, score, ...), the row of the higher score; forward on ties."""
     w = W.partitionBy("read_id").orderBy(F.desc("score"), "strand")
-    return best.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return best.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
 
 
 def agreement(a: DataFrame, b: DataFrame, near: int = 18) -> DataFrame:
@@ -207,16 +319,29 @@ def refine(candidates: DataFrame, reads: DataFrame, records: DataFrame, rope, ma
     """read_id, rec_id, start, score: the best offset around each coarse hit.
 
     ``candidates`` has (read_id, rec_id, start), ``reads`` (read_id, frag) and
-    ``records`` (rec_id, seq). Every offset within ``margin`` is scored by the
-    sum over frequencies of the squared modulus of the inner product with the
-    read's vector; the sums are updated from one offset to the next. Ties go to
-    smaller starts.
+    ``records`` (rec_id, seq). Every offset within ``margin`` is scored; see
+    ``refine_ranges``. Ties go to smaller starts.
+    """
+    ranges = candidates.select("read_id", "rec_id", F.lit(0).alias("strand"), F.col("start").alias("first"), F.col("start").alias("last"))
+    scored = refine_ranges(ranges, reads, records, rope, margin).select("read_id", "rec_id", "start", "score")
+    w = W.partitionBy("read_id").orderBy(F.desc("score"), "rec_id", "start")
+    return scored.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
+
+
+def refine_ranges(ranges: DataFrame, reads: DataFrame, records: DataFrame, rope, margin: int) -> DataFrame:
+    """read_id, rec_id, strand, start, score: the best offset within ``margin`` of each range of starts.
+
+    ``ranges`` has (read_id, rec_id, strand, first, last); on strand 1 the read's
+    reverse complement is compared, so starts are the record's on both. The score
+    is the sum over frequencies of the squared modulus of the inner product with
+    the read's vector; sums are updated from one offset to the next.
     """
     from .encode import Encoder
 
-    area = F.greatest(F.lit(1), F.col("start") - margin)
-    joined = candidates.join(reads.select("read_id", "frag"), "read_id").join(records.select("rec_id", "seq"), "rec_id")
-    cut = joined.select("read_id", "rec_id", area.alias("first"), "frag", F.substring("seq", area, F.col("start") + margin - area + F.length("frag")).alias("area"))
+    area = F.greatest(F.lit(1), F.col("first") - margin)
+    frag = F.when(F.col("strand") == 1, dna.revcomp("frag")).otherwise(F.col("frag"))
+    joined = ranges.join(reads.select("read_id", "frag"), "read_id").join(records.select("rec_id", "seq"), "rec_id")
+    cut = joined.select("read_id", "rec_id", "strand", area.alias("begin"), frag.alias("frag"), F.substring("seq", area, F.col("last") + margin - area + F.length("frag")).alias("area"))
 
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(rope)
@@ -225,9 +350,8 @@ def refine(candidates: DataFrame, reads: DataFrame, records: DataFrame, rope, ma
             yield pd.DataFrame({"offset": [f[0] for f in found], "score": [f[1] for f in found]})
 
     best = F.pandas_udf(run, "offset long, score double")("frag", "area")
-    scored = cut.withColumn("_b", best).filter("_b.offset >= 0").select("read_id", "rec_id", (F.col("first") + F.col("_b.offset")).cast("long").alias("start"), F.col("_b.score").alias("score"))
-    w = W.partitionBy("read_id").orderBy(F.desc("score"), "rec_id", "start")
-    return scored.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    scored = cut.withColumn("best", best).filter("best.offset >= 0")
+    return scored.select("read_id", "rec_id", "strand", (F.col("begin") + F.col("best.offset")).cast("long").alias("start"), F.col("best.score").alias("score"))
 
 
 def sliding(encoder, frag: str, area: str) -> tuple[int, float]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,27 +54,47 @@ def window_counts(records: DataFrame, k: int, kstep: int, seq: str = "seq") -> D
     return records.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_windows"), F.count(F.lit(1)).alias("n_records"), F.count_if(F.length(seq) >= k).alias("n_kept"))
 
 
-def runs(records: DataFrame, pattern: str, seq: str = "seq") -> DataFrame:
-    """rec_id, start (1-based), length of the maximal stretches that match ``pattern`` (a possessive run).
+def runs(records: DataFrame, letters: str, seq: str = "seq") -> DataFrame:
+    """rec_id, start (1-based), length of the maximal stretches of these ASCII letters.
 
-    Stretches are found by one split of each record, so a row is made for each
-    stretch and not for each position.
+    Stretches are found on the bytes of each Arrow batch and places counted in
+    characters, so nothing is shuffled and a row is made for each stretch only.
     """
-    gaps, hits = F.split(seq, pattern, -1), F.regexp_extract_all(seq, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.transform(F.slice(gaps, 1, F.size(hits)), F.length), F.transform(hits, F.length), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    parts = records.filter(F.col(seq).rlike(pattern)).select("rec_id", F.posexplode(lengths).alias("i", "x"))
-    w = W.partitionBy("rec_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    return parts.select("rec_id", (F.sum(F.col("x.g") + F.col("x.h")).over(w) - F.col("x.h") + 1).cast("long").alias("start"), F.col("x.h").cast("long").alias("length"))
+    member = np.zeros(256, bool)
+    member[list(letters.encode())] = True
+
+    def run(batches):
+        for batch in batches:
+            ids, starts, lengths = [], [], []
+            for i, text in enumerate(batch.column("seq").cast(pa.large_binary()).to_pylist()):
+                if not text:
+                    continue
+                data = np.frombuffer(text, np.uint8)
+                inside = np.zeros(len(data) + 2, np.int8)
+                inside[1:-1] = member[data]
+                edge = np.diff(inside)
+                first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                if len(first):
+                    # Bytes that continue a character are no places.
+                    place = first if text.isascii() else first - np.cumsum((data & 0xC0) == 0x80)[first]
+                    ids.append(np.full(len(first), i))
+                    starts.append(place + 1)
+                    lengths.append(last - first)
+            if ids:
+                yield pa.RecordBatch.from_arrays([batch.column("rec_id").take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(starts), pa.int64()), pa.array(np.concatenate(lengths), pa.int64())], ["rec_id", "start", "length"])
+
+    kind = records.schema["rec_id"].dataType.simpleString()
+    return records.select("rec_id", F.col(seq).alias("seq")).mapInArrow(run, f"rec_id {kind}, start long, length long")
 
 
 def n_runs(records: DataFrame, seq: str = "seq") -> DataFrame:
     """Maximal runs of N or n."""
-    return runs(records, "[Nn]++", seq)
+    return runs(records, "Nn", seq)
 
 
 def clean_runs(records: DataFrame, seq: str = "seq") -> DataFrame:
     """Maximal runs of bases."""
-    return runs(records, "[ACGTacgt]++", seq)
+    return runs(records, "ACGTacgt", seq)
 
 
 def run_histogram(found: DataFrame) -> DataFrame:
@@ -150,3 +172,23 @@ def gram_counts(records: DataFrame, k: int, seq: str = "seq", descending: bool =
     """gram, n over all records, most frequent first; ties by gram."""
     counts = records.select(F.explode(dna.grams(seq, k)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "gram") if descending else counts
+
+
+def select_kmers(records: DataFrame, k: int, kstep: int, seq: str = "seq") -> DataFrame:
+    """col_id, piece, first_kmer, start: all windows numbered from 1 in record order, with their piece and its first window's number.
+
+    ``(col_id - first_kmer) * kstep`` is a window's place in its piece. Numbers
+    come from running totals of the records' window counts, so no window is
+    sorted or shuffled.
+    """
+    from .sampling import running_total
+
+    counts = records.select("rec_id", n_windows(F.length(seq), k, kstep).cast("long").alias("n")).filter("n > 0")
+    first = running_total(counts, "n", "upto").select(F.col("rec_id").alias("piece"), (F.col("upto") - F.col("n") + 1).alias("first_kmer"), "n")
+    each = first.select("piece", "first_kmer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    return each.select((F.col("first_kmer") + F.col("i")).alias("col_id"), "piece", "first_kmer", (F.col("i") * kstep + 1).alias("start"))
+
+
+def mirrored(first: Column, last: Column, start: Column, stop: Column) -> tuple[Column, Column]:
+    """The bounds of a window start .. stop of a record first .. last in a stream that holds the record backwards."""
+    return first + last - stop, first + last - start

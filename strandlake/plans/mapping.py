@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,28 @@ from ..functions import dna
 from ..operators import encode, sampling, scoring, search, windows
 
 
-def build_index(records: DataFrame, rope: encode.Rope, kstep: int, precision: str = "f32", max_records: int | None = None) -> DataFrame:
-    """col_id, rec_id, head, start, strand, vec, norms of all windows on both strands.
+#: Bits of a col_id below the record's number: twice a start, and the strand.
+START_BITS = 33
+
+
+def index_windows(records: DataFrame, k: int, kstep: int, max_records: int | None = None, start_bits: int = START_BITS) -> DataFrame:
+    """col_id, rec_id, head, start, strand, frag of all windows on both strands, without an exchange.
 
-    ``records`` has (rec_id, head, seq). One plan without an exchange: windows
-    are cut, reversed and encoded where their record lies. col_id follows from
-    record, start and strand, so any part of the index can be built again alone.
+    ``records`` has (rec_id, head, seq). col_id follows from record, start and
+    strand, so any part of an index can be built again alone; a record's number
+    or start beyond its bits is an error.
     """
     clean = records.select("rec_id", "head", dna.acgt("seq").alias("seq"))
-    cut = windows.both_strands(windows.windows(clean, rope.k, kstep, max_records=max_records))
-    numbered = cut.withColumn("col_id", (F.col("rec_id") * (1 << 33) + F.col("start") * 2 + F.col("strand")).cast("long"))
-    return encode.encode(numbered.select("col_id", "rec_id", "head", "start", "strand", "frag"), rope, precision)
+    cut = windows.both_strands(windows.windows(clean, k, kstep, max_records=max_records))
+    fits = F.col("rec_id").between(0, (1 << (63 - start_bits)) - 1) & (F.col("start") < (1 << (start_bits - 1)))
+    number = (F.col("rec_id") * F.lit(1 << start_bits) + F.col("start") * 2 + F.col("strand")).cast("long")
+    wrong = F.raise_error(F.concat(F.lit("no bits for record "), F.col("rec_id").cast("string"))).cast("long")
+    return cut.select(F.when(fits, number).otherwise(wrong).alias("col_id"), "rec_id", "head", "start", "strand", "frag")
+
+
+def build_index(records: DataFrame, rope: encode.Rope, kstep: int, precision: str = "f32", max_records: int | None = None, start_bits: int = START_BITS) -> DataFrame:
+    """col_id, rec_id, head, start, strand, vec, norms of all windows on both strands, encoded where their record lies."""
+    return encode.encode(index_windows(records, rope.k, kstep, max_records, start_bits), rope, precision)
 
 
 def encode_reads(reads: DataFrame, rope: encode.Rope, precision: str = "f32") -> DataFrame:
@@ -34,13 +47,26 @@ def map_reads(reads: DataFrame, index: DataFrame, rope: encode.Rope, k: int = 20
     return hits.join(meta, "col_id").withColumnRenamed("query_id", "read_id")
 
 
+def map_onto(reads: DataFrame, records: DataFrame, rope: encode.Rope, kstep: int, k: int = 20, kind: str = "real", precision: str = "f32", start_bits: int = START_BITS) -> DataFrame:
+    """As ``map_reads`` onto the windows of ``records``, without an index: windows are encoded where they are compared.
+
+    A hit's place is in its col_id, so hits meet the records' headers only.
+    """
+    frags = index_windows(records, rope.k, kstep, start_bits=start_bits)
+    hits = search.top_k_of_windows(encode_reads(reads, rope, precision), frags, rope, k, kind, precision)
+    place = F.col("col_id").bitwiseAND((1 << start_bits) - 1)
+    hits = hits.select("*", F.shiftright("col_id", start_bits).alias("rec_id"), F.shiftright(place, 1).alias("start"), place.bitwiseAND(1).cast("int").alias("strand"))
+    named = hits.join(records.select("rec_id", F.col("head").alias("record")), "rec_id")
+    return named.select("col_id", F.col("query_id").alias("read_id"), "rank", "score", "start", "strand", "record", dna.record_name("record").alias("src"))
+
+
 def truth_of(reads: DataFrame) -> DataFrame:
     """read_id, src, start, len from the reads' headers; unreadable headers have null src and match nothing."""
     return reads.select("read_id", dna.provenance("head").alias("p")).select("read_id", F.col("p.src").alias("src"), F.col("p.start").alias("start"), F.col("p.len").alias("len"))
 
 
-def sample_map_score(records: DataFrame, rope: encode.Rope, kstep: int, n: int, err: float = 0.0, seed: int = 1, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(hits, one row of accuracy): reads sampled from the records themselves, mapped and scored."""
+def sample_map_score(records: DataFrame, rope: encode.Rope, kstep: int, n: int, err: float = 0.0, seed: int = 1, k: int = 20, mapper: Callable[..., DataFrame] = map_onto) -> tuple[DataFrame, DataFrame]:
+    """(hits, one row of accuracy): reads sampled from the records themselves, mapped by ``mapper`` and scored."""
     reads = sampling.sample_reads(records, n, rope.k, err, seed)
-    hits = map_reads(reads, build_index(records, rope, kstep), rope, k)
+    hits = mapper(reads, records, rope, kstep, k)
     return hits, scoring.mapping_score(hits.select("read_id", "rank", "src", "start"), truth_of(reads), rope.k)

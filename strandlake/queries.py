@@ -7,7 +7,6 @@ vectors; ``events`` are positions on a line.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -395,9 +394,9 @@ def t1_top_k(spark, d):
 
 @query(PAIRS.format(score=REAL) + TOP.format(k=5) + " SELECT query_id, rank, col_id, round(score, 8) AS score FROM top")
 def j1_relational_top_k(spark, d):
+    """In blocks of a few queries each, so that many blocks meet the index."""
     q, x = vectors(spark, d)
-    pairs = search.pairs(q, x).withColumn("score", F.round("score", 12))
-    return search.ranked(pairs, 5).withColumn("score", F.round("score", 8))
+    return search.top_k(q, x, 5, block_bytes=1 << 18).withColumn("score", F.round("score", 8))
 
 
 @query(PAIRS.format(score=CROSS) + TOP.format(k=10) + " SELECT query_id, rank, col_id, round(score, 8) AS score FROM top")
@@ -431,8 +430,7 @@ def a5_similarity_histogram(spark, d):
 
 @query(PAIRS.format(score=REAL) + " SELECT col_id, round(min(score), 8) AS cut FROM s GROUP BY col_id")
 def a20_least_by_column(spark, d):
-    q, x = vectors(spark, d)
-    return search.minimum_by_column(search.pairs(q, x).withColumn("score", F.round("score", 12))).withColumn("cut", F.round("cut", 8))
+    return search.least_by_column(*vectors(spark, d)).withColumn("cut", F.round("cut", 8))
 
 
 @query(PAIRS.format(score=REAL) + TOP.format(k=20) + " SELECT rank, count(*)::BIGINT AS reads, round(avg(score), 8) AS mean, round(stddev_pop(score), 7) AS deviation, round(max(score), 8) AS largest FROM top GROUP BY rank")
@@ -469,12 +467,11 @@ def c1_map_sampled_reads(spark, d):
 
 @query()
 def r1_refined_places(spark, d):
-    """The best offset around each sampled read's best coarse window."""
+    """Ranges of windows above a cut, on either strand, and then the best offset in them; tests compare it with every offset."""
     recs = clean(spark, d)
-    reads = sampling.sample_reads(recs, 500, MAP.k, 0.05, 1)
-    best = mapping.map_reads(reads, mapping.build_index(recs, MAP, 100), MAP, 1).filter("strand = 0")
-    hits = best.select("read_id", (F.split_part("src", F.lit("_"), F.lit(2))).cast("long").alias("rec_id"), "start")
-    return search.refine(hits, reads, recs, MAP, 60).withColumn("score", F.round("score", 6))
+    reads = sampling.sample_reads(recs, 100, MAP.k, 0.05, 1, nfree=False)
+    frags = mapping.index_windows(recs, MAP.k, 100)
+    return search.two_phase(reads, recs, frags, MAP, 0.8, 101, 60).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -581,8 +578,9 @@ def t11_quantiles(spark, d):
 
 @query("SELECT source, count(*)::BIGINT AS n, round(avg(length(text)), 6) AS mean, round(quantile_cont(length(text), 0.9), 6) AS p90 FROM documents GROUP BY source")
 def a16_group_lengths(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean"), F.round(F.percentile(F.length("text"), 0.9), 6).alias("p90"))
+    docs = table(spark, d, "documents").select("source", F.length("text").alias("length"))
+    found = scoring.group_quantile(docs, "source", "length", 0.9)
+    return found.select("source", "n", F.round("mean", 6).alias("mean"), F.round("quantile", 6).alias("p90"))
 
 
 @query("""WITH m AS (SELECT source AS bin, replace(text, chr(10), '') AS seq FROM documents WHERE text IS NOT NULL), e AS (SELECT bin, unnest(generate_series(1, length(seq))) AS pos, seq FROM m),
@@ -623,11 +621,10 @@ def x1_both_strands(spark, d):
 
 @query("SELECT least(greatest(trunc((value / 100 + 1) * 16)::INT + 2, 1), 34) AS bin, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def z4_running_histogram(spark, d):
-    """The events as a stream, to its end; the totals are a table in the shared folder."""
-    name = f"histogram_{uuid.uuid4().hex}"
-    schema = table(spark, d, "events").schema
+    """The events as a stream, to its end; the totals so far are a table in the shared folder, replaced with each batch."""
+    path, schema = fresh_path(spark, "histogram"), table(spark, d, "events").schema
     rows = streams.read_stream(spark, f"{d}/events*", schema)
     totals = streams.running_histogram(rows.select((F.col("value") / 100).alias("score")))
-    running = totals.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    running = totals.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/totals")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{path}/totals")

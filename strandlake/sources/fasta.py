@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
+def _records(spark: SparkSession, path: str, anywhere: bool = False) -> DataFrame:
     """head (verbatim, with ``>``) and seq (line ends out), the file and place, and whether the row opens a record."""
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = spark.read.option("lineSep", ">" if anywhere else "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     # Records that a bare return ends share a row with the next one.
     marked = F.regexp_replace("value", "\r>", "\u0001>")
     parts = F.split(marked, "\u0001")
@@ -27,34 +27,63 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     text = F.regexp_replace("text", "^>", "")
     head = F.regexp_extract(text, "^([^\n\r]*)", 1)
     seq = F.regexp_replace(F.substring(text, F.length(head) + 1, F.length(text)), "[\n\r]", "")
-    return each.select("file", "block", (F.col("at") * 4096 + F.col("part")).alias("at"), opens.alias("opens"), F.concat(F.lit(">"), head).alias("head"), seq.alias("seq"))
+    return each.select("file", "block", "at", "part", opens.alias("opens"), F.concat(F.lit(">"), head).alias("head"), seq.alias("seq"))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, anywhere: bool = False) -> DataFrame:
     """rec_id, head, name, seq, nchar of every record, in file order; rec_id from 0 without gaps.
 
-    Numbers come from the order of rows in partitions: one row of counts for
-    each partition and file reaches the driver. The first row of a file that
-    does not open a record is what stands before the first one, and goes.
+    ``anywhere``: a ``>`` begins a record wherever it stands, also inside a line.
+
+    A record's number is its place within its partition, counted by the task
+    that reads it, after the total of the partitions before: no sequence is
+    shuffled. The totals are one row for each partition and file; they reach the
+    driver and go out again as a broadcast of two numbers for each partition.
+    The first row of a file that does not open a record is what stands before
+    the first one, and goes.
     """
-    rows = _records(spark, path).withColumn("pid", F.shiftright("at", 45))
-    counts = rows.groupBy("pid", "file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "opens", "block")).alias("first")).orderBy("pid").collect()
+    rows = _records(spark, path, anywhere)
+    counts = rows.groupBy(F.spark_partition_id().alias("pid"), "file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "part", "opens", "block")).alias("first")).orderBy("pid").collect()
     junk = [r["first"]["at"] for r in counts if r["first"]["block"] == 0 and not r["first"]["opens"]]
     sizes: dict[int, int] = {}
     for r in counts:
         sizes[r["pid"]] = sizes.get(r["pid"], 0) + r["n"] - (r["first"]["at"] in junk)
-    before, total = {}, 0
+    base, total = [], 0
     for pid, n in sorted(sizes.items()):
-        before[pid] = total
+        base.append((pid, total))
         total += n
-    from pyspark.sql import Window as W
-
     if junk:
-        rows = rows.filter(~F.col("at").isin(junk))
-    base = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else None
-    number = F.row_number().over(W.partitionBy("pid").orderBy("at")) - 1
-    rec = (number + base[F.col("pid")] if base is not None else number).cast("long")
-    return rows.select(rec.alias("rec_id"), "head", dna.record_name("head").alias("name"), "seq", F.length("seq").cast("long").alias("nchar"))
+        rows = rows.filter(~(F.col("at").isin(junk) & (F.col("part") == 0)))
+    # The upper bits of this number are the partition, the lower 33 the row's place in it.
+    placed = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("pid", F.shiftright("place", 33).cast("int"))
+    totals = F.broadcast(spark.createDataFrame(base, "pid int, before long"))
+    rec = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
+    return placed.join(totals, "pid").select(rec.alias("rec_id"), "head", dna.record_name("head").alias("name"), "seq", F.length("seq").cast("long").alias("nchar"))
+
+
+def blocks(records: DataFrame, size: int = 65_536) -> DataFrame:
+    """rec_id, block, text: records cut into blocks of ``size`` characters, for ``fetch``.
+
+    Write it sorted by rec_id and block: a scan for some places then skips the
+    row groups of all others.
+    """
+    rest = records.select("rec_id", F.posexplode(dna.cut("seq", F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1)), F.lit(size)), size)).alias("block", "text"))
+    return rest.withColumn("block", F.col("block").cast("long"))
+
+
+def fetch(held: DataFrame, places: DataFrame, size: int = 65_536) -> DataFrame:
+    """``places`` (rec_id, start from 1, k) with ``frag``, the characters there; places that stand outside give what lies inside.
+
+    Only the blocks that a place touches are joined, so a long record is not
+    read for a short fragment.
+    """
+    first, last = F.expr(f"(start - 1) div {size}"), F.expr(f"(start + k - 2) div {size}")
+    wanted = places.select("rec_id", "start", "k").distinct()
+    touched = wanted.filter("k > 0 and start >= 1").withColumn("block", F.explode(F.sequence(first, last)))
+    found = touched.join(held, ["rec_id", "block"]).groupBy("rec_id", "start", "k").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    cut = found.select("rec_id", "start", "k", F.substring(text, (F.col("start") - 1 - F.col("parts")[0]["block"] * size + 1).cast("int"), F.col("k").cast("int")).alias("frag"))
+    return places.join(cut, ["rec_id", "start", "k"], "left").withColumn("frag", F.coalesce("frag", F.lit("")))
 
 
 def reads(records: DataFrame, k: int | None = None, junk: str = "g", skip_n: bool = False, bad: str | None = None) -> DataFrame:

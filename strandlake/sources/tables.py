@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import dna, quant
 
 #: Formats of an index table that ``read_index`` takes (fixed values of ours).
 INDEX_FORMATS = ("strandlake.index.v1",)
@@ -124,3 +125,82 @@ def read_index(spark: SparkSession, path: str, **expected) -> tuple[DataFrame, d
 
 def write_runs(runs: DataFrame, path: str) -> None:
     runs.select(F.col("rec_id").alias("record"), "start", "length").write.option("header", True).csv(path)
+
+
+def save(value, path: str, spark: SparkSession | None = None) -> None:
+    """Keeps a table, or any value that JSON has, under a path; nothing that is read back runs code."""
+    if isinstance(value, DataFrame):
+        value.write.parquet(f"{path}/table")
+        return
+    (spark or SparkSession.active()).createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(f"{path}/value")
+
+
+def load(spark: SparkSession, path: str):
+    """What ``save`` kept: a DataFrame or a value."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/table")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.read.parquet(f"{path}/table")
+    return json.loads(spark.read.text(f"{path}/value").first()["value"])
+
+
+def write_split_index(index: DataFrame, path: str, **parameters) -> None:
+    """An index whose vectors are kept as real and imaginary halves."""
+    half = F.floor(F.size("vec") / 2).cast("int")
+    parts = index.withColumn("re", F.slice("vec", F.lit(1), half)).withColumn("im", F.slice("vec", half + 1, half)).drop("vec")
+    write_index(parts, path, split=True, **parameters)
+
+
+def read_split_index(spark: SparkSession, path: str, **expected) -> tuple[DataFrame, dict[str, str]]:
+    """(windows, parameters) of an index in halves: ``vec`` and ``turned``, whose products are a complex product's two parts."""
+    parts, meta = read_index(spark, path, split=True, **expected)
+    vec, turned = quant.split_complex("re", "im")
+    return parts.withColumn("vec", vec).withColumn("turned", turned).drop("re", "im"), meta
+
+
+def write_packed(records: DataFrame, path: str) -> None:
+    """A genome at two bits a base: rec_id, head, nchar, words (16 bases each); what is no base is packed as G."""
+    code = dna.codes(dna.acgt("seq"))
+    records.select("rec_id", "head", F.length("seq").cast("long").alias("nchar"), dna.pack_words(code).alias("words")).write.parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """rec_id, head, nchar, seq of a packed genome."""
+    seq = dna.letters(dna.unpack_words("words", F.col("nchar").cast("int")))
+    return spark.read.parquet(path).select("rec_id", "head", "nchar", seq.alias("seq"))
+
+
+def write_encodings(coded: DataFrame, path: str, **parameters) -> None:
+    """Encoded fragments (vec, norms and what names them), with the encoder's parameters."""
+    write_index(coded, path, encodings=True, **parameters)
+
+
+def read_encodings(spark: SparkSession, path: str, **expected) -> tuple[DataFrame, dict[str, str]]:
+    return read_index(spark, path, encodings=True, **expected)
+
+
+def write_numbers(rows: DataFrame, path: str) -> None:
+    """A table of numbers as CSV with a header, such as a sweep's points or an array's rows."""
+    rows.write.option("header", True).csv(path)
+
+
+def read_numbers(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def write_positions(places: DataFrame, path: str, column: str = "start") -> None:
+    """One position a line."""
+    places.select(F.col(column).cast("string")).write.text(path)
+
+
+def write_ranges(ranges: DataFrame, path: str) -> None:
+    """One line for each read: its number and its ranges, piece:first-last, in order (read_id, part, piece, first, last)."""
+    each = F.transform(F.array_sort(F.collect_list(F.struct("part", "piece", "first", "last"))), lambda r: F.concat(r["piece"].cast("string"), F.lit(":"), r["first"].cast("string"), F.lit("-"), r["last"].cast("string")))
+    ranges.groupBy("read_id").agg(each.alias("r")).select(F.concat_ws(" ", F.col("read_id").cast("string"), F.array_join("r", " "))).write.text(path)
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, part (from 1), piece, first, last of such lines."""
+    f = F.split("value", " ")
+    rows = spark.read.text(path).select(f[0].cast("long").alias("read_id"), F.posexplode(F.slice(f, 2, F.size(f))).alias("i", "r"))
+    number = lambda i: F.regexp_extract("r", "^([0-9-]+):(-?[0-9]+)-(-?[0-9]+)$", i).cast("long")
+    return rows.select("read_id", (F.col("i") + 1).alias("part"), number(1).alias("piece"), number(2).alias("first"), number(3).alias("last"))

@@ -7,6 +7,7 @@ row for each bin.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,19 @@ def start_mapping(reads: DataFrame, index: DataFrame, rope: encode.Rope, sink: C
     return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def first_error(queries: list[StreamingQuery], poll: float = 0.2) -> None:
+    """Waits for all queries; the first that fails stops the others and its error is raised."""
+    while True:
+        failed = [q for q in queries if q.exception() is not None]
+        if failed or not any(q.isActive for q in queries):
+            for q in queries:
+                q.stop()
+            if failed:
+                raise failed[0].exception()
+            return
+        time.sleep(poll)
+
+
 def running_histogram(scores: DataFrame, column: str = "score") -> DataFrame:
     """bin, n over all scores so far; 34 rows of state at most."""
     return scores.groupBy(dna.similarity_bin(column).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
