@@ -112,12 +112,14 @@ class Columns:
         self.store, self.folder = fs.FileSystem.from_uri(folder)
 
     def _write(self, k: int, order: np.ndarray, lcp: np.ndarray, transform: np.ndarray) -> None:
-        with self.store.open_output_stream(f"{self.folder}/column-{k & 1}") as f:
+        # A name of its own for each column: file systems may wait for the disk when a file is written over.
+        with self.store.open_output_stream(f"{self.folder}/column-{k}") as f:
             f.write(order.astype(np.int32).tobytes() + lcp.astype(np.int16).tobytes() + transform.astype(np.int16).tobytes())
 
     def _read(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        with self.store.open_input_stream(f"{self.folder}/column-{k & 1}") as f:
+        with self.store.open_input_stream(f"{self.folder}/column-{k}") as f:
             held = f.read()
+        self.store.delete_file(f"{self.folder}/column-{k}")
         return np.frombuffer(held, np.int32, n), np.frombuffer(held, np.int16, n, 4 * n), np.frombuffer(held, np.int16, n, 6 * n)
 
     def _before(self, order: np.ndarray, column: int) -> np.ndarray:
