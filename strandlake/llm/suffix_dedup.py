@@ -44,7 +44,7 @@ from .common import POWERS, U64, Workspace, as_long, bounded_batches, mix, row_c
 
 LENGTH, ANCHOR = 200, 64
 #: Different pieces of an anchor above which it is split, and the ranges of window starts (bytes before the anchor, mirrored) it is split into.
-CROWD, CUTS = 1024, (0, 2, 8, 32)
+CROWD, CUTS = 4096, (0, 2, 8, 24, 44)
 #: Rows of 16-byte keys up to which a counted table is broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 300_000
 #: Bytes of text hashed at once; a longer text is taken in overlapping parts.
@@ -311,7 +311,7 @@ def _starts(length: int, anchor: int):
     def run(batches):
         for batch in batches:
             owner, before, digest = [], [], []
-            for i, (c, piece) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("centre", "piece")))):
+            for i, (c, piece) in enumerate(zip(batch.column("centre").to_pylist(), batch.column("piece").to_pylist())):
                 least, last = whole(c, len(piece), length, anchor)
                 for b in range(least, last + 1):
                     owner.append(i)
@@ -319,7 +319,7 @@ def _starts(length: int, anchor: int):
                     digest.append(hashlib.blake2b(piece[c - b : c - b + length], digest_size=16, salt=b.to_bytes(2, "big")).digest())
             if owner:
                 take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in ("anchor", "kind", "copies")), pa.array(before, pa.int64()), pa.array(digest, pa.binary())], ["anchor", "kind", "copies", "before", "digest"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in ("row", "copies")), pa.array(before, pa.int32()), pa.array(digest, pa.binary())], ["row", "copies", "before", "digest"])
 
     return run
 
@@ -401,17 +401,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         crowded = kinds.join(many, "anchor", "left_semi").mapInArrow(_split(length, ANCHOR), "anchor long, kind binary, copies long, group long, part binary, centre int, piece binary")
         crowded = space.save(crowded, "crowded")
         parts = crowded.groupBy("group", "part").agg(F.first("centre").alias("centre"), F.first("piece").alias("piece"), F.sum("copies").alias("copies"))
-        parts = space.save(parts.select(F.col("group").alias("anchor"), F.col("part").alias("kind"), "centre", "piece", "copies"), "parts")
+        parts = space.save(parts.select(F.monotonically_increasing_id().alias("row"), F.col("group").alias("anchor"), F.col("part").alias("kind"), "centre", "piece", "copies"), "parts")
         dense = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("anchor")
         dense, thick = space.counted(dense, "dense", F.count(F.lit(1)).alias("n"))
         if thick["n"]:
-            starts = parts.join(dense, "anchor", "left_semi").mapInArrow(_starts(length, ANCHOR), "anchor long, kind binary, copies long, before long, digest binary")
+            starts = parts.join(dense, "anchor", "left_semi").select("row", "copies", "centre", "piece").mapInArrow(_starts(length, ANCHOR), "row long, copies long, before int, digest binary")
             starts = space.save(starts, "starts")
             twice = space.save(starts.groupBy("digest").agg(F.sum("copies").alias("n")).filter("n > 1").select("digest"), "twice")
-            at = starts.join(twice, "digest").select("anchor", "kind", F.array(F.struct(F.col("before").alias("s"), F.col("before").alias("e"))).alias("runs"))
-            parts = together(parts.join(dense, "anchor", "left_anti")).unionByName(at)
+            at = starts.join(twice, "digest").groupBy("row").agg(F.collect_set(F.col("before").cast("long")).alias("at"))
+            at = parts.select("row", "anchor", "kind").join(at, "row").select("anchor", "kind", F.transform("at", lambda b: F.struct(b.alias("s"), b.alias("e"))).alias("runs"))
+            parts = together(parts.join(dense, "anchor", "left_anti").drop("row")).unionByName(at)
         else:
-            parts = together(parts)
+            parts = together(parts.drop("row"))
         ends = parts.select(F.col("anchor").alias("group"), F.col("kind").alias("part"), "runs")
         split = crowded.select("anchor", "kind", "group", "part").join(space.save(ends, "ends"), ["group", "part"]).select("anchor", "kind", "runs")
         # A piece has several rows, one for each range or start that it shares.
