@@ -449,12 +449,6 @@ def a18_retrieval(spark, d):
     return scoring.retrieval_accuracy(labelled, q).withColumn("share", F.round("share", 9))
 
 
-@query()
-def a26_agreement(spark, d):
-    q, x = vectors(spark, d)
-    return search.agreement(search.top_k(q, x, 20), search.top_k(q, x, 20, precision="e4m3"))
-
-
 MAP = encode.Rope(k=200, s=4, m=1, c=4)
 
 

@@ -323,14 +323,14 @@ _FIGURES = " SELECT rec_id, start, round(sum(re * re) / {all}, 4) AS real_share,
 _ALL = "sum(re * re + im * im)"
 
 
-def _figures(coded, rope, turns):
+def _figures(coded, rope, turns, digits=3):
     """The same of encoded rows (id, vec)."""
     half, m = rope.dim, rope.m
     re = F.slice("vec", 1, half)
     weight = F.array(*(F.lit(float(t)) for t in turns))
     moment = F.aggregate(F.transform(re, lambda x, i: x * (F.floor(i / m) + 1) * F.get(weight, (i % m).cast("int"))), F.lit(0.0), lambda a, x: a + x)
     share = F.aggregate(re, F.lit(0.0), lambda a, x: a + x * x)
-    return coded.select("id.rec_id", "id.start", F.round(share, 4).alias("real_share"), F.round(moment, 3).alias("moment"))
+    return coded.select("id.rec_id", "id.start", F.round(share, 4).alias("real_share"), F.round(moment, digits).alias("moment"))
 
 
 def _cut(spark, d):
@@ -351,11 +351,11 @@ _PLAIN = REC + WIN.format(k=200, step=200, src="g") + """, b AS (SELECT rec_id,
  z AS (SELECT rec_id, start, p, list_sum(list_transform([1,2,3], lambda i: (strpos('ACGT', substr(frag, p + i, 1)) - 1) * (4 ** ({power}))::BIGINT))::BIGINT AS slot FROM b), """
 
 
-@query(_PLAIN.format(power="i - 1") + "h AS (SELECT rec_id, start, slot, 1 AS turn, count(*)::DOUBLE AS re, 0.0::DOUBLE AS im FROM z GROUP BY ALL)" + _FIGURES.format(all=_ALL))
+@query(_PLAIN.format(power="i - 1") + "h AS (SELECT rec_id, start, slot, 1 AS turn, count(*)::DOUBLE AS re, 0.0::DOUBLE AS im FROM z GROUP BY ALL)" + _FIGURES.format(all=_ALL).replace(", 3) AS moment", ", 6) AS moment"))
 def n6_counted_encoding(spark, d):
     """Plain counts: no fold, no phase, no cleared slot."""
     rope = encode.Rope(200, 3, 1, 3, scramble=False, phase=False, zero_g=False)
-    return _figures(encode.encode(_cut(spark, d), rope, "f64"), rope, (1,))
+    return _figures(encode.encode(_cut(spark, d), rope, "f64"), rope, (1,), 6)
 
 
 @query(_PLAIN.format(power="3 - i") + "m AS (SELECT rec_id, start, slot, unnest([1, 2]) AS turn, p FROM z), h AS (SELECT rec_id, start, slot, turn, sum(cos(turn * p * 2 * pi() / 200)) AS re, sum(sin(turn * p * 2 * pi() / 200)) AS im FROM m GROUP BY ALL)" + _FIGURES.format(all=_ALL))
@@ -429,16 +429,18 @@ _SAMPLED = REC + """, t0 AS (SELECT rec_id, seq, length(seq) - 199 AS w FROM g W
  c AS (SELECT *, sum(alloc) OVER (ORDER BY rec_id) - alloc AS before FROM a), y AS (SELECT *, unnest(generate_series(1, alloc)) AS i FROM c WHERE alloc > 0),
  reads AS (SELECT (before + i)::BIGINT AS read_id, substr(seq, (CASE WHEN alloc <= w THEN 1 + ((2 * i - 1) * w) // (2 * alloc) ELSE (i - 1) % w + 1 END)::BIGINT, 200) AS frag FROM y),
  l AS (SELECT rec_id, start, seq FROM (SELECT rec_id, seq, unnest(generate_series(1, length(seq) - 199, 100)) AS start FROM g WHERE length(seq) >= 200)),
- lf AS (SELECT rec_id, start, substr(seq, start, 200) AS frag FROM l), d2 AS (SELECT DISTINCT frag FROM (SELECT frag FROM reads UNION ALL SELECT frag FROM lf UNION ALL SELECT reverse(translate(frag, 'ACGT', 'TGCA')) FROM lf)),
- pl AS (SELECT frag, unnest(generate_series(0, 196)) AS p FROM d2),
- sl AS (SELECT frag, p, list_sum(list_transform([1,2,3,4], lambda i: (strpos('ACGT', substr(frag, p + i, 1)) - 1) * (4 ** (i - 1))::BIGINT))::BIGINT AS slot FROM pl),
- hh AS (SELECT frag, slot, sum(cos(p * 2 * pi() / 200)) AS re, sum(sin(p * 2 * pi() / 200)) AS im FROM sl WHERE slot <> 170 GROUP BY ALL),
- nn AS (SELECT frag, sqrt(sum(re * re + im * im)) AS norm FROM hh GROUP BY frag HAVING sqrt(sum(re * re + im * im)) > 1e-6), v AS (SELECT hh.frag, slot, re / norm AS re, im / norm AS im FROM hh JOIN nn ON hh.frag = nn.frag),
- ip AS (SELECT q.frag AS qf, x.frag AS xf, sum(q.re * x.re + q.im * x.im) AS ip FROM v q JOIN v x ON q.slot = x.slot WHERE q.frag IN (SELECT frag FROM reads) GROUP BY ALL),
- best AS (SELECT qf, max(ip) AS ip FROM ip WHERE xf IN (SELECT frag FROM lf UNION ALL SELECT reverse(translate(frag, 'ACGT', 'TGCA')) FROM lf) GROUP BY qf)"""
-
-
-@query(_SAMPLED + " SELECT read_id, round(ip, 4) AS score FROM reads JOIN best ON reads.frag = best.qf")
+ lf AS (SELECT substr(seq, start, 200) AS frag FROM l), bf AS (SELECT frag FROM lf UNION SELECT reverse(translate(frag, 'ACGT', 'TGCA')) FROM lf),
+ d2 AS (SELECT frag, row_number() OVER () AS id, bool_or(is_read) AS is_read, bool_or(NOT is_read) AS is_window FROM (SELECT frag, true AS is_read FROM reads UNION ALL SELECT frag, false FROM bf) GROUP BY frag),
+ pl AS (SELECT id, frag, unnest(generate_series(0, 196)) AS p FROM d2),
+ sl AS (SELECT id, p, list_sum(list_transform([1,2,3,4], lambda i: (strpos('ACGT', substr(frag, p + i, 1)) - 1) * (4 ** (i - 1))::BIGINT))::INT AS slot FROM pl),
+ hh AS (SELECT id, slot, sum(cos(p * 2 * pi() / 200)) AS re, sum(sin(p * 2 * pi() / 200)) AS im FROM sl WHERE slot <> 170 GROUP BY ALL),
+ nn AS (SELECT id, sqrt(sum(re * re + im * im)) AS norm FROM hh GROUP BY id HAVING sqrt(sum(re * re + im * im)) > 1e-6),
+ v AS MATERIALIZED (SELECT hh.id, slot, re / norm AS re, im / norm AS im, is_read, is_window FROM hh JOIN nn ON hh.id = nn.id JOIN d2 ON hh.id = d2.id),
+ ip AS (SELECT q.id AS q, x.id AS x, sum(q.re * x.re + q.im * x.im) AS ip FROM v q JOIN v x ON q.slot = x.slot WHERE q.is_read AND x.is_window GROUP BY ALL),
+ best AS (SELECT frag, max(ip) AS ip FROM ip JOIN d2 ON q = id GROUP BY frag)"""
+
+
+@query(_SAMPLED + " SELECT read_id, round(ip, 4) AS score FROM reads JOIN best ON reads.frag = best.frag")
 def c8_mapped_reads(spark, d):
     """Reads without errors sampled from the records, mapped onto all windows on both strands: the best score of each."""
     recs = clean(spark, d)
