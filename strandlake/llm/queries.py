@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, pii, quality, sharding, suffix_dedup, topk, toxicity, warc
+from . import alignment, decontam, minhash, mixing, pii, quality, sharding, suffix_dedup, topk, toxicity, warc
 from .common import table
 
 
@@ -60,8 +60,12 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(table(spark, d, "documents"))
 
 
+def op12_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_mixing, op4_topk, op5_minhash, op6_sharding, op7_decontam, op8_toxicity, op9_quality, op10_pii)}
+    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_mixing, op4_topk, op5_minhash, op6_sharding, op7_decontam, op8_toxicity, op9_quality, op10_pii, op12_alignment)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
