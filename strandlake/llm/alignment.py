@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -41,8 +42,8 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 BUCKETS, FLUSH, UNITS, MEMORY = 64, 3_000_000, 300_000, 8 << 20
 #: Partial counts of a bucket that one task merges at a time.
 FAN_IN = 512
-#: Where both vocabularies surely begin a token: before a space after a word character or printable ASCII. Texts with other spaces are one unit.
-ODD_SPACE = re.compile(r"[^\w!-~] | \Z")
+#: Both vocabularies begin a token at a space after such a character; of others one might be white space too.
+SAFE = re.compile(r"[\w!-~]").match
 _DOCS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _TABLE = f"kind int, flush long, bucket int, n long, data binary, slot int, doc_id long, {_DOCS}"
 
@@ -53,6 +54,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*own}))}
 
 
+class Known(dict):
+    """Numbers of units. One that is new is noted; one that is empty or ends oddly is -1."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self.taken = 0
+
+    def __missing__(self, unit: str) -> int:
+        if not unit or not SAFE(unit[-1]):
+            n = -1
+        else:
+            n, self.taken = self.taken, self.taken + 1
+            self.fresh.append(unit)
+        self[unit] = n
+        return n
+
+
 class Units:
     """Alignments of text units, a unit being a space and what follows it up to the next; each is computed once.
 
@@ -82,49 +100,47 @@ class Units:
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
         self.long_a, self.long_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.text = [b"%d" % i + end for end in (b",", b"|", b",", b";") for i in range(1 << 16)]
+        self.long_text = np.array([len(x) for x in self.text], np.int64)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.size = 0
+        self.known, self.size = Known(), 0
         self.n_a = self.n_b = self.n_groups = np.zeros(0, np.int64)
         self.good, self.first, self.pairs = np.zeros(0, bool), np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.groups: list[bytes] = []
 
-    def split(self, text: str) -> list[str]:
-        return text.split(" ") if self.splits and not ODD_SPACE.search(text) and not text.startswith(" ") else [text]
-
     def number(self, texts: list[str]) -> list[np.ndarray]:
-        """Numbers of every text's units; new ones are aligned."""
-        known, fresh, out = self.known, [], []
+        """Numbers of every text's units; new ones are aligned. A text with other spaces than single ones between words is one unit."""
+        known, out, whole = self.known, [], []
         for text in texts:
-            units = self.split(text) if text else []
-            try:
-                out.append(list(map(known.__getitem__, units)))
-            except KeyError:
-                for u in units:
-                    if u not in known:
-                        known[u] = len(known)
-                        fresh.append(u)
-                        self.size += len(u)
-                out.append(list(map(known.__getitem__, units)))
+            units = text.split(" ") if text and self.splits else []
+            found = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+            if text and (not len(found) or found.min() < 0):
+                whole.append((len(out), text))
+            out.append(found)
+        fresh, known.fresh = known.fresh, []
         if fresh:
-            self.align(fresh)
-        return [np.array(x, np.int64) for x in out]
-
-    def align(self, units: list[str]) -> None:
-        source = [f" {u}".encode() for u in units]
-        a = [self.a.encode_to_numpy(f" {u}", disallowed_special=()) for u in units]
-        b = self.b.encode(units, num_threads=1)
-        n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-        flat_a, flat_b = np.concatenate(a).astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
-        good = np.ones(len(units), bool)
-        joined = [b"".join(map(t.__getitem__, f.tolist())) for t, f in ((self.bytes_a, flat_a), (self.bytes_b, flat_b))]
-        long = np.array([len(s) for s in source], np.int64)
-        per = [np.add.reduceat(np.append(t[f], 0), np.minimum(np.cumsum(n) - n, len(f))) * (n > 0) for t, f, n in ((self.long_a, flat_a, n_a), (self.long_b, flat_b, n_b))]
-        if any(x != b"".join(source) for x in joined) or any((p != long).any() for p in per):
+            a = self.a.encode_to_numpy(" " + " ".join(fresh), disallowed_special=()).astype(np.int64)
+            source = [f" {u}".encode() for u in fresh]
+            ends = np.cumsum([len(x) for x in source])
+            stop = np.searchsorted(np.cumsum(self.long_a[a]), ends, "right")
+            self.align(source, a, np.diff(stop, prepend=0), self.b.encode(fresh, num_threads=1))
+        for i, text in whole:
+            a = self.a.encode_to_numpy(f" {text}", disallowed_special=()).astype(np.int64)
+            out[i] = np.array([known.taken])
+            known.taken += 1
+            self.align([f" {text}".encode()], a, np.array([len(a)]), [self.b.encode(text)])
+        return out
+
+    def align(self, source: list[bytes], flat_a: np.ndarray, n_a: np.ndarray, b: list[list[int]]) -> None:
+        n_b = np.array([len(x) for x in b], np.int64)
+        flat_b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+        good, long, joined = np.ones(len(source), bool), np.array([len(s) for s in source], np.int64), b"".join(source)
+        edges = [np.concatenate(([0], np.cumsum(t[f])))[np.cumsum(n)] for t, f, n in ((self.long_a, flat_a, n_a), (self.long_b, flat_b, n_b))]
+        if any(b"".join(map(t.__getitem__, f.tolist())) != joined for t, f in ((self.bytes_a, flat_a), (self.bytes_b, flat_b))) or any((e != np.cumsum(long)).any() for e in edges):
+            a_of = np.split(flat_a, np.cumsum(n_a)[:-1])
             for i, s in enumerate(source):
-                good[i] = b"".join(self.bytes_a[x] for x in a[i].tolist()) == s == b"".join(self.bytes_b[x] for x in b[i])
+                good[i] = b"".join(self.bytes_a[x] for x in a_of[i].tolist()) == s == b"".join(self.bytes_b[x] for x in b[i])
             flat_a, flat_b = flat_a[np.repeat(good, n_a)], flat_b[np.repeat(good, n_b)]
             n_a, n_b, long = n_a * good, n_b * good, long * good
         end_a, end_b = np.cumsum(self.long_a[flat_a]), np.cumsum(self.long_b[flat_b])
@@ -135,26 +151,24 @@ class Units:
         mark = flags[at]
         in_a, in_b, both = (mark & 1).astype(np.int64), (mark >> 1).astype(np.int64), mark == 3
         pairs = flat_b[np.cumsum(in_b) - in_b] << 16 | flat_a[np.cumsum(in_a) - in_a]
-        ends = np.cumsum(long)
-        last = np.searchsorted(at, ends, "right")
-        total = np.cumsum(both)
-        n_groups = np.diff(np.concatenate(([0], np.append(0, total)[last])))
+        last = np.searchsorted(at, np.cumsum(long), "right")
+        total = np.concatenate(([0], np.cumsum(both)))
+        n_groups = np.diff(total[last], prepend=0)
         # Groups in writing: A ids of a group, then B ids, each with the sign that follows it.
         whole_a, whole_b = flags[end_a] == 3, flags[end_b] == 3
         group_a, group_b = np.cumsum(whole_a) - whole_a, np.cumsum(whole_b) - whole_b
-        each = np.arange(int(total[-1]) + 1 if len(total) else 1)
+        each = np.arange(int(total[-1]) + 1)
         codes = np.empty(len(flat_a) + len(flat_b), np.int64)
         codes[np.arange(len(flat_a)) + np.searchsorted(group_b, each)[group_a]] = flat_a + (whole_a << 16)
         codes[np.arange(len(flat_b)) + np.searchsorted(group_a, each)[group_b + 1]] = flat_b + (whole_b << 16) + (2 << 16)
-        text, stop, begin = self.text, np.cumsum(n_a + n_b).tolist(), 0
-        listed = codes.tolist()
-        for e in stop:
-            self.groups.append(b"".join(map(text.__getitem__, listed[begin:e])))
-            begin = e
+        text = b"".join(map(self.text.__getitem__, codes.tolist()))
+        stop = np.concatenate(([0], np.cumsum(self.long_text[codes])))[np.cumsum(n_a + n_b)].tolist()
+        self.groups += [text[s:e] for s, e in zip([0, *stop], stop)]
         self.n_a, self.n_b, self.n_groups = np.append(self.n_a, n_a), np.append(self.n_b, n_b), np.append(self.n_groups, n_groups)
         self.good = np.append(self.good, good)
         self.first = np.append(self.first, self.first[-1] + last)
         self.pairs = np.append(self.pairs, pairs)
+        self.size += len(joined)
 
 
 def bucket_of(b: np.ndarray) -> np.ndarray:
@@ -223,6 +237,17 @@ def blocks(docs: list[np.ndarray], units: Units) -> Iterator[tuple[int, bytes, b
         yield k, pack(pairs[s][begin], lengths, doc[s], times[s]), pack_counts(pairs[s][begin], np.add.reduceat(times[s], begin))
 
 
+#: The units of the vocabularies that this worker used last, and a sign of these.
+_HELD: list = [None, None]
+
+
+def units_of(byte_bpe: bytes, piece_bpe: bytes) -> Units:
+    sign = zlib.crc32(piece_bpe, zlib.crc32(byte_bpe)), len(byte_bpe), len(piece_bpe)
+    if _HELD[0] != sign:
+        _HELD[:] = sign, Units(byte_bpe, piece_bpe)
+    return _HELD[1]
+
+
 def _tokenise(byte_bpe, piece_bpe, flush_links: int, most_units: int):
     schema = pa.schema([("kind", pa.int32()), ("flush", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("slot", pa.int32()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())])
 
@@ -231,7 +256,7 @@ def _tokenise(byte_bpe, piece_bpe, flush_links: int, most_units: int):
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches):
-        units = Units(byte_bpe.value, piece_bpe.value)
+        units = units_of(byte_bpe.value, piece_bpe.value)
         flush = TaskContext.get().partitionId() << 24
         docs: list[np.ndarray] = []
         links = 0
@@ -259,7 +284,7 @@ def _tokenise(byte_bpe, piece_bpe, flush_links: int, most_units: int):
                 if links >= flush_links or len(docs) >= 1 << 23:
                     yield from flushed()
                     docs, links, flush = [], 0, flush + 1
-                    if len(units.known) > most_units or units.size > MEMORY:
+                    if units.known.taken > most_units or units.size > MEMORY:
                         units.clear()
         yield from flushed()
 
