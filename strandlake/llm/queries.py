@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, minhash, mixing, pii, quality, sharding, suffix_dedup, topk, toxicity, warc
+from . import alignment, decontam, langid, lexical, minhash, mixing, pii, quality, sharding, suffix_dedup, topk, toxicity, warc
 from .common import table
 
 
@@ -60,12 +60,20 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(table(spark, d, "documents"))
 
 
+def op11_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.ranked(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op12_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment.align(table(spark, d, "documents"))
 
 
+def op13_langid(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_mixing, op4_topk, op5_minhash, op6_sharding, op7_decontam, op8_toxicity, op9_quality, op10_pii, op12_alignment)}
+    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_mixing, op4_topk, op5_minhash, op6_sharding, op7_decontam, op8_toxicity, op9_quality, op10_pii, op11_lexical, op12_alignment, op13_langid)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,6 +136,19 @@ def oracle_sql() -> dict[str, str]:
                   FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0 AND len(q.v) = len(c.v)),
             r AS (SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+        "op11_lexical": rf"""
+            WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+            q AS (SELECT row_number() OVER () AS qid, item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+            s AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS n, coalesce(sum(len(w)), 0)::BIGINT AS l FROM d),
+            p AS (SELECT rid, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+            f AS (SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM p GROUP BY ALL),
+            g AS (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY term),
+            k AS (SELECT term, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM g, s),
+            a AS (SELECT DISTINCT qid, item_id, term FROM (SELECT qid, item_id, unnest(w) AS term FROM q)),
+            r AS (SELECT qid, item_id, rid, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * f.n * s.n) // s.l)))))::BIGINT AS score
+                  FROM a JOIN f USING (term) JOIN k USING (term), s GROUP BY qid, item_id, rid, doc_id),
+            o AS (SELECT item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0)
+            SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50""",
         "op6_sharding": """
             SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256, lang, source FROM documents""",
     }
