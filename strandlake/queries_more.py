@@ -10,7 +10,7 @@ from .operators import encode, probes, sampling, scoring, search, windows
 from .plans import mapping
 from .queries import _ENC, _EV, CROSS, EMB, MAP, PAIRS, REAL, REC, RUN, SQL, TOP, WIN, _events, clean, query, records, table, vectors
 from .shared import fresh_path
-from .sources import fasta, tables
+from .sources import fasta, pieces, tables
 from .streaming import reads as streams
 
 #: SQL of the codes of the bases of every record, one row each, from 0.
@@ -122,6 +122,41 @@ def s6_fetched_places(spark, d):
     return fasta.fetch(spark.read.parquet(path), places, 512)
 
 
+def _split_fasta(spark, d):
+    """The clean records in lines of 60 letters, read again in pieces of ranges that cut records and headers."""
+    path = fresh_path(spark, "wrapped")
+    lines = clean(spark, d).select("head", F.regexp_replace("seq", "(.{60})", "$1\n").alias("seq"))
+    fasta.write_fasta(lines, path)
+    return pieces.read_pieces(spark, path, split=20_011, piece=701)
+
+
+@query(REC + " SELECT head, name, length(seq)::BIGINT AS nchar, md5(seq) AS digest FROM g")
+def s1_split_records(spark, d):
+    held = _split_fasta(spark, d)
+    parts = pieces.blocks_of(held, 1000).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"))
+    digest = parts.select("rec_id", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "")).alias("digest"))
+    return pieces.summary(held).join(digest, "rec_id", "left").select("head", "name", "nchar", F.coalesce("digest", F.md5(F.lit(""))).alias("digest"))
+
+
+@query(REC + WIN.format(src="g", k=200, step=150) + " SELECT name, start, md5(frag) AS digest FROM f JOIN g USING (rec_id)")
+def s2_split_windows(spark, d):
+    held = _split_fasta(spark, d)
+    found = pieces.windows_of(held, 200, 150, size=1000)
+    return found.join(pieces.summary(held).select("rec_id", "name"), "rec_id").select("name", "start", F.md5("frag").alias("digest"))
+
+
+@query(REC + f" SELECT name, start, k, upper(regexp_replace(substr(seq, start, k), '[^ACGTacgt]', 'G', 'g')) AS frag FROM ({_PLACES}) JOIN (SELECT rec_id, name FROM g) USING (rec_id)")
+def s6_sought_places(spark, d):
+    """Places that are read from the FASTA files themselves, by the bytes that the index of pieces names."""
+    held = _split_fasta(spark, d)
+    path = fresh_path(spark, "offsets")
+    pieces.offsets(held).write.parquet(path)
+    names = pieces.summary(held).select(F.col("rec_id").alias("file_rec"), "name")
+    j = records(spark, d).select("rec_id", dna.record_name("head").alias("name"), F.length("seq").alias("n"), F.explode(F.array(F.lit(1), F.lit(5), F.lit(40))).alias("j"))
+    places = j.join(names, "name").select(F.col("file_rec").alias("rec_id"), "name", (1 + (F.col("rec_id") * 37 * F.col("j")) % F.greatest("n", F.lit(1))).cast("long").alias("start"), (40 * F.col("j")).cast("long").alias("k"))
+    return pieces.seek(spark.read.parquet(path), places, 701).select("name", "start", "k", "frag")
+
+
 @query(REC + " SELECT rec_id, substr(g.seq, 3, 15) AS frag FROM g JOIN r USING (rec_id, head, name) WHERE length(g.seq) >= 17 AND NOT regexp_matches(substr(r.seq, 3, 20), '[Nn]')")
 def s8_strict_reads(spark, d):
     """Short records without any N, whose letters then pass the strict reader."""
@@ -140,12 +175,23 @@ def s8_records_anywhere(spark, d):
 
 @query(REC + " SELECT '@' || name AS head, md5(seq) AS digest FROM g WHERE length(seq) >= 80")
 def s9_quality_reads(spark, d):
+    return fasta.read_fastq(spark, _fastq(spark, d)).select("head", F.md5("seq").alias("digest"))
+
+
+@query(REC + " SELECT '@' || name AS head, md5(seq) AS digest FROM g WHERE length(seq) >= 80")
+def s9_split_quality_reads(spark, d):
+    """The same files in ranges that cut records anywhere; every quality line begins with the sign of a header."""
+    found = pieces.number_reads(pieces.read_reads(spark, _fastq(spark, d), split=20_011))
+    return found.filter("read_ord >= 0").select("head", F.md5("seq").alias("digest"))
+
+
+def _fastq(spark, d):
     path = fresh_path(spark, "fastq")
     rows = clean(spark, d).filter(F.length("seq") >= 80)
     quality = F.repeat(F.lit("@"), F.length("seq"))
     lines = F.concat(F.lit("@"), dna.record_name("head"), F.lit("\n"), F.substring("seq", 1, 40), F.lit("\n"), F.expr("substring(seq, 41)"), F.lit("\n+\n"), F.substring(quality, 1, 40), F.lit("\n"), F.substring(quality, 41, 1 << 30))
     rows.select(lines).write.text(path)
-    return fasta.read_fastq(spark, path).select("head", F.md5("seq").alias("digest"))
+    return path
 
 
 @query(EMB + " " + _VEC)

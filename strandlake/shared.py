@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Schemes of Hadoop's connectors, and what Arrow calls the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def store_uri(path: str) -> str:
+    """A path or address as Arrow's file systems name it."""
+    scheme, sign, rest = path.partition("://")
+    if not sign and path.startswith("file:/"):
+        return "file://" + path[5:]
+    return f"{SCHEMES.get(scheme, scheme)}{sign}{rest}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
