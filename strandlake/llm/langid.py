@@ -20,7 +20,7 @@ from .common import Workspace, bounded_batches
 from .logistic import sigmoid
 
 #: Labelled documents that the machines are fitted on at most, as many of each language as there are; features; gram lengths.
-SAMPLE, BITS, GRAMS = 3000, 13, (1, 2, 3, 4)
+SAMPLE, BITS, GRAMS = 2000, 12, (1, 2, 3, 4)
 #: Weight of the squared norm against the squared hinge losses, and steps of the fit at most.
 RIDGE, STEPS = 0.05, 40
 UNKNOWN = "und"
@@ -86,16 +86,16 @@ def shares(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(1, keepdims=True), 1)
 
 
-def machine(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
-    """Weights and bias of the linear machine with squared hinge losses, for y of 1 and -1.
+def machine(kernel: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+    """Each row's part in the weights of the linear machine with squared hinge losses, for y of 1 and -1.
 
-    Newton steps over the support vectors: those that miss the margin solve one
-    linear system, until they stay the same.
+    ``kernel`` has the rows' inner products plus one, for the bias. Newton steps
+    over the support vectors: those that miss the margin solve one linear
+    system, until they stay the same.
     """
-    z = np.c_[x, np.ones(len(x), x.dtype)].astype(np.float64)
     # Both sides weigh alike, however many rows they have.
     cost = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    kernel, beta = z @ z.T, np.zeros(len(y))
+    beta = np.zeros(len(y))
     support = np.ones(len(y), bool)
     for _ in range(steps):
         at = np.flatnonzero(support)
@@ -105,7 +105,7 @@ def machine(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STE
         if (after == support).all() or not after.any():
             break
         support = after
-    return beta @ z
+    return beta
 
 
 class Model:
@@ -124,18 +124,19 @@ class Model:
         if not known:
             return self
         x = shares(counts)
-        scale = 1 / np.sqrt(np.maximum(x.mean(0), 1e-5))
+        scale = (1 / np.sqrt(np.maximum(x.mean(0), 1e-5))).astype(np.float32)
         x *= scale
+        kernel = (x @ x.T).astype(np.float64) + 1
         own, groups = np.array(langs), np.array([family(x, self.families) for x in langs])
         weights = []
         for level, labels, sets in [("", groups, sorted(self.tree))] + [(f, own, self.tree[f]) for f in sorted(self.tree)]:
             for a, b in combinations(sets, 2):
-                rows = (labels == a) | (labels == b)
-                weights.append(machine(x[rows], np.where(labels[rows] == a, 1.0, -1.0)))
+                rows = np.flatnonzero((labels == a) | (labels == b))
+                beta = machine(kernel[np.ix_(rows, rows)], np.where(labels[rows] == a, 1.0, -1.0))
+                weights.append(np.append(beta @ x[rows] * scale, beta.sum()))
                 self.pairs.append((level, a, b))
         if weights:
-            w = np.array(weights)
-            self.weights = np.c_[w[:, :-1] * scale, w[:, -1]].astype(np.float32)
+            self.weights = np.array(weights, np.float32)
         return self
 
     def predict(self, counts: np.ndarray) -> list[tuple[str, float]]:
