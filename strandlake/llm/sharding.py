@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -26,6 +27,8 @@ from .common import Workspace, delete, hadoop_path, unused
 
 #: Bytes of a finished file, of the smallest tier, runs that are merged at once, appends of one table, versions that stay readable.
 TARGET, SMALLEST, FAN_IN, ARRIVALS, RETAIN = 64 << 20, 1 << 20, 4, 8, 4
+#: Seconds after which a folder that no manifest lists is taken for one that a dead writer left.
+ORPHAN = 7 * 86_400.0
 
 
 @dataclass(frozen=True)
@@ -56,10 +59,21 @@ class Store:
         return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
-        known = self.versions()
-        if not known:
-            return 0, []
-        version = known[-1] if version is None else version
+        """(version, shards) of the last version, or of a given one; the last is looked for again if others have expired it meanwhile."""
+        while True:
+            known = self.versions()
+            if not known:
+                return 0, []
+            asked = known[-1] if version is None else version
+            try:
+                return self._manifest(asked)
+            except Exception:
+                if asked in self.versions():
+                    raise
+                if version is not None:
+                    raise KeyError(f"version {version} is not there or has expired") from None
+
+    def _manifest(self, version: int) -> tuple[int, list[Shard]]:
         fs, p = hadoop_path(self.spark, f"{self.path}/manifest-{version:08d}.json")
         stream = fs.open(p)
         try:
@@ -135,7 +149,13 @@ class Store:
             total = sum(s.size for s in runs)
             files = max(1, round(total / self.target))
             # Whole input files are put together: nothing is shuffled.
-            (merged,) = self._write(self._open([s.name for s in runs], schema).coalesce(files))
+            try:
+                (merged,) = self._write(self._open([s.name for s in runs], schema).coalesce(files))
+            except Exception:
+                # Another writer may have merged these and expired them.
+                if {s.name for s in runs} <= {s.name for s in self.manifest()[1]}:
+                    raise
+                continue
             if merged.rows != sum(s.rows for s in runs):
                 raise RuntimeError(f"a merge wrote {merged.rows} rows of {sum(s.rows for s in runs)}")
             while True:
@@ -152,15 +172,36 @@ class Store:
         self.expire()
         return merges
 
-    def expire(self) -> list[int]:
-        """Drops all versions but the last ``retain``, and the shards that only they list; returns the dropped ones."""
+    def _listed(self, version: int) -> list[Shard]:
+        """The shards of a version, none if another writer has dropped it."""
+        try:
+            return self.manifest(version)[1]
+        except KeyError:
+            return []
+
+    def orphans(self, older: float = ORPHAN) -> list[str]:
+        """Folders that no manifest lists and that were last written more than ``older`` seconds ago.
+
+        A failed append or a merge that lost its inputs to another writer may
+        leave one; a younger folder may belong to an append that is not yet
+        committed.
+        """
+        listed = {s.name.split("/")[0] for v in self.versions() for s in self._listed(v)}
+        fs, p = hadoop_path(self.spark, self.path)
+        held = fs.listStatus(p) if fs.exists(p) else []
+        before = (time.time() - older) * 1000
+        named = [(s.getPath().getName(), s.getModificationTime()) for s in held]
+        return sorted(n for n, t in named if n.startswith(("shard-", ".draft-")) and n not in listed and 0 < t < before)
+
+    def expire(self, older: float = ORPHAN) -> list[int]:
+        """Drops all versions but the last ``retain``, the shards that only they list and ``orphans``; returns the dropped versions."""
         known = self.versions()
         old, kept = known[: -self.retain], known[-self.retain :]
         live = {s.name for v in kept for s in self.manifest(v)[1]}
-        gone = {s.name for v in old for s in self.manifest(v)[1]} - live
+        gone = {s.name for v in old for s in self._listed(v)} - live
         for v in old:
             delete(self.spark, f"{self.path}/manifest-{v:08d}.json")
-        for name in gone:
+        for name in [*gone, *self.orphans(older)]:
             delete(self.spark, f"{self.path}/{name}")
         return old
 
