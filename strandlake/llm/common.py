@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -15,6 +16,8 @@ U64 = np.uint64
 #: Fixed odd multipliers and shifts of the 64-bit finaliser (splitmix64).
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 WORD_BASE = 0x9E3779B97F4A7C15 | 1
+#: Added to what is hashed; bytes above which a word is hashed by digest.
+SALT, LONG = U64(0xD6E8FEB86659FD93), 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,11 +117,28 @@ def word_spans(buf: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, the same wherever it stands."""
-    up, down = POWERS.upto(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of every word, the same wherever it stands.
+
+    Eight bytes at a time go through the finaliser, which is no polynomial: no
+    family of texts collides by its form. Words of more than LONG bytes are
+    hashed by digest.
+    """
+    n = ends - starts
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.lib.stride_tricks.as_strided(padded, (len(buf) + 1, 8), (1, 1))
+    out = mix(n.astype(U64) * SALT)
+    at = np.flatnonzero((n > 0) & (n <= LONG))
+    for lane in range(LONG // 8):
+        at = at[n[at] > 8 * lane]
+        if not len(at):
+            break
+        value = eight[starts[at] + 8 * lane].view(U64).ravel()
+        short = U64(8) * np.minimum(n[at] - 8 * lane, 8).astype(U64)
+        value = np.where(short < U64(64), value & ((U64(1) << np.minimum(short, U64(63))) - U64(1)), value)
+        out[at] = mix(out[at] * MIX_B + mix(value ^ SALT) + U64(lane))
+    for i in np.flatnonzero(n > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -139,12 +159,17 @@ def chunks(texts: list[bytes], most: int = 1 << 20):
         yield first, len(texts)
 
 
+def word_places(texts: list[bytes], gap: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The ASCII-lower-cased texts in one, starts and ends of their words there, and where each text's words begin (len + 1)."""
+    whole = b" ".join(texts).lower() + b" "
+    starts, ends = word_spans(np.frombuffer(whole, np.uint8), gap)
+    return whole, starts, ends, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
 def words_of(texts: list[bytes], gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ASCII-lower-cased words of texts, and where each text's begin (len + 1)."""
-    buf = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
-    starts, ends = word_spans(buf, gap)
-    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return word_hashes(buf, starts, ends), np.searchsorted(starts, offsets)
+    whole, starts, ends, offsets = word_places(texts, gap)
+    return word_hashes(np.frombuffer(whole, np.uint8), starts, ends), offsets
 
 
 def as_long(h: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONALNUM, bounded_batches, chunks, unused, words_of
+from .common import NONALNUM, bounded_batches, chunks, unused, word_hashes, word_places
 
 WINDOW = 10
 #: Bytes of benchmark text that one block of items may have when it is broadcast.
@@ -35,10 +35,13 @@ class Probes:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window = window
-        hashes, offsets = words_of([t for _, t in items], NONALNUM)
+        whole, first, last, offsets = word_places([t for _, t in items], NONALNUM)
+        hashes = word_hashes(np.frombuffer(whole, np.uint8), first, last)
         self.vocabulary = np.unique(hashes)
         numbers = np.searchsorted(self.vocabulary, hashes).astype(np.int64) + 1
         self.items, rows, self.length, follows = [], [], [], []
+        #: The words of every probe in bytes, for the comparison that confirms a hit.
+        self.words: list[list[bytes]] = []
         for i, (name, _) in enumerate(items):
             words = numbers[offsets[i] : offsets[i + 1]]
             n = min(window, len(words))
@@ -48,6 +51,7 @@ class Probes:
                 rows.append(row)
                 self.length.append(n)
                 self.items.append(name)
+                self.words.append([whole[first[k] : last[k]] for k in range(offsets[i] + start, offsets[i] + start + n)])
                 follows.append(start > 0)
         self.rows = np.array(rows, np.int64).reshape(-1, window)
         self.length = np.array(self.length, np.int64)
@@ -135,7 +139,8 @@ def scan(texts: list[bytes], probes: Probes) -> Iterator[tuple[int, list[tuple[i
     """For every text: number of words, hit word spans, items that occur whole windows of, words of the longest match."""
     base, w = len(probes.vocabulary) + 1, probes.window
     for a, b in chunks(texts):
-        hashes, offsets = words_of(texts[a:b], NONALNUM)
+        whole, first, last, offsets = word_places(texts[a:b], NONALNUM)
+        hashes = word_hashes(np.frombuffer(whole, np.uint8), first, last)
         at = np.searchsorted(probes.vocabulary, hashes)
         known = at < len(probes.vocabulary)
         known[known] = probes.vocabulary[at[known]] == hashes[known]
@@ -157,16 +162,18 @@ def scan(texts: list[bytes], probes: Probes) -> Iterator[tuple[int, list[tuple[i
         if len(order) and len(probes.rows):
             low = _bound(words, order, probes.rows, probes.length, False)
             high = _bound(words, order, probes.rows, probes.length, True)
-            found = [(int(p), int(s)) for p in np.flatnonzero(high > low) for s in order[low[p] : high[p]]]
-            for first, n in runs(found, probes):
-                d = int(np.searchsorted(begin, first, "right")) - 1
+            found = []
+            for p in np.flatnonzero(high > low).tolist():
+                for s in order[low[p] : high[p]].tolist():
+                    d, n = int(np.searchsorted(begin, s, "right")) - 1, int(probes.length[p])
+                    at = s - d * w
+                    if [whole[first[k] : last[k]] for k in range(at, at + n)] == probes.words[p]:
+                        found.append((p, s))
+                        spans[d].append((int(s - begin[d]), int(s - begin[d]) + n))
+                        items[d].add(probes.items[p])
+            for start, n in runs(found, probes):
+                d = int(np.searchsorted(begin, start, "right")) - 1
                 most[d] = max(most[d], n)
-            for p in np.flatnonzero(high > low):
-                for s in order[low[p] : high[p]]:
-                    d = int(np.searchsorted(begin, s, "right")) - 1
-                    n = int(probes.length[p])
-                    spans[d].append((int(s - begin[d]), int(s - begin[d]) + n))
-                    items[d].add(probes.items[p])
         for d in range(b - a):
             yield int(offsets[d + 1] - offsets[d]), merged(spans[d]), sorted(items[d]), int(most[d])
 
@@ -195,8 +202,10 @@ def item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, byt
     yield block
 
 
-#: The probes of the blocks that this worker process has met; they are built once, not in every task.
+#: The probes of the blocks that this worker process met last; they are built once, not in every task.
 _BUILT: dict[str, Probes] = {}
+#: How many of them it keeps.
+KEPT = 4
 _SCHEMA = "n_words long, spans array<struct<s:long,e:long>>, items array<string>, longest long"
 
 
@@ -204,9 +213,10 @@ def _scanner(held, window: int):
     name = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if name not in _BUILT:
-            _BUILT[name] = Probes(held.value, window)
-        probes = _BUILT[name]
+        probes = _BUILT.pop(name, None) or Probes(held.value, window)
+        _BUILT[name] = probes
+        while len(_BUILT) > KEPT:
+            del _BUILT[next(iter(_BUILT))]
         for texts in frames:
             found = list(scan([t.encode() if isinstance(t, str) else b"" for t in texts], probes))
             yield pd.DataFrame({"n_words": [x[0] for x in found], "spans": [[{"s": s, "e": e} for s, e in x[1]] for x in found], "items": [x[2] for x in found], "longest": [x[3] for x in found]})

@@ -267,9 +267,10 @@ def _named(rows: DataFrame, column: str, label: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` without those that link to a smaller doc_id; one row stays of repeated ids.
+    """The rows of ``docs`` without those that link to a smaller doc_id; one row stays of repeated ids, that of the least text.
 
-    Rows with a null id and texts without words stay. Columns are kept whatever
+    Of rows that repeat both id and text, that of the least hash of all columns
+    stays. Rows with a null id and texts without words stay. Columns are kept whatever
     their names; an empty table gives an empty result.
     """
     space = Workspace(docs.sparkSession, "neardrop")
@@ -281,4 +282,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) ->
     if not seen["n"]:
         return left
     once = left.join(twice, F.col("doc_id") == F.col(id_), "left_anti")
-    return once.unionByName(left.join(twice, F.col("doc_id") == F.col(id_), "left_semi").dropDuplicates(["doc_id"]))
+    again = left.join(twice, F.col("doc_id") == F.col(id_), "left_semi")
+    # All columns travel as one struct, so the least of an id is found by an aggregate that combines before its shuffle.
+    least = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias(id_))
+    return once.unionByName(least.select(f"{id_}.*"))
