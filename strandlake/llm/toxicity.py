@@ -275,7 +275,8 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, sample: int = SAMPLE) -> Lexicon:
     """Learns from labelled rows that are not held out, those with the least hash of their id: ``most`` rows and ``sample`` bytes at most.
 
-    Ids with both labels are left out; of rows that repeat an id one is taken.
+    A text of more than an eighth of ``sample`` teaches nothing, so no text
+    fills the sample. Ids with both labels are left out; of rows that repeat an id one is taken.
     """
     bounded_batches(docs.sparkSession)
     space = Workspace(docs.sparkSession, "toxicity")
@@ -283,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, sample: int =
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("high")).filter("y = high").select("doc_id", "y")
     some = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
-    rows = space.save(rows, "rows")
+    rows = space.save(rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample // 8), "rows")
     # At most ``most`` rows without their texts are numbered here.
     upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
     within = rows.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= sample).select("doc_id")
