@@ -171,9 +171,8 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float]
 
 
 def copies(rate_: Column, *key: Column) -> Column:
-    """A whole number with the rate (to hundredths) as its mean, the same on every run: the hash of the key decides the fraction."""
-    rate_ = F.round(rate_, 2)
-    unit = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A whole number with the rate as its mean, the same on every run: the hash of the key decides the fraction, however small."""
+    unit = F.xxhash64(*key).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     return (F.floor(rate_) + (unit < rate_ - F.floor(rate_)).cast("int")).cast("int")
 
 
@@ -190,7 +189,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | Non
     if not mixture.domains:
         return docs
     key = unused("key", docs)
-    rates = mixture.table.select(F.col("key").alias(key), F.round(mixture.rates(), 6).alias(rate := unused("rate", docs)))
+    rates = mixture.table.select(F.col("key").alias(key), mixture.rates().alias(rate := unused("rate", docs)))
     joined = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))).join(rates, key)
     times = copies(F.col(rate), F.col("doc_id"), F.col(key))
     every = F.array_repeat(F.lit(1), times)

@@ -40,6 +40,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import store_uri
 from .common import POWERS, U64, Workspace, as_long, bounded_batches, mix, row_count, texts_of
 
 LENGTH, ANCHOR = 200, 64
@@ -109,7 +110,7 @@ class Columns:
         # One row for each column: what precedes the suffixes that begin one column later.
         self.columns = np.ascontiguousarray(np.where(valid, symbols.astype(np.int16) + 1, 0).T)
         self.groups = groups
-        self.store, self.folder = fs.FileSystem.from_uri(folder)
+        self.store, self.folder = fs.FileSystem.from_uri(store_uri(folder))
 
     def _write(self, k: int, order: np.ndarray, lcp: np.ndarray, transform: np.ndarray) -> None:
         # A name of its own for each column: file systems may wait for the disk when a file is written over.

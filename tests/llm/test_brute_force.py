@@ -372,8 +372,8 @@ def test_pipeline_against_a_plain_version(spark, small, tmp_path):
 
     want = []
     for x in left:
-        held = round(round(rate[x[1]], 6) + 1e-12, 2)
-        unit = spark_hash(x[0], hashlib.md5(x[1].encode()).hexdigest()) % (1 << 30) / (1 << 30)
+        held = rate[x[1]]
+        unit = (spark_hash(x[0], hashlib.md5(x[1].encode()).hexdigest()) & (1 << 53) - 1) / (1 << 53)
         want += [x] * (math.floor(held) + (unit < held - math.floor(held)))
     assert got == sorted(want)
 
