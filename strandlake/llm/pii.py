@@ -3,10 +3,13 @@
 Generators with high recall propose spans of four kinds: the plain formats and
 looser ones (spelt-out addresses, numbers with other separators). The format's
 own check (parts of an address, check digits, number of digits) rules out what
-can't be personal data; boosted trees decide on the rest from the kind and the
-context. They learn from plain candidates that pass their check, against those
-that fail it and near misses (versions, dates, part numbers, handles). The check
-is the label, so neither it nor what it reads is a feature. The score is
+can't be personal data; boosted trees decide on the rest from the kind and
+the context. They learn from plain candidates that pass their check, against
+what the corpus holds besides: candidates that fail it, near misses (versions,
+dates, part numbers, handles), and every other number of the texts, whose places
+(keys, amounts, versions, tables) speak against each kind. Of each kind both
+sides weigh alike, however rare one of them is. The check is the label, so
+neither it nor what it reads is a feature. The score is
 calibrated on a fold kept aside, and a threshold of calibrated precision selects
 what is redacted. Plain matches that pass their check are always selected.
 """
@@ -46,6 +49,8 @@ NEAR = {
     "card": r"(?<![0-9])(?<![0-9][ ./_-])[0-9]{4}(?:[ ./_-][0-9]{4}){1,2}+(?![ ./_-]?[0-9])",
     "phone": r"(?<![0-9+().-])(?<![0-9)][ .-])(?![0-9]{3}[ -][0-9]{3}[ -][0-9]{4}(?![0-9]))(?![0-9]{4}(?:[ -][0-9]{4})++(?![0-9]))[0-9]{1,5}(?:[ -][0-9]{1,6}){1,4}+(?![ .-]?[0-9])",
 }
+#: Every other number, with its signs or within what it is glued to, is a negative of each kind.
+NUMBER = r"(?<![0-9])[0-9]++(?:[ ./_-][0-9]++)*+"
 #: What a text must hold before a format is tried: cheap, and implied by the format.
 HINT = {("email", None): "@", ("ip", None): r"[0-9]\.[0-9]++\.[0-9]", ("card", None): r"[0-9]{4}[ ./_-][0-9]{4}", ("phone", None): "[0-9][ -][0-9]", ("email", False): "@", ("phone", False): r"\+[0-9]", ("ip", False): r"[0-9]\.[0-9]", ("card", False): r"[0-9](?:[ -]?[0-9]){7}", ("email", True): r"(?i)[(\[{]at[)\]}]| at [a-z0-9-]+ dot ", ("ip", True): r"(?i)[0-9] ?[(\[{](?:\.|dot)[)\]}]", ("card", True): r"[0-9]{4} ?[./_] ?[0-9]{4}", ("phone", True): r"[0-9]{3}[ .-][0-9]{4}"}
 #: Words that speak of personal data (fixed values).
@@ -54,8 +59,10 @@ CUES = r"(?i)(mail|contact|phone|call|tel|fax|mobile|card|visa|pay|address|host|
 OTHER = r"(?i)(order|invoice|version|release|isbn|issn|part|serial|ticket|\bcase|item|page|\bref|sku|model|section|figure|table|\bno\b|\bid\b)"
 #: Numbers that are no card and fail the check digit, for each one that passes it by chance.
 CHANCE = 9
-#: Distinct feature rows that training may bring to the driver at most by construction; rounds, shrinkage, precision of the threshold.
+#: Features and how many values each has: what training brings to the driver is bounded by their product. Rounds, shrinkage, precision of the threshold.
 FEATURES, LEVELS = ("kind", "before", "after", "lead", "words", "figures", "cue", "other"), (4, 4, 4, 4, 4, 4, 2, 2)
+#: The kind of what is a negative of each kind, until its rows are told.
+ANY = len(KINDS)
 ROUNDS, RATE, PRECISION = 24, 0.4, 0.9
 
 
@@ -102,6 +109,37 @@ def near_misses(text: Column) -> Column:
     return F.concat(*(_found(text, k, None) for k in KINDS))
 
 
+def others(text: Column) -> Column:
+    """The numbers of a text outside its candidates, in the form of candidates of kind ANY without places.
+
+    What stands to the left is taken from the number before on, so a text with
+    many numbers costs no more than its length.
+    """
+    cleared = F.coalesce(text, F.lit(""))
+    for kind in KINDS:
+        for loose, formats in ((False, PLAIN), (True, LOOSE)):
+            # Bound to a name, so that each step evaluates the one before it once.
+            cleared = F.transform(F.array(cleared), lambda t: F.when(t.rlike(HINT[kind, loose]), F.regexp_replace(t, formats[kind], "\ufffc")).otherwise(t))[0]  # noqa: B023
+    cut = F.transform(F.array(cleared), lambda t: F.struct(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)).alias("hits"), F.split(t, NUMBER, -1).alias("gaps")))
+    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+    return F.flatten(F.transform(cut, lambda c: _placed(c["hits"], c["gaps"], at)))
+
+
+def _placed(hits: Column, gaps: Column, at) -> Column:
+    return F.transform(
+        hits,
+        lambda h, i: F.struct(
+            F.lit(0).alias("start"),
+            F.lit(ANY).alias("kind"),
+            F.lit(0).alias("end"),
+            F.lit(False).alias("loose"),
+            h.alias("hit"),
+            F.right(F.concat(at(hits, i - 1), at(gaps, i)), F.lit(24)).alias("left"),
+            F.left(F.concat(at(gaps, i + 1), at(hits, i + 1)), F.lit(1)).alias("right"),
+        ),
+    )
+
+
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
@@ -227,6 +265,30 @@ class Boosted:
             total = total + F.when(x[f] <= cut, node(low)).otherwise(node(high))
         return 1 / (1 + F.exp(-(F.lit(self.slope) * total + F.lit(self.shift))))
 
+    def selects(self, x: Column) -> Column:
+        """Whether the calibrated probability reaches the threshold."""
+        return self.column(x) >= F.lit(self.threshold)
+
+
+@dataclass
+class Kinds:
+    """One boosted model for each kind: what speaks against one kind says nothing of another that lacks negatives."""
+
+    models: list[Boosted]
+
+    @property
+    def trees(self) -> list[tuple]:
+        return [t for m in self.models for t in m.trees]
+
+    def probability(self, x: list[int]) -> float:
+        return self.models[x[0]].probability(x)
+
+    def selects(self, x: Column) -> Column:
+        out = F.lit(False)
+        for k, m in enumerate(self.models):
+            out = F.when(x[0] == k, m.selects(x)).otherwise(out)
+        return out
+
 
 def _sigmoid(t: float) -> float:
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, t))))
@@ -264,31 +326,47 @@ def _grow(xs: list[list[int]], slopes: list[tuple[float, float]], rate: float) -
     return (f, cut, *(_stump([xs[i] for i in side], [slopes[i] for i in side], rate)[1] for side in sides))
 
 
-def train(docs: DataFrame) -> Boosted:
-    """Fits on the plain candidates and the near misses of all documents.
+def train(docs: DataFrame) -> Kinds:
+    """Fits on the plain candidates, the near misses and the other numbers of all documents.
 
     Positive are plain candidates that pass their check. Of the numbers that
     fail the check digit one in CHANCE is a negative: so many pass it by
-    chance. Near misses that a cue word introduces are left out, as they may be
-    personal data in a notation that no format knows.
+    chance. What is no plain candidate and has a cue word before it is left out,
+    as it may be personal data in a notation that no format knows.
 
     They are counted by feature row first, so what reaches the driver is bounded
-    by the product of LEVELS and in practice is some hundred rows.
+    by the product of LEVELS and in practice is some hundred rows. Of each kind
+    the negatives are weighed so that they come to as much as the positives.
     """
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")
     tagged = lambda found, near: F.transform(found, lambda c: F.struct(c.alias("c"), F.lit(near).alias("near")))
     plain = F.concat(*(_found(F.coalesce("text", F.lit("")), k, False) for k in KINDS))
-    found = docs.select(fold, F.explode(F.concat(tagged(plain, False), tagged(near_misses(F.col("text")), True))).alias("f")).select("fold", "f.c", "f.near")
+    rest = F.concat(near_misses(F.col("text")), others(F.col("text")))
+    found = docs.select(fold, F.explode(F.concat(tagged(plain, False), tagged(rest, True))).alias("f")).select("fold", "f.c", "f.near")
     c = F.col("c")
     rows = found.select((F.col("fold") == 0).alias("aside"), features(c).alias("x"), (~F.col("near") & valid(c)).alias("y"), (~F.col("near") & (c["kind"] == 2)).alias("drawn"), "near")
     rows = rows.filter(~F.col("near") | (F.col("x")[FEATURES.index("cue")] == 0))
     count = lambda of: F.sum(of.cast("int"))
     y, drawn = F.col("y"), F.col("drawn")
     rows = rows.groupBy("x", "aside").agg(count(y).alias("p"), count(~y & ~drawn).alias("n"), count(~y & drawn).alias("chance")).orderBy("x", "aside").collect()
-    return Boosted.fit([(list(r["x"]), bool(r["aside"]), float(r["p"]), r["n"] + r["chance"] / CHANCE) for r in rows])
+    told = [(list(r["x"]), bool(r["aside"]), float(r["p"]), r["n"] + r["chance"] / CHANCE) for r in rows]
+    # A number that stands by itself says nothing of addresses in letters; one that is part of a longer token does.
+    kinds = lambda x: x[:1] if x[0] < ANY else range(0 if x[1] or x[2] in (1, 2) else 1, ANY)
+    rows = balanced([([k, *x[1:]], aside, p, n) for x, aside, p, n in told for k in kinds(x)])
+    return Kinds([Boosted.fit([r for r in rows if r[0][0] == k]) for k in range(ANY)])
+
+
+def balanced(rows: list[tuple[list[int], bool, float, float]]) -> list[tuple[list[int], bool, float, float]]:
+    """The rows with the negatives of each kind and fold weighed to the sum of its positives, where it has both."""
+    total: dict[tuple, list[float]] = {}
+    for x, aside, p, n in rows:
+        held = total.setdefault((x[0], aside), [0.0, 0.0])
+        held[0], held[1] = held[0] + p, held[1] + n
+    share = {k: p / n if p and n else 1.0 for k, (p, n) in total.items()}
+    return [(x, aside, p, n * share[x[0], aside]) for x, aside, p, n in rows]
 
 
-def spans(docs: DataFrame, model: Boosted | None = None, base: str = "base", more: str = "more") -> DataFrame:
+def spans(docs: DataFrame, model: Kinds | None = None, base: str = "base", more: str = "more") -> DataFrame:
     """``docs`` with ``base`` and ``more``: arrays of (start, kind, end, name), sorted, in code points, end exclusive.
 
     ``base`` has the plain matches that pass their check; ``more`` the other
@@ -310,7 +388,7 @@ def spans(docs: DataFrame, model: Boosted | None = None, base: str = "base", mor
 
 def _scored(model: Boosted, c: Column) -> Column:
     """Whether a candidate passes its check and its calibrated score reaches the threshold; features are computed once."""
-    picked = F.transform(F.array(features(c)), lambda x: model.column(x) >= F.lit(model.threshold))
+    picked = F.transform(F.array(features(c)), model.selects)
     return valid(c) & picked[0]
 
 
@@ -318,7 +396,7 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
+def find(docs: DataFrame, model: Kinds | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no spans. Null ids and repeated rows are rows like
@@ -330,7 +408,7 @@ def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(both).alias("spans"), F.size("more").cast("long").alias("n_added"))
 
 
-def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
+def redact(docs: DataFrame, model: Kinds | None = None) -> DataFrame:
     """``docs`` with every selected span of ``text`` replaced by its kind in brackets.
 
     Other columns stay whatever their names; a null text stays null. Repeated

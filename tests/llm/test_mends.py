@@ -1,12 +1,13 @@
 """Cases that once went wrong: colliding words, small rates, long texts in a sample, repeated ids, left folders, two writers."""
 
+import os
 import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontam, minhash, mixing, sharding, suffix_dedup, toxicity
+from strandlake.llm import decontam, minhash, mixing, pii, sharding, suffix_dedup, toxicity
 from strandlake.llm.common import NONALNUM, SPACE, Workspace, word_hashes, word_spans, words_of
 
 
@@ -118,3 +119,19 @@ def test_two_writers_at_once(spark):
 
 def test_addresses_of_object_stores():
     assert suffix_dedup.store_uri("s3a://bucket/x") == "s3://bucket/x" and suffix_dedup.store_uri("file:///tmp/x") == "file:///tmp/x" and suffix_dedup.store_uri("/tmp/x") == "/tmp/x"
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_context_selects_personal_data_on_the_tables(spark):
+    """The trees that the documents teach split on context, and the same number is taken or left by what stands around it."""
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    used = {pii.FEATURES[i] for tree in model.trees for i in (tree[0], tree[2][0], tree[3][0])}
+    assert len(model.trees) > 5 and used & {"before", "after", "lead", "words", "figures"}
+    held = ["They wrote to 212-555-0100 on monday", 'token = "cb1a9fee212-555-0100c7ab"', "the form 4539/1488/0343/6467 was sent", "key-4539/1488/0343/6467/aa9", "see 10(.)1(.)2(.)3 there", 'build "a10(.)1(.)2(.)3b"', "ask jo at mail dot com there"]
+    got = [r["spans"].split(":")[0] for r in pii.find(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string").repartition(1), model).orderBy("doc_id").collect()]
+    assert got == ["phone", "", "card", "", "ip", "", "email"]
+
+
+def test_negatives_weigh_as_much_as_positives_of_their_kind():
+    rows = pii.balanced([([0, 1], False, 3.0, 0.0), ([0, 2], False, 0.0, 600.0), ([1, 1], False, 0.0, 5.0), ([0, 2], True, 2.0, 8.0)])
+    assert [r[3] for r in rows] == [0.0, 3.0, 5.0, 2.0]
