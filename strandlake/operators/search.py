@@ -1,15 +1,13 @@
 """Similarity joins of query vectors with an index: top-k, cut-offs, histograms, refinement.
 
-Queries go in blocks of bounded size. A block is broadcast as one matrix and
-every partition of the index multiplies it with its own rows where they lie:
-no pair becomes a row unless it is a result. Each partition keeps its k best
-for each query and one exchange by query merges them.
+Queries and index meet as packed blocks on a grid (``grid``): a cell is one
+product of two matrices in a task, and no pair becomes a row unless it is a
+result. Top-k lists meet under a common floor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,12 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.quant import e4m3_numpy
-from ..shared import fresh_path
+from . import grid
 
 #: Bytes of one block of queries, and rows of one product's tile.
-BLOCK_BYTES, TILE = 32 << 20, 2048
-#: Blocks whose scans one plan holds.
-PENDING = 16
+BLOCK_BYTES, TILE = grid.QUERY_BYTES, 2048
 SCHEMA = "query_id long, col_id long, score double"
 
 
@@ -39,24 +35,6 @@ def quantize(x: np.ndarray, precision: str) -> np.ndarray:
     return x.astype(np.float32).astype(np.float64) if precision == "f32" else x
 
 
-def blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of queries (query_id, vec); the driver holds one block at a time."""
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    for r in queries.filter("vec is not null").select("query_id", "vec").toLocalIterator():
-        if rows and len(rows) * len(rows[0]) * 8 >= block_bytes:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
-        ids.append(r[0])
-        rows.append(r[1])
-    if rows:
-        yield np.array(ids), np.array(rows)
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _similarity(queries: np.ndarray, rows: np.ndarray, kind: str) -> np.ndarray:
     """(queries, rows): 'real' ('euc') is the real inner product, 'complex' ('abs2') the squared modulus of the complex one, 'abs' its modulus."""
     if kind in ("real", "euc"):
@@ -67,21 +45,23 @@ def _similarity(queries: np.ndarray, rows: np.ndarray, kind: str) -> np.ndarray:
     return np.sqrt(power) if kind == "abs" else power
 
 
-def _each_block(queries: DataFrame, index: DataFrame, work, block_bytes: int) -> DataFrame:
-    return _scanned(index.filter("vec is not null").select("col_id", "vec"), queries, work, block_bytes)
+def _vectors(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.filter("vec is not null").select(*columns, "vec")
+
+
+def _query(precision: str):
+    def parse(rows: pa.Table):
+        ids = rows.column("query_id").to_numpy().astype(np.int64)
+        return ids, quantize(grid.matrix(rows.column("vec")), precision)
 
+    return parse
 
-def _scanned(rows: DataFrame, queries: DataFrame, work, block_bytes: int) -> DataFrame:
-    """The union of all blocks' scans of ``rows``. Of many blocks, the results so far are written, so the plan stays short."""
-    spark = rows.sparkSession
-    parts: list[DataFrame] = []
-    for block in blocks(queries, block_bytes):
-        if len(parts) == PENDING:
-            path = fresh_path(spark, "search")
-            reduce(DataFrame.unionByName, parts).write.parquet(path)
-            parts = [spark.read.schema(SCHEMA).parquet(path)]
-        parts.append(rows.mapInArrow(work(spark.sparkContext.broadcast(block)), SCHEMA))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+
+def _tiles(rows: pa.Table, precision: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(columns, vectors) of an index block, some rows at a time."""
+    col, values = rows.column("col_id").to_numpy(), quantize(grid.matrix(rows.column("vec")), precision)
+    for at in range(0, len(col), TILE):
+        yield col[at : at + TILE], values[at : at + TILE]
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int = 20, kind: str = "real", precision: str = "f64", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -92,17 +72,15 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 20, kind: str = "real",
     no part. Scores are rounded to 12 decimals so that ties are ties.
     """
 
-    def work(held):
-        def run(batches):
-            ids, matrix = held.value
-            best = Best(ids, quantize(matrix, precision), k, kind)
-            for batch in batches:
-                best.add(batch.column("col_id").to_numpy(), quantize(_matrix(batch.column("vec")), precision))
-            yield best.table()
+    def scores(matrix, rows):
+        for col, values in _tiles(rows, precision):
+            yield col, np.round(_similarity(matrix, values, kind), 12)
 
-        return run
+    def run(batches):
+        yield from grid.partial_lists(batches, k, _query(precision), scores)
 
-    return ranked(_each_block(queries, index, work, block_bytes), k)
+    found = grid.cells(_vectors(queries, "query_id"), _vectors(index, "col_id"), block_bytes)
+    return grid.merged(found.mapInArrow(run, grid._PARTIAL), k)
 
 
 def top_k_of_windows(queries: DataFrame, frags: DataFrame, rope, k: int = 20, kind: str = "real", precision: str = "f32", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -113,63 +91,32 @@ def top_k_of_windows(queries: DataFrame, frags: DataFrame, rope, k: int = 20, ki
     """
     from .encode import Encoder
 
-    def work(held):
-        def run(batches):
-            ids, matrix = held.value
-            best, encoder = Best(ids, matrix, k, kind), Encoder(rope)
-            for batch in batches:
-                col, texts = batch.column("col_id").to_numpy(), batch.column("frag").to_pylist()
-                for at in range(0, len(texts), TILE):
-                    best.add(col[at : at + TILE], quantize(encoder(texts[at : at + TILE])[0], precision))
-            yield best.table()
-
-        return run
-
-    return ranked(_scanned(frags.select("col_id", "frag"), queries, work, block_bytes), k)
-
-
-class Best:
-    """The k best rows so far of every query of one block."""
+    def run(batches):
+        encoder = Encoder(rope)
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, kind: str):
-        self.ids, self.matrix, self.k, self.kind = ids, matrix, k, kind
-        self.score = np.full((len(ids), k), -np.inf)
-        self.where = np.full((len(ids), k), np.iinfo(np.int64).max)
+        def scores(matrix, rows):
+            col, texts = rows.column("col_id").to_numpy(), rows.column("frag").to_pylist()
+            for at in range(0, len(texts), TILE):
+                values = quantize(encoder(texts[at : at + TILE])[0], precision)
+                yield col[at : at + TILE], np.round(_similarity(matrix, values, kind), 12)
 
-    def add(self, col: np.ndarray, rows: np.ndarray) -> None:
-        k = self.k
-        for at in range(0, len(col), TILE):
-            part = np.round(_similarity(self.matrix, rows[at : at + TILE], self.kind), 12)
-            places = np.broadcast_to(col[at : at + TILE], part.shape)
-            if part.shape[1] > 4 * k:
-                # The k-th best of the tile bounds what can enter; its ties stay in by taking all that reach it.
-                bound = np.maximum(np.partition(part, -k, axis=1)[:, -k], self.score[:, -1])
-                live = (part >= bound[:, None]).any(0)
-                part, places = part[:, live], places[:, live]
-            all_score, all_where = np.concatenate((self.score, part), 1), np.concatenate((self.where, places), 1)
-            order = np.lexsort((all_where, -all_score), axis=1)[:, :k]
-            self.score, self.where = np.take_along_axis(all_score, order, 1), np.take_along_axis(all_where, order, 1)
+        yield from grid.partial_lists(batches, k, _query("f64"), scores)
 
-    def table(self) -> pa.RecordBatch:
-        found = np.isfinite(self.score)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, found.sum(1))), pa.array(self.where[found]), pa.array(self.score[found])], ["query_id", "col_id", "score"])
+    found = grid.cells(_vectors(queries, "query_id"), frags.select("col_id", "frag"), block_bytes)
+    return grid.merged(found.mapInArrow(run, grid._PARTIAL), k)
 
 
 def least_by_column(queries: DataFrame, index: DataFrame, kind: str = "real", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """col_id, cut: each window's least score over all queries; one row for each window and block of queries."""
 
-    def work(held):
-        def run(batches):
-            ids, matrix = held.value
-            for batch in batches:
-                rows = _matrix(batch.column("vec"))
-                if len(rows):
-                    least = np.concatenate([np.round(_similarity(matrix, rows[at : at + TILE], kind), 12).min(0) for at in range(0, len(rows), TILE)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(least), np.int64)), batch.column("col_id").cast(pa.int64()), pa.array(least)], ["query_id", "col_id", "score"])
-
-        return run
+    def run(batches):
+        for _, (_, matrix), rows in grid.each_cell(batches, _query("f64")):
+            for col, values in _tiles(rows, "f64"):
+                least = np.round(_similarity(matrix, values, kind), 12).min(0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(least), np.int64)), pa.array(col, pa.int64()), pa.array(least)], ["query_id", "col_id", "score"])
 
-    return minimum_by_column(_each_block(queries, index, work, block_bytes))
+    found = grid.cells(_vectors(queries, "query_id"), _vectors(index, "col_id"), block_bytes)
+    return minimum_by_column(found.mapInArrow(run, SCHEMA))
 
 
 def calibrated_cuts(frags: DataFrame, rope, rounds: int = 8, err: float = 0.15, seed: int = 0, shift: float = 0.0) -> DataFrame:
@@ -230,12 +177,6 @@ def two_phase(reads: DataFrame, records: DataFrame, frags: DataFrame, rope, cuts
     return best.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    """The k best of (query_id, col_id, score), ranked from 1. Catalyst limits each partition's groups before the exchange."""
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "col_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "col_id", "score")
-
-
 def above_cuts(queries: DataFrame, index: DataFrame, cuts: DataFrame | float, kind: str = "real", precision: str = "f64", most: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All pairs whose score is above the window's own cut (strictly).
 
@@ -246,44 +187,36 @@ def above_cuts(queries: DataFrame, index: DataFrame, cuts: DataFrame | float, ki
     cut = F.lit(float(cuts)) if isinstance(cuts, (int, float)) else None
     rows = index.filter("vec is not null").select("col_id", "vec", cut.alias("cut")) if cut is not None else index.filter("vec is not null").select("col_id", "vec").join(cuts.select("col_id", F.col("cut").cast("double").alias("cut")), "col_id")
 
-    def work(held):
-        def run(batches):
-            ids, matrix = held.value
-            matrix, total = quantize(matrix, precision), 0
-            for batch in batches:
-                col, values, cut_of = batch.column("col_id").to_numpy(), quantize(_matrix(batch.column("vec")), precision), batch.column("cut").to_numpy()
-                for at in range(0, len(col), TILE):
-                    score = np.round(_similarity(matrix, values[at : at + TILE], kind), 12)
-                    q, c = np.nonzero(score > cut_of[None, at : at + TILE])
-                    total += len(q)
-                    if most is not None and total > most:
-                        raise OverflowError(f"more than {most} hits")
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(col[at + c]), pa.array(score[q, c])], ["query_id", "col_id", "score"])
-
-        return run
+    def run(batches):
+        total: dict[int, int] = {}
+        for block, (ids, matrix), rows in grid.each_cell(batches, _query(precision)):
+            cut_of, at = rows.column("cut").to_numpy(), 0
+            for col, values in _tiles(rows, precision):
+                score = np.round(_similarity(matrix, values, kind), 12)
+                q, c = np.nonzero(score > cut_of[None, at : at + len(col)])
+                at += len(col)
+                total[block] = total.get(block, 0) + len(q)
+                if most is not None and total[block] > most:
+                    raise OverflowError(f"more than {most} hits")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(col[c], pa.int64()), pa.array(score[q, c])], ["query_id", "col_id", "score"])
 
-    return _scanned(rows, queries, work, block_bytes)
+    return grid.cells(_vectors(queries, "query_id"), rows, block_bytes).mapInArrow(run, SCHEMA)
 
 
 def similarity_histogram(queries: DataFrame, index: DataFrame, kind: str = "real", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """bin, n over all pairs: 34 bins, counted inside each partition."""
 
-    def work(held):
-        def run(batches):
-            ids, matrix = held.value
-            counts = np.zeros(35, np.int64)
-            for batch in batches:
-                rows = _matrix(batch.column("vec"))
-                for at in range(0, len(rows), TILE):
-                    score = np.round(_similarity(matrix, rows[at : at + TILE], kind), 12).ravel()
-                    score = score[~np.isnan(score)]
-                    counts += np.bincount(np.clip(np.trunc((score + 1) * 16) + 2, 1, 34).astype(int), minlength=35)
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at]), pa.array(np.zeros(len(at)))], ["query_id", "col_id", "score"])
-
-        return run
-
-    counted = _each_block(queries, index, work, block_bytes)
+    def run(batches):
+        counts = np.zeros(35, np.int64)
+        for _, (_, matrix), rows in grid.each_cell(batches, _query("f64")):
+            for _, values in _tiles(rows, "f64"):
+                score = np.round(_similarity(matrix, values, kind), 12).ravel()
+                score = score[~np.isnan(score)]
+                counts += np.bincount(np.clip(np.trunc((score + 1) * 16) + 2, 1, 34).astype(int), minlength=35)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at]), pa.array(np.zeros(len(at)))], ["query_id", "col_id", "score"])
+
+    counted = grid.cells(_vectors(queries, "query_id"), _vectors(index, "col_id"), block_bytes).mapInArrow(run, SCHEMA)
     return counted.groupBy(F.col("query_id").cast("int").alias("bin")).agg(F.sum("col_id").alias("n"))
 
 
