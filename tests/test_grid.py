@@ -49,7 +49,7 @@ def test_the_floor_lets_few_rows_through(spark, monkeypatch, tmp_path):
     """Of 64 parts with k rows a query each, at most 2k a query are sent in the second round."""
     queries, index, scores = tables(spark, 40, 6400, dim=24, seed=3, parts=64)
     monkeypatch.setattr(grid, "fresh_path", lambda _, name: str(tmp_path / name))
-    k = 20
+    k, queries = 20, queries.coalesce(1)
     assert rows(search.top_k(queries, index, k)) == best(scores, k)
     floor = np.frombuffer(spark.read.parquet(str(tmp_path / "floors")).first()["floor"])
     parts = [grid.Lists.read(r["data"]) for r in spark.read.parquet(str(tmp_path / "partials")).collect()]
