@@ -144,6 +144,53 @@ class Encoder:
             out[:, rope.all_g, :] = 0
         return out
 
+    def reversed_slots(self, codes: np.ndarray) -> np.ndarray:
+        """As ``slots``, of the reverse complement of the s-mer at each place."""
+        return self.slots(3 - codes[:, ::-1])[:, ::-1]
+
+    def composed(self, codes: np.ndarray, kstep: int, strands: tuple[int, ...] = (0, 1)) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(strand, first window, (windows, slots, m) sums) of the windows at 0, kstep, ... of one text, some windows at a time.
+
+        Each place of the text is added once for a strand, to the histogram of
+        its stretch of ``kstep`` places. A window is the sum of the stretches it
+        covers, each turned by its distance, and of the head of the last one. On
+        the other strand an s-mer has another slot and its place counts from the
+        window's end, so the sum is the conjugate, turned once more.
+        """
+        rope = self.rope
+        size, n = 4**rope.c, rope.k - rope.s + 1
+        windows = (len(codes) - rope.k) // kstep + 1 if len(codes) >= rope.k else 0
+        full, rest = divmod(n, kstep)
+        thetas = rope.thetas() if rope.phase else [0.0] * rope.m
+        some = max(1, min(windows, (1 << 22) // (size * rope.m)))
+        for first in range(0, windows, some):
+            w = min(some, windows - first)
+            part = codes[None, first * kstep : (first + w - 1) * kstep + rope.k]
+            place = np.arange((w - 1) * kstep + n)
+            within, stretch = place % kstep, place // kstep
+            whole, head = stretch < w + full - 1, (within < rest) & (stretch >= full)
+            for strand in strands:
+                slot = (self.reversed_slots if strand else self.slots)(part)[0]
+                out = np.empty((w, size, rope.m), complex)
+                for i, theta in enumerate(thetas):
+                    turn = np.exp(1j * theta * np.arange(kstep))
+
+                    def sums(keep: np.ndarray, base: int, rows: int, turn=turn, slot=slot) -> np.ndarray:
+                        at, t = (stretch[keep] - base) * size + slot[keep], turn[within[keep]]
+                        return (np.bincount(at, t.real, rows * size) + 1j * np.bincount(at, t.imag, rows * size)).reshape(rows, size)
+
+                    h = np.zeros((w, size), complex)
+                    if full:
+                        upto = np.zeros((w + full, size), complex)
+                        np.cumsum(sums(whole, 0, w + full - 1) * np.exp(1j * theta * kstep * np.arange(w + full - 1))[:, None], axis=0, out=upto[1:])
+                        h = (upto[full:] - upto[:w]) * np.exp(-1j * theta * kstep * np.arange(w))[:, None]
+                    if rest:
+                        h += sums(head, full, w) * np.exp(1j * theta * kstep * full)
+                    out[:, :, i] = np.conj(h) * np.exp(1j * theta * (n - 1)) if strand else h
+                if rope.zero_g:
+                    out[:, rope.all_g, :] = 0
+                yield strand, first, out
+
     def __call__(self, frags: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """((rows, 2 * dim) split vectors, (rows, m) norms); sequences may differ in length."""
         rope = self.rope
@@ -205,6 +252,44 @@ def encode(frags: DataFrame, rope: Rope, precision: str = "f32", column: str = "
     return frags.withColumn("_e", udf(column)).select(*[c for c in frags.columns if c != column], F.col("_e.vec").alias("vec"), F.col("_e.norms").alias("norms"))
 
 
+def encode_windows(records: DataFrame, rope: Rope, kstep: int, precision: str = "f32", seq: str = "seq") -> DataFrame:
+    """The columns of ``records`` without the sequence, and start, strand, vec, norms of all windows on both strands.
+
+    The same rows as cutting, turning and encoding every window by itself, at a
+    cost that does not grow with their overlap; a long record is cut into blocks
+    of windows first, so nothing is shuffled and no row holds a whole record.
+    """
+    from .windows import BLOCK
+
+    kind = {"f64": "double"}.get(precision, "float")
+    item = pa.float64() if kind == "double" else pa.float32()
+    round_ = {"f16": lambda v: v.astype(np.float16).astype(np.float32), "e4m3": e4m3_numpy}.get(precision, lambda v: v)
+    rest = [c for c in records.columns if c != seq]
+    # Blocks as long as a window at least: what they share is read twice at most.
+    span = max(BLOCK, -(-rope.k // kstep)) * kstep
+    cut = records.filter(F.length(seq) >= rope.k).select(*rest, F.posexplode(dna.cut(seq, F.sequence(F.lit(1), F.length(seq) - rope.k + 1, F.lit(span)), span - kstep + rope.k)).alias("_b", "_t"))
+    fields = ", ".join(f"`{c}` {t}" for c, t in records.select(*rest).dtypes)
+
+    def lists(values: np.ndarray, of: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel(), of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(rope)
+        for batch in batches:
+            for row, (block, text) in enumerate(zip(batch.column("_b").to_pylist(), batch.column("_t").to_pylist())):
+                codes = _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+                for strand, first, sums in encoder.composed(codes, kstep):
+                    h, norms = normalized(sums, rope.normalize)
+                    flat = h.reshape(len(h), -1)
+                    n = len(h)
+                    start = block * span + (first + np.arange(n)) * kstep + 1
+                    vec = lists(round_(np.concatenate((flat.real, flat.imag), axis=1)), item)
+                    own = [batch.column(c).take(pa.array(np.full(n, row))) for c in rest]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(start, pa.int64()), pa.array(np.full(n, strand, np.int32)), vec, lists(norms, pa.float64())], [*rest, "start", "strand", "vec", "norms"])
+
+    return cut.mapInArrow(run, f"{fields}, start long, strand int, vec array<{kind}>, norms array<double>")
+
+
 def centroids(vectors: DataFrame, group: str, vec: str = "vec") -> DataFrame:
     """group, n, vec: the sum of each group's vectors, brought to length 1."""
     long = vectors.select(group, F.posexplode(vec).alias("i", "x"))

@@ -24,15 +24,22 @@ def index_windows(records: DataFrame, k: int, kstep: int, max_records: int | Non
     """
     clean = records.select("rec_id", "head", dna.acgt("seq").alias("seq"))
     cut = windows.both_strands(windows.windows(clean, k, kstep, max_records=max_records))
+    return cut.select(_col_id(start_bits).alias("col_id"), "rec_id", "head", "start", "strand", "frag")
+
+
+def _col_id(start_bits: int):
     fits = F.col("rec_id").between(0, (1 << (63 - start_bits)) - 1) & (F.col("start") < (1 << (start_bits - 1)))
     number = (F.col("rec_id") * F.lit(1 << start_bits) + F.col("start") * 2 + F.col("strand")).cast("long")
     wrong = F.raise_error(F.concat(F.lit("no bits for record "), F.col("rec_id").cast("string"))).cast("long")
-    return cut.select(F.when(fits, number).otherwise(wrong).alias("col_id"), "rec_id", "head", "start", "strand", "frag")
+    return F.when(fits, number).otherwise(wrong)
 
 
 def build_index(records: DataFrame, rope: encode.Rope, kstep: int, precision: str = "f32", max_records: int | None = None, start_bits: int = START_BITS) -> DataFrame:
-    """col_id, rec_id, head, start, strand, vec, norms of all windows on both strands, encoded where their record lies."""
-    return encode.encode(index_windows(records, rope.k, kstep, max_records, start_bits), rope, precision)
+    """col_id, rec_id, head, start, strand, vec, norms of all windows on both strands, composed where their record lies."""
+    if max_records is not None:
+        records = records.filter(F.col("rec_id") < max_records)
+    clean = records.select("rec_id", "head", dna.acgt("seq").alias("seq"))
+    return encode.encode_windows(clean, rope, kstep, precision).select(_col_id(start_bits).alias("col_id"), "rec_id", "head", "start", "strand", "vec", "norms")
 
 
 def encode_reads(reads: DataFrame, rope: encode.Rope, precision: str = "f32") -> DataFrame:
