@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..functions.edits import edits_of
 from . import encode, sampling
 
 
@@ -45,7 +46,7 @@ def cutting_threshold(cloud: DataFrame) -> DataFrame:
 
 def far_reads(pairs: DataFrame, most: int = 6000) -> DataFrame:
     """Rows (read, window, ...) whose edit distance is above ``most``."""
-    return pairs.withColumn("distance", F.levenshtein("read", "window")).filter(F.col("distance") > most)
+    return pairs.withColumn("distance", edits_of("read", "window", most)).filter(F.col("distance") > most)
 
 
 def position_error(found: DataFrame, k: int) -> DataFrame:
@@ -108,7 +109,7 @@ def true_locus(reads: DataFrame, records: DataFrame, rope: encode.Rope) -> DataF
     truth = records.select(dna.record_name("head").alias("src"), "seq")
     both = p.withColumn("src", F.col("p.src")).join(truth, "src").filter((F.col("p.start") >= 1) & (F.col("p.start") + rope.k - 1 <= F.length("seq")))
     pair = both.select("read_id", "frag", dna.acgt(F.substring("seq", F.col("p.start").cast("int"), F.lit(rope.k))).alias("window"))
-    pair = pair.withColumn("distance", F.levenshtein("frag", "window"))
+    pair = pair.withColumn("distance", edits_of("frag", "window", rope.k))
     one = encode.encode(encode.encode(pair, rope, "f64").drop("norms").withColumnRenamed("vec", "a"), rope, "f64", "window").drop("norms")
     product = one.select("read_id", "distance", dna.rope_inner("a", "vec").alias("p"))
     return product.select("read_id", "distance", (100 * F.col("distance") / rope.k).alias("percent"), F.col("p.re").alias("ip_re"), F.col("p.modulus").alias("ip_abs"))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..functions.edits import edits_of
 from . import windows
 
 
@@ -164,13 +165,13 @@ def verify_sample(reads: DataFrame, records: DataFrame, k: int, err: float) -> D
     truth = records.select(dna.record_name("head").alias("src"), F.col("seq").alias("ref"))
     joined = p.join(truth, F.col("p.src") == F.col("src"), "left").withColumn("window", dna.acgt(F.substring("ref", F.col("p.start"), F.lit(k))))
     inside = F.col("ref").isNotNull() & (F.col("p.start") >= 1) & (F.col("p.start") + k - 1 <= F.length("ref"))
-    return joined.agg(
+    return joined.withColumn("distance", edits_of("frag", "window", k)).agg(
         F.count(F.lit(1)).alias("reads"),
         F.count_if(F.length("frag") != k).alias("wrong_length"),
         F.count_if(dna.has_bad("frag")).alias("bad_letters"),
         F.count_if(F.col("p").isNull()).alias("unreadable"),
         F.count_if(F.col("p").isNotNull() & ~F.coalesce(inside, F.lit(False))).alias("outside"),
-        F.count_if(inside & ~dna.edit_rate_plausible(F.levenshtein("frag", "window"), F.lit(k), err)).alias("implausible"),
+        F.count_if(inside & ~dna.edit_rate_plausible(F.col("distance"), F.lit(k), err)).alias("implausible"),
     )
 
 

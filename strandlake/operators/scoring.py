@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from . import intervals
 
 
 def overlap(a: Column, a_len: Column | int, b: Column, b_len: Column | int) -> Column:
@@ -102,12 +103,13 @@ def paf_stats(paf: DataFrame, threshold: int = 20_000) -> DataFrame:
 def proximity(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """read_id, piece, found, true: places of the same piece that lie less than ``k`` apart."""
     t = truth.select("read_id", "piece", F.col("pos").alias("true"))
-    return found.select("read_id", "piece", F.col("pos").alias("found")).join(t, ["read_id", "piece"]).filter(F.abs(F.col("found") - F.col("true")) < k)
+    # Places are whole numbers: less than k apart is k - 1 at most.
+    return intervals.near(found.select("read_id", "piece", F.col("pos").alias("found")), t, ["read_id", "piece"], "found", "true", k - 1)
 
 
 def near_locus(index: DataFrame, loci: DataFrame, margin: int) -> DataFrame:
     """Index windows (name, start, strand) of a locus' record (name, start0) within ``margin`` of it, nearest first within each locus."""
-    joined = index.join(loci.select("name", "start0"), "name").withColumn("offset", F.col("start") - F.col("start0")).filter(F.abs("offset") <= margin)
+    joined = intervals.near(index, loci.select("name", "start0"), ["name"], "start", "start0", margin).withColumn("offset", F.col("start") - F.col("start0"))
     w = W.partitionBy("name", "start0").orderBy(F.abs("offset"), "strand", "offset")
     return joined.withColumn("place", F.row_number().over(w))
 

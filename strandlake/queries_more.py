@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import dna, quant
-from .operators import encode, probes, sampling, scoring, search, windows
+from .functions import dna, edits, quant
+from .operators import encode, intervals, probes, sampling, scoring, search, windows
 from .plans import mapping
 from .queries import _ENC, _EV, CROSS, EMB, MAP, PAIRS, REAL, REC, RUN, SQL, TOP, WIN, _events, clean, query, records, table, vectors
 from .shared import fresh_path
@@ -100,6 +100,40 @@ def p34_array_edits(spark, d):
     return e.select("vec_id", text(probes.substitute_at("v", "p", F.array(F.lit(77))), "put"), text(probes.delete_at("v", "p"), "cut"), text(probes.insert_at("v", twice, F.array(F.lit(8), F.lit(9))), "more"))
 
 
+@query(REC + " SELECT a.rec_id, levenshtein(a.seq, b.seq)::BIGINT AS distance FROM g a JOIN g b ON b.rec_id = a.rec_id + 1")
+def p22_long_edit_distance(spark, d):
+    """Whole records against the one before them, several thousand letters each."""
+    g = clean(spark, d).select("rec_id", "seq")
+    pairs = g.join(g.select((F.col("rec_id") - 1).alias("rec_id"), F.col("seq").alias("next")), "rec_id")
+    return pairs.repartition("rec_id").select("rec_id", edits.edits("seq", "next").alias("distance"))
+
+
+_LINE = "WITH e AS (SELECT event_id, event_type, floor(epoch(ts))::BIGINT AS pos, floor(epoch(ts))::BIGINT + floor(value)::BIGINT AS upto FROM events)"
+
+
+def _line(spark, d):
+    pos = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    return table(spark, d, "events").select("event_id", "event_type", F.lit("all").alias("name"), pos.alias("pos"), (pos + F.floor("value").cast("long")).alias("upto"))
+
+
+@query(_LINE + " SELECT a.event_id AS bought, b.event_id AS clicked, a.pos, b.pos AS at FROM e a JOIN e b ON a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.pos - b.pos) <= 900")
+def j9_near_on_one_line(spark, d):
+    """Purchases and clicks at most 900 seconds apart; every row has the same name."""
+    e = _line(spark, d)
+    bought = e.filter("event_type = 'purchase'").select("name", F.col("event_id").alias("bought"), "pos")
+    clicked = e.filter("event_type = 'click'").select("name", F.col("event_id").alias("clicked"), F.col("pos").alias("at"))
+    return intervals.near(bought, clicked, ["name"], "pos", "at", 900).select("bought", "clicked", "pos", "at")
+
+
+@query(_LINE + " SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.event_type = 'view' AND b.event_type = 'error' AND a.pos <= b.upto AND b.pos <= a.upto")
+def j9_overlaps_on_one_line(spark, d):
+    """Stretches of views and errors that share a second; every row has the same name."""
+    e = _line(spark, d)
+    left = e.filter("event_type = 'view'").select("name", F.col("event_id").alias("a"), F.col("pos").alias("a0"), F.col("upto").alias("a1"))
+    right = e.filter("event_type = 'error'").select("name", F.col("event_id").alias("b"), F.col("pos").alias("b0"), F.col("upto").alias("b1"))
+    return intervals.overlapping(left, right, ["name"], ("a0", "b0"), ("a1", "b1"), 200).select("a", "b")
+
+
 # --- files: written, read back ---------------------------------------------
 
 
