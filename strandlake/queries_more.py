@@ -116,13 +116,13 @@ def _line(spark, d):
     return table(spark, d, "events").select("event_id", "event_type", F.lit("all").alias("name"), pos.alias("pos"), (pos + F.floor("value").cast("long")).alias("upto"))
 
 
-@query(_LINE + " SELECT a.event_id AS bought, b.event_id AS clicked, a.pos, b.pos AS at FROM e a JOIN e b ON a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.pos - b.pos) <= 900")
+@query(_LINE + " SELECT a.event_id AS bought, b.event_id AS clicked, a.pos, b.pos AS clicked_at FROM e a JOIN e b ON a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.pos - b.pos) <= 900")
 def j9_near_on_one_line(spark, d):
     """Purchases and clicks at most 900 seconds apart; every row has the same name."""
     e = _line(spark, d)
     bought = e.filter("event_type = 'purchase'").select("name", F.col("event_id").alias("bought"), "pos")
-    clicked = e.filter("event_type = 'click'").select("name", F.col("event_id").alias("clicked"), F.col("pos").alias("at"))
-    return intervals.near(bought, clicked, ["name"], "pos", "at", 900).select("bought", "clicked", "pos", "at")
+    clicked = e.filter("event_type = 'click'").select("name", F.col("event_id").alias("clicked"), F.col("pos").alias("clicked_at"))
+    return intervals.near(bought, clicked, ["name"], "pos", "clicked_at", 900).select("bought", "clicked", "pos", "clicked_at")
 
 
 @query(_LINE + " SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.event_type = 'view' AND b.event_type = 'error' AND a.pos <= b.upto AND b.pos <= a.upto")
