@@ -14,18 +14,17 @@ that suffices; exact integer scores are computed for the survivors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import grid
 from .common import Workspace, bounded_batches
 
-#: Segments a level, coarse to fine; queries that one broadcast holds.
-LEVELS, BLOCK = (4, 16), 4096
+#: Segments a level, coarse to fine; bytes of a block of queries and of a block of rows.
+LEVELS, BLOCK, ROWS = (4, 16), 2 << 20, 4 << 20
 #: The score of a place that no row has.
 NONE = np.iinfo(np.int64).min
 
@@ -104,8 +103,16 @@ class Search:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.rows, n)), pa.array(np.repeat(self.ids, n)), pa.array(self.found[held]), pa.array(self.score[held])], ["query_row", "query_id", "vec_id", "score"])
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.int64)
+def by_size(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids, vectors) of a block by the vectors' number of components."""
+    column = rows.column("v").combine_chunks()
+    ends = column.offsets.to_numpy()
+    sizes, flat = np.diff(ends), column.values.to_numpy()
+    row, ids, out = rows.column("row").to_numpy(), rows.column("vec_id").to_numpy(), {}
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        out[d] = row[at], ids[at], flat[(ends[:-1][at][:, None] + np.arange(d)).ravel()].reshape(-1, d)
+    return out
 
 
 def usable(table: DataFrame, scale: int) -> DataFrame:
@@ -116,22 +123,6 @@ def usable(table: DataFrame, scale: int) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("embedding", lambda x: whole(F.lit(scale) * x.cast("double"))).alias("v"))
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(dimension, rows, ids, vectors) of blocks of queries of one dimension; the driver holds one block a dimension."""
-    held: dict[int, list] = {}
-
-    def packed(rows: list) -> tuple:
-        return len(rows[0][2]), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-
-    for row in queries.toLocalIterator():
-        rows = held.setdefault(len(row["v"]), [])
-        rows.append((row["row"], row["vec_id"], row["v"]))
-        if len(rows) == block:
-            yield packed(rows)
-            rows.clear()
-    yield from (packed(rows) for rows in held.values() if rows)
-
-
 def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of every query row.
 
@@ -143,40 +134,32 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block
     id says so. Scores are exact; a component or score of more than 64 bits is
     an error. Extra columns are ignored; an empty table gives an empty result.
 
-    Queries go in blocks of ``block``; every block meets all rows where they
-    lie. A first pass over a few rows only sets each query's floor, from true
-    scores, so that later partitions return little.
+    Queries and rows meet as blocks on the grid of ``operators.grid``: nothing
+    passes through the driver, and the number of jobs is the same for any number
+    of queries. A task keeps the floors of its queries over all of its rows.
     """
     spark = table.sparkSession
     bounded_batches(spark)
     space = Workspace(spark, "topk")
     rows = space.save(usable(table, scale), "rows")
-    schema = "query_row long, query_id long, vec_id long, score long"
-    parts: list[DataFrame] = []
-    for n, (d, places, ids, vectors) in enumerate(_blocks(rows.filter(F.col("vec_id") % every == 0), block)):
-        same = rows.filter(F.size("v") == d)
-        start = Search(places, ids, vectors, k)
-        some = same.limit(8 * k + 512).collect()
-        start.add(np.array([r["row"] for r in some]), np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some], np.int64))
-        held = spark.sparkContext.broadcast((places, ids, vectors, start.score[:, -1]))
-
-        def run(batches, held=held):
-            places, ids, vectors, last = held.value
-            search = Search(places, ids, vectors, k)
-            # Scores at the floor may still win a tie, so the floor itself stays in.
-            search.score[:] = np.where(last == NONE, NONE, np.maximum(last - 1, NONE + 1))[:, None]
-            search.found[:] = -1
-            for batch in batches:
-                search.add(batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), matrix(batch.column("v")))
-            search.score[search.found < 0] = NONE
-            yield search.table()
-
-        part = same.mapInArrow(run, schema)
-        parts.append(space.save(part, f"block-{n}") if n else part)
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+
+    def run(batches):
+        held: dict[tuple[int, int], Search] = {}
+        for number, q, x in grid.each_cell(batches, by_size):
+            if all(n != number for n, _ in held) and sum(s.score.nbytes + s.found.nbytes for s in held.values()) > grid.HELD:
+                for s in held.values():
+                    yield s.table()
+                held = {}
+            for d, (row, ids, vectors) in by_size(x).items():
+                if d in q:
+                    if (number, d) not in held:
+                        held[number, d] = Search(*q[d], k)
+                    for at in range(0, len(row), 2048):
+                        held[number, d].add(row[at : at + 2048], ids[at : at + 2048], vectors[at : at + 2048])
+        for s in held.values():
+            yield s.table()
+
+    met = grid.cells(rows.filter(F.col("vec_id") % every == 0), rows, block, ROWS)
+    found = met.mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
     order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
