@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -195,73 +197,94 @@ def decay_curve(rows: DataFrame, edit: str, score: str, width: float = 2.0, most
     return rows.withColumn("bin", bin_).filter(F.col("bin") < most).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
 
 
-#: Columns of a consensus that one row of counts holds; bytes of counts that a task gathers before it passes them on.
-COLUMNS, GATHERED = 1024, 64 << 20
+#: Columns of a consensus that one row of counts holds; bytes of counts that a task gathers before it passes the fullest on; rows that meet in the first level.
+COLUMNS, GATHERED, SHARES = 1024, 64 << 20, 32
 _LETTERS = 27
 
 
 def consensus(members: DataFrame, group: str, seq: str = "seq", default: str = "G") -> DataFrame:
     """group, n, consensus: the most frequent letter of each column, gaps and N aside; ties to the first letter; none gives ``default``.
 
-    Letters are counted in arrays inside each partition. A row of counts for
-    each partition, group and block of columns is what is shuffled.
+    Letters are counted in arrays inside each task, one for each group and block
+    of columns. These are added up in two levels, first among some tasks and then
+    among all, a row at a time: no row and no task ever holds more than one
+    block's counts besides the one it adds, however many tasks a group is in.
     """
     kind = members.schema[group].dataType.simpleString()
     member = np.full(256, 26, np.int64)
     for i in range(26):
         member[[65 + i, 97 + i]] = i
+    size = 4 * COLUMNS * _LETTERS
 
     def tally(batches):
         held: dict = {}
-        size = 0
+        keys, part = None, TaskContext.get().partitionId()
 
-        def passed_on():
-            for key, counts in held.items():
-                for b in range(-(-len(counts) // (COLUMNS * _LETTERS))):
-                    part = counts[b * COLUMNS * _LETTERS : (b + 1) * COLUMNS * _LETTERS]
-                    yield key, b, part.astype(np.int64).tobytes()
+        def packed(rows):
+            return pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], keys), pa.array([b for (_, b), _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([c.astype(np.int64).tobytes() for _, c in rows], pa.binary())], ["key", "block", "part", "counts"])
 
-        def packed():
-            rows = list(passed_on())
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], keys), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["key", "block", "counts"])
-
-        keys = None
         for batch in batches:
             keys = batch.column("key").type
             for key, text in zip(batch.column("key").to_pylist(), batch.column("seq").to_pylist()):
                 data = np.frombuffer((text or "").encode("ascii", "replace"), np.uint8)
-                counts = held.get(key, np.zeros(0, np.int64))
-                n = len(data) * _LETTERS
-                if len(counts) < n:
-                    size += 8 * (n - len(counts))
-                    counts = np.concatenate((counts, np.zeros(n - len(counts), np.int64)))
-                counts[np.arange(len(data)) * _LETTERS + member[data]] += 1
-                held[key] = counts
-                if size > GATHERED:
-                    yield packed()
-                    held, size = {}, 0
-        if held:
-            yield packed()
+                for b in range(-(-len(data) // COLUMNS)):
+                    if (key, b) not in held:
+                        if (len(held) + 1) * size > GATHERED:
+                            # What has the most letters goes, the rest may still grow.
+                            full = sorted(held.items(), key=lambda x: -int(x[1].sum()))[: len(held) // 2 + 1]
+                            for at in range(0, len(full), 16):
+                                yield packed(full[at : at + 16])
+                            for name, _ in full:
+                                del held[name]
+                        held[key, b] = np.zeros(COLUMNS * _LETTERS, np.int32)
+                    some = data[b * COLUMNS : (b + 1) * COLUMNS]
+                    held[key, b][np.arange(len(some)) * _LETTERS + member[some]] += 1
+        rest = list(held.items())
+        for at in range(0, len(rest), 16):
+            yield packed(rest[at : at + 16])
+
+    def streams(batches, names):
+        """Runs of equal (key, block, share) of a sorted stream: key, block, summed counts."""
+        now, total = None, None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "counts"))):
+                if row[:-1] != now:
+                    if now is not None:
+                        yield now, total
+                    now, total = row[:-1], np.zeros(COLUMNS * _LETTERS, np.int64)
+                total += np.frombuffer(row[-1], np.int64)
+        if now is not None:
+            yield now, total
+
+    def added(batches):
+        first = next(batches, None)
+        if first is None:
+            return
+        keys = first.column("key").type
+        for (key, block, _), total in streams(chain([first], batches), ("key", "block", "share")):
+            yield pa.RecordBatch.from_arrays([pa.array([key], keys), pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["key", "block", "counts"])
 
     def chosen(batches):
-        for batch in batches:
-            out = []
-            for parts in batch.column("parts").to_pylist():
-                total = np.zeros(max(map(len, parts)) // 8, np.int64)
-                for p in parts:
-                    total[: len(p) // 8] += np.frombuffer(p, np.int64)
-                votes = total.reshape(-1, _LETTERS)[:, :26].copy()
-                votes[:, 13] = 0  # N
-                best = votes.argmax(1)
-                letters = np.where(votes[np.arange(len(best)), best] > 0, best + 65, ord(default)).astype(np.uint8)
-                out.append(letters.tobytes().decode())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("block"), pa.array(out, pa.string())], ["key", "block", "text"])
-
-    counts = members.select(F.col(group).alias("key"), F.col(seq).alias("seq")).mapInArrow(tally, f"key {kind}, block int, counts binary")
-    blocks = counts.groupBy("key", "block").agg(F.collect_list("counts").alias("parts")).mapInArrow(chosen, f"key {kind}, block int, text string")
+        first = next(batches, None)
+        if first is None:
+            return
+        keys = first.column("key").type
+        for (key, block), total in streams(chain([first], batches), ("key", "block")):
+            votes = total.reshape(-1, _LETTERS)
+            # Columns after the last member's end have no letter at all.
+            votes = votes[: int(np.flatnonzero(votes.any(1))[-1]) + 1 if votes.any() else 0, :26].copy()
+            votes[:, 13] = 0  # N
+            best = votes.argmax(1)
+            letters = np.where(votes[np.arange(len(best)), best] > 0, best + 65, ord(default)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([key], keys), pa.array([block], pa.int32()), pa.array([letters.tobytes().decode()], pa.string())], ["key", "block", "text"])
+
+    counts = members.select(F.col(group).alias("key"), F.col(seq).alias("seq")).mapInArrow(tally, f"key {kind}, block int, part int, counts binary")
+    some = counts.withColumn("share", F.pmod("part", F.lit(SHARES))).repartition("key", "block", "share").sortWithinPartitions("key", "block", "share")
+    once = some.mapInArrow(added, f"key {kind}, block int, counts binary")
+    blocks = once.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(chosen, f"key {kind}, block int, text string")
     text = blocks.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "").alias("consensus"))
     sizes = members.groupBy(F.col(group).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(text, "key", "left").select(F.col("key").alias(group), "n", "consensus")
+    return sizes.join(text, sizes["key"].eqNullSafe(text["key"]), "left").select(sizes["key"].alias(group), "n", "consensus")
 
 
 def groups(members: DataFrame, group: str, seq: str = "seq") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import dna, edits, quant
 from .operators import encode, intervals, probes, sampling, scoring, search, windows
 from .plans import mapping
-from .queries import _ENC, _EV, CROSS, EMB, MAP, PAIRS, REAL, REC, RUN, SQL, TOP, WIN, _events, clean, query, records, table, vectors
+from .queries import _BEST, _ENC, _EV, CROSS, EMB, MAP, PAIRS, REAL, REC, RUN, SQL, TOP, WIN, _events, clean, query, records, table, vectors
 from .shared import fresh_path
 from .sources import fasta, pieces, tables
 from .streaming import reads as streams
@@ -134,6 +134,21 @@ def j9_overlaps_on_one_line(spark, d):
     return intervals.overlapping(left, right, ["name"], ("a0", "b0"), ("a1", "b1"), 200).select("a", "b")
 
 
+@query(_BEST + " SELECT count(*)::BIGINT AS total, count(first_rank)::BIGINT AS correct, count_if(first_rank = 1)::BIGINT AS top1, coalesce(sum(best), 0)::BIGINT AS shared_sum FROM tr LEFT JOIN b ON tr.read_id = b.read_id")
+def z4_running_score(spark, d):
+    """Half of the reads arrive, the query ends; the rest and some of the first again, and it goes on from its checkpoint."""
+    hits, truth = _events(spark, d)
+    came, path, kept = fresh_path(spark, "arrivals"), fresh_path(spark, "scores"), fresh_path(spark, "state")
+    mapped = hits.groupBy("read_id").agg(F.collect_list(F.struct("rank", "src", "start")).alias("hits"))
+    known = fresh_path(spark, "truth")
+    truth.write.parquet(known)
+    for n, part in enumerate(("read_id % 2 = 0", "read_id % 2 = 1 OR read_id % 6 = 0")):
+        mapped.filter(part).repartition(3).write.parquet(f"{came}/part={n}")
+        stream = streams.read_stream(spark, f"{came}/part=*", mapped.schema, files=2)
+        streams.start_score(stream, spark.read.parquet(known), 5000, path, kept).awaitTermination()
+    return streams.last_score(spark, path)
+
+
 # --- files: written, read back ---------------------------------------------
 
 

@@ -214,3 +214,17 @@ def test_commands_generate_and_mutate(spark, tmp_path, capsys):
 def test_most_queries_have_sql():
     assert {n for n in queries.QUERIES if n not in queries.SQL} == {"c1_map_sampled_reads", "r1_refined_places", "w10_random_sample", "a24_sample_check", "g7_mutation_sweep", "a21_cutting_threshold"}
     assert len(queries_more.SQL) > 120
+
+
+def test_consensus_of_a_group_in_all_partitions(spark, monkeypatch):
+    """Rows of counts stay as small as a block's, in both levels, whatever the number of tasks and the gathered bytes."""
+    monkeypatch.setattr(scoring, "COLUMNS", 8)
+    monkeypatch.setattr(scoring, "GATHERED", 3000)
+    rows = [("a" if i % 3 else None, "ACGT" * (5 + i % 4) + "acgtN-"[: i % 6]) for i in range(90)] + [("b", ""), ("b", None), ("c", "NNN--")]
+    got = {r["g"]: (r["n"], r["consensus"]) for r in scoring.consensus(spark.createDataFrame(rows, "g string, seq string").repartition(40), "g").collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        texts = [(t or "").upper() for h, t in rows if h == g]
+        columns = ([t[i] for t in texts if i < len(t) and t[i].isalpha() and t[i] != "N"] for i in range(max(map(len, texts))))
+        want[g] = (len(texts), "".join(min(c, key=lambda x: (-c.count(x), x)) if c else "G" for c in map(list, columns)) or None)
+    assert got == want
