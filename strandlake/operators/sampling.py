@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.edits import edits_of
+from ..shared import fresh_path
 from . import windows
+from .ranks import running
 
 
 def even_allocation(sizes: DataFrame, n: int) -> DataFrame:
@@ -30,7 +32,7 @@ def even_allocation(sizes: DataFrame, n: int) -> DataFrame:
     if not left:
         return parts.select("rec_id", "w", F.col("q").alias("alloc"))
     # Remainders are counted first; ``cut`` is the one at which the last extra read is given, ``over`` how many get it there.
-    upto = parts.groupBy("r").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(W.orderBy(F.desc("r"))))
+    upto = running(parts.groupBy("r").agg(F.count(F.lit(1)).alias("m")), F.desc("r"), "m", "upto")
     cut, over = upto.filter(F.col("upto") >= left).orderBy("upto").select("r", F.lit(left) - (F.col("upto") - F.col("m"))).first()
     tied = running_total(parts.filter(F.col("r") == cut).select("rec_id", F.lit(1).alias("one")), "one", "place").select("rec_id", "place")
     more = (F.col("r") > cut) | ((F.col("r") == cut) & (F.col("place") <= over))
@@ -52,17 +54,16 @@ def ranks_to_starts(ranks: DataFrame, stretches: DataFrame) -> DataFrame:
     return joined.select(*ranks.columns, (F.col("first") + F.col("rank") - (F.col("last") - F.col("n")) - 1).cast("long").alias("start"))
 
 
-def running_total(rows: DataFrame, value: str, out: str, width: int = 4096) -> DataFrame:
-    """``rows`` with ``out``: the total of ``value`` up to and with this rec_id (a whole number).
+def running_total(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the total of ``value`` up to and with this rec_id (a whole number)."""
+    return running(rows, "rec_id", value, out)
 
-    In two levels: totals of blocks of ids, then inside each block, so that no
-    task sees more than a block's rows or one number for each block.
-    """
-    block = F.floor(F.col("rec_id") / width)
-    blocks = rows.groupBy(block.alias("_b")).agg(F.sum(value).alias("_s"))
-    before = blocks.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_before"))
-    inside = F.sum(value).over(W.partitionBy("_b").orderBy("rec_id"))
-    return rows.withColumn("_b", block).join(before, "_b").withColumn(out, (F.col("_before") + inside).cast("long")).drop("_b", "_before")
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def random_ranks(sizes: DataFrame, n: int, seed: int, buckets: int = 4096) -> DataFrame:
@@ -147,14 +148,16 @@ def sample_reads(records: DataFrame, n: int, k: int, err: float = 0.0, seed: int
     ``records`` has (rec_id, head, seq). Even draws need no seed for their
     places; mutations follow from the seed and the read's number.
     """
-    sizes = windows.pool_sizes(records, k, nfree=nfree)
+    # The texts are read once for the pools, whatever the number of steps over their sizes.
+    held = written(windows.pool(records, k) if nfree else windows.pool_sizes(records, k, nfree=False), "pools")
+    sizes = written(held.groupBy("rec_id").agg(F.sum("n").alias("w")), "sizes") if nfree else held
     if draw == "even":
         allocated = running_total(even_allocation(sizes, n), "alloc", "upto")
         number = allocated.select("rec_id", (F.col("upto") - F.col("alloc")).alias("before"))
         ranks = even_ranks(allocated).join(number, "rec_id").select("rec_id", "rank", (F.col("before") + F.col("t")).alias("read_id"))
     else:
         ranks = random_ranks(sizes, n, seed).withColumnRenamed("t", "read_id")
-    placed = ranks_to_starts(ranks, windows.pool(records, k)) if nfree else ranks.withColumn("start", F.col("rank"))
+    placed = ranks_to_starts(ranks, held) if nfree else ranks.withColumn("start", F.col("rank"))
     cut = placed.join(records.select("rec_id", "head", "seq"), "rec_id").select(F.col("read_id").cast("long").alias("read_id"), "rec_id", "start", dna.read_head(F.col("read_id"), F.col("start"), k, F.col("head")).alias("head"), dna.acgt(F.substring("seq", F.col("start"), F.lit(k))).alias("frag"))
     return cut.withColumn("frag", mutated("frag", "read_id", err, seed)) if err else cut
 

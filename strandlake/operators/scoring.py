@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from . import intervals
+from .ranks import running
 
 
 def overlap(a: Column, a_len: Column | int, b: Column, b_len: Column | int) -> Column:
@@ -146,33 +147,21 @@ def quantiles(rows: DataFrame, column: str, shares: tuple[float, ...] = (0.0, 0.
     return rows.sparkSession.createDataFrame(list(zip(map(float, shares), _quantiles(rows, column, shares))), "share double, value double")
 
 
-def _quantiles(rows: DataFrame, column: str, shares: tuple[float, ...], buckets: int = 4096) -> list[float | None]:
-    """Exact quantiles by rank.
+def _quantiles(rows: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles, linear between neighbours.
 
-    Equal values are counted first; then ranks are found in the totals of
-    equally wide buckets, and only the buckets that hold a wanted rank are put
-    in order. The driver has one number for each bucket.
+    Equal values are counted first; their running totals, over ranges of equal
+    size, tell which value has a wanted rank. The driver gets two values for
+    each share.
     """
     counts = rows.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    low, high, total = counts.agg(F.min("v"), F.max("v"), F.sum("n")).first()
+    upto = running(counts, "v", "n", "upto")
+    total = upto.agg(F.max("upto")).first()[0]
     if not total:
         return [None] * len(shares)
-    width = (high - low) / buckets
-    place = F.least(F.floor((F.col("v") - low) / width), F.lit(buckets - 1)).cast("int") if 0 < width < float("inf") else F.lit(0)
-    counts = counts.withColumn("b", place)
-    sizes = sorted((r["b"], r["n"]) for r in counts.groupBy("b").agg(F.sum("n").alias("n")).collect())
     wanted = sorted({int(r) for s in shares for r in (math.floor(s * (total - 1)), math.ceil(s * (total - 1)))})
-    inside, before, at = [], 0, 0
-    for b, n in sizes:
-        while at < len(wanted) and wanted[at] < before + n:
-            inside.append((b, wanted[at] - before, wanted[at]))
-            at += 1
-        before += n
-    ranks = F.broadcast(rows.sparkSession.createDataFrame(inside, "b int, r long, rank long"))
-    upto = F.sum("n").over(W.partitionBy("b").orderBy("v"))
-    some = counts.filter(F.col("b").isin(sorted({b for b, _, _ in inside}))).withColumn("upto", upto)
-    found = some.join(ranks, "b").filter((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n")))
-    value = {r["rank"]: r["v"] for r in found.select("rank", "v").collect()}
+    each = upto.select("v", "n", "upto", F.explode(F.filter(F.array(*(F.lit(r).cast("long") for r in wanted)), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
+    value = {r["rank"]: r["v"] for r in each.select("rank", "v").collect()}
     out = []
     for s in shares:
         p = s * (total - 1)
@@ -296,7 +285,8 @@ def numbered_groups(members: DataFrame, group: str) -> DataFrame:
     """``members`` with ``bin``: the number of their group, from 1 in the groups' order."""
     bins = members.select(group).distinct().filter(F.col(group).isNotNull())
     # One row for each group is numbered, and rows look their group up.
-    return members.join(bins.withColumn("bin", F.row_number().over(W.orderBy(group))), group)
+    numbered = running(bins.withColumn("_one", F.lit(1)), group, "_one", "bin").drop("_one")
+    return members.join(numbered.withColumn("bin", F.col("bin").cast("int")), group)
 
 
 def by_accession(hits: DataFrame, records: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .ranks import running
 
 #: Windows that are cut together.
 BLOCK = 64
@@ -114,7 +115,8 @@ def run_quantiles(found: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75
     Lengths are counted first, so the ranking orders distinct lengths and not runs.
     """
     counts = found.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.select("length", F.sum("n").over(W.orderBy("length")).alias("upto"), F.sum("n").over(W.partitionBy()).alias("total"))
+    upto = running(counts, "length", "n", "upto")
+    upto = upto.withColumn("total", F.lit(upto.agg(F.max("upto")).first()[0]))
     rank = F.greatest(F.lit(1), F.rint(F.col("share") * F.col("total")))
     each = upto.withColumn("share", F.explode(F.array(*(F.lit(s) for s in shares))))
     return each.filter(F.col("upto") >= rank).groupBy("share").agg(F.min("length").alias("length"))
