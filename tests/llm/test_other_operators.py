@@ -452,4 +452,4 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
