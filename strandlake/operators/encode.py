@@ -252,6 +252,11 @@ def encode(frags: DataFrame, rope: Rope, precision: str = "f32", column: str = "
     return frags.withColumn("_e", udf(column)).select(*[c for c in frags.columns if c != column], F.col("_e.vec").alias("vec"), F.col("_e.norms").alias("norms"))
 
 
+def with_bins(coded: DataFrame, vec: str = "vec") -> DataFrame:
+    """Encoded rows that have any bin, as in ``encode_long``: a sequence whose s-mers all fold into the cleared slot has no direction and no row."""
+    return coded.filter(F.exists(vec, lambda x: x != 0))
+
+
 def encode_windows(records: DataFrame, rope: Rope, kstep: int, precision: str = "f32", seq: str = "seq") -> DataFrame:
     """The columns of ``records`` without the sequence, and start, strand, vec, norms of all windows on both strands.
 
