@@ -124,18 +124,24 @@ def calibrated_cuts(frags: DataFrame, rope, rounds: int = 8, err: float = 0.15,
 
     ``shift`` moves the window before it is mutated. A window's draws follow from
     the seed, its number and the round; windows are encoded and compared in one
-    Arrow step and nothing is shuffled.
+    Arrow step and nothing is shuffled. Vectors of one norm are brought to length
+    1 without its guard, so that a window whose bins all but cancel out also has
+    a product of 1 with itself.
     """
     from .encode import _CODE, Encoder
     from .sampling import mutate, mutate_shift
 
+    def unit(x):
+        length = np.sqrt((x**2).sum(1, keepdims=True))
+        return np.divide(x, length, out=x, where=length > 0) if rope.normalize == 0 else x
+
     def run(batches):
         encoder, letters = Encoder(rope), np.frombuffer(b"ACGT", np.uint8)
         for batch in batches:
             ids, texts = batch.column("col_id").to_pylist(), batch.column("frag").to_pylist()
             for at in range(0, len(texts), 64):
                 some = texts[at : at + 64]
-                held = encoder(some)[0]
+                held = unit(encoder(some)[0])
                 cut = np.full(len(some), np.inf)
                 for n in range(rounds):
                     other = []
@@ -144,7 +150,7 @@ def calibrated_cuts(frags: DataFrame, rope, rounds: int = 8, err: float = 0.15,
                         code = _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)].astype(np.uint8)
                         code = mutate_shift(code, shift, rng) if shift else code
                         other.append(letters[mutate(code, err, rng) if err else code].tobytes().decode())
-                    changed = encoder(other)[0]
+                    changed = unit(encoder(other)[0])
                     half = held.shape[1] // 2
                     turned = np.concatenate((changed[:, half:], -changed[:, :half]), axis=1)
                     cut = np.minimum(cut, (held * changed).sum(1) ** 2 + (held * turned).sum(1) ** 2)

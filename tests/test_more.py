@@ -236,6 +236,11 @@ def test_windows_without_any_bin_have_no_row(spark, tmp_path, name):
     assert same_as_sql(spark, name, folder)
 
 
+def test_a_window_whose_bins_cancel_out_is_its_own_best(spark, tmp_path):
+    """25 turns of one letter in eight: the sums are what rounding leaves of them."""
+    assert same_as_sql(spark, "a20_calibrated_cuts", written(spark, tmp_path, ["osjaque " * 60, "?" * 410, genome(6, 450), None]))
+
+
 def test_most_queries_have_sql():
     assert {n for n in queries.QUERIES if n not in queries.SQL} == {"c1_map_sampled_reads", "r1_refined_places", "w10_random_sample", "a24_sample_check", "g7_mutation_sweep", "a21_cutting_threshold"}
     assert len(queries_more.SQL) > 120
