@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -322,16 +323,50 @@ def always_found(rounds: DataFrame) -> DataFrame:
     return rounds.groupBy("query_id").agg(F.bool_and("found").alias("found"))
 
 
+#: Characters of a text up to which a pair's grams are compared in its own row.
+LONG = 1 << 22
+
+
+def _gram_numbers(text: np.ndarray, n: int) -> np.ndarray:
+    """A number for each n-gram of an array of characters, equal where the grams are: halves are numbered, then put together."""
+    number, width = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+    while width < n:
+        if int(number.max(initial=0)) >= 1 << 31:
+            number = np.unique(number, return_inverse=True)[1].astype(np.int64)
+        step = min(width, n - width)
+        number = number[: len(number) - step] * (int(number.max(initial=0)) + 1) + number[step:]
+        width += step
+    return number
+
+
+def _shared(a: str | None, b: str | None, n: int) -> int:
+    if min(len(a or ""), len(b or "")) < n:
+        return 0
+    # Grams that lie across the end of ``a`` are left out again.
+    numbers = _gram_numbers(np.frombuffer((a + b).encode("utf-32-le"), np.uint32), n)
+    return int(np.isin(numbers[len(a) :], numbers[: len(a) - n + 1]).sum())
+
+
 def shared_gram_counts(pairs: DataFrame, n: int = 16) -> DataFrame:
     """pair_id, shared: how many n-gram places of ``b`` hold an n-gram of ``a``, for (pair_id, a, b).
 
-    Grams of both sides meet in one semi-join on pair and gram, so long
-    sequences cost their length and not its square.
+    A pair is compared where its row lies, so no gram is shuffled. Pairs with a
+    text of more than LONG characters, and rows that share their pair_id, meet
+    gram by gram in a semi-join, which costs their length and no task's memory.
     """
-    known = pairs.select("pair_id", F.explode(F.array_distinct(dna.grams("a", n))).alias("gram"))
-    places = pairs.select("pair_id", F.explode(dna.grams("b", n)).alias("gram"))
+
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in parts:
+            yield pa.array([_shared(x.as_py(), y.as_py(), n) for x, y in zip(a, b)], pa.int64())
+
+    alone = (F.count(F.lit(1)).over(W.partitionBy("pair_id")) == 1) & F.col("pair_id").isNotNull()
+    rows = pairs.select("pair_id", "a", "b", (alone & (F.greatest(F.length("a"), F.length("b"), F.lit(0)) <= LONG)).alias("_short"))
+    short, rest = rows.filter("_short"), rows.filter("not _short")
+    near = short.select("pair_id", F.arrow_udf(run, "long")("a", "b").alias("shared"))
+    known = rest.select("pair_id", F.explode(F.array_distinct(dna.grams("a", n))).alias("gram"))
+    places = rest.select("pair_id", F.explode(dna.grams("b", n)).alias("gram"))
     counts = places.join(known, ["pair_id", "gram"], "left_semi").groupBy("pair_id").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.select("pair_id").join(counts, "pair_id", "left").na.fill(0, ["shared"])
+    return near.unionByName(rest.select("pair_id").join(counts, "pair_id", "left").na.fill(0, ["shared"]))
 
 
 def least_or(rows: DataFrame, names: DataFrame, key: str, value: str, default: float) -> DataFrame:

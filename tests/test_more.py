@@ -241,6 +241,25 @@ def test_a_window_whose_bins_cancel_out_is_its_own_best(spark, tmp_path):
     assert same_as_sql(spark, "a20_calibrated_cuts", written(spark, tmp_path, ["osjaque " * 60, "?" * 410, genome(6, 450), None]))
 
 
+def test_grams_of_pairs_are_counted_in_place_and_by_join_alike(spark, monkeypatch):
+    """Repeated numbers, nulls, short texts, characters of any plane, grams across the texts' border; long pairs go by the join."""
+    r = random.Random(3)
+    letters = ["ab", "ab\U0001f600é", "abcdefgh"]
+    rows = [(i // 2 if i < 20 else i, *("".join(r.choice(letters[i % 3]) for _ in range(r.choice([0, 3, 15, 16, 17, 60, 200]))) for _ in "ab")) for i in range(120)]
+    rows += [(900, None, "a" * 20), (901, "a" * 20, None), (902, "x" * 15, "x" * 40), (903, "y" * 16, "y" * 40)]
+    for n in (1, 5, 16):
+        grams = lambda t: [(t or "")[i : i + n] for i in range(len(t or "") - n + 1)]
+        known = {}
+        for i, a, _ in rows:
+            known.setdefault(i, set()).update(grams(a))
+        total = {i: sum(g in known[i] for j, _, b in rows if j == i for g in grams(b)) for i in known}
+        want = sorted((i, total[i]) for i, _, _ in rows)
+        for most in (1 << 20, 50, 0):
+            monkeypatch.setattr(scoring, "LONG", most)
+            got = scoring.shared_gram_counts(spark.createDataFrame(rows, "pair_id long, a string, b string"), n)
+            assert sorted(map(tuple, got.collect())) == want
+
+
 def test_most_queries_have_sql():
     assert {n for n in queries.QUERIES if n not in queries.SQL} == {"c1_map_sampled_reads", "r1_refined_places", "w10_random_sample", "a24_sample_check", "g7_mutation_sweep", "a21_cutting_threshold"}
     assert len(queries_more.SQL) > 120
