@@ -1,6 +1,6 @@
-"""FASTA and FASTQ by byte ranges: a data source whose partitions cut files anywhere, also inside a record or a line.
+"""FASTA and FASTQ by byte ranges: a data source whose ranges cut files anywhere, also inside a record or a line.
 
-A partition is a range of bytes of one file. It yields *pieces*: letters that
+A range is of one file; a task reads the small ones that follow each other. A range yields *pieces*: letters that
 stand together in one record, with the byte they begin at, so a chromosome of
 any length is many rows in many tasks. How a range begins follows from at most
 ``HEADER`` bytes in front of it: a range that opens inside a header line begins
@@ -27,8 +27,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import dna
 from ..shared import store_uri
 
-#: Bytes of a partition, letters of a piece, bytes of a header line at most, bytes that are read at a time.
+#: Bytes of a range, letters of a piece, bytes of a header line at most, bytes that are read at a time.
 SPLIT, PIECE, HEADER, CHUNK = 64 << 20, 1 << 16, 1 << 20, 4 << 20
+#: Bytes of a task's ranges at least, tasks that a small input is dealt to; larger ones take SPLIT bytes a task.
+LEAST, TASKS = 1 << 20, 64
 _SCHEMA = "part long, file string, local long, lead long, offset long, head string, seq string"
 _TOTALS = "part long, file string, opens long, lead long, tail long"
 _BREAK = np.zeros(256, bool)
@@ -63,15 +65,27 @@ def opened(address: str) -> pa.NativeFile:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     part: int
     file: str
     start: int
     end: int
     size: int
 
+
+@dataclass
+class Stretch(InputPartition):
+    """Ranges that follow each other, read by one task: (number of the first, file, its first byte, end of the last, size of the file) for each file."""
+
+    held: list[tuple[int, str, int, int, int]]
+
     def __post_init__(self):
-        self.value = self.part
+        self.value = self.held[0][0] if self.held else 0
+
+    def ranges(self, split: int) -> Iterator[Range]:
+        for part, file, start, end, size in self.held:
+            for i, at in enumerate(range(start, end, split)):
+                yield Range(part + i, file, at, min(at + split, size), size)
 
 
 class SequencePieces(DataSource):
@@ -98,20 +112,41 @@ class PieceReader(DataSourceReader):
         if self.split < 1 or self.piece < 1:
             raise ValueError("split and piece must be at least 1")
 
-    def partitions(self) -> list[Range]:
-        cuts = [(f, s, min(s + self.split, n), n) for f, n in files_of(self.path) for s in range(0, n, self.split)]
-        return [Range(i, *c) for i, c in enumerate(cuts)] or [Range(0, "", 0, 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.file:
-            return
-        with opened(partition.file) as f:
-            if self.kind == "fastq":
-                yield from _qualities(f, partition)
-            elif self.totals:
-                yield _totals(f, partition, self.anywhere)
-            else:
-                yield from _pieces(f, partition, self.piece, self.anywhere)
+    def partitions(self) -> list[Stretch]:
+        """Tasks by bytes: small ranges, also of different files, share one, so their number does not grow as the split shrinks."""
+        files = files_of(self.path)
+        wanted = min(SPLIT, max(LEAST, sum(n for _, n in files) // TASKS))
+        each = max(1, wanted // self.split)
+        out, held, room, part = [], [], each, 0
+        for file, size in files:
+            at, left = 0, -(-size // self.split)
+            while left:
+                n = min(left, room)
+                end = min(size, at + n * self.split)
+                held.append((part, file, at, end, size))
+                at, left, room, part = end, left - n, room - n, part + n
+                if not room:
+                    out.append(Stretch(held))
+                    held, room = [], each
+        return [*out, Stretch(held)] if held or not out else out
+
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        f, now = None, None
+        try:
+            for r in partition.ranges(self.split):
+                if r.file != now:
+                    if f is not None:
+                        f.close()
+                    f, now = opened(r.file), r.file
+                if self.kind == "fastq":
+                    yield from _qualities(f, r)
+                elif self.totals:
+                    yield _totals(f, r, self.anywhere)
+                else:
+                    yield from _pieces(f, r, self.piece, self.anywhere)
+        finally:
+            if f is not None:
+                f.close()
 
 
 def _begin(f, at: int, anywhere: bool) -> tuple[int, bool]:
@@ -236,7 +271,7 @@ def read_pieces(spark: SparkSession, path: str, split: int = SPLIT, piece: int =
     no letters, so empty records are there too. Letters in front of a file's
     first record go. A letter is a byte (Latin-1); headers are UTF-8.
 
-    The totals that number records and letters are one row for each partition;
+    The totals that number records and letters are one row for each range;
     they are added up in the driver and go out again, three numbers for each.
     """
     spark.dataSource.register(SequencePieces)

@@ -139,3 +139,16 @@ def test_wrong_paths_and_long_headers(tmp_path, monkeypatch):
 def test_empty_file(spark, tmp_path):
     (tmp_path / "a.fasta").write_bytes(b"")
     assert pieces.read_pieces(spark, str(tmp_path / "a.fasta")).count() == 0
+
+
+def test_small_ranges_share_tasks(tmp_path):
+    """The number of tasks follows from bytes; the ranges, their numbers and their rows stay those of the split."""
+    for i in range(3):
+        (tmp_path / f"{i}.fa").write_bytes(b"".join(b">r%d_%d\n" % (i, j) + b"ACGT" * 50 + b"\n" for j in range(600)))
+    reader = pieces.PieceReader({"path": str(tmp_path), "split": "100"})
+    tasks = reader.partitions()
+    ranges = [r for t in tasks for r in t.ranges(100)]
+    assert len(tasks) <= 2 and [r.part for r in ranges] == list(range(len(ranges)))
+    assert [(r.file, r.start, r.end) for r in ranges] == [(f, s, min(s + 100, n)) for f, n in pieces.files_of(str(tmp_path)) for s in range(0, n, 100)]
+    heads = [r["head"] for t in tasks for b in reader.read(t) for r in b.to_pylist() if r["head"]]
+    assert heads == [f">r{i}_{j}" for i in range(3) for j in range(600)]
