@@ -8,13 +8,12 @@ dropped; a ``>`` inside a line is a character like others.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..shared import store_uri
 
 def _records(spark: SparkSession, path: str, anywhere: bool = False) -> DataFrame:
     """head (verbatim, with ``>``) and seq (line ends out), the file and place, and whether the row opens a record."""
@@ -110,36 +109,45 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """head, seq of FASTQ records; sequences and qualities may take several lines; quality is left out.
 
     A quality line may begin with ``@``, so records are found in order within a
-    file: one file is one row of the scan. Split large inputs into files.
+    file: one task reads a file from its begin to its end, and holds a chunk and
+    a batch of records at a time. Only the files' names come from the scan. For
+    a file that many tasks should share see ``pieces.read_reads``.
     """
+    from .pieces import CHUNK, Lines, opened
 
     def run(batches):
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                found = list(fastq(data.decode("latin-1")))
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([s for _, s in found], pa.string())], ["head", "seq"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "head string, seq string")
-
-
-def fastq(text: str):
-    """(head, sequence) of each record; as many quality characters are passed over as the sequence has."""
-    lines = re.split(r"\r\n|\n|\r", text)
-    i = 0
-    while i < len(lines):
-        if not lines[i].startswith("@"):
-            i += 1
+            for name in batch.column("path").to_pylist():
+                with opened(store_uri(name)) as f:
+                    heads, seqs, size = [], [], 0
+                    for head, seq in fastq(Lines(f, 0)):
+                        heads.append(head)
+                        seqs.append(seq)
+                        size += len(head) + len(seq)
+                        if size > CHUNK:
+                            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.string()), pa.array(seqs, pa.string())], ["head", "seq"])
+                            heads, seqs, size = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(heads, pa.string()), pa.array(seqs, pa.string())], ["head", "seq"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "head string, seq string")
+
+
+def fastq(lines):
+    """(head, sequence) of each record of ``pieces.Lines``; as many quality characters are passed over as the sequence has."""
+    text = lambda: None if (line := lines.next()) is None else line[1].decode("latin-1")
+    line = text()
+    while line is not None:
+        if not line.startswith("@"):
+            line = text()
             continue
-        head, seq = lines[i], []
-        i += 1
-        while i < len(lines) and not lines[i].startswith("+"):
-            seq.append(lines[i].strip())
-            i += 1
+        head, seq = line, []
+        while (line := text()) is not None and not line.startswith("+"):
+            seq.append(line.strip())
         sequence, passed = "".join(seq), 0
-        i += 1
-        while i < len(lines) and passed < len(sequence):
-            passed += len(lines[i].strip())
-            i += 1
+        line = text()
+        while line is not None and passed < len(sequence):
+            passed += len(line.strip())
+            line = text()
         yield head, sequence
 
 

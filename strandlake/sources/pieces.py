@@ -60,6 +60,8 @@ def files_of(path: str) -> list[tuple[str, int]]:
 
 
 def opened(address: str) -> pa.NativeFile:
+    if address.startswith("file://"):  # a local name may hold what an address may not
+        return fs.LocalFileSystem().open_input_file(address[7:])
     store, where = fs.FileSystem.from_uri(address)
     return store.open_input_file(where)
 

@@ -152,3 +152,21 @@ def test_small_ranges_share_tasks(tmp_path):
     assert [(r.file, r.start, r.end) for r in ranges] == [(f, s, min(s + 100, n)) for f, n in pieces.files_of(str(tmp_path)) for s in range(0, n, 100)]
     heads = [r["head"] for t in tasks for b in reader.read(t) for r in b.to_pylist() if r["head"]]
     assert heads == [f">r{i}_{j}" for i in range(3) for j in range(600)]
+
+
+def test_a_quality_file_is_no_row(spark, tmp_path, monkeypatch):
+    """Files are read a chunk at a time by their names; what the scan hands over has no content."""
+    from strandlake.sources import fasta
+
+    r = random.Random(8)
+    want, data = [], b""
+    for i in range(3000):
+        seq = "".join(r.choice("ACGT") for _ in range(r.choice([0, 1, 39, 90])))
+        want.append((f"@r {i}", seq))
+        data += f"@r {i}\n{seq[:40]}\n{seq[40:]}\n+\n{'@' * len(seq[:40])}\n{'@' * len(seq[40:])}\n".replace("\n", ["\n", "\r\n"][i % 2]).encode()
+    (tmp_path / "a b.fq").write_bytes(b"junk\n" + data)
+    (tmp_path / "empty.fq").write_bytes(b"")
+    monkeypatch.setattr(pieces, "CHUNK", 1000)
+    got = fasta.read_fastq(spark, str(tmp_path))
+    assert "content" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
