@@ -172,8 +172,7 @@ def two_phase(reads: DataFrame, records: DataFrame, frags: DataFrame, rope, cuts
 
     frag = F.substring("frag", 1, rope.k)
     coded = encode(reads.select(F.col("read_id").alias("query_id"), frag.alias("frag")).filter(F.length("frag") == rope.k), rope, "f64")
-    index = encode(frags.select("col_id", "frag"), rope, "f64")
-    hits = above_cuts(coded, index, cuts, "complex").join(frags.select("col_id", "rec_id", "start", "strand"), "col_id")
+    hits = above_cuts_of_windows(coded, frags, cuts, rope, "complex").join(frags.select("col_id", "rec_id", "start", "strand"), "col_id")
     # One range search for each read, record and strand: the order of starts is the order of hits.
     of = F.struct(F.col("query_id").alias("read_id"), "rec_id", "strand")
     ordered = hits.select(of.alias("read_id"), F.col("start").alias("j"), F.lit(1).alias("piece"), F.col("start").alias("loc"))
@@ -209,6 +208,26 @@ def above_cuts(queries: DataFrame, index: DataFrame, cuts: DataFrame | float, ki
     return grid.cells(_vectors(queries, "query_id"), rows, block_bytes).mapInArrow(run, SCHEMA)
 
 
+def above_cuts_of_windows(queries: DataFrame, frags: DataFrame, cuts: DataFrame | float, rope, kind: str = "real", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As ``above_cuts`` over windows (col_id, frag) that are encoded where they are multiplied: no vector leaves its task."""
+    from .encode import Encoder
+
+    rows = frags.select("col_id", "frag")
+    rows = rows.withColumn("cut", F.lit(float(cuts))) if isinstance(cuts, (int, float)) else rows.join(cuts.select("col_id", F.col("cut").cast("double").alias("cut")), "col_id")
+
+    def run(batches):
+        encoder = Encoder(rope)
+        for _, (ids, matrix), rows in grid.each_cell(batches, _query("f64")):
+            col, texts, cut_of = rows.column("col_id").to_numpy(), rows.column("frag").to_pylist(), rows.column("cut").to_numpy()
+            for at in range(0, len(texts), TILE):
+                some = slice(at, at + TILE)
+                score = np.round(_similarity(matrix, encoder(texts[some])[0], kind), 12)
+                q, c = np.nonzero(score > cut_of[None, some])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(col[some][c], pa.int64()), pa.array(score[q, c])], ["query_id", "col_id", "score"])
+
+    return grid.cells(_vectors(queries, "query_id"), rows, block_bytes).mapInArrow(run, SCHEMA)
+
+
 def similarity_histogram(queries: DataFrame, index: DataFrame, kind: str = "real", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """bin, n over all pairs: 34 bins, counted inside each partition."""
 

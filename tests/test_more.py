@@ -260,6 +260,37 @@ def test_grams_of_pairs_are_counted_in_place_and_by_join_alike(spark, monkeypatc
             assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("kind", ["real", "complex"])
+def test_cuts_of_windows_are_cuts_of_an_index(spark, records, kind):
+    """No vector of the windows leaves its task; the pairs and scores are those of an encoded index."""
+    reads = mapping.encode_reads(sampling.sample_reads(records, 30, 60, 0.05, 2, nfree=False), ROPE, "f64")
+    frags = mapping.index_windows(records, 60, 10)
+    index = encode.encode(frags.select("col_id", "frag"), ROPE, "f64")
+    for cuts in (0.3, frags.select("col_id", (0.2 + 0.1 * F.col("strand")).alias("cut"))):
+        a, b = search.above_cuts_of_windows(reads, frags, cuts, ROPE, kind, 1), search.above_cuts(reads, index, cuts, kind)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) != []
+
+
+def test_full_lists_take_only_what_reaches_their_last():
+    """Against sorting everything; ties go to smaller columns, NaN takes no part, and no partition of the whole tile is made."""
+    from unittest import mock
+
+    from strandlake.operators import grid
+
+    r = np.random.default_rng(2)
+    lists, held = grid.Lists(np.arange(6), 3), np.zeros((6, 0))
+    for n in range(6):
+        score = np.round(r.random((6, 400)), 2 if n else 1)
+        score[r.random(score.shape) < 0.05] = np.nan
+        with mock.patch.object(np, "partition", wraps=np.partition) as cut:
+            lists.add(np.arange(400) + 400 * n, score)
+        assert all(c.args[0].shape[1] < 400 for c in cut.call_args_list) or n == 0
+        held = np.concatenate((held, score), 1)
+        whole = np.where(np.isnan(held), -np.inf, held)
+        order = np.lexsort((np.broadcast_to(np.arange(whole.shape[1]), whole.shape), -whole), axis=1)[:, :3]
+        assert (lists.where == order).all() and (lists.score == np.take_along_axis(whole, order, 1)).all()
+
+
 def test_most_queries_have_sql():
     assert {n for n in queries.QUERIES if n not in queries.SQL} == {"c1_map_sampled_reads", "r1_refined_places", "w10_random_sample", "a24_sample_check", "g7_mutation_sweep", "a21_cutting_threshold"}
     assert len(queries_more.SQL) > 120
