@@ -57,9 +57,11 @@ def map_reads(reads: DataFrame, index: DataFrame, rope: encode.Rope, k: int = 20
 def map_onto(reads: DataFrame, records: DataFrame, rope: encode.Rope, kstep: int, k: int = 20, kind: str = "real", precision: str = "f32", start_bits: int = START_BITS) -> DataFrame:
     """As ``map_reads`` onto the windows of ``records``, without an index: windows are encoded where they are compared.
 
-    A hit's place is in its col_id, so hits meet the records' headers only.
+    The texts are shuffled once. A hit's place is in its col_id, so hits meet the records' headers only.
     """
-    frags = index_windows(records, rope.k, kstep, start_bits=start_bits)
+    # Records are dealt to all tasks first: one file of them would be encoded by one task.
+    dealt = records.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id")
+    frags = index_windows(dealt, rope.k, kstep, start_bits=start_bits)
     hits = search.top_k_of_windows(encode_reads(reads, rope, precision), frags, rope, k, kind, precision)
     place = F.col("col_id").bitwiseAND((1 << start_bits) - 1)
     hits = hits.select("*", F.shiftright("col_id", start_bits).alias("rec_id"), F.shiftright(place, 1).alias("start"), place.bitwiseAND(1).cast("int").alias("strand"))
