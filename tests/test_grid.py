@@ -80,3 +80,41 @@ def test_lists_keep_ties_by_column_and_leave_out_what_is_no_number():
     other.add(np.array([0, 4]), np.array([[1.0, 3.0]]))
     other.take(lists.above(np.array([-np.inf])))
     assert other.where.tolist() == [[4, 0]]
+
+
+def test_blocks_are_sent_as_often_whatever_their_number(spark, monkeypatch):
+    """What is dealt grows with the input: each block goes to as many groups for 60 blocks of queries as for 6."""
+    import re
+
+    monkeypatch.setattr(grid.cells, "__defaults__", (600, 1500, 0))
+    copies = []
+    for n in (60, 600):
+        queries, index, scores = tables(spark, n, 150)
+        found = search.above_cuts(queries, index, 20.0, block_bytes=600)
+        assert found.count() == (scores > 20).sum()
+        copies.append(re.findall(r"explode\(sequence\(cast\(0 as bigint\), cast\((\d+) as bigint\)", found._jdf.queryExecution().analyzed().toString()))
+    assert copies[0] == copies[1] == ["2", "2"]
+
+
+def test_scores_come_in_small_tiles():
+    r = np.random.default_rng(1)
+    q, x = r.normal(size=(2 * search.TILE_QUERIES + 5, 8)), r.normal(size=(search.TILE, 8))
+    real, turned = q @ x.T, q @ np.concatenate((x[:, 4:], -x[:, :4]), 1).T
+    for kind, want in (("real", real), ("complex", real**2 + turned**2), ("abs", np.sqrt(real**2 + turned**2))):
+        got = np.full(real.shape, np.nan)
+        for of, score in search._scores(q, x, kind):
+            assert score.size <= search.TILE_QUERIES * search.TILE
+            got[of] = score
+        np.testing.assert_allclose(got, want, atol=2e-12)
+
+
+def test_full_lists_of_some_queries_take_ties_by_column():
+    r = np.random.default_rng(2)
+    score, where = r.integers(0, 6, (9, 400)).astype(float), r.permutation(400)
+    lists = grid.Lists(np.arange(9), 3)
+    for at in range(0, 400, 40):
+        for of in (slice(0, 4), slice(4, 9)):
+            lists.add(where[at : at + 40], score[of, at : at + 40], of)
+    for i in range(9):
+        order = np.lexsort((where, -score[i]))[:3]
+        assert lists.where[i].tolist() == where[order].tolist() and lists.score[i].tolist() == score[i][order].tolist()
