@@ -30,8 +30,8 @@ def encoded(reads: DataFrame, rope: encode.Rope) -> DataFrame:
     return mapping.encode_reads(reads, rope)
 
 
-def start_mapping(reads: DataFrame, index: DataFrame, rope: encode.Rope, sink: Callable[[DataFrame, int], None], checkpoint: str, k: int = 20) -> StreamingQuery:
-    """Maps each micro-batch and hands (hits, batch number) to ``sink``.
+def start_mapping(reads: DataFrame, index: DataFrame, rope: encode.Rope, sink: Callable[[DataFrame, int], None], checkpoint: str, k: int = 20, mapper: Callable[..., DataFrame] = mapping.map_reads) -> StreamingQuery:
+    """Maps each micro-batch by ``mapper`` (batch, index, rope, k) and hands (hits, batch number) to ``sink``.
 
     The number is the same when a batch is run again, so a sink that writes
     under it counts every read once. A failing batch ends the query with its
@@ -39,7 +39,7 @@ def start_mapping(reads: DataFrame, index: DataFrame, rope: encode.Rope, sink: C
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        sink(mapping.map_reads(rows, index, rope, k), number)
+        sink(mapper(rows, index, rope, k), number)
 
     return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

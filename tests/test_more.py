@@ -308,3 +308,15 @@ def test_consensus_of_a_group_in_all_partitions(spark, monkeypatch):
         columns = ([t[i] for t in texts if i < len(t) and t[i].isalpha() and t[i] != "N"] for i in range(max(map(len, texts))))
         want[g] = (len(texts), "".join(min(c, key=lambda x: (-c.count(x), x)) if c else "G" for c in map(list, columns)) or None)
     assert got == want
+
+
+def test_streamed_mapping_writes_no_index(spark, monkeypatch):
+    """The vectors of all windows are many times the records: reads that arrive meet windows that are encoded there."""
+    from strandlake import queries_more
+    from strandlake.sources import tables
+
+    def refused(*_, **__):
+        raise AssertionError("an index was written")
+
+    monkeypatch.setattr(tables, "write_index", refused)
+    assert queries_more.t5_streamed_top_k(spark, "/root/testdata/sf0.001").first().asDict() == {"reads": 500, "again": 500}
