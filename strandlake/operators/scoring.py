@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -192,6 +193,15 @@ COLUMNS, GATHERED, SHARES = 1024, 64 << 20, 32
 _LETTERS = 27
 
 
+def _squeezed(counts: np.ndarray) -> bytes:
+    """A block's counts as a row holds them: most letters never occur and most columns lie behind the texts' ends."""
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.int64)
+
+
 def consensus(members: DataFrame, group: str, seq: str = "seq", default: str = "G") -> DataFrame:
     """group, n, consensus: the most frequent letter of each column, gaps and N aside; ties to the first letter; none gives ``default``.
 
@@ -199,6 +209,7 @@ def consensus(members: DataFrame, group: str, seq: str = "seq", default: str = "
     of columns. These are added up in two levels, first among some tasks and then
     among all, a row at a time: no row and no task ever holds more than one
     block's counts besides the one it adds, however many tasks a group is in.
+    Rows of counts are dealt and sorted compressed.
     """
     kind = members.schema[group].dataType.simpleString()
     member = np.full(256, 26, np.int64)
@@ -211,7 +222,7 @@ def consensus(members: DataFrame, group: str, seq: str = "seq", default: str = "
         keys, part = None, TaskContext.get().partitionId()
 
         def packed(rows):
-            return pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], keys), pa.array([b for (_, b), _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([c.astype(np.int64).tobytes() for _, c in rows], pa.binary())], ["key", "block", "part", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], keys), pa.array([b for (_, b), _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([_squeezed(c) for _, c in rows], pa.binary())], ["key", "block", "part", "counts"])
 
         for batch in batches:
             keys = batch.column("key").type
@@ -242,7 +253,7 @@ def consensus(members: DataFrame, group: str, seq: str = "seq", default: str = "
                     if now is not None:
                         yield now, total
                     now, total = row[:-1], np.zeros(COLUMNS * _LETTERS, np.int64)
-                total += np.frombuffer(row[-1], np.int64)
+                total += _widened(row[-1])
         if now is not None:
             yield now, total
 
@@ -252,7 +263,7 @@ def consensus(members: DataFrame, group: str, seq: str = "seq", default: str = "
             return
         keys = first.column("key").type
         for (key, block, _), total in streams(chain([first], batches), ("key", "block", "share")):
-            yield pa.RecordBatch.from_arrays([pa.array([key], keys), pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["key", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], keys), pa.array([block], pa.int32()), pa.array([_squeezed(total)], pa.binary())], ["key", "block", "counts"])
 
     def chosen(batches):
         first = next(batches, None)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +321,10 @@ def test_streamed_mapping_writes_no_index(spark, monkeypatch):
 
     monkeypatch.setattr(tables, "write_index", refused)
     assert queries_more.t5_streamed_top_k(spark, "/root/testdata/sf0.001").first().asDict() == {"reads": 500, "again": 500}
+
+
+def test_rows_of_counts_are_small():
+    counts = np.zeros((scoring.COLUMNS, scoring._LETTERS), np.int32)
+    counts[:300, [0, 2, 6, 19]] = np.random.default_rng(0).integers(0, 1000, (300, 4))
+    held = scoring._squeezed(counts.ravel())
+    assert (scoring._widened(held) == counts.ravel()).all() and len(held) * 20 < 8 * counts.size
