@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from .ranks import running
 
-#: Windows that are cut together.
-BLOCK = 64
+#: Windows that are cut together; stretches that a task gathers before it hands them on.
+BLOCK, GATHERED = 64, 1 << 16
 
 
 def n_windows(nchar: Column | str, k: int, kstep: int = 1) -> Column:
@@ -55,6 +57,38 @@ def window_counts(records: DataFrame, k: int, kstep: int, seq: str = "seq") -> D
     return records.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_windows"), F.count(F.lit(1)).alias("n_records"), F.count_if(F.length(seq) >= k).alias("n_kept"))
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], member: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of ``runs``, some texts' at a time: a batch of texts has many times its bytes in stretches."""
+    for batch in batches:
+        ids, starts, lengths = [], [], []
+
+        def out(batch=batch):
+            return pa.RecordBatch.from_arrays([batch.column("rec_id").take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(starts), pa.int64()), pa.array(np.concatenate(lengths), pa.int64())], ["rec_id", "start", "length"])
+
+        held = 0
+        for i, text in enumerate(batch.column("seq").cast(pa.large_binary())):
+            text = text.as_py()
+            if not text:
+                continue
+            data = np.frombuffer(text, np.uint8)
+            inside = np.zeros(len(data) + 2, np.int8)
+            inside[1:-1] = member[data]
+            edge = np.diff(inside)
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            if len(first):
+                # Bytes that continue a character are no places.
+                place = first if text.isascii() else first - np.cumsum((data & 0xC0) == 0x80)[first]
+                ids.append(np.full(len(first), i))
+                starts.append(place + 1)
+                lengths.append(last - first)
+                held += len(first)
+                if held >= GATHERED:
+                    yield out()
+                    ids, starts, lengths, held = [], [], [], 0
+        if ids:
+            yield out()
+
+
 def runs(records: DataFrame, letters: str, seq: str = "seq") -> DataFrame:
     """rec_id, start (1-based), length of the maximal stretches of these ASCII letters.
 
@@ -64,28 +98,8 @@ def runs(records: DataFrame, letters: str, seq: str = "seq") -> DataFrame:
     member = np.zeros(256, bool)
     member[list(letters.encode())] = True
 
-    def run(batches):
-        for batch in batches:
-            ids, starts, lengths = [], [], []
-            for i, text in enumerate(batch.column("seq").cast(pa.large_binary()).to_pylist()):
-                if not text:
-                    continue
-                data = np.frombuffer(text, np.uint8)
-                inside = np.zeros(len(data) + 2, np.int8)
-                inside[1:-1] = member[data]
-                edge = np.diff(inside)
-                first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                if len(first):
-                    # Bytes that continue a character are no places.
-                    place = first if text.isascii() else first - np.cumsum((data & 0xC0) == 0x80)[first]
-                    ids.append(np.full(len(first), i))
-                    starts.append(place + 1)
-                    lengths.append(last - first)
-            if ids:
-                yield pa.RecordBatch.from_arrays([batch.column("rec_id").take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(starts), pa.int64()), pa.array(np.concatenate(lengths), pa.int64())], ["rec_id", "start", "length"])
-
     kind = records.schema["rec_id"].dataType.simpleString()
-    return records.select("rec_id", F.col(seq).alias("seq")).mapInArrow(run, f"rec_id {kind}, start long, length long")
+    return records.select("rec_id", F.col(seq).alias("seq")).mapInArrow(lambda batches: _stretches(batches, member), f"rec_id {kind}, start long, length long")
 
 
 def n_runs(records: DataFrame, seq: str = "seq") -> DataFrame:

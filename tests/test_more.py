@@ -328,3 +328,15 @@ def test_rows_of_counts_are_small():
     counts[:300, [0, 2, 6, 19]] = np.random.default_rng(0).integers(0, 1000, (300, 4))
     held = scoring._squeezed(counts.ravel())
     assert (scoring._widened(held) == counts.ravel()).all() and len(held) * 20 < 8 * counts.size
+
+
+def test_stretches_leave_a_task_some_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(windows, "GATHERED", 100)
+    member = np.zeros(256, bool)
+    member[list(b"AC")] = True
+    texts = ["AN" * 60, None, "", "ACéC", "NC" * 60, "A"]
+    found = list(windows._stretches(iter([pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["rec_id", "seq"])]), member))
+    assert [b.num_rows for b in found] == [122, 1]
+    rows = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    want = [(0, 2 * i + 1, 1) for i in range(60)] + [(3, 1, 2), (3, 4, 1)] + [(4, 2 * i + 2, 1) for i in range(60)] + [(5, 1, 1)]
+    assert rows == want and len(found) > 1
