@@ -340,3 +340,10 @@ def test_stretches_leave_a_task_some_texts_at_a_time(monkeypatch):
     rows = [tuple(r.values()) for b in found for r in b.to_pylist()]
     want = [(0, 2 * i + 1, 1) for i in range(60)] + [(3, 1, 2), (3, 4, 1)] + [(4, 2 * i + 2, 1) for i in range(60)] + [(5, 1, 1)]
     assert rows == want and len(found) > 1
+
+
+def test_hash_of_a_text_is_that_of_its_codes(spark):
+    r = random.Random(4)
+    texts = [None] + ["".join(r.choice("ACGT") for _ in range(n)) for n in (0, 3, 8, 19, 1000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "seq string").select(dna.dna_hash_of("seq").alias("a"), dna.dna_hash(dna.codes("seq")).alias("b")).collect()
+    assert [x["a"] for x in rows[1:]] == [x["b"] for x in rows[1:]] and rows[0]["a"] is None
