@@ -8,7 +8,7 @@ grows with its place. ``encode_long`` says that in relational form;
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -257,9 +257,12 @@ def with_bins(coded: DataFrame, vec: str = "vec") -> DataFrame:
     return coded.filter(F.exists(vec, lambda x: x != 0))
 
 
-def encode_windows(records: DataFrame, rope: Rope, kstep: int, precision: str = "f32", seq: str = "seq") -> DataFrame:
+def encode_windows(records: DataFrame, rope: Rope, kstep: int, precision: str = "f32", seq: str = "seq", measure: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """The columns of ``records`` without the sequence, and start, strand, vec, norms of all windows on both strands.
 
+    ``measure`` gives a number for each row of a matrix of vectors; it then stands
+    in place of ``vec``, as ``measure``, and no vector leaves its task.
+
     The same rows as cutting, turning and encoding every window by itself, at a
     cost that does not grow with their overlap; a long record is cut into blocks
     of windows first, so nothing is shuffled and no row holds a whole record.
@@ -288,11 +291,13 @@ def encode_windows(records: DataFrame, rope: Rope, kstep: int, precision: str =
                     flat = h.reshape(len(h), -1)
                     n = len(h)
                     start = block * span + (first + np.arange(n)) * kstep + 1
-                    vec = lists(round_(np.concatenate((flat.real, flat.imag), axis=1)), item)
+                    split = round_(np.concatenate((flat.real, flat.imag), axis=1))
+                    vec = pa.array(measure(split), pa.float64()) if measure else lists(split, item)
                     own = [batch.column(c).take(pa.array(np.full(n, row))) for c in rest]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(start, pa.int64()), pa.array(np.full(n, strand, np.int32)), vec, lists(norms, pa.float64())], [*rest, "start", "strand", "vec", "norms"])
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(start, pa.int64()), pa.array(np.full(n, strand, np.int32)), vec, lists(norms, pa.float64())], [*rest, "start", "strand", name, "norms"])
 
-    return cut.mapInArrow(run, f"{fields}, start long, strand int, vec array<{kind}>, norms array<double>")
+    name, type_ = ("measure", "double") if measure else ("vec", f"array<{kind}>")
+    return cut.mapInArrow(run, f"{fields}, start long, strand int, {name} {type_}, norms array<double>")
 
 
 def centroids(vectors: DataFrame, group: str, vec: str = "vec") -> DataFrame:

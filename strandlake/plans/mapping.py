@@ -34,12 +34,12 @@ def _col_id(start_bits: int):
     return F.when(fits, number).otherwise(wrong)
 
 
-def build_index(records: DataFrame, rope: encode.Rope, kstep: int, precision: str = "f32", max_records: int | None = None, start_bits: int = START_BITS) -> DataFrame:
-    """col_id, rec_id, head, start, strand, vec, norms of all windows on both strands, composed where their record lies."""
+def build_index(records: DataFrame, rope: encode.Rope, kstep: int, precision: str = "f32", max_records: int | None = None, start_bits: int = START_BITS, measure=None) -> DataFrame:
+    """col_id, rec_id, head, start, strand, vec (or the ``measure`` of it), norms of all windows on both strands, composed where their record lies."""
     if max_records is not None:
         records = records.filter(F.col("rec_id") < max_records)
     clean = records.select("rec_id", "head", dna.acgt("seq").alias("seq"))
-    return encode.encode_windows(clean, rope, kstep, precision).select(_col_id(start_bits).alias("col_id"), "rec_id", "head", "start", "strand", "vec", "norms")
+    return encode.encode_windows(clean, rope, kstep, precision, measure=measure).select(_col_id(start_bits).alias("col_id"), "rec_id", "head", "start", "strand", "measure" if measure else "vec", "norms")
 
 
 def encode_reads(reads: DataFrame, rope: encode.Rope, precision: str = "f32") -> DataFrame:

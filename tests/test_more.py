@@ -347,3 +347,12 @@ def test_hash_of_a_text_is_that_of_its_codes(spark):
     texts = [None] + ["".join(r.choice("ACGT") for _ in range(n)) for n in (0, 3, 8, 19, 1000)]
     rows = spark.createDataFrame([(t,) for t in texts], "seq string").select(dna.dna_hash_of("seq").alias("a"), dna.dna_hash(dna.codes("seq")).alias("b")).collect()
     assert [x["a"] for x in rows[1:]] == [x["b"] for x in rows[1:]] and rows[0]["a"] is None
+
+
+def test_a_measure_stands_in_place_of_the_vectors(spark):
+    recs = spark.createDataFrame([(i, f">r{i}", "ACGTTGCAGGATCCATTGACA" * 6) for i in range(3)], "rec_id long, head string, seq string")
+    rope = encode.Rope(40, 3, 1, 3)
+    whole = {x["col_id"]: sum(v * v for v in x["vec"][: rope.dim]) for x in mapping.build_index(recs, rope, 20, "f64").collect()}
+    index = mapping.build_index(recs, rope, 20, "f64", measure=lambda v: (v[:, : rope.dim] ** 2).sum(1))
+    got = {x["col_id"]: x["measure"] for x in index.collect()}
+    assert "vec" not in index.columns and got.keys() == whole.keys() and all(abs(got[c] - whole[c]) < 1e-12 for c in got)
