@@ -29,6 +29,8 @@ from .common import Workspace, delete, hadoop_path, unused
 TARGET, SMALLEST, FAN_IN, ARRIVALS, RETAIN = 64 << 20, 1 << 20, 4, 8, 4
 #: Seconds after which a folder that no manifest lists is taken for one that a dead writer left.
 ORPHAN = 7 * 86_400.0
+#: Shards are written once and kept by versions: texts take about two thirds of the room that they take by the session's default.
+CODEC = "zstd"
 
 
 @dataclass(frozen=True)
@@ -105,11 +107,11 @@ class Store:
         """One shard, or one for each value of ``part`` (0 to ``parts`` - 1), in one pass; rows are counted as they are written."""
         name, seen = f"shard-{uuid.uuid4().hex}", Observation(uuid.uuid4().hex)
         if part is None:
-            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{name}")
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", CODEC).parquet(f"{self.path}/{name}")
             return [self._shard(name, seen.get["n"])]
         key = unused("arrival", df)
         counts = [F.count_if(F.col(key) == k).alias(f"n{k}") for k in range(parts)]
-        df.withColumn(key, part).observe(seen, *counts).write.partitionBy(key).parquet(f"{self.path}/{name}")
+        df.withColumn(key, part).observe(seen, *counts).write.option("compression", CODEC).partitionBy(key).parquet(f"{self.path}/{name}")
         return [self._shard(f"{name}/{key}={k}", seen.get[f"n{k}"]) for k in range(parts)]
 
     def append(self, df: DataFrame, part: Column | None = None, parts: int = 1) -> list[Shard]:

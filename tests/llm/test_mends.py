@@ -135,3 +135,17 @@ def test_context_selects_personal_data_on_the_tables(spark):
 def test_negatives_weigh_as_much_as_positives_of_their_kind():
     rows = pii.balanced([([0, 1], False, 3.0, 0.0), ([0, 2], False, 0.0, 600.0), ([1, 1], False, 0.0, 5.0), ([0, 2], True, 2.0, 8.0)])
     assert [r[3] for r in rows] == [0.0, 3.0, 5.0, 2.0]
+
+
+def test_shards_take_less_room_than_the_sessions_codec(spark, tmp_path):
+    """Arrivals and merged shards both lie on disk for readers of earlier versions."""
+    import random
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(500)]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(300))) for i in range(600)], "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "plain"))
+    store, rows = sharding.shard(docs, path=str(tmp_path / "store"))
+    size = lambda p: sum(f.stat().st_size for f in p.rglob("*.parquet"))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, docs.collect()))
+    assert sum(s.size for s in store.manifest()[1]) < 0.8 * size(tmp_path / "plain")
