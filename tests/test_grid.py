@@ -118,3 +118,78 @@ def test_full_lists_of_some_queries_take_ties_by_column():
     for i in range(9):
         order = np.lexsort((where, -score[i]))[:3]
         assert lists.where[i].tolist() == where[order].tolist() and lists.score[i].tolist() == score[i][order].tolist()
+
+
+def test_blocks_are_sent_as_often_whatever_the_partitions(spark, monkeypatch):
+    """A larger input has more partitions; the copies of a block follow the cores."""
+    import re
+
+    monkeypatch.setattr(grid.cells, "__defaults__", (600, 1500, 0))
+    queries, index, scores = tables(spark, 60, 150)
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        found = search.above_cuts(queries, index, 20.0, block_bytes=600)
+        copies = re.findall(r"explode\(sequence\(cast\(0 as bigint\), cast\((\d+) as bigint\)", found._jdf.queryExecution().analyzed().toString())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert copies == ["2", "2"] and found.count() == (scores > 20).sum()
+
+
+def test_numbers_that_single_precision_holds_are_sent_so(spark):
+    r = np.random.default_rng(4)
+    for x, narrow in ((r.normal(size=(50, 64)).astype(np.float32).astype(float), True), (r.normal(size=(50, 64)), False), (np.full((3, 2), 1e300), False), (np.full((3, 2), np.nan), False)):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "col_id long, vec array<double>").coalesce(1)
+        packed = grid.packed(rows, 1 << 20).first()
+        table = grid.unpacked(bytes(packed["rows"]))
+        assert (packed["size"] < 64 * 50 * 6) == (narrow or x.size < 100) and (str(table.schema.field("vec").type.value_type) == "float") == narrow
+        np.testing.assert_array_equal(grid.matrix(table.column("vec")), x)
+
+
+@pytest.mark.parametrize("kind", ["real", "complex", "abs"])
+def test_what_single_precision_leaves_open_is_settled_in_double(kind, monkeypatch):
+    """Scores that differ by 1e-10, vectors of unlike lengths, numbers too large for single precision and none at all."""
+    r = np.random.default_rng(5)
+    q, base = r.normal(size=(2 * search.TILE_QUERIES + 3, 16)), r.normal(size=(7, 16))
+    near = base[r.integers(0, 7, 700)] * (1 + 1e-10 * r.integers(0, 50, (700, 1)))
+    none = near.copy()
+    none[5, 3] = np.nan
+    monkeypatch.setattr(search, "OPEN", 1)
+    for x in (near, near * 10.0 ** r.integers(-6, 7, (700, 1)), near * 1e30, none):
+        want = np.concatenate([s for _, s in search._scores(q, x, kind)])
+        # Where the scores are large, 12 decimals are beyond double precision: one sum is compared with itself.
+        exact = lambda a, b, i, c, kind: np.concatenate([s for _, s in search._scores(a, b, kind)])[i, c]
+        monkeypatch.setattr(search, "_scores_of", exact)
+        rows, held = search.Vectors(q), search.Vectors(x)
+        order = np.lexsort((np.broadcast_to(np.arange(700), want.shape), -np.where(np.isnan(want), -np.inf, want)), axis=1)[:, :4]
+        lists = grid.Lists(np.arange(len(q)), 4)
+        least = np.full(700, np.nan)
+        for at in range(0, 700, 100):
+            part = held.part(slice(at, at + 100))
+            search._into_lists(lists, rows, np.arange(at, at + 100), part, kind)
+            least[at : at + 100] = search._least(rows, part, least[at : at + 100], kind)
+        np.testing.assert_allclose(lists.score, np.take_along_axis(want, order, 1), rtol=1e-13, atol=2e-12)
+        np.testing.assert_allclose(least, np.fmin.reduce(want, axis=0), rtol=1e-13, atol=2e-12)
+        cut = np.full(700, np.nanmedian(want))
+        hits = sum(len(i) for i, _, _ in search._above(rows, held, cut, kind))
+        assert hits == (want > cut).sum()
+
+
+def test_scores_of_single_pairs_are_those_of_the_product():
+    r = np.random.default_rng(6)
+    q, x = r.normal(size=(40, 8)), r.normal(size=(3000, 8))
+    i, c = np.divmod(np.arange(120_000), 3000)
+    for kind in ("real", "complex", "abs"):
+        np.testing.assert_allclose(search._scores_of(q, x, i, c, kind), np.concatenate([s for _, s in search._scores(q, x, kind)])[i, c], atol=2e-12)
+
+
+@pytest.mark.parametrize("kind", ["real", "complex"])
+@pytest.mark.parametrize("scale", [1e-8, 1.0, 1e6])
+def test_single_precision_is_off_by_its_bound_at_most(kind, scale):
+    r = np.random.default_rng(7)
+    for d in (2, 64, 512):
+        q, x = search.Vectors(scale * r.normal(size=(30, d))), search.Vectors(r.uniform(0, 1, size=(300, d)))
+        rough, off = search._rough(q, x, kind)
+        exact = q.exact @ x.exact.T
+        if kind == "complex":
+            exact = exact**2 + (q.exact @ np.concatenate((x.exact[:, d // 2 :], -x.exact[:, : d // 2]), 1).T) ** 2
+        assert (np.abs(rough - exact) <= off[:, None]).all()
