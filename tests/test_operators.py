@@ -250,3 +250,18 @@ def test_random_sequences_are_fixed(spark):
     assert all(len(r.seq) == 37 and set(r.seq) <= set("ACGT") for r in a) and len({r.seq for r in a}) == 5
     assert spark.range(1).select(sampling.periodic(F.lit("ACG"), 8)).first()[0] == "ACGACGAC"
     assert spark.range(1).select(dna.edit_rate_plausible(F.lit(5), F.lit(100), F.lit(0.05))).first()[0]
+
+
+def test_relational_bins_shuffle_sequences_only(spark):
+    """What goes through the exchange is the sequences, dealt once by all of their key; letters that are no base count as G."""
+    rows = [(i, i % 3, "".join(np.random.default_rng(i).choice(list("ACGTNacgt"), 40))) for i in range(20)]
+    frags = spark.createDataFrame(rows + [(99, 0, "ACG"), (98, 0, None)], "a long, b int, frag string")
+    for rope in (encode.Rope(40, 4, 2, 3), encode.Rope(40, 4, 1, 4, order="big", scramble=False, zero_g=False)):
+        bins = encode.encode_long(frags, rope, ["a", "b"])
+        plan = bins.groupBy("a", "b").count()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        got = np.zeros((20, rope.dim), complex)
+        for r in bins.collect():
+            got[r.a, r.bin] = complex(r.re, r.im)
+        want = encode.Encoder(rope).histogram([t for _, _, t in rows]).reshape(20, -1)
+        np.testing.assert_allclose(got, want, atol=1e-12)
