@@ -100,3 +100,29 @@ def test_long_texts_match_the_built_in_function(spark):
     rows = [(i, a, b) for i, (a, b) in enumerate([(texts[0], changed(r, texts[0], 200, "ACGT")), (texts[1], texts[2]), (texts[1], texts[1]), (texts[1], ""), (None, "x"), ("", ""), (texts[1], changed(r, texts[1], 3, "ACGT"))])]
     df = spark.createDataFrame(rows, "i long, a string, b string")
     assert [x["d"] == x["e"] for x in df.select(edits.edits("a", "b").alias("d"), F.levenshtein("a", "b").alias("e")).collect()] == [True] * len(rows)
+
+
+def test_steps_follow_the_shorter_text(monkeypatch):
+    """A short text against a long one takes as many steps as the short one has letters; texts that are no copies are not tried in bands first."""
+    r = random.Random(4)
+    steps, bands = [], []
+    whole, banded = edits._whole, edits._banded
+    monkeypatch.setattr(edits, "_whole", lambda where, m, b: steps.append(len(b)) or whole(where, m, b))
+    monkeypatch.setattr(edits, "_banded", lambda *a: bands.append(a[3]) or banded(*a))
+    texts = ["".join(r.choice("ACGT") for _ in range(n)) for n in (40, 900, 1000)]
+    assert edits.distance(texts[0], texts[1]) == plain(texts[0], texts[1]) and max(steps) <= 40
+    assert edits.distance(texts[2], texts[1]) == plain(texts[2], texts[1]) and max(steps) <= 900 and not bands
+    many = ["".join(chr(0x4E00 + r.randrange(60)) for _ in range(n)) for n in (90, 120)]
+    assert edits.distance(*many) == plain(*many)
+    copy = changed(r, texts[2], 60, "ACGT")
+    assert edits.distance(copy, texts[2]) == plain(copy, texts[2])
+
+
+def test_bands_are_exact_beyond_their_half_width():
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = sorted(("".join(r.choice("ACG") for _ in range(r.randrange(1, 50))) for _ in range(2)), key=len)
+        want, more = plain(a, b), len(b) - len(a)
+        for band in range(max(1, more), 45, 3):
+            found = edits._banded(edits._places(a), len(a), b, band)
+            assert found >= want and (found == want or found > 2 * band + 1 - more)
