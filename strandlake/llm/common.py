@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import fresh_path
+from ..shared import bounded_batches, fresh_path  # noqa: F401 - one name for all operators here
 
 U64 = np.uint64
 #: Fixed odd multipliers and shifts of the 64-bit finaliser (splitmix64).
@@ -65,17 +65,6 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Lowers the bytes of an Arrow batch to ``size`` where the session allows more: a row may hold a very long text.
-
-    The setting counts when a plan runs, so it stays; it changes no result.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
-    if not 0 < now <= size:
-        spark.conf.set(name, str(size))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser of an array of uint64."""
     h = h ^ (h >> U64(30))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import fresh_path
+from ..shared import bounded_batches, fresh_path
 
 #: Bytes of a query block and of an index block, before they are packed; of all query blocks together, up to which they are broadcast.
 QUERY_BYTES, INDEX_BYTES, BROADCAST = 4 << 20, 8 << 20, 32 << 20
@@ -98,6 +98,8 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 def cells(queries: DataFrame, index: DataFrame, query_bytes: int = QUERY_BYTES, index_bytes: int = INDEX_BYTES, broadcast: int = BROADCAST) -> DataFrame:
     """q_block, q_rows, x_rows: every block of ``queries`` with every block of ``index``."""
     spark = queries.sparkSession
+    # A row is a pair of blocks, later a block's lists: what a task is given at once must not grow with their number.
+    bounded_batches(spark)
     path = fresh_path(spark, "queries")
     packed(queries, query_bytes).write.parquet(path)
     held = spark.read.schema(_PACKED).parquet(path)

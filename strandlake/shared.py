@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and the size of what Python tasks are given at once."""
 
 from __future__ import annotations
 
@@ -39,3 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else has."""
     return f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+
+
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lowers the bytes of an Arrow batch to ``size`` where the session allows more: a row may hold a very long text or a block of vectors.
+
+    The setting counts when a plan runs, so it stays; it changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if not 0 < now <= size:
+        spark.conf.set(name, str(size))

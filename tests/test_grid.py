@@ -1,7 +1,9 @@
 """The block grid and the common floor against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators import grid, search
 
@@ -193,3 +195,19 @@ def test_single_precision_is_off_by_its_bound_at_most(kind, scale):
         if kind == "complex":
             exact = exact**2 + (q.exact @ np.concatenate((x.exact[:, d // 2 :], -x.exact[:, : d // 2]), 1).T) ** 2
         assert (np.abs(rough - exact) <= off[:, None]).all()
+
+
+@pytest.mark.parametrize("broadcast", [0, grid.BROADCAST])
+def test_a_task_is_given_few_cells_at_once(spark, broadcast):
+    """64 cells of about 260 KB: a task's memory does not grow with their number."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    vec = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.rand(3) + i)
+    queries = spark.range(0, 2048, 1, 1).select(F.col("id").alias("query_id"), vec.alias("vec"))
+    index = spark.range(0, 2048, 1, 1).select(F.col("id").alias("col_id"), vec.alias("vec"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    seen = grid.cells(queries, index, 1 << 17, 1 << 17, broadcast).coalesce(1).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in seen) >= 64 and max(r["size"] for r in seen) <= 5 << 20
