@@ -208,3 +208,28 @@ def select_kmers(records: DataFrame, k: int, kstep: int, seq: str = "seq") -> Da
 def mirrored(first: Column, last: Column, start: Column, stop: Column) -> tuple[Column, Column]:
     """The bounds of a window start .. stop of a record first .. last in a stream that holds the record backwards."""
     return first + last - stop, first + last - start
+
+
+def mirrored_windows(records: DataFrame, k: int, kstep: int, seq: str = "seq") -> DataFrame:
+    """As ``windows``, and ``first``, ``last``: a window's bounds in its record's reverse complement, and ``there``: the text between them.
+
+    A record is turned once and cut as ``windows`` cuts it: blocks first, then
+    the windows of each block. Neither text travels with a window, so the cost
+    of a record grows with its length and not with the square of it.
+    """
+    rest = [c for c in records.columns if c != seq]
+    span = BLOCK * kstep
+    size = span - kstep + k
+    turned = records.select(*rest, seq, dna.revcomp(seq).alias("_r"), F.length(seq).alias("_n"))
+    # No filter on the length: pushed below what makes the text, it would make it twice.
+    begins = F.when(F.col("_n") >= k, F.sequence(F.lit(1), F.greatest(F.col("_n") - k + 1, F.lit(1)), F.lit(span)))
+    # The last block may be shorter than the others.
+    mirrors = F.transform(begins, lambda p: mirrored(F.lit(1), F.col("_n"), p, F.least(p + size - 1, F.col("_n")))[0])
+    blocks = F.posexplode(F.arrays_zip(dna.cut(seq, begins, size).alias("t"), dna.cut("_r", mirrors, size).alias("r"), mirrors.alias("at")))
+    cut = turned.select(*rest, "_n", blocks.alias("_b", "_z")).select(*rest, "_n", "_b", F.col("_z.t").alias("_t"), F.col("_z.r").alias("_r"), F.col("_z.at").alias("_at"))
+    places = F.sequence(F.lit(1), F.length("_t") - k + 1, F.lit(kstep))
+    bounds = lambda p: mirrored(F.lit(1), F.col("_n"), F.col("_b") * span + p, F.col("_b") * span + p + k - 1)
+    each = F.arrays_zip(places.alias("p"), dna.cut("_t", places, k).alias("frag"), dna.cut("_r", F.transform(places, lambda p: bounds(p)[0] - F.col("_at") + 1), k).alias("there"))
+    rows = cut.select(*rest, "_n", "_b", F.explode(each).alias("_w"))
+    first, last = bounds(F.col("_w.p"))
+    return rows.select(*rest, (F.col("_b") * span + F.col("_w.p")).cast("long").alias("start"), "_w.frag", first.cast("long").alias("first"), last.cast("long").alias("last"), "_w.there")

@@ -356,3 +356,30 @@ def test_a_measure_stands_in_place_of_the_vectors(spark):
     index = mapping.build_index(recs, rope, 20, "f64", measure=lambda v: (v[:, : rope.dim] ** 2).sum(1))
     got = {x["col_id"]: x["measure"] for x in index.collect()}
     assert "vec" not in index.columns and got.keys() == whole.keys() and all(abs(got[c] - whole[c]) < 1e-12 for c in got)
+
+
+def test_mirrored_windows_are_those_of_the_turned_record(spark, monkeypatch):
+    """Blocks that end in the middle of a record and at its end, records shorter than a window, none at all, and letters of more than one byte."""
+    monkeypatch.setattr(windows, "BLOCK", 3)
+    r = random.Random(5)
+    texts = [None, "", "ACGTACG", "ACGTACGT"] + ["".join(r.choice("ACGT") for _ in range(n)) for n in (9, 31, 32, 33, 200)] + ["ACéGT" * 9, "AC\U0001d11eGT" * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rec_id long, seq string")
+    turn = lambda t: t[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for k, kstep in ((8, 8), (8, 3), (5, 11)):
+        got = sorted((x["rec_id"], x["start"], x["frag"], x["first"], x["last"], x["there"]) for x in windows.mirrored_windows(rows, k, kstep).collect())
+        want = [(i, a + 1, t[a : a + k], len(t) - a - k + 1, len(t) - a, turn(t)[len(t) - a - k : len(t) - a]) for i, t in enumerate(texts) if t for a in range(0, len(t) - k + 1, kstep)]
+        assert got == want
+
+
+def test_mirrored_bounds_of_a_long_record_take_no_time_that_grows_with_its_square(spark, tmp_path):
+    """A record was turned once for each of its windows: 2,000 times 300,000 letters."""
+    import time
+
+    from strandlake import queries_more
+
+    text = "".join(random.Random(6).choice("ACGTacgtNxyz ") for _ in range(300_000))
+    spark.createDataFrame([(0, text, "en", "src0"), (1, None, "en", "src0")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.perf_counter()
+    rows = queries_more.w5_mirrored_bounds(spark, str(tmp_path)).collect()
+    assert time.perf_counter() - began < 20
+    assert sorted(map(tuple, rows)) == [(0, a, 300_000 - a - 148, 300_001 - a, True) for a in range(1, 300_000, 150)]
