@@ -109,6 +109,8 @@ def normalize_long(bins: DataFrame, rope: Rope, key: str = "id") -> DataFrame:
 _CODE = np.full(256, 2, np.int64)
 for _c, _l in enumerate("ACGT"):
     _CODE[ord(_l)] = _CODE[ord(_l.lower())] = _c
+#: Places that are summed together, so few that they stay in a core's cache.
+PLACES = 1 << 16
 
 
 class Encoder:
@@ -117,6 +119,7 @@ class Encoder:
     def __init__(self, rope: Rope):
         self.rope = rope
         self.phases: dict[int, np.ndarray] = {}
+        self.tables: tuple[np.ndarray, np.ndarray] | None = None
 
     def _phases(self, n: int) -> np.ndarray:
         if n not in self.phases:
@@ -153,6 +156,60 @@ class Encoder:
             out[:, rope.all_g, :] = 0
         return out
 
+    def sums(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(real, imaginary) sums (rows, slots, m) of (rows, places) of bins, some rows at a time: those of ``histogram``."""
+        rope, (rows, n), size = self.rope, slot.shape, 4**self.rope.c
+        out = np.empty((rows, size, rope.m)), np.empty((rows, size, rope.m))
+        step = max(1, min(rows, PLACES // n))
+        base = np.arange(step)[:, None] * size
+        turns = [(np.tile(t.real, step), np.tile(t.imag, step)) for t in self._phases(n)]
+        for at in range(0, rows, step):
+            part = slot[at : at + step]
+            flat = (part + base[: len(part)]).ravel()
+            for i, turn in enumerate(turns):
+                for half, weight in zip(out, turn):
+                    half[at : at + step, :, i] = np.bincount(flat, weight[: len(flat)], len(part) * size).reshape(len(part), size)
+        if rope.zero_g:
+            for half in out:
+                half[:, rope.all_g, :] = 0
+        return out
+
+    def vectors(self, slot: np.ndarray) -> np.ndarray:
+        """The vectors of windows whose bins are ``slot``: those of their texts one by one."""
+        re, im = self.sums(slot)
+        flat = normalized(re + 1j * im, self.rope.normalize)[0].reshape(len(slot), self.rope.dim)
+        return np.concatenate((flat.real, flat.imag), axis=1)
+
+    def rough(self, slot: np.ndarray) -> np.ndarray:
+        """As ``vectors`` of one norm, in single precision: four roundings away from it at most."""
+        halves = [x.reshape(len(slot), self.rope.dim) for x in self.sums(slot)]
+        norm = np.sqrt(sum(np.einsum("ij,ij->i", x, x) for x in halves)) + Rope.GUARDS[0]
+        out = np.empty((len(slot), 2 * self.rope.dim), np.float32)
+        for at, x in zip((0, self.rope.dim), halves):
+            np.multiply(x, (1 / norm)[:, None], out=out[:, at : at + self.rope.dim], casting="same_kind")
+        return out
+
+    def strand_slots(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bins at each place of one text of codes (bytes): of the s-mer there, and of its reverse complement."""
+        s = self.rope.s
+        if s > 8:
+            wide = codes[None, :].astype(np.int64)
+            return self.slots(wide)[0], self.reversed_slots(wide)[0]
+        if self.tables is None:
+            digits = np.arange(4**s)[:, None] >> 2 * np.arange(s)[None, :] & 3
+            self.tables = self.slots(digits)[:, 0].astype(np.int32), self.reversed_slots(digits)[:, 0].astype(np.int32)
+        n = max(0, len(codes) - s + 1)
+        number, wide = np.zeros(n, np.uint16), codes.astype(np.uint16)
+        for j in range(s):
+            number |= wide[j : j + n] << np.uint16(2 * j)
+        return self.tables[0][number], self.tables[1][number]
+
+    def places(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each strand the bins of the windows that begin at each place of one text of codes (bytes), in the order of the window's text; nothing is copied."""
+        n = self.rope.k - self.rope.s + 1
+        forward, back = (np.lib.stride_tricks.sliding_window_view(slot, n) if len(slot) >= n else np.zeros((0, n), np.int64) for slot in self.strand_slots(codes))
+        return [forward, back[:, ::-1]]
+
     def reversed_slots(self, codes: np.ndarray) -> np.ndarray:
         """As ``slots``, of the reverse complement of the s-mer at each place."""
         return self.slots(3 - codes[:, ::-1])[:, ::-1]

@@ -18,6 +18,10 @@ from . import windows
 from .ranks import running
 
 
+#: Reads up to which their places are broadcast to the records.
+FEW = 100_000
+
+
 def even_allocation(sizes: DataFrame, n: int) -> DataFrame:
     """rec_id, w, alloc: ``n`` shared by pool size (rec_id, w), largest remainders first, ties to earlier records.
 
@@ -158,6 +162,8 @@ def sample_reads(records: DataFrame, n: int, k: int, err: float = 0.0, seed: int
     else:
         ranks = random_ranks(sizes, n, seed).withColumnRenamed("t", "read_id")
     placed = ranks_to_starts(ranks, held) if nfree else ranks.withColumn("start", F.col("rank"))
+    # One small row for each read: up to so many go to the texts, not the texts to them.
+    placed = F.broadcast(placed) if n <= FEW else placed
     cut = placed.join(records.select("rec_id", "head", "seq"), "rec_id").select(F.col("read_id").cast("long").alias("read_id"), "rec_id", "start", dna.read_head(F.col("read_id"), F.col("start"), k, F.col("head")).alias("head"), dna.acgt(F.substring("seq", F.col("start"), F.lit(k))).alias("frag"))
     return cut.withColumn("frag", mutated("frag", "read_id", err, seed)) if err else cut
 

@@ -25,8 +25,8 @@ from . import grid
 
 #: Bytes of one block of queries and of the index, so small that even a few hundred MB are dealt evenly; index rows and queries of one product's tile, whose scores stay in a core's cache.
 BLOCK_BYTES, ROW_BYTES, TILE, TILE_QUERIES = 1 << 20, 2 << 20, 1024, 256
-#: Bytes of a block of windows that are encoded where they are compared, whose vectors are some twenty times as large; of the queries that meet them.
-WINDOW_BYTES, WINDOW_QUERIES = 1 << 20, grid.QUERY_BYTES
+#: Bytes of a block of windows that are encoded where they are compared, whose vectors are some twenty times as large; of the queries that meet them; of the vectors of a block of pieces.
+WINDOW_BYTES, WINDOW_QUERIES, VECTOR_BYTES = 1 << 20, grid.QUERY_BYTES, 32 << 20
 #: A tile of which more than one pair in so many is left open is computed in double precision as a whole.
 OPEN = 100
 SCHEMA = "query_id long, col_id long, score double"
@@ -79,6 +79,37 @@ class Vectors:
         return out
 
 
+class Windows:
+    """As ``Vectors``, of windows at ``starts`` of a text's bins. Their image in single precision comes first, and only what it leaves open is computed exactly."""
+
+    def __init__(self, encoder, slots: np.ndarray, starts: np.ndarray, precision: str):
+        self.encoder, self.slots, self.starts, self.precision = encoder, slots, starts, precision
+        self.rough, self.whole = None, None
+        if encoder.rope.normalize == 0 and precision in ("f32", "f64"):
+            self.rough = encoder.rough(slots[starts])
+            # Lengths are 1. The image is a few roundings further from the exact numbers than that of ``Vectors``, so 16 more are reckoned with than the sum has.
+            self.length = np.full(len(starts), 1 + 8 / encoder.rope.dim)
+
+    @property
+    def exact(self) -> np.ndarray:
+        if self.whole is None:
+            self.whole = self.rows(np.arange(len(self.starts)))
+        return self.whole
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        if self.whole is not None:
+            return self.whole[which]
+        return quantize(self.encoder.vectors(self.slots[self.starts[which]]), self.precision)
+
+
+def _pairs(q: Vectors, x: Vectors | Windows, i: np.ndarray, c: np.ndarray, kind: str) -> np.ndarray:
+    """As ``_scores_of``; of windows only those are computed that have a pair."""
+    if not isinstance(x, Windows):
+        return _scores_of(q.exact, x.exact, i, c, kind)
+    which, place = np.unique(c, return_inverse=True)
+    return _scores_of(q.exact, x.rows(which), i, place, kind)
+
+
 def _rough(q: Vectors, x: Vectors, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(queries, columns) products in single precision, and for each query how far they may be off; squared moduli for 'complex' and 'abs'."""
     unit, most = 2.0**-24, q.length * x.length.max(initial=0)
@@ -123,15 +154,20 @@ def _tiled(q: Vectors) -> Iterator[tuple[slice, Vectors]]:
         yield slice(at, at + TILE_QUERIES), q.part(slice(at, at + TILE_QUERIES))
 
 
-def _into_lists(lists: grid.Lists, queries: Vectors, col: np.ndarray, x: Vectors, kind: str) -> None:
+def _into_lists(lists: grid.Lists, queries: Vectors, col: np.ndarray, x: Vectors | Windows, kind: str) -> None:
     """Every list takes in its query's scores with ``x``."""
     for of, q in _tiled(queries):
         floor = lists.score[of, -1:]
         if q.rough is not None and x.rough is not None and np.isfinite(floor).all():
-            at = _reaching(*_rough(q, x, kind), floor, kind)
+            # A query of zeros (a read of Gs alone) ties with every column: all its scores are 0, so only the smallest columns count.
+            none = np.flatnonzero(q.length == 0)
+            at = _reaching(*_rough(q, x, kind), np.where(q.length[:, None] == 0, np.inf, floor), kind)
             if OPEN * len(at) <= len(q.exact) * len(col):
                 i, c = np.divmod(at, len(col))
-                lists.enter(i, col[c], _scores_of(q.exact, x.exact, i, c, kind), of)
+                lists.enter(i, col[c], _pairs(q, x, i, c, kind), of)
+                if len(none):
+                    first = np.sort(col)[: lists.score.shape[1]]
+                    lists.enter(np.repeat(none, len(first)), np.tile(first, len(none)), np.zeros(len(none) * len(first)), of)
                 continue
         for _, score in _scores(q.exact, x.exact, kind):
             lists.add(col, score, of)
@@ -220,6 +256,27 @@ def _coded_tiles(rope, precision: str):
     return _kept(make)
 
 
+def _piece_tiles(rope, kstep: int, precision: str):
+    """As ``_tiles``, of blocks of pieces (col_id, text): the windows of both strands."""
+    from .encode import _CODE, Encoder
+
+    encoder, code = Encoder(rope), _CODE.astype(np.uint8)
+
+    def make(rows: pa.Table) -> list[tuple[np.ndarray, Vectors]]:
+        base, texts = rows.column("col_id").to_numpy(), rows.column("text").to_pylist()
+        lengths = np.array([len(t) for t in texts], np.int64)
+        n = (lengths - rope.k) // kstep + 1
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts = np.repeat(np.cumsum(lengths) - lengths, n) + within * kstep
+        col = np.repeat(base, n) + 2 * kstep * within
+        held = []
+        for strand, slots in enumerate(encoder.places(code[np.frombuffer(b"".join(texts), np.uint8)])):
+            held += [(col[at : at + TILE] + strand, Windows(encoder, slots, starts[at : at + TILE], precision)) for at in range(0, len(starts), TILE)]
+        return held
+
+    return _kept(make)
+
+
 def top_k(queries: DataFrame, index: DataFrame, k: int = 20, kind: str = "real", precision: str = "f64", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, col_id, score: the k best windows of every query, ties to smaller col_id.
 
@@ -260,6 +317,29 @@ def top_k_of_windows(queries: DataFrame, frags: DataFrame, rope, k: int = 20, ki
     return grid.merged(found.mapInArrow(run, grid._PARTIAL), k)
 
 
+def top_k_of_pieces(queries: DataFrame, pieces: DataFrame, rope, kstep: int, k: int = 20, kind: str = "real", precision: str = "f32", block_bytes: int = WINDOW_QUERIES) -> DataFrame:
+    """As ``top_k_of_windows``, of the windows of both strands of pieces (col_id, text) of records.
+
+    A window's number is that of its piece's first window and twice its distance
+    from there, and 1 more on the other strand. A piece is sent as it is: its
+    windows are cut, turned and encoded where they are multiplied.
+    """
+    # Vectors are held in double and single precision.
+    most = max(1, VECTOR_BYTES // (24 * rope.dim) // 2) * kstep
+
+    def run(batches):
+        tiles = _piece_tiles(rope, kstep, precision)
+
+        def scores(lists, matrix, rows):
+            for col, values in tiles(rows):
+                _into_lists(lists, matrix, col, values, kind)
+
+        yield from grid.partial_lists(batches, k, _query("f64"), scores)
+
+    found = grid.cells(_vectors(queries, "query_id"), pieces.select("col_id", "text"), block_bytes, most)
+    return grid.merged(found.mapInArrow(run, grid._PARTIAL), k)
+
+
 def least_by_column(queries: DataFrame, index: DataFrame, kind: str = "real", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """col_id, cut: each window's least score over all queries; one row for each window and stretch of blocks that meet it in turn."""
 

@@ -11,10 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..shared import bounded_batches
 from .ranks import running
 
-#: Windows that are cut together; stretches that a task gathers before it hands them on.
-BLOCK, GATHERED = 64, 1 << 16
+#: Windows that are cut together; stretches that a task gathers before it hands them on; bytes of pieces that it does.
+BLOCK, GATHERED, PIECES = 64, 1 << 16, 4 << 20
+#: What every byte is as a base.
+_BASES = bytes(ord(chr(b).upper()) if chr(b) in "ACGTacgt" else ord("G") for b in range(256))
 
 
 def n_windows(nchar: Column | str, k: int, kstep: int = 1) -> Column:
@@ -51,6 +54,41 @@ def both_strands(frags: DataFrame) -> DataFrame:
     return frags.select(*[c for c in frags.columns if c != "frag"], F.posexplode(F.array("frag", dna.revcomp("frag"))).alias("strand", "frag"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], k: int, kstep: int) -> Iterator[pa.RecordBatch]:
+    span = max(BLOCK, -(-k // kstep)) * kstep
+    for batch in batches:
+        found, held = [], 0
+
+        def out(batch=batch):
+            rows, starts, lasts, texts = zip(*found)
+            return pa.RecordBatch.from_arrays([batch.column("rec_id").take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(lasts, pa.int64()), pa.array(texts, pa.binary())], ["rec_id", "start", "last", "text"])
+
+        for i, text in enumerate(batch.column("seq").to_pylist()):
+            # One byte for each character, whatever it takes elsewhere.
+            text = (text or "").encode("ascii", "replace").translate(_BASES)
+            for at in range(0, len(text) - k + 1, span):
+                part = text[at : at + span - kstep + k]
+                found.append((i, at + 1, at + 1 + (len(part) - k) // kstep * kstep, part))
+                held += len(part)
+                if held >= PIECES:
+                    yield out()
+                    found, held = [], 0
+        if found:
+            yield out()
+
+
+def pieces(records: DataFrame, k: int, kstep: int, seq: str = "seq") -> DataFrame:
+    """rec_id, start, last, text: blocks of windows in one text of bases; ``start`` and ``last`` are where the first and the last of them begin.
+
+    The windows are those of ``windows``; what is no base is a G. Texts are cut
+    in a Python task, where a letter takes a nanosecond and not the hundred of
+    an expression of strings.
+    """
+    bounded_batches(records.sparkSession)
+    kind = records.schema["rec_id"].dataType.simpleString()
+    return records.select("rec_id", F.col(seq).alias("seq")).mapInArrow(lambda batches: _pieces(batches, k, kstep), f"rec_id {kind}, start long, last long, text binary")
+
+
 def window_counts(records: DataFrame, k: int, kstep: int, seq: str = "seq") -> DataFrame:
     """One row: windows, records, records that hold any."""
     n = n_windows(F.length(seq), k, kstep)

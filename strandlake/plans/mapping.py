@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -27,9 +27,9 @@ def index_windows(records: DataFrame, k: int, kstep: int, max_records: int | Non
     return cut.select(_col_id(start_bits).alias("col_id"), "rec_id", "head", "start", "strand", "frag")
 
 
-def _col_id(start_bits: int):
-    fits = F.col("rec_id").between(0, (1 << (63 - start_bits)) - 1) & (F.col("start") < (1 << (start_bits - 1)))
-    number = (F.col("rec_id") * F.lit(1 << start_bits) + F.col("start") * 2 + F.col("strand")).cast("long")
+def _col_id(start_bits: int, strand: str | Column = "strand", last: str = "start"):
+    fits = F.col("rec_id").between(0, (1 << (63 - start_bits)) - 1) & (F.col(last) < (1 << (start_bits - 1)))
+    number = (F.col("rec_id") * F.lit(1 << start_bits) + F.col("start") * 2 + dna.col(strand)).cast("long")
     wrong = F.raise_error(F.concat(F.lit("no bits for record "), F.col("rec_id").cast("string"))).cast("long")
     return F.when(fits, number).otherwise(wrong)
 
@@ -57,12 +57,13 @@ def map_reads(reads: DataFrame, index: DataFrame, rope: encode.Rope, k: int = 20
 def map_onto(reads: DataFrame, records: DataFrame, rope: encode.Rope, kstep: int, k: int = 20, kind: str = "real", precision: str = "f32", start_bits: int = START_BITS) -> DataFrame:
     """As ``map_reads`` onto the windows of ``records``, without an index: windows are encoded where they are compared.
 
-    The texts are shuffled once. A hit's place is in its col_id, so hits meet the records' headers only.
+    The texts are shuffled once, in pieces. A hit's place is in its col_id, so hits meet the records' headers only.
+    ``records`` need not be clean: what is no base is a G.
     """
-    # Records are dealt to all tasks first: one file of them would be encoded by one task.
-    dealt = records.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id")
-    frags = index_windows(dealt, rope.k, kstep, start_bits=start_bits)
-    hits = search.top_k_of_windows(encode_reads(reads, rope, precision), frags, rope, k, kind, precision)
+    # Pieces are dealt to all tasks first: one file or one long record would be encoded by one task.
+    cut = windows.pieces(records, rope.k, kstep).select(_col_id(start_bits, F.lit(0), "last").alias("col_id"), "text")
+    dealt = cut.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "col_id")
+    hits = search.top_k_of_pieces(encode_reads(reads, rope, precision), dealt, rope, kstep, k, kind, precision)
     place = F.col("col_id").bitwiseAND((1 << start_bits) - 1)
     hits = hits.select("*", F.shiftright("col_id", start_bits).alias("rec_id"), F.shiftright(place, 1).alias("start"), place.bitwiseAND(1).cast("int").alias("strand"))
     named = hits.join(records.select("rec_id", F.col("head").alias("record")), "rec_id")

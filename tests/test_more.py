@@ -383,3 +383,70 @@ def test_mirrored_bounds_of_a_long_record_take_no_time_that_grows_with_its_squar
     rows = queries_more.w5_mirrored_bounds(spark, str(tmp_path)).collect()
     assert time.perf_counter() - began < 20
     assert sorted(map(tuple, rows)) == [(0, a, 300_000 - a - 148, 300_001 - a, True) for a in range(1, 300_000, 150)]
+
+
+ODD = [None, "", "ACGTAC", "acgtnNxy GATTACA" * 9, "\u00e9AC\U0001d11eGT" * 40, "G" * 300, "TTTTTTTTTT" * 31]
+
+
+def test_pieces_hold_the_windows_of_the_cleaned_record(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 3)
+    monkeypatch.setattr(windows, "PIECES", 100)
+    records = spark.createDataFrame(list(enumerate(ODD)), "rec_id long, seq string")
+    for k, kstep in ((20, 20), (20, 7), (7, 15), (60, 5)):
+        want = {(x["rec_id"], x["start"], x["frag"]) for x in windows.windows(records.withColumn("seq", dna.acgt("seq")), k, kstep).collect()}
+        rows = windows.pieces(records, k, kstep).collect()
+        got = [(x["rec_id"], x["start"] + a, bytes(x["text"][a : a + k]).decode()) for x in rows for a in range(0, len(x["text"]) - k + 1, kstep)]
+        assert set(got) == want and len(got) == len(want) > 0
+        assert all(x["last"] == x["start"] + (len(x["text"]) - k) // kstep * kstep for x in rows)
+
+
+@pytest.mark.parametrize("rope", [encode.Rope(40, 4, 1, 4), encode.Rope(40, 5, 2, 3, order="big"), encode.Rope(40, 4, 1, 4, normalize=1), encode.Rope(40, 9, 1, 4)])
+@pytest.mark.parametrize("kind", ["real", "complex", "abs"])
+def test_reads_meet_windows_encoded_there_as_those_of_an_index(spark, monkeypatch, rope, kind):
+    """The same windows and the very same scores, for reads of Gs alone too, whichever windows single precision leaves open."""
+    monkeypatch.setattr(search, "TILE", 16)
+    r = random.Random(9)
+    texts = ODD + ["".join(r.choice("ACGT") for _ in range(700)) for _ in range(4)]
+    records = spark.createDataFrame([(i, f">r{i}", t) for i, t in enumerate(texts)], "rec_id long, head string, seq string")
+    reads = [t[a : a + 40] for t in texts[-4:] for a in (0, 33, 500)] + ["G" * 40, "T" * 40, "GGGGA" * 8]
+    reads = spark.createDataFrame([(i, t) for i, t in enumerate(reads)], "read_id long, frag string")
+    for kstep in (40, 9):
+        got = mapping.map_onto(reads, records, rope, kstep, 3, kind).select("read_id", "rank", "col_id", "score", "start", "strand", "record").collect()
+        frags = mapping.index_windows(records, 40, kstep)
+        want = search.top_k_of_windows(mapping.encode_reads(reads, rope), frags, rope, 3, kind).join(frags.select("col_id", "start", "strand", F.col("head").alias("record")), "col_id")
+        assert len(got) == 45 and sorted(map(tuple, got)) == sorted(tuple(x) for x in want.select("query_id", "rank", "col_id", "score", "start", "strand", "record").collect())
+
+
+def test_records_without_bits_are_an_error_of_pieces_too(spark):
+    reads = spark.createDataFrame([(0, "ACGT" * 10)], "read_id long, frag string")
+    records = spark.createDataFrame([(1 << 31, ">a", "ACGT" * 50)], "rec_id long, head string, seq string")
+    with pytest.raises(Exception, match="no bits"):
+        mapping.map_onto(reads, records, encode.Rope(40, 4, 1, 4), 40).collect()
+
+
+def test_only_open_windows_are_encoded_exactly_and_reads_of_gs_open_none(monkeypatch):
+    """Three reads of Gs in 250 tie with every window: each tile was computed in double precision as a whole."""
+    rope, r = encode.Rope(200, 4, 1, 4), np.random.default_rng(3)
+    texts = ["".join(t) for t in r.choice(list("ACGT"), (4096, 200))]
+    reads = [t[60:] + "A" * 60 for t in texts[::17]] + ["G" * 200] * 3
+    queries = search.Vectors(encode.Encoder(rope)(reads)[0])
+    tiles = search._piece_tiles(rope, 200, "f32")(pa.table({"col_id": pa.array(np.arange(64) * 1000, pa.int64()), "text": pa.array(["".join(texts[i : i + 64]).encode() for i in range(0, 4096, 64)], pa.binary())}))
+    plain, lists, whole, exact = search.grid.Lists(np.arange(len(reads)), 2), search.grid.Lists(np.arange(len(reads)), 2), [], []
+    for col, x in tiles:
+        for of, score in search._scores(queries.exact, search.quantize(x.exact, "f32"), "real"):
+            plain.add(col, score, of)
+        x.whole = None
+    scores, rows = search._scores, search.Windows.rows
+    monkeypatch.setattr(search, "_scores", lambda *a: whole.append(1) or scores(*a))
+    monkeypatch.setattr(search.Windows, "rows", lambda self, which: exact.append(len(which)) or rows(self, which))
+    for col, x in tiles:
+        search._into_lists(lists, queries, col, x, "real")
+    assert (lists.score == plain.score).all() and (lists.where == plain.where).all()
+    assert len(tiles) == 8 and len(whole) == 1 and sum(exact) < 2 * search.TILE
+
+
+def test_reads_of_the_stream_are_those_of_the_cleaned_records(spark):
+    d = "/root/testdata/sf0.001"
+    a = sampling.sample_reads(queries.clean(spark, d), 500, 200)
+    b = sampling.sample_reads(queries.records(spark, d), 500, 200, nfree=False)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
