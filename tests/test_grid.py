@@ -211,3 +211,20 @@ def test_a_task_is_given_few_cells_at_once(spark, broadcast):
 
     seen = grid.cells(queries, index, 1 << 17, 1 << 17, broadcast).coalesce(1).mapInArrow(sizes, "n long, size long").collect()
     assert sum(r["n"] for r in seen) >= 64 and max(r["size"] for r in seen) <= 5 << 20
+
+
+@pytest.mark.parametrize("broadcast", [0, grid.BROADCAST])
+def test_pairs_above_cuts_come_by_query_and_block(spark, monkeypatch, broadcast):
+    """A query's pairs with a block of the index are one stretch, by column: they were one for each tile. Cuts that are an expression meet no join."""
+    monkeypatch.setattr(grid.cells, "__defaults__", (600, 1500, broadcast))
+    monkeypatch.setattr(search, "TILE", 16)
+    queries, index, scores = tables(spark, 60, 150, parts=1)
+    queries, index = queries.coalesce(1), index.orderBy("col_id").withColumn("label", F.when(F.col("col_id") % 5 > 0, F.col("col_id") % 5))
+    found = search.above_cuts(queries, index, 2.0 * F.col("label"))
+    cut = np.where(np.arange(150) % 5 > 0, 2.0 * (np.arange(150) % 5), np.inf)
+    want = sorted((int(q), int(c), float(scores[q, c])) for q, c in zip(*np.nonzero(scores > cut)))
+    rows = [(r["query_id"], r["col_id"], r["score"], r["part"]) for r in found.withColumn("part", F.spark_partition_id()).collect()]
+    assert sorted(r[:3] for r in rows) == want
+    stretches = sum(a[0] != b[0] or a[3] != b[3] for a, b in zip(rows, rows[1:])) + 1
+    assert stretches <= 60 and all(a[1] < b[1] for a, b in zip(rows, rows[1:]) if a[0] == b[0])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
